@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import byte_bpe, line_dedup, ngram_join, quality_rules, sharding, warc
+from tallyfield.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_rules, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_warc": warc.op10_warc,
