@@ -2,7 +2,7 @@
 
 Method: every line of a text is judged by itself.  A line fails if it is navigation
 (pipes and other symbols between words), boilerplate (a known notice), shouting, a run of
-the same word, or a longer line without closing punctuation.  Failed lines are taken out,
+the same word, or a longer line without punctuation.  Failed lines are taken out,
 and a document that loses more than MAX_LOST of its words is rejected.  Before that the
 base counts of a text decide: under 50 words or more than half of its words in repeated
 3-word windows.
@@ -35,7 +35,7 @@ MAX_SYMBOLS = 0.25
 MAX_CAPITALS = 0.5
 #: A line of at least 6 words, more than this share of them equal to the word before, is a run.
 MAX_RUN = 0.3
-#: A line of at least so many words must end with punctuation.
+#: A line of at least so many words must hold one that ends with punctuation.
 PUNCTUATION_WORDS = 12
 #: Notices that make a line boilerplate (compared in lower case).
 NOTICES = (b"all rights reserved", b"privacy policy", b"terms of use", b"terms of service", b"cookie policy", b"uses cookies", b"enable javascript", b"is licensed under", b"sign in to", b"subscribe to our", b"share on facebook", b"lorem ipsum")
@@ -115,13 +115,13 @@ def judge(data: np.ndarray, offsets: np.ndarray, max_lost: float = MAX_LOST) ->
     capital = _sums((upper[end] - upper[start] >= 2) & (lower[end] == lower[start]))
     again = np.zeros(len(start), bool)
     again[1:] = hashes[1:] == hashes[:-1]
-    run = _sums(again)
+    run, stops = _sums(again), _sums(_ENDS[data[end - 1]])
     fail = np.zeros(len(line_start), bool)
     s, w = spoken, in_line[spoken]
     fail[s] = symbols[line_end[s]] - symbols[line_start[s]] > MAX_SYMBOLS * w
     fail[s] |= (w >= 3) & (capital[word_high[s]] - capital[word_low[s]] > MAX_CAPITALS * w)
     fail[s] |= (w >= 6) & (run[word_high[s]] - run[word_low[s] + 1] > MAX_RUN * w)
-    fail[s] |= (w >= PUNCTUATION_WORDS) & ~_ENDS[data[end[word_high[s] - 1] - 1]]
+    fail[s] |= (w >= PUNCTUATION_WORDS) & (stops[word_high[s]] == stops[word_low[s]])
     low = data.tobytes().lower()
     for notice in NOTICES:
         k = low.find(notice)
