@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_rules, sharding, toxicity, warc
+from tallyfield.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_model, quality_rules, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_ngram_join": ngram_join.op3_ngram_join,
+        "op4_quality_model": quality_model.op4_quality_model,
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,
