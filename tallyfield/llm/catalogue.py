@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_model, quality_rules, sharding, toxicity, warc
+from tallyfield.llm import byte_bpe, decontamination, line_dedup, ngram_join, pii, quality_model, quality_rules, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": byte_bpe.op5_byte_bpe,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_sharding": sharding.op7_sharding,
+        "op8_pii": pii.op8_pii,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_warc": warc.op10_warc,
     }
