@@ -1,31 +1,52 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a stage's rows are written
+as Parquet and read again as the next one's docs.  All but the last keep the columns of
+documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm.byte_bpe import encode_table
-from tallyfield.llm.line_dedup import dedup_lines
+from tallyfield.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_model
+from tallyfield.llm._spark import table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text is too high for their language go."""
+    return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on a large share of a source's documents go; every document stays."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of documents linked by common shingles stays."""
+    return ngram_join.keep_one(docs)
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on a large share of a source's pages go; every document stays."""
-    return dedup_lines(docs)
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
-    return encode_table(docs)
+    return byte_bpe.encode_table(docs)
 
 
-STAGES = [("line_dedup", line_dedup), ("byte_bpe", byte_bpe)]
+STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("decontamination", benchmarks), ("byte_bpe", tokens)]
 
-#: The model and the tokenizer have no SQL form.
+#: The model and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; what each returns is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
