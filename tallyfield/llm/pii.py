@@ -120,6 +120,7 @@ Appelez le [phone:01 42 68 53 00] demain.
 Llame al [phone:91 555 01 23 45] por favor.
 mobile [phone:07700 900123] works too
 We met at the dot of nine in the hall.
+the meeting at 10 dot was long
 The dot com years were short and odd.
 He stood at the line and drew a dot there.
 it was at noon that the first dot was seen
@@ -344,7 +345,7 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | No
     body = text[start:end]
     digits = re.sub(r"[^0-9]", "", body)
     if kind == "email":
-        ok = re.search(r"[A-Za-z0-9](?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)[A-Za-z]{2,}", body, re.I)
+        ok = re.search(r"[A-Za-z0-9](?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)(?:com|org|net|edu|gov|info|io|co|eu|de|fr|es|uk)\b", body, re.I)
     elif kind == "phone":
         ok = 10 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", body) and re.search(r"[ ().-]", body)
     elif kind == "card":
