@@ -1,24 +1,20 @@
-"""Named queries over the test tables, each with the SQL that states the same rows."""
+"""All named queries over the test tables, each with the SQL that states the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FLAGSHIP = "purchases_by_user"
 
+from tallyfield.plans import flow_queries  # noqa: F401  registers its queries
+from tallyfield.plans.registry import QUERIES, SQL
 
-def purchases_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    bought = events.filter(F.col("event_type") == "purchase")
-    return bought.groupBy("user_id").agg(F.round(F.sum("value"), 2).alias("total_value"), F.count("*").alias("n")).orderBy(F.desc("total_value"), "user_id")
+FLAGSHIP = "purchases_by_user"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"purchases_by_user": purchases_by_user}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"purchases_by_user": "SELECT user_id, round(sum(value), 2) AS total_value, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id"}
+    return dict(SQL)
