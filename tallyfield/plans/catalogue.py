@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.plans import flow_queries  # noqa: F401  registers its queries
+from tallyfield.plans import flow_queries, market_queries  # noqa: F401  they register their queries
 from tallyfield.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "purchases_by_user"
