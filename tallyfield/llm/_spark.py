@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfield.llm import _memory  # noqa: F401  sets how workers give memory back
+
 #: A side of at most so many rows of a few fixed-size columns may be broadcast (about 32 bytes a row).
 BROADCAST_ROWS = 2_000_000
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 #: A batch is cut into pieces of about this many bytes, so that work arrays stay small.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True

@@ -53,9 +53,9 @@ HOT_ROWS = 1 << 18
 SHORT = 8
 #: Classes of a chunk of a long list; shingles of a chunk of a block.
 LIST_CHUNK = 4096
-BLOCK_CHUNK = 1_000_000
+BLOCK_CHUNK = 500_000
 #: Shingles that a task holds before it passes them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Bits of the bitmap that spares most sets outside all blocks the join (it may only let too many pass).
 MAX_FILTER_BITS = 1 << 24
 #: Cost of a binary probe against a merge step, for the number of long lists.

@@ -46,7 +46,7 @@ SMOOTHING = 200
 #: Rows of a model that is sent to executors (12 bytes each and as much room again).
 MODEL_ROWS = 4_000_000
 #: n-grams that a task holds before it passes their counts on.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 _MAP = lower_table().copy()
 _MAP[48:58] = 48
