@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfield.llm import _memory  # noqa: F401  sets how workers give memory back
 
@@ -61,6 +60,9 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def with_fields(df: DataFrame, columns: list[str], *fields: tuple[str, T.DataType]) -> T.StructType:
-    """Schema of some of df's columns and then new fields."""
-    return T.StructType([df.schema[c] for c in columns] + [T.StructField(n, t) for n, t in fields])
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name

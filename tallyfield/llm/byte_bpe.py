@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm._spark import table, text_of
+from tallyfield.llm._spark import fresh, table, text_of
 
 #: Pre-tokens up to this many bytes go through the matrices.
 LONG_BYTES = 256
@@ -255,7 +255,7 @@ def encode_table(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     clash = {n for n, _ in new} & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} clash with the new ones")
-    body = "_bpe_text"
+    body = fresh(docs, "_text")
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias(body))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(n, t) for n, t in new])
 

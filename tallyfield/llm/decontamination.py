@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm._spark import table, text_of
+from tallyfield.llm._spark import fresh, table, text_of
 from tallyfield.llm._text import _BASE, _BASE_INVERSE, _BYTE_CODE, _IS_SEPARATOR, _power, lower_table, mix, pieces, span_hashes
 
 BYTES_PER_ERROR = 20
@@ -224,7 +224,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", bytes_per_error: int = BYTES_PER_ERROR) -> DataFrame:
     """docs without the rows that hold a test item; all columns stay."""
     spark = docs.sparkSession
-    columns, flag = docs.columns, "_text_to_search"
+    columns, flag = docs.columns, fresh(docs, "_text")
     for block in item_blocks(benchmark, item, item_text):
         sent = spark.sparkContext.broadcast(block)
         source = docs.select(*[F.col(f"`{c}`") for c in columns], text_of(f"`{text}`").alias(flag))

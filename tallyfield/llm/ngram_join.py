@@ -40,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tallyfield.llm._spark import cut, partitions, sized_broadcast, table, text_of, written
+from tallyfield.llm._spark import partitions, sized_broadcast, table, text_of, written
 from tallyfield.llm._text import lower_table, mix, pieces, shingle_hashes, span_hashes, words
 from tallyfield.llm.graph import Union, components
 
@@ -502,13 +503,14 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """One row of each component stays, that of the smallest id; rows without an id stay."""
     named = written(similar_components(docs, text, key))
     kept = named.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    own = F.col(f"`{key}`")
     once = sized_broadcast(kept.select(F.col("doc_id").alias("_kept"), "_copies"))
-    joined = docs.join(once, own == F.col("_kept"), "left").filter(own.isNull() | F.col("_kept").isNotNull())
-    single = joined.filter(own.isNull() | (F.col("_copies") == 1)).select(*docs.columns)
-    if kept.filter("_copies > 1").limit(1).count():
-        single = single.union(joined.filter("_copies > 1").select(*docs.columns).dropDuplicates([key]))
-    return single
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_own"))
+    joined = row.join(once, row["_own"] == once["_kept"], "left").filter("_own IS NULL OR _kept IS NOT NULL")
+    single = joined.filter("_own IS NULL OR _copies = 1")
+    if kept.filter("_copies > 1").limit(1).count():  # several rows of one id: the first of them in order of all columns
+        order = W.partitionBy("_own").orderBy("_row")
+        single = single.unionByName(joined.filter("_copies > 1").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n"))
+    return single.select("_row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,10 +118,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"g": key, "c": n})
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def trusted_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents labelled of good quality."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(sized_broadcast(good), "doc_id", "left_semi")
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted_id")).distinct()
+    return docs.join(sized_broadcast(good), F.col(f"`{key}`") == F.col("_trusted_id"), "left_semi")
 
 
 def _discounts(counts: DataFrame, order: int) -> tuple[float, float, float]:
@@ -278,10 +278,10 @@ def _scored(docs: DataFrame, model: DataFrame, keep: list[str], text: str, lang:
     return source.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", quantile: float = KEEP, margin: float = MARGIN, model_rows: int = MODEL_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", quantile: float = KEEP, margin: float = MARGIN, model_rows: int = MODEL_ROWS) -> DataFrame:
     """The columns `keep`, then perplexity (per byte, smoothed), threshold and kept."""
-    keep = ["doc_id", lang] if keep is None else keep
-    trusted = trusted_documents(docs, labels)
+    keep = [key, lang] if keep is None else keep
+    trusted = trusted_documents(docs, labels, key)
     model = train(trusted, text, lang)
     base = _scored(trusted, model, [lang], text, lang, model_rows).filter("_n > 0")
     base = written(base.select("_code", "_n", "_total"))
@@ -295,18 +295,13 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     return joined.select(*[F.col(f"`{c}`") for c in keep], perplexity.alias("perplexity"), "threshold", F.coalesce(perplexity <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without the rejected rows; all columns stay."""
-    columns = docs.columns
-    whole = docs.withColumns({"_own_text": F.col(f"`{text}`"), "_own_lang": F.col(f"`{lang}`")})
-    return classify(whole, labels, columns, "_own_text", "_own_lang").filter("kept").select(*columns) if {"perplexity", "threshold", "kept"}.isdisjoint(columns) else _renamed(docs, labels, text, lang)
-
-
-def _renamed(docs: DataFrame, labels: DataFrame, text: str, lang: str) -> DataFrame:
-    """keep_good where columns of docs have the names of the result."""
-    columns = docs.columns
-    plain = docs.toDF(*[c if c in (text, lang, "doc_id") else f"_c{i}" for i, c in enumerate(columns)])
-    return keep_good(plain, labels, text, lang).toDF(*columns)
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """docs without the rejected rows; all columns stay, whatever their names."""
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    at = dict(zip(names, own, strict=True))
+    judged = classify(docs.toDF(*own), labels, own, at[text], at[lang], at[key])
+    return judged.filter("kept").select(*own).toDF(*names)
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

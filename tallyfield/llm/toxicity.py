@@ -42,7 +42,7 @@ FEATURES = 1 << 20
 TRAIN_ROWS = 20_000
 PRIOR = 20_000.0
 #: Standard deviations by which log-odds are drawn to 0.
-CONFIDENCE = 3.0
+CONFIDENCE = 2.0
 DRIFT = 0.05
 #: Times that a feature counts at most in one text.
 SATURATION = 8

@@ -1,0 +1,513 @@
+"""The training-data operators against brute force, exact round trips and odd input."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from tallyfield.llm import byte_bpe, catalogue, decontamination, line_dedup, ngram_join, pii, quality_model, quality_rules, sharding, toxicity, warc
+from tallyfield.llm._text import pieces, shingle_hashes, span_hashes, words
+from tallyfield.llm.graph import components
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def documents(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet")
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def empty_labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+# --- kernels
+
+
+def test_words_do_not_cross_rows():
+    import pyarrow as pa
+
+    texts = ["ab cd", "ef", "", None, " gh i\x0bj ", "k"]
+    for _, _, data, offsets in pieces(pa.array(texts)):
+        start, end, first = words(data, offsets)
+        body = data.tobytes()
+        got = [[body[start[k] : end[k]].decode() for k in range(first[i], first[i + 1])] for i in range(len(texts))]
+        assert got == [brute.WORD.findall(t or "") for t in texts]
+
+
+def test_pieces_keep_rows_whole():
+    import pyarrow as pa
+
+    texts = ["a" * 10, "b" * 100, "", "c", None, "d" * 30]
+    got = []
+    for a, b, data, offsets in pieces(pa.array(texts).slice(1), 16):
+        got += [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in range(b - a)]
+    assert got == [t or "" for t in texts[1:]]
+
+
+def test_hashes_follow_content():
+    data = np.frombuffer(b"abc abc abd", np.uint8)
+    h = span_hashes(data, np.array([0, 4, 8]), np.array([3, 7, 11]))
+    assert h[0] == h[1] != h[2]
+    s = shingle_hashes(np.array([1, 2, 3, 1, 2, 3], np.uint64), 3)
+    assert s[0] == s[3] and len(set(s.tolist())) == 3
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (4, 5), (9, 8), (8, 7), (7, 6), (6, 4), (10, 10)], "a long, b long")
+    got = {r["vertex"]: r["root"] for r in components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4, 8: 4, 9: 4}
+    assert components(edges.limit(0)).count() == 0
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["root"] for r in components(chain).collect()} == {0}
+
+
+# --- 1 toxicity
+
+
+def test_toxic_segments_are_maximal():
+    assert toxicity.segments(np.array([])) == [] and toxicity.segments(np.array([-1.0, -2.0])) == []
+    got = toxicity.segments(np.array([4.0, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]))
+    assert [(round(s), a, b) for s, a, b in got] == [(4, 0, 1), (3, 2, 3), (7, 4, 11)]
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        x = rng.normal(-0.3, 1, 60)
+        best = max(x[i:j].sum() for i in range(60) for j in range(i + 1, 61))
+        found = toxicity.segments(x)
+        assert abs(max(s for s, _, _ in found) - best) < 1e-9
+        assert all(abs(x[a:b].sum() - s) < 1e-9 for s, a, b in found)
+        assert all(p[2] <= q[1] for p, q in zip(found, found[1:], strict=False))
+
+
+def test_toxicity_held_out(spark, data):
+    rows = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, "/root/testdata/sf0.1").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
+    held = [r for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert held and all(rows[r["doc_id"]]["held_out"] for r in held)
+    right = sum(rows[r["doc_id"]]["predicted"] == r["toxic"] for r in held)
+    assert right / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows.values())
+
+
+def test_toxicity_odd_input(spark, odd_docs, odd_labels):
+    for docs in (odd_docs, empty(spark)):
+        for labels in (odd_labels, empty_labels(spark)):
+            got = toxicity.score_table(docs, toxicity.fit(docs, labels)).collect()
+            assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+
+
+# --- 2 quality rules
+
+
+def test_rule_counts_match_brute_force(spark, data, odd_docs):
+    for docs in (documents(spark, data).select(*COLUMNS), odd_docs.filter("length(text) < 1000 OR text IS NULL").select(*COLUMNS)):
+        got = quality_rules.apply_rules(docs, keep=["doc_id", "text"]).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            want = brute.rule_counts(r["text"])
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+            assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not r["base_failed"] or not r["kept"])
+
+
+def test_rules_tell_junk(spark, data):
+    rows = quality_rules.op2_quality_rules(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
+    assert not [r["doc_id"] for r in rows if r["quality"] == 0 and r["kept"]]
+    assert not [r["doc_id"] for r in rows if r["quality"] == 1 and not r["kept"]]
+
+
+def test_rules_clean_text_and_odd_input(spark, odd_docs):
+    text = "A good line of plain prose ends here.\nHome | About | Contact | More\nALL CAPITALS SHOUT HERE!!\nThis site uses cookies to work."
+    got = quality_rules.apply_rules(spark.createDataFrame([(1, text)], "doc_id long, text string"), clean=True).first()
+    assert got["clean_text"] == "A good line of plain prose ends here." and got["n_failed_lines"] == 3
+    assert quality_rules.apply_rules(odd_docs).count() == odd_docs.count() and quality_rules.apply_rules(empty(spark)).count() == 0
+
+
+# --- 3 n-gram join
+
+
+def test_join_matches_brute_force(spark, data):
+    docs = documents(spark, data)
+    want = brute.components({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs).collect()} == want
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_join_on_groups_and_chains(spark, monkeypatch, small):
+    """Groups of near copies, chains of neighbours and a passage that many share; with small chunks the split ways run."""
+    if small:
+        monkeypatch.setattr(ngram_join, "LIST_CHUNK", 7)
+        monkeypatch.setattr(ngram_join, "BLOCK_CHUNK", 400)
+        monkeypatch.setattr(ngram_join, "HOT_FREQUENCY", 4)
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(400))
+    texts, base = {}, [word() for _ in range(60)]
+    for i in range(40):  # near copies of one text
+        t = list(base)
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(60)] = word()
+        texts[len(texts)] = " ".join(t)
+    chain = [word() for _ in range(80)]
+    for i in range(12):  # each a little further from the first
+        chain = chain[2:] + [word(), word()]
+        texts[len(texts)] = " ".join(chain)
+    passage = [word() for _ in range(50)]
+    for i in range(30):
+        texts[len(texts)] = " ".join([word() for _ in range(rng.choice((5, 30)))] + passage)
+    for t in ("", None, "a b", "A  b", "a b c", "only four words here", "five words are here now", "a b"):
+        texts[len(texts)] = t
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(df).collect()}
+    assert got == brute.components(texts)
+
+
+def test_divide_skip_counts():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        lists = [np.unique(rng.integers(0, 30, rng.integers(1, 25))) for _ in range(12)]
+        need = int(rng.integers(1, 10))
+        who, count = ngram_join.divide_skip(lists, need)
+        total = np.bincount(np.concatenate(lists), minlength=30)
+        assert dict(zip(who.tolist(), count.tolist(), strict=True)) == {k: int(c) for k, c in enumerate(total) if c >= need}
+
+
+def test_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(5, 300), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 40), dtype=np.uint64)]))
+        x, y = (np.frombuffer(ngram_join.sketch(s), np.uint64)[None] for s in (a, b))
+        w = min(x.shape[1], y.shape[1])
+        apart = np.bitwise_count(ngram_join._fold(x, w) ^ ngram_join._fold(y, w)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_join_odd_input(spark, odd_docs):
+    got = ngram_join.similar_components(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    assert {r["component_id"] for r in got if r["doc_id"] in (6, 7)} == {6}
+    assert ngram_join.similar_components(empty(spark)).count() == 0
+    kept = ngram_join.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 8]
+    assert ngram_join.keep_one(empty(spark)).count() == 0
+
+
+# --- 4 quality model
+
+
+def test_model_matches_the_book(spark):
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = quality_model.train(docs).toPandas()
+    table = quality_model.Table(rows["kind"].to_numpy(), rows["g"].to_numpy(), rows["v"].to_numpy())
+    log_p = brute.kneser_ney([t.encode() for t in texts], quality_model.ORDER)
+    code = docs.select(quality_model.language_code(F.col("lang"))).first()[0]
+    for text in (b"the cat", b"a zebra xyz", b"dog on the mat the"):
+        offsets = np.array([0, len(text)])
+        gram, row = quality_model.grams(np.frombuffer(text, np.uint8), offsets, np.array([code]))
+        padded = b" " * (quality_model.ORDER - 1) + text
+        want = [log_p(padded[k : k + quality_model.ORDER]) for k in range(len(text))]
+        assert np.allclose(table.log_probability(gram), want, atol=1e-5) and not row.any()
+
+
+def test_model_join_way_agrees(spark, data):
+    docs, labels = documents(spark, data), spark.read.parquet(f"{data}/labels.parquet")
+    a = {r["doc_id"]: r for r in quality_model.classify(docs, labels).collect()}
+    b = {r["doc_id"]: r for r in quality_model.classify(docs, labels, model_rows=0).collect()}
+    assert a.keys() == b.keys()
+    for k, r in a.items():
+        assert r["kept"] == b[k]["kept"] and (r["perplexity"] is None) == (b[k]["perplexity"] is None)
+        if r["perplexity"] is not None:
+            assert abs(r["perplexity"] / b[k]["perplexity"] - 1) < 1e-4
+
+
+def test_model_keeps_clean_and_rejects_junk(spark, data):
+    got = quality_model.op4_quality_model(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    clean, junk = ([r["kept"] for r in got if r["quality"] == q] for q in (1, 0))
+    assert sum(clean) / len(clean) > 0.98 and sum(junk) / len(junk) < 0.5
+
+
+def test_model_odd_input(spark, odd_docs, odd_labels):
+    for docs in (odd_docs, empty(spark)):
+        for labels in (odd_labels, empty_labels(spark)):
+            assert quality_model.classify(docs, labels).count() == docs.count()
+            kept = quality_model.keep_good(docs, labels)
+            assert kept.columns == docs.columns
+            kept.collect()
+
+
+# --- 5 byte BPE
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import public_tokenizers as p
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_matches_the_library(spark, data, reference):
+    docs = documents(spark, data)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in byte_bpe.op5_byte_bpe(spark, data).collect():
+        ids = reference.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_bpe_hard_texts(reference):
+    bpe = byte_bpe.load(byte_bpe.default_vocabulary(), byte_bpe.default_pattern())
+    rng = random.Random(1)
+    texts = ["", " ", "a" * 3000, "ab" * 700 + "é" * 500, "\n" * 300 + " " * 300, "don't we'll I'm", "日本語 текст 123 ١٢٣", "<|endoftext|>", "\x1c\x1d  x"]
+    texts += ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(0xA0, 0x3000), rng.randrange(0x1F300, 0x1F650)))) for _ in range(rng.randrange(80))) for _ in range(300)]
+    for t, ids in zip(texts, bpe.encode_batch(texts), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(t)
+        assert bpe.decode(ids) == t.encode()
+
+
+def test_bpe_odd_input(spark, odd_docs):
+    got = byte_bpe.encode_table(odd_docs, keep=["doc_id", "kept"], ids=True)
+    assert got.count() == odd_docs.count() and byte_bpe.encode_table(empty(spark)).count() == 0
+    back = byte_bpe.decode_table(got, keep=["kept"]).collect()
+    assert {r["kept"]: bytes(r["decoded"]).decode() for r in back}["f"] == "Same TEXT here\nand a second line."
+    with pytest.raises(ValueError):
+        byte_bpe.encode_table(odd_docs.withColumnRenamed("kept", "n_tokens"), keep=["n_tokens"])
+
+
+# --- 6 decontamination
+
+
+def test_myers_matches_the_table():
+    rng = random.Random(3)
+    for _ in range(200):
+        p = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 90)))
+        t = bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 60)))
+        assert decontamination.myers(p, t)[0] == brute.edit_distance(p, t)
+
+
+def test_passages_within_the_budget_are_found(spark, data):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    rng, rows, want = random.Random(4), [], set()
+    for n, (item, text) in enumerate(items):
+        body = bytearray(decontamination.folded(text))
+        budget = len(body) // decontamination.BYTES_PER_ERROR
+        edits = rng.randrange(0, budget + 3)
+        for _ in range(edits):
+            k = rng.randrange(len(body))
+            rng.choice((lambda: body.__setitem__(k, 0x71), lambda: body.insert(k, 0x7A), lambda: body.__delitem__(k)))()
+        whole = "Some words before it. " + body.decode("utf-8", "ignore").upper() + " \n and after"
+        rows.append((n, whole))
+        for other, t in items:
+            p = decontamination.folded(t)
+            if brute.edit_distance(p, decontamination.folded(whole)) <= len(p) // decontamination.BYTES_PER_ERROR:
+                want.add((n, other))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontamination.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) > 10
+    kept = decontamination.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(items))) - {n for n, _ in want}
+
+
+def test_exact_items_in_documents(spark, data):
+    docs = documents(spark, data).collect()
+    items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
+    exact = {(d["doc_id"], i["item_id"]) for d in docs for i in items if i["text"] in (d["text"] or "")}
+    assert exact <= {(r["doc_id"], r["item_id"]) for r in decontamination.op6_decontamination(spark, data).collect()}
+
+
+def test_decontamination_odd_input(spark, odd_docs, monkeypatch):
+    items = spark.createDataFrame([(1, None), (2, "  "), (3, "one"), (4, "same text here and a second line."), (4, "same text here and a second line.")], "item_id long, text string")
+    want = {(8, 3), (6, 4), (7, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find(odd_docs, items).collect()} == want
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 10)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find(odd_docs, items, bytes_per_error=20).collect()} == want
+    for docs, bench in ((empty(spark), items), (odd_docs, items.limit(0))):
+        assert decontamination.find(docs, bench).count() == 0
+        assert decontamination.drop_contaminated(docs, bench).count() == docs.count()
+    assert decontamination.drop_contaminated(odd_docs, items).columns == odd_docs.columns
+
+
+# --- 7 sharding
+
+
+def test_packing():
+    rng = random.Random(6)
+    for _ in range(30):
+        sizes = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 60))]
+        bins = sharding.pack(sizes, 100)
+        load: dict[int, int] = {}
+        for b, s in zip(bins, sizes, strict=True):
+            load[b] = load.get(b, 0) + s
+        assert max(load.values()) <= 100 and len(load) <= 2 * -(-sum(sizes) // 100)
+        free, plain = [], []  # best fit by search
+        for k in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fit = min(((r, b) for b, r in enumerate(free) if r >= sizes[k]), default=None)
+            if fit is None:
+                free.append(100 - sizes[k])
+                plain.append((k, len(free) - 1))
+            else:
+                free[fit[1]] -= sizes[k]
+                plain.append((k, fit[1]))
+        assert [b for _, b in sorted(plain)] == bins
+    assert sharding.pack([5, 300], 100) == [1, 0] and sharding.pack([60, 60], 100, most=1) is None
+
+
+def test_shards_of_documents(spark, data):
+    got = sharding.op7_sharding(spark, data).collect()
+    texts = {r["doc_id"]: r["text"] for r in documents(spark, data).collect()}
+    assert len(got) == len(texts) and {r["law"] for r in got} == {"bytes"}
+    by_shard: dict[int, list] = {}
+    of_text: dict[str, set] = {}
+    for r in got:
+        assert r["size"] == len((texts[r["doc_id"]] or "").encode()) + 16 and r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode())
+        by_shard.setdefault(r["shard"], []).append(r)
+        of_text.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in of_text.values()) and set(by_shard) <= set(range(40))
+    assert all(sorted(r["slot"] for r in rows) == list(range(len(rows))) for rows in by_shard.values())
+
+
+def test_shards_are_even(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 3)
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(3000)] + [(5000 + i, "hot" * 900) for i in range(1500)]
+    got = sharding.shard_table(spark.createDataFrame(rows, "doc_id long, text string"), shards=8)
+    load = sorted(r["n"] for r in got.groupBy("shard").agg(F.sum("size").alias("n")).collect())
+    assert len(load) == 8 and load[-2] - load[0] < 0.02 * load[0]  # the hot group has a shard of its own
+    slots = got.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r["n"] == r["d"] == r["m"] + 1 for r in slots)
+
+
+def test_sharding_odd_input(spark, odd_docs):
+    got = sharding.shard_table(odd_docs, shards=4).collect()
+    assert len(got) == odd_docs.count() and {r["size"] for r in got if r["doc_id"] in (1, 2)} == {16}
+    assert len({r["shard"] for r in got if r["doc_id"] == 6}) == 1
+    assert sharding.shard_table(empty(spark)).count() == 0
+
+
+# --- 8 personal data
+
+
+def test_base_spans_match_the_patterns(spark, data):
+    rng = random.Random(8)
+    texts = [r["text"] or "" for r in documents(spark, data).collect()]
+    texts += ["".join(rng.choice("a1.@+- ()9.5x@1.2.3.4é") for _ in range(rng.randrange(50))) for _ in range(5000)]
+    for t in texts:
+        assert pii.base_spans(t) == brute.personal(t, pii.luhn, pii.KINDS)
+
+
+def test_base_spans_take_linear_time():
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "@" * 100_000, "a@" * 50_000):
+        pii.base_spans(t)
+
+
+def test_crf_learns_its_table_and_adds_spans():
+    crf = pii.CRF.fit(pii.labelled())
+    rows = pii.labelled()
+    assert sum([pii.LABELS[x] for x in path] == labels for path, (_, labels) in zip(crf.decode([w for w, _ in rows]), rows, strict=True)) >= len(rows) - 1
+    for text, want in (("please call (212) 555-0143 today", "(212) 555-0143"), ("write to kate [at] mail [dot] org, ok", "kate [at] mail [dot] org")):
+        (spans,) = pii.added_spans([text], [pii.base_spans(text)], crf)
+        assert [text[a:b] for a, b, _ in spans] == [want]
+    for text in ("it was at noon that the dot was seen", 'token = "9742a250774262d69ad6a86100194ed53da5a0ef" here', "version 3.10 of 2024-01-31"):
+        assert pii.added_spans([text], [[]], crf) == [[]]
+
+
+def test_pii_rows(spark, data, odd_docs):
+    texts = {r["doc_id"]: r["text"] or "" for r in documents(spark, data).collect()}
+    for r in pii.op8_pii(spark, data).collect():
+        base = brute.personal(texts[r["doc_id"]], pii.luhn, pii.KINDS)
+        written = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest() and r["n_email"] == sum(k == "email" for _, _, k in base)
+        assert set(filter(None, written.split(","))) <= set(r["spans"].split(","))
+    assert pii.find(odd_docs).count() == odd_docs.count() and pii.find(empty(spark)).count() == 0
+    out = pii.redact(spark.createDataFrame([(1, "mail a.b@c.de or +1 (487) 555-7209 now"), (2, None)], "doc_id long, text string")).collect()
+    assert [r["text"] for r in out] == ["mail [email] or [phone] now", None]
+
+
+# --- 9 line dedup
+
+
+def test_lines_above_the_ratio_go(spark):
+    rows = [(i, f"shared header\nown line {i}\nrare {i % 10}\n\n", "a") for i in range(40)] + [(100 + i, "shared header\nx", "b") for i in range(2)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), ratio=0.2, counts=True).collect()}
+    assert got[0]["text"] == "own line 0\nrare 0\n\n" and got[0]["n_dropped"] == 1 and got[100]["text"] == "shared header\nx"
+
+
+def test_line_dedup_salted_way(spark, data, monkeypatch):
+    want = sorted(map(repr, line_dedup.op9_line_dedup(spark, data).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, line_dedup.op9_line_dedup(spark, data).collect())) == want
+
+
+def test_line_dedup_odd_input(spark, odd_docs):
+    got = line_dedup.dedup_lines(odd_docs.withColumn("_row", F.lit(1)).withColumn("_drop", F.lit(2)))
+    assert got.count() == odd_docs.count() and got.columns == [*odd_docs.columns, "_row", "_drop"]
+    assert [r["text"] for r in got.filter("doc_id = 1").collect()] == [None]
+    assert line_dedup.dedup_lines(empty(spark)).count() == 0
+    urls = spark.createDataFrame([("https://User@WWW.Example.org:8080/a?b#c",), ("no url",), (None,)], "u string")
+    assert [r[0] for r in urls.select(line_dedup.host_of_url(F.col("u"))).collect()] == ["www.example.org", None, None]
+
+
+# --- 10 WARC
+
+
+def test_warc_round_trip(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    derived = warc.derive(warc.responses_from_pages(pages))
+    assert derived.count() == 2 * pages.count()
+    for r in warc.serialise(derived).collect():
+        headers, block = warc.parse_record(bytes(r["record"]))
+        assert headers["warc-type"] in ("metadata", "conversion") and headers["warc-refers-to"].startswith("<urn:uuid:")
+        assert headers["warc-block-digest"] == "sha256:" + hashlib.sha256(block).hexdigest() and int(headers["content-length"]) == len(block)
+    ids = derived.select("record_id").distinct().count()
+    assert ids == 2 * pages.distinct().count()
+
+
+def test_warc_parses_responses(spark):
+    body = "<html><head><title> A  page </title></head><body><p>One &amp; two<br>three</p><script>no</script><a href='x'>l</a></body></html>".encode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Own: 1\r\n\r\n" + body
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a.b/c\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: " + str(len(http)).encode() + b"\r\n\r\n" + http + b"\r\n\r\n"
+    rows = [(record,), (record.replace(b"response", b"request"),), (b"broken",), (None,), (record[:-80],)]
+    responses = warc.parse_responses(spark.createDataFrame(rows, "record binary"))
+    derived = {r["warc_type"]: r for r in warc.derive(responses).collect()}
+    assert len(derived) == 2 and derived["conversion"]["block"] == "One & two\nthree\nl"
+    meta = derived["metadata"]
+    assert meta["refers_to"] == "<urn:uuid:1>" and meta["payload_digest"] == "sha1:ABC" and "X-Own: 1" in meta["http_headers"]
+    assert "title: A page" in meta["block"] and "outlinks: 1" in meta["block"] and "source-status: 200" in meta["block"]
+
+
+def test_warc_odd_input(spark):
+    rows = [(1, None, None), (2, "http://x", ""), (2, "http://x", ""), (None, "u", "<p>" + "w " * 50_000), (4, "u", "<script>never closed")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(1))
+    got = warc.derive(warc.responses_from_pages(pages)).collect()
+    assert len(got) == 10 and {r["content_length"] for r in got if r["page_id"] == 1 and r["warc_type"] == "conversion"} == {0}
+    assert warc.derive(warc.responses_from_pages(pages.limit(0))).count() == 0
+
+
+# --- catalogue
+
+
+def test_sql_agrees(spark, data):
+    import sys
+
+    sys.path.insert(0, __file__.rsplit("/", 2)[0])
+    from oracle import connect, rows_of, rows_of_sql
+
+    con = connect(data)
+    for name, sql in catalogue.oracle_sql().items():
+        df = catalogue.queries()[name](spark, data)
+        assert rows_of(df) == rows_of_sql(con, sql, df.columns), name
+
+
+def test_ten_queries():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in catalogue.queries())
+    assert numbers == list(range(1, 11))
