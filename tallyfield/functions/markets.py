@@ -22,12 +22,12 @@ def settle_margin(m: Column) -> Column:
 
 
 def settle_bet(market: Column, line: Column, selection: Column, home: Column, away: Column) -> Column:
-    """State of a bet at a final score; null for a market or selection that there is none of."""
+    """State of a bet at a final score; null without a score, or for a market or selection that there is none of."""
     market, selection = F.upper(market), F.upper(selection)
     two = lambda won: F.when(won, "WIN").otherwise("LOSE")
     result = F.when(home > away, "HOME").when(home < away, "AWAY").otherwise("DRAW")
     both = (home > 0) & (away > 0)
-    return (
+    state = (
         F.when((market == "ONE_X_TWO") & selection.isin("HOME", "DRAW", "AWAY"), two(selection == result))
         .when((market == "BTTS") & selection.isin("YES", "NO"), two((selection == "YES") == both))
         .when((market == "DOUBLE_CHANCE") & selection.isin("1X", "12", "X2"), two(F.when(selection == "1X", home >= away).when(selection == "12", home != away).otherwise(home <= away)))
@@ -36,6 +36,7 @@ def settle_bet(market: Column, line: Column, selection: Column, home: Column, aw
         .when((market == "TOTALS") & (selection == "OVER"), settle_margin(home + away - line))
         .when((market == "TOTALS") & (selection == "UNDER"), settle_margin(line - home - away))
     )
+    return F.when(home.isNotNull() & away.isNotNull(), state)
 
 
 def gross_return(state: Column, price: Column) -> Column:

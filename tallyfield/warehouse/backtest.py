@@ -119,7 +119,7 @@ def _grant(asked: list[Decimal], available: Decimal, policy: str, rank: list[flo
     if policy == "reject":
         return [Decimal(0)] * len(asked), True
     if policy == "pro_rata":
-        return [cent(x * (available / total)) for x in asked], True
+        return [cent(x * available / total) for x in asked], True
     out = [Decimal(0)] * len(asked)
     for k in sorted(range(len(asked)), key=lambda i: -rank[i]):
         out[k] = cent(min(asked[k], available)) if available > 0 else Decimal(0)
