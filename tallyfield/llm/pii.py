@@ -145,10 +145,20 @@ Ratio 16:9 and size 1920x1080 are common.
 """
 
 
+#: Written forms and the places they stand in; every third pair of them joins the table.
+FORMS = ("email:lena at post dot org", "email:tom.ray (at) shop (dot) net", "email:help [at] desk [dot] com", "email:office(at)school.edu", "phone:(312) 555-0188", "phone:(646) 555 0101", "phone:312-555-0122", "phone:312.555.0166", "phone:0161 4960 777", "phone:01 45 22 33 44")
+PLACES = ("please call or write {} today", "{}", "you find it under {}, as always", "then {} was given to us.", "for more: {}", "the old one, {} is gone", "and {} on the last page")
+
+
+def table_lines() -> list[str]:
+    more = [place.format(f"[{form}]") for i, form in enumerate(FORMS) for j, place in enumerate(PLACES) if (i + j) % 3 == 0]
+    return LABELLED.strip().split("\n") + more
+
+
 def labelled() -> list[tuple[list[str], list[str]]]:
     """(words, labels) of each sentence of the table."""
     out = []
-    for line in LABELLED.strip().split("\n"):
+    for line in table_lines():
         words, labels = [], []
         for part in re.split(r"(\[(?:email|ip|card|phone):(?:[^\[\]]|\[at\]|\[dot\])*\])", line):
             m = re.match(r"\[(email|ip|card|phone):(.*)\]\Z", part)
@@ -405,7 +415,8 @@ def redact(docs: DataFrame, text: str = "text", crf: CRF | None = None) -> DataF
     """docs with each span replaced by its kind in brackets; all columns stay and null stays null."""
     crf = crf or CRF.fit(labelled())
     sent = docs.sparkSession.sparkContext.broadcast(crf)
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,7 +433,7 @@ def redact(docs: DataFrame, text: str = "text", crf: CRF | None = None) -> DataF
                 out.append(None if t is None else "".join(parts) + whole[last:])
             columns = list(batch.columns)
             columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, docs.schema)
 
