@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyfield.flow import Flow
 from tallyfield.functions import paths
@@ -360,6 +361,26 @@ def win_rolling_median(spark, d):
     return flow(spark, d, "events", "ts", "event_id").group_by("user_id").rolling_summary(7, {"m": ("median", "value"), "s": ("std", "value")}).df.select("event_id", F.round("m", 6).alias("m"), F.round("s", 6).alias("s"))
 
 
+@query("win_rank_topk", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3")
+def win_rank_topk(spark, d):
+    w = W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    return table(spark, d, "events").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3").select("user_id", "event_id", "rank")
+
+
+@query("win_points_before", "SELECT o_orderkey, coalesce(sum(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS points FROM orders")
+def win_points_before(spark, d):
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, -1)
+    points = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "P", 1).otherwise(0)
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(F.sum(points).over(w), F.lit(0)).alias("points"))
+
+
+@query("win_range_8_days", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 8 DAY PRECEDING AND CURRENT ROW) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
+def win_range_8_days(spark, d):
+    o = table(spark, d, "orders").withColumn("day", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+    own = W.partitionBy("o_custkey")
+    return o.select("o_orderkey", F.count("*").over(own.orderBy("day").rangeBetween(-8 * 86_400_000_000, 0)).alias("n"), F.lag("o_orderkey").over(own.orderBy("day", "o_orderkey")).alias("before"))
+
+
 @query("time_bucket_left", """
 WITH o AS (SELECT user_id, min(ts) AS origin FROM events GROUP BY user_id)
 SELECT user_id, origin + to_microseconds(CAST(bin * 21600000000 AS BIGINT)) AS bucket, count(*) AS n, round(sum(value), 4) AS total
@@ -387,8 +408,6 @@ def time_bucket_numeric(spark, d):
 
 @query("sort_mixed_nulls", "SELECT doc_id, rank FROM (SELECT d.doc_id, row_number() OVER (ORDER BY l.quality DESC NULLS LAST, l.toxic ASC NULLS LAST, d.doc_id) AS rank FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE rank <= 100")
 def sort_mixed_nulls(spark, d):
-    from pyspark.sql.window import Window as W
-
     top = flow(spark, d, "documents").select("doc_id").join(flow(spark, d, "labels"), on="doc_id").sort_by("quality", "toxic", "doc_id", ascending=[False, True, True]).limit(100)
     # the number of a row is asked for only among the hundred that are left
     return top.df.withColumn("rank", F.row_number().over(W.orderBy(F.col("quality").desc_nulls_last(), F.col("toxic").asc_nulls_last(), "doc_id")).cast("long")).select("doc_id", "rank")

@@ -199,3 +199,29 @@ def net_price(price: Column, commission: float) -> Column:
 def evidence_class(edge: Column, null_edge: Column, n_books: Column, aged: Column) -> Column:
     """A to D: beyond ordinary disagreement with enough books and fresh prices, down to no evidence."""
     return F.when(edge.isNull() | (n_books < 3), "D").when((edge > null_edge) & (n_books >= 5) & ~aged, "A").when((edge > null_edge) & ~aged, "B").when(edge > 0, "C").otherwise("D")
+
+
+def permutation_test(rows: DataFrame, group: str, value: str, draws: int = 1000, seed: int = 1) -> DataFrame:
+    """(observed, p_value): spread of group means against that of shuffled groups.
+
+    A draw deals rows to groups of the same shares by hash, so each draw is an aggregation and
+    no row is gathered; the spread is the variance of group means weighted by size.
+    """
+    shares = rows.groupBy(group).agg(F.count("*").alias("_n")).collect()  # a row a group
+    total = sum(r["_n"] for r in shares)
+    edges, run = [], 0
+    for r in sorted(shares, key=lambda r: str(r[group])):
+        run += r["_n"]
+        edges.append(run / total)
+    keyed = rows.select(F.col(value).cast("double").alias("_v"), F.col(group).alias("_g"), F.monotonically_increasing_id().alias("_h"))  # equal rows are dealt apart
+
+    def spread(df: DataFrame, by: list[str]) -> DataFrame:
+        per = df.groupBy(*by, "_k").agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"))
+        return per.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_m") * F.col("_m")) / F.sum("_n") - F.pow(F.sum(F.col("_n") * F.col("_m")) / F.sum("_n"), F.lit(2.0))).alias("spread"))
+
+    observed = spread(keyed.withColumn("_k", F.col("_g").cast("string")), []).first()["spread"]
+    place = F.pmod(F.xxhash64("_h", "_d", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    dealt = keyed.select("_v", "_h", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
+    dealt = dealt.withColumn("_k", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= place)).cast("string"))
+    drawn = spread(dealt, ["_d"])
+    return drawn.agg(F.lit(observed).alias("observed"), ((F.count_if(F.col("spread") >= observed) + 1) / (F.count("*") + 1)).alias("p_value"))

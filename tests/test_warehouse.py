@@ -166,6 +166,17 @@ def test_scan_finds_a_planted_bias(spark):
     assert home["discovery"] and home["delta"] > 0.15 and len(got) == 3
 
 
+def test_cells_bands_and_permutation(spark):
+    df = spark.createDataFrame([("a", float(i % 5), 0.3, i % 3 == 0) for i in range(300)] + [("b", float(i % 5) + 1, 0.3, i % 3 == 0) for i in range(300)], "g string, v double, p double, won boolean")
+    assert research.permutation_test(df, "g", "v", 50).first()["p_value"] < 0.05
+    assert research.permutation_test(df.withColumn("v", F.col("v") - F.when(F.col("g") == "b", 1).otherwise(0)), "g", "v", 50).first()["p_value"] > 0.1
+    assert {r["g"]: round(r["mean"], 6) for r in research.cells(df, ["g"], "v").collect()} == {"a": 2.0, "b": 3.0}
+    assert abs(research.calibration_error(df, ["g"], "p", "won").first()["calibration_error"] - abs(0.3 - 1 / 3)) < 1e-9
+    assert research.brier_skill(df, ["g"], "p", "won").count() == 2
+    r = spark.range(1).select(research.price_band(F.lit(2.5)).alias("b"), research.price_band(F.lit(50.0)).alias("c"), research.net_price(F.lit(3.0), 0.05).alias("n"), research.evidence_class(F.lit(0.05), F.lit(0.02), F.lit(6), F.lit(False)).alias("e")).first()
+    assert (r["b"], r["c"], r["n"], r["e"]) == ("2-3", "10+", 2.9, "A")
+
+
 def test_consensus_and_null_edge(spark):
     q = spark.createDataFrame([("m", "b1", [2.0, 3.5, 4.0]), ("m", "b2", [2.1, 3.4, 3.9]), ("m", "b3", [1.95, 3.6, 4.2]), ("m", "Max", [2.1, 3.6, 4.2]), ("n", "b1", [2.0, 3.5, 4.0])], "match_id string, bookmaker_id string, odds array<double>")
     got = market.consensus(q).orderBy("place").collect()
