@@ -58,7 +58,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     parts = partitions(edges)
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    stars = pairs.repartition(parts, "a").mapInArrow(_contract, "a long, b long").filter("a <> b")
+    stars = pairs.repartition(parts, "a", "b").mapInArrow(_contract, "a long, b long").filter("a <> b")
     both = cut(stars.select(F.col("a").alias("v"), F.col("b").alias("w")).union(stars.select("b", "a")).distinct())
     labels = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("root"))
     labels = cut(labels)
