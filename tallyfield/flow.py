@@ -105,7 +105,7 @@ class Flow:
     def filter(self, *predicates: Predicate | Column) -> Flow:
         df = self._df
         for p in predicates:
-            df = df.filter(as_predicate(p)(df))
+            df = df.filter(as_predicate(p).filter(df))
         return self._with(df)
 
     def query(self, text: str, **params: Any) -> Flow:

@@ -1,7 +1,9 @@
 """Row predicates with two-valued logic: a comparison with null is false, never unknown.
 
-A predicate is turned into a boolean column for the schema it is applied to, so Catalyst
-sees plain comparisons and can push them into scans.
+A predicate is turned into a boolean column for the schema it is applied to.  As a value it
+is never null.  As a filter it is stated in plain comparisons, which scans can take over: a
+row goes where a comparison is unknown, and a negation is moved inwards to the comparisons,
+each of which is stated as "null, or not so".
 """
 
 from __future__ import annotations
@@ -18,23 +20,34 @@ from pyspark.sql import types as T
 from tallyfield.functions.paths import resolve
 
 
+Build = Callable[[T.StructType], Column]
+
+
 class Predicate:
-    """A function from a schema to a boolean column that is never null."""
+    """build: a boolean column that is never null; where and unless: filters for it and for its negation."""
 
-    def __init__(self, build: Callable[[T.StructType], Column], text: str = "predicate"):
+    def __init__(self, build: Build, text: str = "predicate", where: Build | None = None, unless: Build | None = None):
         self.build, self.text = build, text
+        self.where = where or build
+        self.unless = unless or (lambda s: ~build(s))
 
     def __call__(self, df: DataFrame) -> Column:
         return self.build(df.schema)
 
+    def filter(self, df: DataFrame) -> Column:
+        """The condition for `df.filter`."""
+        return self.where(df.schema)
+
     def __and__(self, other: Predicate) -> Predicate:
-        return Predicate(lambda s: self.build(s) & as_predicate(other).build(s), f"({self.text} and {as_predicate(other).text})")
+        o = as_predicate(other)
+        return Predicate(lambda s: self.build(s) & o.build(s), f"({self.text} and {o.text})", lambda s: self.where(s) & o.where(s), lambda s: self.unless(s) | o.unless(s))
 
     def __or__(self, other: Predicate) -> Predicate:
-        return Predicate(lambda s: self.build(s) | as_predicate(other).build(s), f"({self.text} or {as_predicate(other).text})")
+        o = as_predicate(other)
+        return Predicate(lambda s: self.build(s) | o.build(s), f"({self.text} or {o.text})", lambda s: self.where(s) | o.where(s), lambda s: self.unless(s) & o.unless(s))
 
     def __invert__(self) -> Predicate:
-        return Predicate(lambda s: ~self.build(s), f"not {self.text}")
+        return Predicate(lambda s: ~self.build(s), f"not {self.text}", self.unless, self.where)
 
     def __repr__(self) -> str:
         return self.text
@@ -45,10 +58,28 @@ def as_predicate(x: Predicate | Column) -> Predicate:
     if isinstance(x, Predicate):
         return x
     if isinstance(x, Column):
-        return Predicate(lambda s: F.coalesce(x, F.lit(False)), str(x))
+        return Predicate(lambda s: F.coalesce(x, F.lit(False)), str(x), lambda s: x)
     raise TypeError(f"{type(x).__name__} is neither a predicate nor a column")
 
 
+def _atom(text: str, test: Callable[[T.StructType], tuple[Column, Column] | Column]) -> Predicate:
+    """A predicate of (field, plain test of it that is null for null), or of a column that is never null."""
+
+    def build(schema: T.StructType) -> Column:
+        got = test(schema)
+        return _never(got[1]) if isinstance(got, tuple) else got
+
+    def where(schema: T.StructType) -> Column:
+        got = test(schema)
+        return got[1] if isinstance(got, tuple) else got
+
+    def unless(schema: T.StructType) -> Column:
+        got = test(schema)
+        return got[0].isNull() | ~got[1] if isinstance(got, tuple) else ~got
+
+    return Predicate(build, text, where, unless)
+
+
 def _never(col: Column) -> Column:
     return F.coalesce(col, F.lit(False))
 
@@ -76,7 +107,7 @@ def _value_family(value: Any) -> str:
 
 
 def where_equals(field: str, value: Any) -> Predicate:
-    def build(schema: T.StructType) -> Column:
+    def build(schema: T.StructType) -> tuple[Column, Column] | Column:
         col, kind = _at(schema, field)
         _plain(field, kind)
         if value is None:
@@ -86,9 +117,9 @@ def where_equals(field: str, value: Any) -> Predicate:
             return F.lit(False) if wanted is None else _never(col == F.array(*[F.lit(v) for v in wanted]).cast(kind))
         if "any" not in (_family(kind), _value_family(value)) and _family(kind) != _value_family(value):
             return F.lit(False)
-        return _never(col == F.lit(value))
+        return col, col == F.lit(value)
 
-    return Predicate(build, f"{field} == {value!r}")
+    return _atom(f"{field} == {value!r}", build)
 
 
 def where_not_equals(field: str, value: Any) -> Predicate:
@@ -102,17 +133,18 @@ def where_in(field: str, values: Iterable[Any]) -> Predicate:
     """The value is one of `values`; an array shares one with them."""
     wanted = list(values)
 
-    def build(schema: T.StructType) -> Column:
+    def build(schema: T.StructType) -> tuple[Column, Column] | Column:
         col, kind = _at(schema, field)
         some = [v for v in wanted if v is not None]
         if isinstance(kind, T.ArrayType):
             return _never(F.arrays_overlap(col, F.array(*[F.lit(v) for v in some]).cast(kind))) if some else F.lit(False)
         own = _family(kind)
         fits = [v for v in some if "any" in (own, _value_family(v)) or own == _value_family(v)]
-        found = _never(col.isin(fits)) if fits and not isinstance(kind, T.NullType) else F.lit(False)
-        return found | col.isNull() if None in wanted else found
+        if not fits or isinstance(kind, T.NullType):
+            return col.isNull() if None in wanted else F.lit(False)
+        return _never(col.isin(fits)) | col.isNull() if None in wanted else (col, col.isin(fits))
 
-    return Predicate(build, f"{field} in {wanted!r}")
+    return _atom(f"{field} in {wanted!r}", build)
 
 
 def where_not_in(field: str, values: Iterable[Any]) -> Predicate:
@@ -121,16 +153,16 @@ def where_not_in(field: str, values: Iterable[Any]) -> Predicate:
 
 
 def _compare(field: str, value: Any, op: str, compare: Callable[[Column, Column], Column]) -> Predicate:
-    def build(schema: T.StructType) -> Column:
+    def build(schema: T.StructType) -> tuple[Column, Column] | Column:
         col, kind = _at(schema, field)
         if isinstance(kind, T.NullType) or value is None:
             return F.lit(False)
         a, b = _family(kind), _value_family(value)
         if a != b:
             raise TypeError(f"{field} ({kind.simpleString()}) cannot be compared with {value!r}")
-        return _never(compare(col, F.lit(value)))
+        return col, compare(col, F.lit(value))
 
-    return Predicate(build, f"{field} {op} {value!r}")
+    return _atom(f"{field} {op} {value!r}", build)
 
 
 def where_gt(field: str, value: Any) -> Predicate:
@@ -149,21 +181,28 @@ def where_lte(field: str, value: Any) -> Predicate:
     return _compare(field, value, "<=", lambda a, b: a <= b)
 
 
-def _text(field: str, name: str, test: Callable[[Column], Column]) -> Predicate:
-    """A test of the value as text; null is the empty text."""
-    return Predicate(lambda s: test(F.coalesce(_at(s, field)[0].cast("string"), F.lit(""))), f"{field}.{name}")
+def _text(field: str, name: str, part: str, test: Callable[[Column], Column]) -> Predicate:
+    """A test of the value as text; null is the empty text, which holds nothing but the empty part."""
+
+    def build(schema: T.StructType) -> tuple[Column, Column] | Column:
+        if part == "":
+            return F.lit(True)
+        col = _at(schema, field)[0].cast("string")
+        return col, test(col)
+
+    return _atom(f"{field}.{name}({part!r})", build)
 
 
 def where_contains(field: str, part: str) -> Predicate:
-    return _text(field, f"contains({part!r})", lambda c: c.contains(part))
+    return _text(field, "contains", part, lambda c: c.contains(part))
 
 
 def where_startswith(field: str, part: str) -> Predicate:
-    return _text(field, f"startswith({part!r})", lambda c: c.startswith(part))
+    return _text(field, "startswith", part, lambda c: c.startswith(part))
 
 
 def where_endswith(field: str, part: str) -> Predicate:
-    return _text(field, f"endswith({part!r})", lambda c: c.endswith(part))
+    return _text(field, "endswith", part, lambda c: c.endswith(part))
 
 
 def where_regex_match(field: str, pattern: str, flags: int = 0) -> Predicate:
@@ -171,7 +210,12 @@ def where_regex_match(field: str, pattern: str, flags: int = 0) -> Predicate:
     re.compile(pattern, flags)
     inline = "".join(c for f, c in ((re.I, "i"), (re.M, "m"), (re.S, "s"), (re.X, "x")) if flags & f)
     java = f"(?{inline}){pattern}" if inline else pattern
-    return Predicate(lambda s: _never(_at(s, field)[0].cast("string").rlike(java)), f"{field} ~ {pattern!r}")
+
+    def build(schema: T.StructType) -> tuple[Column, Column]:
+        col = _at(schema, field)[0].cast("string")
+        return col, col.rlike(java)
+
+    return _atom(f"{field} ~ {pattern!r}", build)
 
 
 def where_exists(field: str) -> Predicate:

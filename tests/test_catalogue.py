@@ -35,5 +35,7 @@ def test_filters_and_columns_reach_the_scan(spark, data):
 
     plan = Flow.from_parquet(spark, f"{data}/orders.parquet").filter(where_gt("o_totalprice", 1000), where_equals("o_orderstatus", "F")).select("o_orderkey").explain()
     assert "PushedFilters" in plan and "GreaterThan(o_totalprice" in plan and "EqualTo(o_orderstatus,F)" in plan
+    none = Flow.from_parquet(spark, f"{data}/orders.parquet").query("not (o_totalprice > 1000 or o_orderstatus in ['F', 'O'])").explain()
+    assert "LessThanOrEqual(o_totalprice" in none and "Not(In(o_orderstatus" in none
     read = plan.split("ReadSchema:")[1].split("\n")[0]
     assert "o_orderdate" not in read
