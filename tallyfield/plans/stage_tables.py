@@ -19,16 +19,16 @@ BASE: dict[str, str] = {
         FROM orders WHERE o_orderstatus <> 'O'""",
     "match_kickoff_revisions": f"""SELECT CAST(o_orderkey AS VARCHAR(20)) AS match_id, {KICKOFF} + INTERVAL '1' HOUR * k AS kickoff_utc,
         {KICKOFF} - INTERVAL '1' DAY * (3 - k) AS observed_at, 's' AS source
-        FROM orders CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) r WHERE o_orderkey % 10 = 0""",
+        FROM (SELECT *, 1 AS k FROM orders UNION ALL SELECT *, 2 AS k FROM orders) r WHERE o_orderkey % 10 = 0""",
     "team_aliases": """SELECT CAST(c_custkey AS VARCHAR(20)) || '-' || CAST(k AS VARCHAR(9)) AS alias_id, CAST(c_custkey AS VARCHAR(20)) AS team_id, 's' || CAST(k AS VARCHAR(9)) AS source,
         c_name AS alias_raw, lower(c_name) AS alias_normalized, 'EXACT' AS match_method, CASE WHEN c_custkey % 50 = 7 AND k = 1 THEN 'PROPOSED' ELSE 'APPROVED' END AS status
-        FROM customer CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) r WHERE c_custkey % 5 <> k""",
+        FROM (SELECT *, 1 AS k FROM customer UNION ALL SELECT *, 2 AS k FROM customer) r WHERE c_custkey % 5 <> k""",
     "match_merges": """SELECT CAST(o_orderkey AS VARCHAR(20)) AS merged_match_id, CAST(o_orderkey + 1 AS VARCHAR(20)) AS surviving_match_id, 'same' AS reason FROM orders WHERE o_orderkey % 1000 = 501""",
     "teams": "SELECT CAST(c_custkey AS VARCHAR(20)) AS team_id, c_name AS canonical_name, CAST(c_nationkey AS VARCHAR(9)) AS country FROM customer",
     "team_source_ids": "SELECT 's' AS source, 'x' || CAST(c_custkey AS VARCHAR(20)) AS source_id, CAST(c_custkey AS VARCHAR(20)) AS team_id FROM customer WHERE c_custkey % 3 = 0",
     "team_alias_proposals": "SELECT 'p' || CAST(c_custkey AS VARCHAR(20)) AS proposal_id, CAST(c_custkey AS VARCHAR(20)) AS candidate_team_id, CASE WHEN c_custkey % 2 = 0 THEN 'PROPOSED' ELSE 'REJECTED' END AS status FROM customer WHERE c_custkey % 40 = 3 OR c_custkey % 40 = 4",
     "team_identity_overrides": "SELECT 'o' || CAST(c_custkey AS VARCHAR(20)) AS override_id, 's1' AS source, c_name AS alias_raw, CAST(c_custkey AS VARCHAR(20)) AS team_id FROM customer WHERE c_custkey % 60 = 2",
-    "match_source_ids": "SELECT 's' || CAST(k AS VARCHAR(9)) AS source, CAST(o_orderkey AS VARCHAR(20)) AS source_id, CAST(o_orderkey AS VARCHAR(20)) AS match_id FROM orders CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) r WHERE o_orderkey % 3 <> k",
+    "match_source_ids": "SELECT 's' || CAST(k AS VARCHAR(9)) AS source, CAST(o_orderkey AS VARCHAR(20)) AS source_id, CAST(o_orderkey AS VARCHAR(20)) AS match_id FROM (SELECT *, 1 AS k FROM orders UNION ALL SELECT *, 2 AS k FROM orders) r WHERE o_orderkey % 3 <> k",
     "match_quarantine": "SELECT 's' AS source, CAST(o_orderkey AS VARCHAR(20)) AS source_id FROM orders WHERE o_orderkey % 5000 = 77",
     "team_season_membership": "SELECT DISTINCT CAST(o_custkey AS VARCHAR(20)) AS team_id, o_orderpriority AS competition_id, CAST(year(o_orderdate) AS VARCHAR(9)) AS season_id FROM orders",
     "ingestion_runs": "SELECT DISTINCT 'r' || CAST(o_orderkey % 5 AS VARCHAR(9)) AS ingestion_run_id FROM orders",
@@ -41,7 +41,7 @@ BASE: dict[str, str] = {
     "model_runs": "SELECT DISTINCT 'm' || CAST(event_id % 2 AS VARCHAR(9)) AS model_run_id, 'model' AS model_name, TIMESTAMP '2024-01-10 00:00:00' AS trained_through FROM events",
     "predictions": """SELECT 'm' || CAST(k AS VARCHAR(9)) AS model_run_id, match_id, 'ONE_X_TWO' AS market_type, CAST(0.0 AS DOUBLE) AS line, selection, 0.2 + 0.1 * k + (CASE selection WHEN 'HOME' THEN 0.1 ELSE 0.0 END) AS prob_win,
         CAST(0.0 AS DOUBLE) AS prob_push, CAST(0.0 AS DOUBLE) AS prob_half_win, CAST(0.0 AS DOUBLE) AS prob_half_lose, 0.8 - 0.1 * k - (CASE selection WHEN 'HOME' THEN 0.1 ELSE 0.0 END) AS prob_lose, k = 1 AS used_prior
-        FROM (SELECT DISTINCT CAST(user_id AS VARCHAR(20)) AS match_id, CASE event_id % 3 WHEN 0 THEN 'HOME' WHEN 1 THEN 'DRAW' ELSE 'AWAY' END AS selection FROM events WHERE user_id % 2 = 0) u CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) r""",
+        FROM (SELECT DISTINCT CAST(user_id AS VARCHAR(20)) AS match_id, CASE event_id % 3 WHEN 0 THEN 'HOME' WHEN 1 THEN 'DRAW' ELSE 'AWAY' END AS selection, event_id % 2 AS k FROM events WHERE user_id % 2 = 0) u""",
     "lineups": "SELECT DISTINCT 'l' || CAST(user_id AS VARCHAR(20)) AS lineup_id, CAST(user_id AS VARCHAR(20)) AS match_id, CAST(user_id AS VARCHAR(20)) AS team_id, TIMESTAMP '2024-01-15 12:00:00' AS published_at, CASE WHEN user_id % 5 = 0 THEN 'PREDICTED' ELSE 'CONFIRMED' END AS lineup_status, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(user_id * 10 AS DOUBLE) END AS known_at_uncertainty_seconds FROM events",
     "lineup_slots": "SELECT DISTINCT 'l' || CAST(user_id AS VARCHAR(20)) AS lineup_id, 'q' || CAST(event_id % 20 AS VARCHAR(9)) AS player_id FROM events WHERE event_id % 11 = 0",
     "player_aliases": "SELECT DISTINCT 'q' || CAST(event_id % 20 AS VARCHAR(9)) AS player_id, CASE WHEN event_id % 20 = 3 THEN 'PROPOSED' ELSE 'APPROVED' END AS status FROM events",
