@@ -460,7 +460,7 @@ def _bitmap(names: DataFrame, count: int) -> np.ndarray:
 def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
-    body = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
+    body = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
     only_text = body.select("_text")
     parts = partitions(docs)
 

@@ -126,8 +126,7 @@ def judge(data: np.ndarray, offsets: np.ndarray, max_lost: float = MAX_LOST) ->
     for notice in NOTICES:
         k = low.find(notice)
         while k >= 0:
-            line = int(np.searchsorted(line_end, k, "left"))
-            line = min(line, len(fail) - 1)
+            line = int(np.searchsorted(line_end, k, "right"))  # the first line that ends after k
             if line_start[line] <= k and k + len(notice) <= line_end[line]:
                 fail[line] = True
             k = low.find(notice, k + 1)

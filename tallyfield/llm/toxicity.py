@@ -179,14 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Number of tokens, largest segments and a histogram of token scores, by text."""
+        """Number of tokens, segments in order of score and a histogram of token scores, by text."""
         for batch in batches:
             out = []
             for _, _, data, offsets in pieces(batch.column(0)):
                 cells, first = tokens(data, offsets)
                 score = sent.value.token_scores(cells)
                 for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    found = sorted((s[0] for s in segments(score[low:high])), reverse=True)[:64]
+                    found = sorted((s[0] for s in segments(score[low:high])), reverse=True)
                     bins = np.bincount(np.clip((score[low:high] + 10) * 20, 0, 399).astype(np.int64), minlength=400)
                     out.append((high - low, found, bins))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), pa.array([x[2].astype("<i4").tobytes() for x in out], pa.binary())], ["toxic", "n", "found", "bins"])

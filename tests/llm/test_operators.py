@@ -129,6 +129,8 @@ def test_rules_clean_text_and_odd_input(spark, odd_docs):
     text = "A good line of plain prose ends here.\nHome | About | Contact | More\nALL CAPITALS SHOUT HERE!!\nThis site uses cookies to work."
     got = quality_rules.apply_rules(spark.createDataFrame([(1, text)], "doc_id long, text string"), clean=True).first()
     assert got["clean_text"] == "A good line of plain prose ends here." and got["n_failed_lines"] == 3
+    rows = spark.createDataFrame([(1, ""), (2, "This site uses cookies to work."), (3, None), (4, "")], "doc_id long, text string").coalesce(1)
+    assert [r["n_failed_lines"] for r in quality_rules.apply_rules(rows).orderBy("doc_id").collect()] == [0, 1, 0, 0]
     assert quality_rules.apply_rules(odd_docs).count() == odd_docs.count() and quality_rules.apply_rules(empty(spark)).count() == 0
 
 
