@@ -71,6 +71,20 @@ def test_point_in_time(spark):
         view.advance(hours(0))
 
 
+def test_sql_views_and_table_functions(spark):
+    from tallyfield.warehouse import sql
+
+    w = small(spark)
+    made = sql.register(spark, w)
+    assert {"v_analytic_matches", "v_market_path", "v_clv_summary", "results_as_of"} <= set(made)
+    assert {r["match_id"] for r in spark.sql("SELECT * FROM results_as_of(TIMESTAMP '2024-01-01 14:00:00')").collect()} == {"m1"}
+    assert spark.sql("SELECT * FROM odds_as_of(TIMESTAMP '2024-01-03 05:00:00')").first()["price_decimal"] == 1.6
+    assert spark.sql("SELECT count(*) AS n FROM team_membership_as_of(TIMESTAMP '2024-01-01 12:30:00')").first()["n"] == 2
+    for name in made:
+        if name.startswith("v_"):
+            spark.table(name).limit(1).collect()
+
+
 def test_closing_prefers_declared(spark):
     w = small(spark)
     got = {(r["match_id"], r["bookmaker_id"], r["market_type"], r["selection"]): r for r in w["odds_closing"].collect()}
