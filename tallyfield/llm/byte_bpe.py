@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm._spark import fresh, table, text_of
+from tallyfield.llm._spark import bound_batches, fresh, table, text_of
 
 #: Pre-tokens up to this many bytes go through the matrices.
 LONG_BYTES = 256
@@ -250,6 +250,7 @@ def encode_table(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
     The vocabulary file is read on each executor, where its package is installed.
     """
+    bound_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] + [("token_ids", T.ArrayType(T.IntegerType(), False))] * ids
     clash = {n for n, _ in new} & set(keep)

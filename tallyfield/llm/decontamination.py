@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm._spark import fresh, table, text_of
+from tallyfield.llm._spark import bound_batches, fresh, table, text_of
 from tallyfield.llm._text import _BASE, _BASE_INVERSE, _BYTE_CODE, _IS_SEPARATOR, _power, lower_table, mix, pieces, span_hashes
 
 BYTES_PER_ERROR = 20
@@ -195,6 +195,7 @@ def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text",
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", bytes_per_error: int = BYTES_PER_ERROR) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, distance, start, end (bytes of the folded text)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     body = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
     schema = T.StructType([body.schema["doc_id"], T.StructField("item_id", benchmark.schema[item].dataType), T.StructField("distance", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     found = spark.createDataFrame([], schema)
@@ -224,6 +225,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", bytes_per_error: int = BYTES_PER_ERROR) -> DataFrame:
     """docs without the rows that hold a test item; all columns stay."""
     spark = docs.sparkSession
+    bound_batches(spark)
     columns, flag = docs.columns, fresh(docs, "_text")
     for block in item_blocks(benchmark, item, item_text):
         sent = spark.sparkContext.broadcast(block)

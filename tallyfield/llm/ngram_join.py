@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyfield.llm._spark import partitions, sized_broadcast, table, text_of, written
+from tallyfield.llm._spark import bound_batches, partitions, sized_broadcast, table, text_of, written
 from tallyfield.llm._text import lower_table, mix, pieces, shingle_hashes, span_hashes, words
 from tallyfield.llm.graph import Union, components
 
@@ -460,6 +460,7 @@ def _bitmap(names: DataFrame, count: int) -> np.ndarray:
 def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     body = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
     only_text = body.select("_text")
     parts = partitions(docs)

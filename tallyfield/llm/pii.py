@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm._spark import table, text_of
+from tallyfield.llm._spark import bound_batches, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -391,6 +391,7 @@ def _written(spans: list[tuple[int, int, str]]) -> str:
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", crf: CRF | None = None) -> DataFrame:
     """doc_id, numbers of base spans, base_sha256, spans (all) and n_added for every row."""
+    bound_batches(docs.sparkSession)
     crf = crf or CRF.fit(labelled())
     sent = docs.sparkSession.sparkContext.broadcast(crf)
     body = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(f"`{text}`").alias("_text"))

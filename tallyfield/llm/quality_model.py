@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm._spark import cut, sized_broadcast, table, text_of, written
+from tallyfield.llm._spark import bound_batches, cut, sized_broadcast, table, text_of, written
 from tallyfield.llm._text import _IS_SEPARATOR, lower_table, pieces
 
 ORDER = 4
@@ -134,6 +134,7 @@ def _discounts(counts: DataFrame, order: int) -> tuple[float, float, float]:
 
 def train(trusted: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
     """(kind, g, v): kind n > 0 is the log probability of n-gram g of that order, kind -n the log back-off weight of context g of order n."""
+    bound_batches(trusted.sparkSession)
     source = trusted.select(text_of(f"`{text}`").alias("t"), language_code(F.col(f"`{lang}`")).alias("l"))
     counts = {order: cut(source.mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))}
     for n in range(order - 1, 0, -1):  # continuation counts: distinct bytes before the suffix

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm._spark import fresh, table, text_of
+from tallyfield.llm._spark import bound_batches, fresh, table, text_of
 from tallyfield.llm._text import mix, pieces, shingle_hashes, span_hashes, words
 
 #: Share of a text's words that may be lost with failed lines.
@@ -140,6 +140,7 @@ def judge(data: np.ndarray, offsets: np.ndarray, max_lost: float = MAX_LOST) ->
 
 def apply_rules(docs: DataFrame, text: str = "text", keep: list[str] | None = None, clean: bool = False, max_lost: float = MAX_LOST) -> DataFrame:
     """The columns `keep`, the counts and verdicts of COLUMNS and, with clean=True, clean_text: the text without its failed lines."""
+    bound_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias(fresh(docs, "_text")))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(n, t) for n, t in COLUMNS] + [T.StructField("clean_text", T.StringType())] * clean)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm._spark import table, text_of, written
+from tallyfield.llm._spark import bound_batches, table, text_of, written
 from tallyfield.llm._text import lower_table, pieces, span_hashes, words
 
 FEATURES = 1 << 20
@@ -167,6 +167,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    bound_batches(docs.sparkSession)
     train = written(training_rows(docs.select("doc_id", "text"), labels, rows).repartition(TRAIN_PARTS))
     counted = train.filter("fold > 1").select("text", "toxic").mapInArrow(_counts, "part int, data binary").groupBy("part").applyInArrow(_add, "part int, data binary").collect()
     count = np.zeros((2, 16, FEATURES // 16), np.int64)
