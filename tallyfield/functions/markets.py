@@ -65,9 +65,15 @@ def score_grid(home_mean: Column, away_mean: Column, rho: Column | None = None,
     return normalised(cells)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalised(cells: Column) -> Column:
-    total = F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["p"])
-    return F.transform(cells, lambda c: F.struct(c["h"].alias("h"), c["a"].alias("a"), (c["p"] / total).alias("p")))
+    """Cells with probabilities that sum to 1."""
+    total = lambda g: F.aggregate(g, F.lit(0.0), lambda s, c: s + c["p"])
+    return let(cells, lambda g: let(total(g), lambda t: F.transform(g, lambda c: F.struct(c["h"].alias("h"), c["a"].alias("a"), (c["p"] / t).alias("p")))))
 
 
 def mass(grid: Column, where: Callable[[Column, Column], Column]) -> Column:
