@@ -238,6 +238,19 @@ def test_model_keeps_clean_and_rejects_junk(spark, data):
     assert sum(clean) / len(clean) > 0.98 and sum(junk) / len(junk) < 0.5
 
 
+def test_model_sees_across_words(spark):
+    docs = spark.createDataFrame([(1, "we sing cat now", "en"), (2, "we king dog now", "en")], "doc_id long, text string, lang string")
+    model = quality_model.train(docs)
+    rows = model.toPandas()
+    table = quality_model.Table(rows["kind"].to_numpy(), rows["g"].to_numpy(), rows["v"].to_numpy())
+    code = docs.select(quality_model.language_code(F.col("lang"))).first()[0]
+    score = lambda t: table.log_probability(quality_model.grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]), np.array([code]))[0])
+    assert score(b"we sing c")[-1] > score(b"we king c")[-1] + 1e-3
+    asked = spark.createDataFrame([(1, "we king c"), (2, "zebra é cat now")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    for r in quality_model.log_probability_by_join(asked, model, "doc_id").join(asked, F.col("k") == F.col("doc_id")).collect():
+        assert abs(score(r["text"].encode()).sum() - r["total"]) < 1e-3 and r["n"] == len(r["text"].encode())
+
+
 def test_model_odd_input(spark, odd_docs, odd_labels):
     for docs in (odd_docs, empty(spark)):
         for labels in (odd_labels, empty_labels(spark)):
