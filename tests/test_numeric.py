@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import random
 
@@ -125,6 +126,24 @@ def test_elo_and_pi(spark):
     assert abs(sum(r["p"]) - 1) < 1e-12 and abs(r["p"][0] - r["p"][2]) < 1e-12
 
 
+def test_league_queries_rate_every_match(spark, tmp_path):
+    from tallyfield.plans import catalogue
+
+    q, rows = catalogue.queries(), [(k, 150 + k, f"{k % 2}-P", dt.datetime(1996, 1, 1) + dt.timedelta(days=2 * k)) for k in range(300)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    elo = {r["id"]: r for r in q["elo_ratings"](spark, str(tmp_path)).collect()}
+    rating = {}
+    for k, c, league, _ in rows:
+        h, a = (league, str(c % 20)), (league, str((c % 20 + k % 19 + 1) % 20))
+        x, y = rating.get(h, 1500.0), rating.get(a, 1500.0)
+        move = 20 * ((k % 4 > k % 3) + (k % 4 == k % 3) / 2 - 1 / (1 + 10 ** ((y - x - 100) / 400)))
+        rating[h], rating[a] = x + move, y - move
+        assert abs(elo[k]["home_elo"] - rating[h]) < 1e-9 and abs(elo[k]["away_elo"] - rating[a]) < 1e-9
+    assert len(elo) == q["pi_ratings"](spark, str(tmp_path)).count() == 300
+    fits = q["walk_forward_fits"](spark, str(tmp_path)).select("id").distinct().collect()
+    assert {r["id"] % 2 for r in fits} == {0, 1}
+
+
 def test_colley_and_massey(spark):
     c = {r["team"]: r["rating"] for r in ratings.colley(league(spark), "h", "a", "x", "y", include_draws=False).collect()}
     m = np.array([[6, -2, -2], [-2, 6, -2], [-2, -2, 6]])
