@@ -34,14 +34,10 @@ def similarity(a, b):
 def proposals(unresolved: DataFrame, teams: DataFrame, least: float = 0.80, most: int = 5) -> DataFrame:
     """The best candidates of the same country for each unresolved name; never applied by themselves.
 
-    Names are compared within a country only, which holds at most some thousand teams, and
-    candidates must share the first letter of a word or a word start with the name, so the
-    join is on (country, block).
+    Names are compared with every team of their country, which holds at most some thousand.
     """
-    blocks = lambda c: F.array_distinct(F.transform(F.split(normalize_name(c), " "), lambda t: F.substring(t, 1, 1)))
-    left = unresolved.select("source", "raw_name", "country").distinct().withColumn("_block", F.explode(blocks(F.col("raw_name"))))
-    right = teams.select("team_id", "canonical_name", "country").withColumn("_block", F.explode(blocks(F.col("canonical_name"))))
-    pairs = left.join(right, ["country", "_block"]).drop("_block").distinct()
+    left = unresolved.select("source", "raw_name", "country").distinct()
+    pairs = left.join(teams.select("team_id", "canonical_name", "country").distinct(), "country")
     scored = pairs.select("*", *similarity(F.col("raw_name"), F.col("canonical_name"))).filter(F.col("score") >= least)
     own = W.partitionBy("source", "raw_name", "country").orderBy(F.desc("score"), "canonical_name", "team_id")
     return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= most)

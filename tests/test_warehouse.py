@@ -221,6 +221,12 @@ def test_resolution_cascade(spark):
     assert asked and asked[0]["team_id"] == "A" and asked[0]["score"] >= 0.8
 
 
+def test_proposals_without_a_common_initial(spark):
+    teams = spark.createDataFrame([("i", "Inter", "X"), ("j", "Inter", "Y")], "team_id string, canonical_name string, country string")
+    (r,) = identity.proposals(spark.createDataFrame([("s", "Jnter", "X")], "source string, raw_name string, country string"), teams).collect()
+    assert r["team_id"] == "i" and abs(r["score"] - 13 / 15) < 1e-9
+
+
 CSV = "Div,Date,Time,HomeTeam,AwayTeam,FTHG,FTAG,FTR,HTHG,HTAG,PSH,PSD,PSA,PSCH,PSCD,PSCA,B365H\nI1,20/08/2023,19:45,Team A,Team B,2,1,H,1,0,2.1,3.3,3.9,2.0,3.4,4.0,1\nI1,21/08/23,,Team C,Nobody,,,,,,,,,,,,\n,,,,,,,,,,,,,,,,\n"
 
 
