@@ -49,7 +49,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIGGER = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|(?:^|[^A-Za-z])dot(?:[^A-Za-z]|$)", re.I)
-_TRIGGER_TEXT = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|\bdot\b", re.I | re.A)
+_AT_HOST = re.compile(r"at\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2}", re.I | re.A)
+_TRIGGER_TEXT = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|\bdot\b|\b" + _AT_HOST.pattern, re.I | re.A)
 
 
 def luhn(digits: str) -> bool:
@@ -119,6 +120,11 @@ Telefon [phone:030 2345 6789] ab neun Uhr.
 Appelez le [phone:01 42 68 53 00] demain.
 Llame al [phone:91 555 01 23 45] por favor.
 mobile [phone:07700 900123] works too
+write to [email:tom at example.com] today
+Please mail [email:eva at shop.org] for it.
+or reach [email:nina at host.example.net] instead
+Look at config.py and at main.go first.
+The talk is at docs.python for now.
 We met at the dot of nine in the hall.
 the meeting at 10 dot was long
 The dot com years were short and odd.
@@ -332,7 +338,7 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = []
     until = -1
     for k, (a, b) in enumerate(words):
-        if _TRIGGER.search(text, a, b) if b - a < 200 else _TRIGGER.search(text[a:b]):
+        if _TRIGGER.search(text[a:b]) or b - a == 2 and _AT_HOST.match(text, a):
             first = max(k - REACH, 0)
             if first > until:
                 out.append([])
@@ -355,7 +361,7 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | No
     body = text[start:end]
     digits = re.sub(r"[^0-9]", "", body)
     if kind == "email":
-        ok = re.search(r"[A-Za-z0-9](?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)(?:com|org|net|edu|gov|info|io|co|eu|de|fr|es|uk)\b", body, re.I)
+        ok = re.search(r"[A-Za-z0-9](?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)(?:[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.))+[A-Za-z]{2,}\b", body, re.I)
     elif kind == "phone":
         ok = 10 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", body) and re.search(r"[ ().-]", body)
     elif kind == "card":

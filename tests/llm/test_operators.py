@@ -436,6 +436,18 @@ def test_crf_learns_its_table_and_adds_spans():
         assert pii.added_spans([text], [[]], crf) == [[]]
 
 
+def test_crf_keeps_subdomains_and_any_top_level():
+    crf = pii.CRF.fit(pii.labelled())
+    for text, want in (
+        ("Write peter dot jones at mail dot example dot com soon.", "peter dot jones at mail dot example dot com"),
+        ("the list is news at lists dot example dot org for now", "news at lists dot example dot org"),
+        ("write to kate [at] posta [dot] it, ok", "kate [at] posta [dot] it"),
+        ("write to kate at example.com", "kate at example.com"),
+    ):
+        (spans,) = pii.added_spans([text], [pii.base_spans(text)], crf)
+        assert [text[a:b] for a, b, _ in spans] == [want]
+
+
 def test_pii_rows(spark, data, odd_docs):
     texts = {r["doc_id"]: r["text"] or "" for r in documents(spark, data).collect()}
     for r in pii.op8_pii(spark, data).collect():
