@@ -91,11 +91,16 @@ def kneser_ney(texts: list[str], order: int):
         y = n1 / (n1 + 2 * n2)
         discounts[n] = [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
+    following: dict[bytes, dict[bytes, int]] = {}
+    for counted in grams:
+        for x, c in counted.items():
+            following.setdefault(x[:-1], {})[x] = c
+
     def prob(g: bytes) -> float:
         n = len(g)
         if n == 0:
             return 1 / 256
-        after = {x: c for x, c in grams[n].items() if x[:-1] == g[:-1]}
+        after = following.get(g[:-1])
         if not after:
             return prob(g[1:])
         total = sum(after.values())
@@ -105,3 +110,22 @@ def kneser_ney(texts: list[str], order: int):
         return (c - d(c) if c else 0) / total + weight * prob(g[1:])
 
     return lambda g: math.log(prob(g))
+
+
+def perplexities(train: list[str], held: list[str], asked: list[str], order: int, smoothing: int, quantile: float, margin: float, step: float):
+    """(perplexity of each asked text, None without bytes; threshold) of one language."""
+    import math
+
+    fold = lambda t: re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), re.sub("[\x20\x09-\x0D]+", " ", t))).lstrip(" ").encode()
+    log_p = kneser_ney([fold(t) for t in train], order)
+
+    def total(t: str) -> tuple[int, float]:
+        padded = b" " * (order - 1) + fold(t)
+        return len(padded) - order + 1, sum(log_p(padded[k : k + order]) for k in range(len(padded) - order + 1))
+
+    sums = [s for t in held if (s := total(t))[0]]
+    mean = sum(s for _, s in sums) / sum(n for n, _ in sums)
+    smooth = lambda n, s: math.exp(-(s + smoothing * mean) / (n + smoothing))
+    steps = sorted(round(smooth(*s) / step) for s in sums)
+    limit = next(x for i, x in enumerate(steps, 1) if i >= quantile * len(steps)) * step * margin
+    return [smooth(*total(t)) if total(t)[0] else None for t in asked], limit

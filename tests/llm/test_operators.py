@@ -206,30 +206,52 @@ def test_join_odd_input(spark, odd_docs):
 # --- 4 quality model
 
 
-def test_model_matches_the_book(spark):
+def scores(spark, train, asked):
+    """(number of bytes, log probability) of each asked text under the model of the training texts, through the joins."""
+    rows = [(t, "en", quality_model.TRAIN) for t in train] + [(t, "en", quality_model.HELD) for t in asked]
+    layout = quality_model.Layout(spark.createDataFrame(rows, "text string, lang string, role int"), ["text"], "text", "lang", "role")
+    table = quality_model.chunks(layout)
+    got = {r["_k0"]: (r["_n"], r["_total"]) for r in quality_model.scored(layout, table, *quality_model.answers(table)).collect()}
+    return [got[t] for t in asked]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_model_matches_the_book(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(quality_model, "SHARD_KEYS", 5)
+        monkeypatch.setattr(quality_model, "CHUNK_BYTES", 20)
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    rows = quality_model.train(docs).toPandas()
-    table = quality_model.Table(rows["kind"].to_numpy(), rows["g"].to_numpy(), rows["v"].to_numpy())
     log_p = brute.kneser_ney([t.encode() for t in texts], quality_model.ORDER)
-    code = docs.select(quality_model.language_code(F.col("lang"))).first()[0]
-    for text in (b"the cat", b"a zebra xyz", b"dog on the mat the"):
-        offsets = np.array([0, len(text)])
-        gram, row = quality_model.grams(np.frombuffer(text, np.uint8), offsets, np.array([code]))
-        padded = b" " * (quality_model.ORDER - 1) + text
-        want = [log_p(padded[k : k + quality_model.ORDER]) for k in range(len(text))]
-        assert np.allclose(table.log_probability(gram), want, atol=1e-5) and not row.any()
-
-
-def test_model_join_way_agrees(spark, data):
-    docs, labels = documents(spark, data), spark.read.parquet(f"{data}/labels.parquet")
-    a = {r["doc_id"]: r for r in quality_model.classify(docs, labels).collect()}
-    b = {r["doc_id"]: r for r in quality_model.classify(docs, labels, model_rows=0).collect()}
-    assert a.keys() == b.keys()
-    for k, r in a.items():
-        assert r["kept"] == b[k]["kept"] and (r["perplexity"] is None) == (b[k]["perplexity"] is None)
-        if r["perplexity"] is not None:
-            assert abs(r["perplexity"] / b[k]["perplexity"] - 1) < 1e-4
+    asked = ["the cat", "a zebra xyz", "dog on the mat the", "\u00e9t\u00e9"]
+    for text, (n, total) in zip(asked, scores(spark, texts, asked), strict=True):
+        padded = b" " * (quality_model.ORDER - 1) + text.encode()
+        want = [log_p(padded[k : k + quality_model.ORDER]) for k in range(len(text.encode()))]
+        assert n == len(want) and abs(sum(want) - total) <= n / quality_model.SCALE
+
+
+def test_classifier_matches_brute_force(spark, data):
+    """Perplexity, threshold and verdict of every English document, and of one in a language that nobody trusts."""
+    docs = documents(spark, data).filter("lang = 'en' AND length(text) < 4000").select("doc_id", "text", "lang")
+    docs = docs.union(spark.createDataFrame([(-1, "zz qq", "xx"), (-2, " ", "en"), (-3, None, "en")], docs.schema))
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    roles = {r["doc_id"]: r["_role"] for r in quality_model.trusted_documents(docs, labels).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["lang"] == "en"}
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    assert {k for k, r in roles.items() if r != quality_model.OTHER} == good & set(texts)
+    train, held = ([texts[k] for k in texts if roles[k] == x] for x in (quality_model.TRAIN, quality_model.HELD))
+    assert train and held
+    want, limit = brute.perplexities(train, held, list(texts.values()), quality_model.ORDER, quality_model.SMOOTHING, quality_model.KEEP, quality_model.MARGIN, quality_model.STEP)
+    got = {r["doc_id"]: r for r in quality_model.classify(docs, labels).collect()}
+    assert len(got) == docs.count() and got[-1]["kept"] and got[-1]["threshold"] is None
+    close = 0
+    for k, p in zip(texts, want, strict=True):
+        r = got[k]
+        assert abs(r["threshold"] - limit) < 3e-3
+        assert (p is None and r["perplexity"] is None and r["kept"]) if p is None else abs(r["perplexity"] / p - 1) < 1e-3
+        if p is not None:
+            close += abs(p - limit) < 0.02
+            assert r["kept"] == (p <= limit) or abs(p - limit) < 0.02
+    assert close < 5
 
 
 def test_model_keeps_clean_and_rejects_junk(spark, data):
@@ -239,16 +261,8 @@ def test_model_keeps_clean_and_rejects_junk(spark, data):
 
 
 def test_model_sees_across_words(spark):
-    docs = spark.createDataFrame([(1, "we sing cat now", "en"), (2, "we king dog now", "en")], "doc_id long, text string, lang string")
-    model = quality_model.train(docs)
-    rows = model.toPandas()
-    table = quality_model.Table(rows["kind"].to_numpy(), rows["g"].to_numpy(), rows["v"].to_numpy())
-    code = docs.select(quality_model.language_code(F.col("lang"))).first()[0]
-    score = lambda t: table.log_probability(quality_model.grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]), np.array([code]))[0])
-    assert score(b"we sing c")[-1] > score(b"we king c")[-1] + 1e-3
-    asked = spark.createDataFrame([(1, "we king c"), (2, "zebra é cat now")], "doc_id long, text string").withColumn("lang", F.lit("en"))
-    for r in quality_model.log_probability_by_join(asked, model, "doc_id").join(asked, F.col("k") == F.col("doc_id")).collect():
-        assert abs(score(r["text"].encode()).sum() - r["total"]) < 1e-3 and r["n"] == len(r["text"].encode())
+    (_, near), (_, far) = scores(spark, ["we sing cat now", "we king dog now"], ["sing c", "king c"])
+    assert near > far + 1e-3
 
 
 def test_model_odd_input(spark, odd_docs, odd_labels):
