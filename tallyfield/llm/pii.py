@@ -7,15 +7,21 @@ Method.  A linear-chain conditional random field labels words (B and I of each k
 from their shape: letters, capitals and digits folded, runs shortened, with neighbours'
 shapes, digit counts and a few cue words.  It is trained by gradient ascent on the small
 labelled table below (written forms that the patterns miss, such as "name at host dot
-com" or a telephone number without a plus sign, and look-alikes that are none), and
-decoded by Viterbi in padded numpy batches.  Chains are the words within REACH words of a
-trigger (a digit, @, or a cue such as "(at)" or "dot"); words beyond are outside by
-definition.  A span of the CRF is added if it overlaps no base span and passes the kind's
-check.
+com", an address with bracketed dots, a card number in unusual groups or a telephone
+number without a plus sign, and look-alikes that are none), and decoded by Viterbi in
+padded numpy batches.  A span of the CRF is drawn to the part of it that is written like
+its kind, and added if there is one, it passes the kind's check and overlaps no base span.
+Passwords and keys are labelled too; they are no kind of `spans` and have columns of their
+own (n_secrets, secrets).
+
+Chains are the words within REACH words of a trigger (a digit, @, or a cue such as "(at)"
+or "dot").  No span that its kind's check accepts reaches further: its words hold digits,
+"at" or "dot" themselves, or stand beside one that does; what is beyond is outside.
 
 Cases: null text is empty; an empty text has no spans and the digest of no bytes; very long
-texts are searched whole in linear time (anchored searches); repeated rows get equal
-spans; extra columns are ignored.
+texts are searched whole in linear time (anchored searches), and so are very long numbers;
+repeated rows get equal spans; an empty table gives no rows; extra columns are ignored by
+`find` and kept by `redact`.
 """
 
 from __future__ import annotations
@@ -34,7 +40,8 @@ from pyspark.sql import types as T
 from tallyfield.llm._spark import bound_batches, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
+SECRET = "secret"
+LABELS = ["O"] + [f"{p}-{k}" for k in (*KINDS, SECRET) for p in "BI"]
 FEATURE_BITS = 13
 REACH = 4
 #: Chains decoded together.
@@ -63,6 +70,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octets(parts: list[str]) -> bool:
+    """Whether all parts (digits, of any length) are at most 255."""
+    return all(len(p) < 3 or len(p) == 3 and p <= "255" for p in (p.lstrip("0") for p in parts))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, in order of start and then kind."""
     out = []
@@ -81,7 +93,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             at = text.find("@", at + 1)
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if _octets(m[0].split(".")):
                 out.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -135,9 +147,6 @@ The price rose from 12.50 to 13.75 in 2019.
 Version 3.11.2 fixes 14 errors of version 3.10.
 In 1999 and 2001 there were 3 of them.
 Pages 120-135 of volume 7 are missing.
-token = "9742a250774262d69ad6a86100194ed53da5a0ef" was found here.
-key = "a4a14da4dc9b206c0209041b0961df015c66b4f9" is secret.
-At 10:45 the train from platform 9 left.
 licensed under the GNU General Public License, version 3.
 order 123 456 789 items in 3 lots
 Order no 1234567890 has 25 items at 4.99 each.
@@ -148,16 +157,54 @@ article 5 of 16 says 100 percent
 ISBN 978-3-16-148410-0 was printed in 1994.
 room 1204 on floor 12 is open
 Ratio 16:9 and size 1920x1080 are common.
+the host [ip:192 dot 168 dot 1 dot 10] is down
+block [ip:203[.]0[.]113[.]7] at once
+from [ip:198.51.100[.]23] came the mail
+seen at [ip:10 (dot) 0 (dot) 0 (dot) 12] today
+ping [ip:172 [dot] 16 [dot] 254 [dot] 1] twice
+server [ip:8 . 8 . 8 . 8] answers
+card [card:4111.1111.1111.1111] was used
+pay with [card:5555/5555/5555/4444] today
+number [card:4012_8888_8888_1881] expires soon
+the visa [card:3782 - 822463 - 10005] is valid
+charge [card:4000:0566:5566:5556] for it
+call [phone:4875557209] before noon
+phone [phone:2125550147] and ask
+his mobile is [phone:07700900123] at home
+call [phone:3105550178]
+ring [phone:6175550133] please
+tel [phone:02079460958] in the day
+The sum of 1 dot 5 and 2 dot 5 is 4 dot 0.
+chapter 3 dot 2 follows
+ip 300 dot 300 dot 1 dot 1 is none
+version 10 . 2 . 1 is out
+build 20240131.1234.5678.0001 passed
+codes 1234/5678/9012/3456 failed
+the invoice 4875557209 is paid
+serial 2125550147 of the engine
+they met at home dot and line
+She is good at chess dot games.
+token = [secret:"9742a250774262d69ad6a86100194ed53da5a0ef"] was found here.
+key = [secret:"a4a14da4dc9b206c0209041b0961df015c66b4f9"] is secret.
+and [secret:password=9f1c02ab77de410c55] in the text
+the line [secret:password=00ab41c9e2d7f6a813] stands alone
+with [secret:ABCD7QX2M4NP8RS5TV1W] of the account
+old [secret:QKEYZ3LM5NB7VC2XW9RT] was revoked
+api_key: [secret:sk9f8a7b6c5d4e3f2a1b0c] in the file
+[secret:ghk_1a2B3c4D5e6F7g8H9i0J] leaked
+found [secret:QRSTUVWABCDEFGHJKLM7] in it
+commit 9f1c02a fixes it
+word internationalisation2024 is long
 """
 
 
-#: Written forms and the places they stand in; every third pair of them joins the table.
-FORMS = ("email:lena at post dot org", "email:tom.ray (at) shop (dot) net", "email:help [at] desk [dot] com", "email:office(at)school.edu", "phone:(312) 555-0188", "phone:(646) 555 0101", "phone:312-555-0122", "phone:312.555.0166", "phone:0161 4960 777", "phone:01 45 22 33 44")
-PLACES = ("please call or write {} today", "{}", "you find it under {}, as always", "then {} was given to us.", "for more: {}", "the old one, {} is gone", "and {} on the last page")
+#: Written forms and the places they stand in; two of three pairs of them join the table, the others are for measuring.
+FORMS = ("email:lena at post dot org", "email:tom.ray (at) shop (dot) net", "email:help [at] desk [dot] com", "email:office(at)school.edu", "email:maria at fastmail dot biz", "email:ann_b at corp dot co dot uk", "email:joe {at} web {dot} ch", "email:x.y at mail dot firm dot info", "phone:(312) 555-0188", "phone:(646) 555 0101", "phone:312-555-0122", "phone:312.555.0166", "phone:0161 4960 777", "phone:01 45 22 33 44", "phone:0161-496-0321", "ip:10 dot 20 dot 30 dot 40", "ip:192[.]0[.]2[.]146", "ip:172 (dot) 31 (dot) 5 (dot) 9", "ip:203 . 0 . 113 . 99", "ip:198[dot]51[dot]100[dot]7", "ip:45[.]76[.]128[.]201", "ip:5 dot 9 dot 88 dot 17", "ip:91.12.7[.]8", "ip:192 . 0 . 2 . 77", "ip:172 . 16 . 0 . 250", "ip:11 dot 2 dot 3 dot 4", "ip:185.220[.]100[.]240", "email:pia at home dot fr", "email:ned<at>mail<dot>net", "email:ivo{at}lab{dot}edu", "card:4242.4242.4242.4242", "card:4916/3385/0608/2832", "card:5105_1051_0510_5100", "card:6011:1111:1111:1117", "card:4532 - 0151 - 1283 - 0366", "secret:password=41d0c9aa7be35f2e18", 'secret:"5f8d04c3b1a29e7761f0c2d3e4a5b69788990011"', "secret:WXYZ4T7K2M9QH5RB8LCA", "secret:MNOPQ2RSTUVWXYZA6BCD", "secret:KLMNOPQRS7TUVWXYZABC")
+PLACES = ("please call or write {} today", "{}", "you find it under {}, as always", "then {} was given to us.", "for more: {}", "the old one, {} is gone", "and {} on the last page", "reach us: {} or come by", "it was {} that she used", "Siehe {} und mehr", "voir {} pour cela", "{} is it", "mail {} ok", "the server {} down", "the box at {} failed", "from {} all day", "con {} en la casa", "chez papa {} ici.")
 
 
 def table_lines() -> list[str]:
-    more = [place.format(f"[{form}]") for i, form in enumerate(FORMS) for j, place in enumerate(PLACES) if (i + j) % 3 == 0]
+    more = [place.format(f"[{form}]") for i, form in enumerate(FORMS) for j, place in enumerate(PLACES) if (i + j) % 3]
     return LABELLED.strip().split("\n") + more
 
 
@@ -166,8 +213,8 @@ def labelled() -> list[tuple[list[str], list[str]]]:
     out = []
     for line in table_lines():
         words, labels = [], []
-        for part in re.split(r"(\[(?:email|ip|card|phone):(?:[^\[\]]|\[at\]|\[dot\])*\])", line):
-            m = re.match(r"\[(email|ip|card|phone):(.*)\]\Z", part)
+        for part in re.split(r"(\[(?:email|ip|card|phone|secret):(?:[^\[\]]|\[at\]|\[dot\]|\[\.\])*\])", line):
+            m = re.match(r"\[(email|ip|card|phone|secret):(.*)\]\Z", part)
             for k, w in enumerate((m[2] if m else part).split()):
                 if not m and words and k == 0 and part[0] != " ":  # punctuation stuck to a span
                     words[-1] += w
@@ -190,14 +237,35 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-_CUES = frozenset("at dot (at) [at] (dot) [dot] call phone tel telefon ring fax mobile number mail write contact address appelez llame version page pages order no isbn token key".split())
+_CUES = frozenset("at dot (at) [at] (dot) [dot] {at} {dot} call phone tel telefon ring fax mobile number mail write contact address appelez llame version page pages order no isbn token key password ip host server card visa chapter invoice serial codes build".split())
+_KEY = re.compile(r"[A-Za-z0-9+/_-]{12,}")
+_TURN = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
+_RUN = re.compile(r"[0-9]+|[^\W\d_]+")
+
+
+def _stuff(word: str) -> str:
+    """What a word is made of: digits, a long mixture of digits and letters, capitals with digits, letters, numbers or anything else."""
+    bare = word.strip("\"',;:!?()[]{}<>*#%&$")
+    if bare.isdigit():
+        return "digits"
+    for m in _KEY.findall(bare):
+        if len(_TURN.findall(m)) >= 3:
+            return "key"
+        if len(m) >= 16 and m.isupper() and m.isalnum() and not m.isalpha():
+            return "capitals"
+    return "letters" if bare.isalpha() else "number" if bare and not re.search("[A-Za-z]", bare) else "other"
+
+
+def _outline(word: str) -> str:
+    """A word with each run of digits as d and of letters as x."""
+    return _RUN.sub(lambda m: "d" if m[0][0].isdigit() else "x", word.strip(",;:!?\"'")[:80])
 
 
 @lru_cache(1 << 16)
 def _own(word: str) -> tuple[str, ...]:
     low = word.lower().strip(".,;:!?\"'")
     digits = sum("0" <= c <= "9" for c in word)
-    return ("s=" + shape(word), "d=%d" % min(digits, 11), "w=" + (low if low in _CUES else "-"), "p=" + word[:1] if not word[:1].isalnum() else "p=a", "e=" + word[-1:] if not word[-1:].isalnum() else "e=a", "l=%d" % min(len(word), 12))
+    return ("s=" + shape(word), "d=%d" % min(digits, 11), "w=" + (low if low in _CUES else "-"), "k=" + _stuff(word[:200]), "o=" + _outline(word[:200]), "p=" + word[:1] if not word[:1].isalnum() else "p=a", "e=" + word[-1:] if not word[-1:].isalnum() else "e=a", "l=%d" % min(len(word), 12))
 
 
 @lru_cache(1 << 17)
@@ -210,10 +278,14 @@ def features(words: list[str]) -> list[list[int]]:
     own = [_own(w) for w in words]
     out = []
     for k in range(len(words)):
-        got = ["b", *own[k]]
+        sides = [own[k + d][2] if 0 <= k + d < len(words) else "none" for d in (-1, 1)]
+        got = ["b", *own[k], "|".join((own[k][3], *sides)), "|".join((own[k][2], *(own[k + d][3] if 0 <= k + d < len(words) else "none" for d in (-1, 1))))]
+        for d in (-3, 3):
+            if 0 <= k + d < len(words):
+                got.append(f"{d}{own[k + d][2]}")
         for d in (-2, -1, 1, 2):
             if 0 <= k + d < len(words):
-                got += [f"{d}{f}" for f in own[k + d][:3]]
+                got += [f"{d}{f}" for f in own[k + d][:4]]
             else:
                 got.append(f"{d}none")
         out.append([_cell(f) for f in got])
@@ -250,6 +322,9 @@ class CRF:
         rows, cells = np.array(rows), np.array(cells)
         weight, pairs = np.zeros((1 << FEATURE_BITS, n)), np.zeros((n + 1, n))
         used = np.unique(cells)
+        word_at, word = np.flatnonzero(np.diff(rows, prepend=-1)), np.unique(rows)  # rows ascend
+        by_cell = np.argsort(cells, kind="stable")
+        cell_at, rows_by_cell = np.flatnonzero(np.diff(cells[by_cell], prepend=-1)), rows[by_cell]
         moments = [np.zeros((len(used), n)), np.zeros((len(used), n)), np.zeros_like(pairs), np.zeros_like(pairs)]
         mask = gold >= 0
         truth = np.zeros((len(sentences) * longest, n))
@@ -262,7 +337,7 @@ class CRF:
         barrier = cls.allowed()
         for step in range(1, rounds + 1):
             emit = np.zeros((len(sentences) * longest, n))
-            np.add.at(emit, rows, weight[cells])
+            emit[word] = np.add.reduceat(weight[cells], word_at)
             emit = emit.reshape(len(sentences), longest, n)
             move = pairs + barrier
             alpha = [move[n] + emit[:, 0]]
@@ -281,9 +356,8 @@ class CRF:
                 q = np.exp(alpha[t - 1][:, :, None] + move[:n] + (emit[:, t] + beta[t])[:, None, :] - total[:, None, None])
                 pair_expect[:n] += (q * mask[:, t, None, None]).sum(0)
             off = truth - expect.reshape(-1, n)
-            grad = np.zeros_like(weight)
-            np.add.at(grad, cells, off[rows])
-            for k, (param, g) in enumerate(((weight, grad[used] - ridge * weight[used]), (pairs, gold_pairs - pair_expect - ridge * pairs))):
+            grad = np.add.reduceat(off[rows_by_cell], cell_at)  # of the used cells
+            for k, (param, g) in enumerate(((weight, grad - ridge * weight[used]), (pairs, gold_pairs - pair_expect - ridge * pairs))):
                 m, v = moments[2 * k], moments[2 * k + 1]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -349,26 +423,36 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-_EDGE = ".,;:!?\"'<>"
+_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)"
+_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\s*\.\s*)"
+_TIGHT_DOT = _DOT.replace(r"|\s*\.\s*", r"|\.")
+#: How the kinds are written out; the match is what is added.
+_WRITTEN = {
+    "email": re.compile(rf"[A-Za-z0-9_%+-]+(?:{_TIGHT_DOT}[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_TIGHT_DOT}[A-Za-z0-9-]+)*{_TIGHT_DOT}[A-Za-z]{{2,}}\b", re.I | re.A),
+    "ip": re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I | re.A),
+    "card": re.compile(r"(?<![0-9])[0-9](?:(?:[ ./_:-]| [-\u2013] )?[0-9]){13,18}(?![0-9])", re.A),
+    "phone": re.compile(r"[+(]?[0-9][0-9 ().-]*[0-9](?![0-9])", re.A),
+    SECRET: re.compile(r"[A-Za-z0-9+/_-]{12,}", re.A),
+}
 
 
 def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
-    """The span without outer punctuation, if it is what its kind must be."""
-    while end > start and text[end - 1] in _EDGE:
-        end -= 1
-    while start < end and text[start] in _EDGE:
-        start += 1
-    body = text[start:end]
-    digits = re.sub(r"[^0-9]", "", body)
-    if kind == "email":
-        ok = re.search(r"[A-Za-z0-9](?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)(?:[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.))+[A-Za-z]{2,}\b", body, re.I)
-    elif kind == "phone":
-        ok = 10 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", body) and re.search(r"[ ().-]", body)
-    elif kind == "card":
-        ok = 14 <= len(digits) <= 19 and luhn(digits)
-    else:
-        ok = False
-    return (start, end) if ok else None
+    """The part of text[start:end] that is written like its kind, if it passes the kind's check."""
+    for m in _WRITTEN[kind].finditer(text, start, end):
+        digits = re.sub(r"[^0-9]", "", m[0])
+        if kind == "email":
+            ok = True
+        elif kind == "ip":
+            ok = _octets(re.findall("[0-9]+", m[0]))
+        elif kind == "card":
+            ok = luhn(digits)
+        elif kind == "phone":
+            ok = 10 <= len(digits) <= 15
+        else:
+            ok = bool(digits) and len(digits) < len(m[0]) and bool(re.search("[A-Za-z]", m[0]))
+        if ok:
+            return m.span()
+    return None
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, str]]], crf: CRF) -> list[list[tuple[int, int, str]]]:
@@ -395,13 +479,18 @@ def _written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+def split_secrets(spans: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(spans of the four kinds, secrets)."""
+    return [s for s in spans if s[2] != SECRET], [s for s in spans if s[2] == SECRET]
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", crf: CRF | None = None) -> DataFrame:
-    """doc_id, numbers of base spans, base_sha256, spans (all) and n_added for every row."""
+    """doc_id, numbers of base spans, base_sha256, spans (all), n_added, n_secrets, secrets and n_found (spans and secrets) for every row."""
     bound_batches(docs.sparkSession)
     crf = crf or CRF.fit(labelled())
     sent = docs.sparkSession.sparkContext.broadcast(crf)
     body = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
-    schema = T.StructType([body.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())])
+    schema = T.StructType([body.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("n_secrets", T.LongType()), T.StructField("secrets", T.StringType()), T.StructField("n_found", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,11 +498,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", crf: CRF | No
                 part = batch.slice(low, 1024)
                 texts = part.column(1).to_pylist()
                 base = [base_spans(t) for t in texts]
-                more = added_spans(texts, base, sent.value)
+                more, secrets = zip(*map(split_secrets, added_spans(texts, base, sent.value)), strict=True)
                 every = [sorted(b + m, key=lambda s: (s[0], KINDS.index(s[2]))) for b, m in zip(base, more, strict=True)]
                 counts = [pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS]
                 digests = pa.array([hashlib.sha256(_written(b).encode()).hexdigest() for b in base], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, pa.array(map(_written, every), pa.string()), pa.array(map(len, more), pa.int64())], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, pa.array(map(_written, every), pa.string()), pa.array(map(len, more), pa.int64()), pa.array(map(len, secrets), pa.int64()), pa.array(map(_written, secrets), pa.string()), pa.array([len(a) + len(b) for a, b in zip(every, secrets, strict=True)], pa.int64())], schema.names)
 
     return body.mapInArrow(run, schema)
 

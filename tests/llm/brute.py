@@ -66,7 +66,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 def personal(text: str, luhn, kinds) -> list[tuple[int, int, str]]:
     digits = lambda x: re.sub("[^0-9]", "", x)
     out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]
     out += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(digits(m[0])) <= 15]
     return sorted(out, key=lambda s: (s[0], kinds.index(s[2])))
