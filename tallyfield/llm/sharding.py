@@ -3,11 +3,16 @@
 Method: indivisible groups (rows of equal text) are taken in order of size, the largest
 first, and each enters the bin whose remaining capacity is the smallest that still holds
 it; a balanced tree (a treap) over remaining capacities finds that bin in logarithmic
-time.  The packing runs on the driver over a number of items that a parameter bounds:
-groups of more than total / (shards * ITEMS_PER_SHARD) bytes are items of their own (there
-cannot be more than shards * ITEMS_PER_SHARD of them), and all smaller groups are hashed
-into shards * ITEMS_PER_SHARD bundles whose sums come from one aggregation.  A group never
-leaves its bundle, so groups stay whole.
+time.  Groups of one size are alike, and the tightest bin stays the tightest until it
+can hold no more of them, so a run of equal groups enters a bin at once: `pack_runs` makes
+the same bins as `pack` does group by group.  Sizes count in SIZE_BITS significant bits
+(rounded up, exact up to 4095 bytes), so there are at most 2^(SIZE_BITS - 1) * 64 sizes at
+any number of groups; the packing on the driver sees only these and their counts.  Every
+group is packed in that way; there is no other path.
+
+The groups of a size are numbered in cells of about CELL_ROWS, and a number is a place in
+the runs of that size.  Groups of more than 1 / HEAVY of all rows (so fewer than HEAVY of
+them) are sent to their rows, the others are joined with theirs on the text's digest.
 
 `pack` opens as few bins of a capacity as the method finds; `shard_table` looks for the
 least capacity at which the method fills no more than the wanted number of shards, so the
@@ -19,14 +24,15 @@ shard and the cells' running counts, so no task holds a shard.
 
 Cases: null text counts 0 bytes, has the checksum 0 and groups with other null texts;
 an empty text is a group of its own kind; repeated rows are placed each, beside one
-another; an empty table gives no rows; columns beside doc_id and text are ignored.
+another; ties go to the earlier bin; very long texts are groups of their size; an empty
+table gives no rows; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -35,9 +41,11 @@ from tallyfield.llm._spark import table, text_of, written
 SHARDS = 40
 #: Bytes that a row takes beside its text.
 ROW_BYTES = 16
-#: Bound of what the driver packs: 2 * shards * ITEMS_PER_SHARD items.
-ITEMS_PER_SHARD = 256
-#: Rows of one cell of a shard, for slots.
+#: Significant bits of a group's size.
+SIZE_BITS = 12
+#: A group of more than one of so many rows is sent to its rows rather than joined with them.
+HEAVY = 10_000
+#: Rows of one cell of a shard, groups of one cell of a size.
 CELL_ROWS = 20_000
 
 
@@ -117,62 +125,110 @@ def pack(sizes: list[int], capacity: int, most: int | None = None) -> list[int]
     return bins
 
 
-def even(sizes: list[int], shards: int) -> list[int]:
-    """Bins 0 .. shards-1 of near equal size: items above an even share get bins of their own, the rest the least capacity that serves."""
-    rest, alone, left = list(range(len(sizes))), {}, shards
-    rest.sort(key=lambda i: (-sizes[i], i))
-    total = sum(sizes)
-    while rest and left > 1 and sizes[rest[0]] * left > total:
-        k = rest.pop(0)
-        alone[k] = shards - left
-        left -= 1
-        total -= sizes[k]
-    own = [sizes[k] for k in rest]
-    low, high = max([1, -(-total // left), *own[:1]]), max(1, 2 * total)
-    best = pack(own, low, left)
+def pack_runs(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """`pack` for (size, count) runs in order of falling size: the (bin, count) pairs of each run."""
+    out: list[list[tuple[int, int]]] = []
+    free, opened = Treap(), 0
+    for size, count in runs:
+        placed = []
+        while count:
+            found = free.least((size, -1)) if size <= capacity else None
+            if found is None:
+                bin_, left = opened, capacity
+                opened += 1
+                if most is not None and opened > most:
+                    return None
+            else:
+                free.remove(found)
+                left, bin_ = found
+            some = min(count, max(1, left // size))
+            placed.append((bin_, some))
+            count -= some
+            left -= some * size
+            if left > 0:
+                free.add((left, bin_))
+        out.append(placed)
+    return out
+
+
+def even_runs(runs: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
+    """Bins 0 .. shards-1 of near equal size: groups above an even share get bins of their own, the rest the least capacity that serves."""
+    total, left = sum(s * n for s, n in runs), shards
+    alone: list[int] = []  # groups of each run that have a bin of their own
+    for size, count in runs:
+        own = 0
+        while own < count and left > 1 and size * left > total:
+            own, left, total = own + 1, left - 1, total - size
+        alone.append(own)
+        if own < count:
+            break
+    alone += [0] * (len(runs) - len(alone))
+    rest = [(size, count - own) for (size, count), own in zip(runs, alone, strict=True)]
+    low = max([1, -(-total // left), *(s for s, n in rest if n)])
+    best = pack_runs(rest, low, left)
     if best is None:
         step = max(1, low // 2000)
-        while (best := pack(own, low + step, left)) is None:
+        while (best := pack_runs(rest, low + step, left)) is None:
             step *= 2
         high = low + step
         while high - low > max(1, high // 100_000):
             middle = (low + high) // 2
-            found = pack(own, middle, left)
+            found = pack_runs(rest, middle, left)
             low, high, best = (middle, high, best) if found is None else (low, middle, found)
-    out = [0] * len(sizes)
-    for k, b in alone.items():
-        out[k] = b
-    for k, b in zip(rest, best, strict=True):
-        out[k] = b + shards - left
+    out, first = [], 0
+    for own, placed in zip(alone, best, strict=True):
+        out.append([(first + k, 1) for k in range(own)] + [(b + shards - left, n) for b, n in placed])
+        first += own
     return out
 
 
-def shard_table(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id", items_per_shard: int = ITEMS_PER_SHARD) -> DataFrame:
+def _rounded(size: Column) -> Column:
+    """A size in SIZE_BITS significant bits, rounded up."""
+    spare = F.greatest(F.length(F.bin(size)) - SIZE_BITS, F.lit(0))
+    unit = F.call_function("shiftleft", F.lit(1).cast("long"), spare)
+    return F.call_function("shiftleft", F.call_function("shiftright", size + unit - 1, spare), spare)
+
+
+def _starts(df: DataFrame, of: str, cell: str) -> DataFrame:
+    """(of, cell, _start): how many rows of `of` are in the cells before."""
+    before = W.partitionBy(of).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+    return df.groupBy(of, cell).agg(F.count("*").alias("_rows")).select(of, cell, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+
+
+def place_groups(groups: DataFrame, shards: int) -> DataFrame:
+    """(_group, shard, copies) from (_group, bytes, copies)."""
+    spark = groups.sparkSession
+    sized = written(groups.withColumn("_size", _rounded(F.col("bytes"))))
+    runs = [(r["_size"], r["n"]) for r in sized.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()]  # one row a size
+    spans = []
+    for (size, count), placed in zip(runs, even_runs(runs, shards) if runs else [], strict=True):
+        ends, total = [], 0
+        for _, n in placed:
+            ends.append(total := total + n)
+        spans.append((size, -(-count // CELL_ROWS), ends, [b for b, _ in placed]))
+    placed = F.broadcast(spark.createDataFrame(spans, "_size long, _cells long, _ends array<long>, _bins array<int>"))
+    dealt = sized.join(placed, "_size").withColumn("_cell", F.pmod(F.xxhash64("_group"), F.col("_cells")))
+    numbered = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_size", "_cell").orderBy("_group")) - 1)
+    known = numbered.join(_starts(dealt, "_size", "_cell"), ["_size", "_cell"])
+    at = F.col("_start") + F.col("_at")
+    return known.select("_group", F.get("_bins", F.size(F.filter("_ends", lambda x: x <= at))).alias("shard"), "copies")
+
+
+def shard_table(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
-    spark = docs.sparkSession
     body = F.col(f"`{text}`").cast("string")
-    base = written(docs.select(F.col(f"`{key}`").alias("doc_id"), (F.octet_length(text_of(f"`{text}`")) + ROW_BYTES).cast("long").alias("size"), F.crc32(text_of(f"`{text}`").cast("binary")).alias("text_crc32"), F.coalesce(F.md5(body.cast("binary")), F.lit("null")).alias("_group")))
-    bundles = shards * items_per_shard
-    total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    large = base.groupBy("_group").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") * bundles > total)
-    heavy = {r["_group"]: r["bytes"] for r in large.collect()}  # at most `bundles` rows
-    bundle = F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int")
-    small_sizes = {}
-    if rows:
-        flags = F.broadcast(spark.createDataFrame([(k,) for k in heavy], "_group string"))
-        small = base.join(flags, "_group", "left_anti").groupBy(bundle.alias("bundle")).agg(F.sum("size").alias("bytes"))
-        small_sizes = {r["bundle"]: r["bytes"] for r in small.collect()}  # at most `bundles` rows
-    names = [*sorted(heavy), *sorted(small_sizes)]
-    placed = dict(zip(names, even([*(heavy[k] for k in sorted(heavy)), *(small_sizes[k] for k in sorted(small_sizes))], shards), strict=True))
-    of_heavy = F.broadcast(spark.createDataFrame([(k, placed[k]) for k in heavy], "_group string, _own int"))
-    of_bundle = F.broadcast(spark.createDataFrame([(k, placed[k]) for k in small_sizes], "_bundle int, _shared int"))
-    put = base.withColumn("_bundle", bundle).join(of_heavy, "_group", "left").join(of_bundle, "_bundle", "left").withColumn("shard", F.coalesce("_own", "_shared"))
-
-    cells = max(1, -(-rows // (shards * CELL_ROWS)))
-    put = put.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "_group"), F.lit(cells)).cast("int"))
-    starts = put.groupBy("shard", "_cell").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy("shard").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    digest = F.coalesce(F.unhex(F.md5(body.cast("binary"))), F.lit(b""))
+    base = written(docs.select(F.col(f"`{key}`").alias("doc_id"), (F.octet_length(text_of(f"`{text}`")) + ROW_BYTES).cast("long").alias("size"), F.crc32(text_of(f"`{text}`").cast("binary")).alias("text_crc32"), digest.alias("_group")))
+    rows = base.count()
+    placed = written(place_groups(base.groupBy("_group").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")), shards))
+    heavy = F.broadcast(placed.filter(F.col("copies") * HEAVY > rows).select("_group", "shard"))  # fewer than HEAVY rows
+    light = placed.filter(F.col("copies") * HEAVY <= rows).select("_group", "shard")
+    salted = F.pmod(F.xxhash64("doc_id", "_group") + F.monotonically_increasing_id(), F.lit(1 << 20))
+    put = base.join(heavy, "_group").withColumn("_salt", salted).union(base.join(heavy, "_group", "left_anti").join(light, "_group").withColumn("_salt", F.xxhash64("doc_id", "_group")))
+    cells = F.broadcast(put.groupBy("shard").agg(F.ceil(F.count("*") / CELL_ROWS).alias("_cells")))  # one row a shard
+    put = written(put.join(cells, "shard").withColumn("_cell", F.pmod("_salt", "_cells")).drop("_salt", "_cells"))
     numbered = put.withColumn("_at", F.row_number().over(W.partitionBy("shard", "_cell").orderBy("doc_id", "text_crc32", "_group")) - 1)
-    return numbered.join(starts, ["shard", "_cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_start") + F.col("_at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered.join(_starts(put, "shard", "_cell"), ["shard", "_cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_start") + F.col("_at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
