@@ -6,8 +6,10 @@ minimum rank; pair ranks come from an open-addressing hash table, and each merge
 one column entry of the row, so matrices stay rectangular and shrink by one column a
 round.  Rows without a pair of the vocabulary are done and leave the matrix.
 
-A pre-token over LONG_BYTES is merged by the same rule with a heap and a linked list
-(the matrix would take quadratic time on one row).
+A row over WIDE_BYTES is a bucket by itself.  Its rounds are the same, but a round takes all
+pairs of the minimum rank from left to right at once, up to the first whose merge makes a
+pair of the same or a lower rank beside it: so far, one merge a round would do the same.
+It has as many rounds as ranks occur, not as many as merges, so its time is not quadratic.
 
 Cases: null text is empty; an empty text has no tokens and the digests of no bytes; very
 long texts are cut nowhere; repeated rows are each encoded; extra columns are ignored by
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from tallyfield.llm._spark import bound_batches, fresh, table, text_of
 
-#: Pre-tokens up to this many bytes go through the matrices.
-LONG_BYTES = 256
+#: Pre-tokens over this many bytes are rows by themselves.
+WIDE_BYTES = 256
 #: Distinct pre-tokens that one worker keeps encoded before it starts afresh.
 CACHE_WORDS = 300_000
 #: Characters of text that are pre-tokenised before the matrices run.
@@ -155,33 +156,34 @@ class ByteBPE:
             rank[left, best[left] - 1] = self.pair_rank(ids[left, best[left] - 1], ids[left, best[left]])
         return out
 
-    def _long(self, word: bytes) -> np.ndarray:
-        """The same merges for one long word, by heap and linked list."""
-        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        first = self.pair_rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NO_PAIR]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], int] = {}
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            nxt[i] = nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-            for x in (prev[i], i):
-                y = nxt[x] if x >= 0 else -1
-                if x >= 0 and y >= 0:
-                    pair = (ids[x], ids[y])
-                    if pair not in known:
-                        known[pair] = int(self.pair_rank(np.array([pair[0]]), np.array([pair[1]]))[0])
-                    if known[pair] != NO_PAIR:
-                        heapq.heappush(heap, (known[pair], x, *pair))
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def _wide(self, word: bytes) -> np.ndarray:
+        """Ids of one wide row; a round merges all leftmost pairs of minimum rank that stay so."""
+        ids = self.byte_id[np.frombuffer(word, np.uint8)].copy()
+        rank = np.full(len(ids), NO_PAIR, np.int32)
+        rank[:-1] = self.pair_rank(ids[:-1], ids[1:])
+        while (low := rank.min()) != NO_PAIR:
+            at = np.flatnonzero(rank == low)
+            # of pairs that overlap every second one is taken
+            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            # ids around each merge, those before it already merged; -1 is the edge
+            around = np.full(len(ids) + 3, -1, ids.dtype)
+            around[1:-2] = ids
+            before, after = around[at], around[at + 3]
+            before[1:][at[1:] == at[:-1] + 2] = low
+            merged = np.full(len(at), low, ids.dtype)
+            first = np.flatnonzero((self.pair_rank(before, merged) <= low) | (self.pair_rank(merged, after) <= low))
+            at = at[: first[0] + 1] if len(first) else at
+            ids[at] = low
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, rank = ids[stay], rank[stay]
+            at -= np.arange(len(at))
+            around = np.append(ids, np.int32(-1))
+            rank[at] = self.pair_rank(ids[at], around[at + 1])
+            left = at[at > 0]
+            rank[left - 1] = self.pair_rank(ids[left - 1], ids[left])
+        return ids
 
     def _restart(self) -> None:
         self.slots = _Slots()
@@ -196,10 +198,10 @@ class ByteBPE:
             return
         out: list[np.ndarray] = [None] * len(new)  # type: ignore[list-item]
         lengths = np.fromiter(map(len, new), np.int64, len(new))
-        for k in np.flatnonzero(lengths > LONG_BYTES).tolist():
-            out[k] = self._long(new[k])
+        for k in np.flatnonzero(lengths > WIDE_BYTES).tolist():
+            out[k] = self._wide(new[k])
         low = 0
-        for width in (2, 4, 6, 8, 10, 12, 16, 24, 32, 64, LONG_BYTES):
+        for width in (2, 4, 6, 8, 10, 12, 16, 24, 32, 64, WIDE_BYTES):
             rows = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
             step = max(1, MATRIX_CELLS // width)

@@ -305,6 +305,34 @@ def test_bpe_hard_texts(reference):
         assert bpe.decode(ids) == t.encode()
 
 
+def test_bpe_wide_rows_merge_like_narrow_ones(reference, monkeypatch):
+    """All words through the wide rows; and a vocabulary in which a merge makes a pair of a lower rank."""
+    bpe = byte_bpe.load(byte_bpe.default_vocabulary(), byte_bpe.default_pattern())
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aabcde ") for _ in range(rng.randrange(1, 600))) for _ in range(300)] + ["ab" * 2000, "a" * 5001, "héllo" * 700]
+    for w in words:
+        assert bpe._wide(w.encode()).tolist() == reference._encode_single_piece(w)
+    import tempfile
+
+    tokens = [bytes([b]) for b in range(256)] + [b"abc", b"ab", b"bc", b"cab", b"aa", b"aaa", b"abab", b"bcc", b"ca"]
+    with tempfile.NamedTemporaryFile("wb") as f:
+        f.write(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+        f.flush()
+        own = byte_bpe.ByteBPE(f.name, r"[\s\S]+")
+    ranks = {t: i for i, t in enumerate(tokens)}
+    for _ in range(400):
+        word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 60))).encode()
+        parts = [word[k : k + 1] for k in range(len(word))]
+        while True:
+            found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+            if not found:
+                break
+            _, k = min(found)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        want = [ranks[x] for x in parts]
+        assert own._wide(word).tolist() == want and own._matrix([word], len(word))[0].tolist() == want
+
+
 def test_bpe_odd_input(spark, odd_docs):
     got = byte_bpe.encode_table(odd_docs, keep=["doc_id", "kept"], ids=True)
     assert got.count() == odd_docs.count() and byte_bpe.encode_table(empty(spark)).count() == 0
@@ -392,6 +420,42 @@ def test_packing():
     assert sharding.pack([5, 300], 100) == [1, 0] and sharding.pack([60, 60], 100, most=1) is None
 
 
+def test_runs_are_packed_like_single_groups():
+    rng = random.Random(7)
+    for _ in range(60):
+        sizes = sorted((rng.randrange(1, rng.choice((4, 40))) for _ in range(rng.randrange(1, 200))), reverse=True)
+        runs = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        bins, placed = sharding.pack(sizes, 50), sharding.pack_runs(runs, 50)
+        assert bins == [b for run in placed for b, n in run for _ in range(n)]
+        load = [0] * 6
+        for (size, count), run in zip(runs, sharding.even_runs(runs, 6), strict=True):
+            assert sum(n for _, n in run) == count
+            for b, n in run:
+                load[b] += n * size
+        assert max(load) <= max(-(-sum(sizes) // 6) + max(sizes), max(sizes))
+    assert sharding.even_runs([(100, 2), (1, 10)], 4) == [[(0, 1), (1, 1)], [(2, 5), (3, 5)]]
+
+
+def test_shards_hold_what_packing_every_group_gives(spark):
+    """Sizes are exact under 4096 bytes: the shards' loads are those of the packing group by group, at the same capacity."""
+    rng = random.Random(8)
+    texts = [f"{i:04d}" + "y" * rng.randrange(900) for i in range(700)]
+    rows = [(n, t) for n, t in enumerate(texts + rng.choices(texts, k=300))]
+    got = sharding.shard_table(spark.createDataFrame(rows, "doc_id long, text string"), shards=7).collect()
+    size: dict[str, int] = {}
+    for _, t in rows:
+        size[t] = size.get(t, 0) + len(t) + 16
+    load: dict[int, int] = {}
+    for r in got:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+    sizes = list(size.values())
+    capacity = next(c for c in range(-(-sum(sizes) // 7), 2 * sum(sizes)) if sharding.pack(sizes, c, 7) is not None)
+    want = [0] * 7
+    for b, s in zip(sharding.pack(sizes, capacity), sizes, strict=True):
+        want[b] += s
+    assert sorted(load.values()) == sorted(want) or max(load.values()) <= max(want) * 1.0001
+
+
 def test_shards_of_documents(spark, data):
     got = sharding.op7_sharding(spark, data).collect()
     texts = {r["doc_id"]: r["text"] for r in documents(spark, data).collect()}
@@ -406,8 +470,10 @@ def test_shards_of_documents(spark, data):
     assert all(sorted(r["slot"] for r in rows) == list(range(len(rows))) for rows in by_shard.values())
 
 
-def test_shards_are_even(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "CELL_ROWS", 3)
+@pytest.mark.parametrize("heavy", [1, 10_000])
+def test_shards_are_even(spark, monkeypatch, heavy):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 30)
+    monkeypatch.setattr(sharding, "HEAVY", heavy)
     rows = [(i, "x" * (i * 37 % 400)) for i in range(3000)] + [(5000 + i, "hot" * 900) for i in range(1500)]
     got = sharding.shard_table(spark.createDataFrame(rows, "doc_id long, text string"), shards=8)
     load = sorted(r["n"] for r in got.groupBy("shard").agg(F.sum("size").alias("n")).collect())
@@ -421,6 +487,9 @@ def test_sharding_odd_input(spark, odd_docs):
     assert len(got) == odd_docs.count() and {r["size"] for r in got if r["doc_id"] in (1, 2)} == {16}
     assert len({r["shard"] for r in got if r["doc_id"] == 6}) == 1
     assert sharding.shard_table(empty(spark)).count() == 0
+    sizes = [1, 16, 4095, 4096, 4097, 70_001, 2**40 + 1]
+    got = spark.createDataFrame([(x,) for x in sizes], "s long").select("s", sharding._rounded(F.col("s")).alias("r")).collect()
+    assert [r["r"] for r in got] == [1, 16, 4095, 4096, 4098, 70_016, 2**40 + 2**29]
 
 
 # --- 8 personal data
