@@ -21,12 +21,14 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def pack_plain(values: np.ndarray) -> bytes:
-    """Any array of one type, compressed."""
-    return _ZSTD.compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
+    """Byte planes of any array of one type, compressed."""
+    return _ZSTD.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), asbytes=True)
 
 
 def unpack_plain(blob: bytes, n: int, kind: type) -> np.ndarray:
-    return np.frombuffer(_ZSTD.decompress(blob, n * np.dtype(kind).itemsize, asbytes=True), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(_ZSTD.decompress(blob, n * size, asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def edges(sorted_keys: np.ndarray) -> np.ndarray:

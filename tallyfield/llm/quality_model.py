@@ -23,7 +23,7 @@ Sharded count joins are the one way from texts to perplexities, at every size:
 A document's perplexity per byte is drawn to its language's mean by SMOOTHING bytes, so
 short texts are not judged by a few bytes.  A document is rejected if that is above the
 KEEP quantile of its language, times MARGIN.  Mean and quantile (exact, of perplexities in
-steps of STEP) are those of held-out trusted documents: one of HELD_PARTS by the hash of
+steps of STEP, between steps in proportion) are those of held-out trusted documents: one of HELD_PARTS by the hash of
 the text, so that equal texts fall together; the model never sees them.
 
 Cases: a null language is a language of its own; a language without held-out trusted text
@@ -120,10 +120,21 @@ def shard_of(middle: np.ndarray, language: np.ndarray, shards: int) -> np.ndarra
     return (mix(middle & np.uint64(0xFFFFFFFF) | language << np.uint64(32)) % np.uint64(shards)).astype(np.int32)
 
 
+def turned(key: np.ndarray) -> np.ndarray:
+    """n-grams with their middle bytes before the first and the last one: in that order a shard's n-grams lie close together."""
+    low = np.uint64(0xFF)
+    return key >> np.uint64(48) << np.uint64(48) | (key >> np.uint64(8) & np.uint64(0xFFFFFFFF)) << np.uint64(16) | (key >> np.uint64(40) & low) << np.uint64(8) | key & low
+
+
+def turned_back(key: np.ndarray) -> np.ndarray:
+    low = np.uint64(0xFF)
+    return key >> np.uint64(48) << np.uint64(48) | (key >> np.uint64(8) & low) << np.uint64(40) | (key >> np.uint64(16) & np.uint64(0xFFFFFFFF)) << np.uint64(8) | key & low
+
+
 def _by_shard(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shards that have keys, order that deals keys to them, its bounds); within a shard keys stay in order."""
+    """(shards that have keys, order that deals keys to them, its bounds); within a shard n-grams stand as `turned` sorts them."""
     shard = shard_of(key >> np.uint64(8), key >> np.uint64(48), shards)
-    turn = np.argsort(shard, kind="stable")
+    turn = np.lexsort((turned(key), shard))
     start = edges(shard[turn])
     return shard[turn][start], turn, np.append(start, len(key))
 
@@ -215,14 +226,14 @@ def _dealer(shards: int):
                 count = unpack_plain(counts, len(key), np.uint32)
                 shard, turn, at = _by_shard(key, shards)
                 parts = [turn[at[k] : at[k + 1]] for k in range(len(shard))]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "chunk": pa.array([chunk] * len(shard), pa.int64()), "grams": pa.array([pack(key[p]) for p in parts], pa.binary()), "counts": pa.array([pack_plain(count[p]) for p in parts], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "chunk": pa.array([chunk] * len(shard), pa.int64()), "grams": pa.array([pack(turned(key[p])) for p in parts], pa.binary()), "counts": pa.array([pack_plain(count[p]) for p in parts], pa.binary())})
 
     return run
 
 
 def _merged(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(distinct n-grams of a shard, their counts, place of each block's n-grams among them)."""
-    blocks = [unpack(x) for x in asked.column("grams").to_pylist()]
+    blocks = [turned_back(unpack(x)) for x in asked.column("grams").to_pylist()]
     counts = [unpack_plain(x, len(b), np.uint32) for x, b in zip(asked.column("counts").to_pylist(), blocks, strict=True)]
     key, place = np.unique(np.concatenate(blocks), return_inverse=True)
     count = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
@@ -287,8 +298,10 @@ def _dealt_lower(shards: int):
             turn = np.argsort(key)
             key, p = key[turn], batch.column(1).to_numpy()[turn]
             # the first four of the five bytes are the middle of the n-grams above
-            shard, turn, at = _by_shard(key, shards)
-            parts = [turn[at[k] : at[k + 1]] for k in range(len(shard))]
+            shard = shard_of(key >> np.uint64(8), key >> np.uint64(48), shards)
+            turn = np.argsort(shard, kind="stable")
+            start = edges(shard[turn])
+            shard, parts = shard[turn][start], np.split(turn, start[1:])
             yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "low": pa.array([pack(key[x]) for x in parts], pa.binary()), "p": pa.array([p[x].tobytes() for x in parts], pa.binary())})
 
     return run
@@ -406,11 +419,8 @@ def scored(layout: Layout, table: DataFrame, reply: DataFrame, shards: int, only
 def _limits(held: DataFrame, quantile: float, margin: float) -> DataFrame:
     """(_code, _mean, threshold) of each language: mean log probability a byte, and the quantile times margin."""
     means = held.groupBy("_code").agg((F.sum("_total") / F.sum("_n")).alias("_mean"))
-    steps = held.join(sized_broadcast(means), "_code").withColumn("_step", F.round(_smoothed() / STEP).cast("long"))
-    counted = steps.groupBy("_code", "_mean", "_step").agg(F.count("*").alias("_docs"))  # at most 256 / STEP steps a language
-    order = W.partitionBy("_code").orderBy("_step")
-    ranked = counted.withColumn("_upto", F.sum("_docs").over(order)).withColumn("_all", F.sum("_docs").over(W.partitionBy("_code")))
-    return ranked.filter(F.col("_upto") >= F.lit(quantile) * F.col("_all")).groupBy("_code", "_mean").agg((F.min("_step") * STEP * margin).alias("threshold"))
+    steps = held.join(sized_broadcast(means), "_code").withColumn("_step", F.round(_smoothed() / STEP).cast("long"))  # at most 256 / STEP values
+    return steps.groupBy("_code", "_mean").agg((F.percentile("_step", F.lit(quantile)) * STEP * margin).alias("threshold"))
 
 
 def _smoothed() -> Column:

@@ -127,5 +127,7 @@ def perplexities(train: list[str], held: list[str], asked: list[str], order: int
     mean = sum(s for _, s in sums) / sum(n for n, _ in sums)
     smooth = lambda n, s: math.exp(-(s + smoothing * mean) / (n + smoothing))
     steps = sorted(round(smooth(*s) / step) for s in sums)
-    limit = next(x for i, x in enumerate(steps, 1) if i >= quantile * len(steps)) * step * margin
+    at = quantile * (len(steps) - 1)
+    low, high = steps[math.floor(at)], steps[math.ceil(at)]
+    limit = (low + (high - low) * (at - math.floor(at))) * step * margin
     return [smooth(*total(t)) if total(t)[0] else None for t in asked], limit
