@@ -5,11 +5,12 @@ line is divided by the host's number of pages; a line on at least MIN_PAGES page
 more than RATIO of them is boilerplate and is taken out of every page of that host.
 Only DataFrame functions run here.
 
-Counting: each page gives each of its lines once (as a 64-bit hash), so the shuffle of
-(host, line) carries counts that are summed before it, and a host or a line that most rows
-share is a few summed rows a task.  A host has fewer than (lines a page) / RATIO
-boilerplate lines, so they are kept as one array of hashes a host.  That table is
-broadcast if it is small by count, else joined with salted hosts.
+Counting: each page gives each of its lines once (as a 64-bit hash) and one null, which
+counts the page itself; counts are summed before the shuffle, so a host or a line that most
+rows share is a few summed rows a task.  The counts are written once; lines on fewer than
+MIN_PAGES pages are gone by then.  A host has fewer than (lines a page) / RATIO boilerplate
+lines, so they are kept as one array of hashes a host.  The hosts' totals and these arrays
+are broadcast if they are small by count, else joined with salted hosts.
 
 Cases: null text stays null and counts as a page without lines; a null host is a site of
 its own; blank lines are neither counted nor dropped; a text whose lines all go becomes
@@ -22,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm._spark import BROADCAST_ROWS, table
+from tallyfield.llm._spark import BROADCAST_ROWS, table, written
 
 RATIO = 0.05
 MIN_PAGES = 3
-#: Parts of each host where the boilerplate table is too large for a broadcast.
+#: Hosts whose arrays of boilerplate lines may be broadcast.
+BROADCAST_SITES = 20_000
+#: Parts of each host where a table of hosts is too large for a broadcast.
 SALTS = 32
 
 
@@ -39,28 +42,34 @@ def _hashes(lines: Column) -> Column:
     return F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
 
 
+def _by_host(rows: DataFrame, salt: Column, hosts: DataFrame, most: int, how: str) -> DataFrame:
+    """rows (with _site) joined with hosts (with _host, one row a host): by broadcast if hosts has at most `most` rows, else in SALTS parts of each host."""
+    same = rows["_site"].eqNullSafe(hosts["_host"])
+    if hosts.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(hosts), same, how)
+    parts = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)))
+    salted = hosts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return parts.join(salted, parts["_site"].eqNullSafe(salted["_host"]) & (parts["_salt"] == salted["_part"]), how)
+
+
 def boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(_host, _line hash): the lines to drop at each host."""
-    pages = docs.select(host.alias("_host"), F.array_distinct(_hashes(F.split(F.col(f"`{text}`"), "\n"))).alias("_lines"))
-    totals = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
-    counts = pages.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_with")).filter(F.col("_with") >= min_pages)
-    joined = counts.join(totals, counts["_host"].eqNullSafe(totals["_host"]))
-    return joined.filter(F.col("_with") > ratio * F.col("_pages")).select(counts["_host"], "_line")
+    lines = F.coalesce(F.array_distinct(_hashes(F.split(F.col(f"`{text}`"), "\n"))), F.array().cast("array<bigint>"))
+    pages = docs.select(host.alias("_site"), F.explode(F.concat(lines, F.array(F.lit(None).cast("long")))).alias("_line"))
+    counts = written(pages.groupBy("_site", "_line").agg(F.count("*").alias("_with")).filter(F.col("_line").isNull() | (F.col("_with") >= min_pages)))
+    totals = counts.filter("_line IS NULL").select(F.col("_site").alias("_host"), F.col("_with").alias("_pages"))
+    joined = _by_host(counts.filter("_line IS NOT NULL"), F.col("_line"), totals, BROADCAST_ROWS, "inner")
+    return joined.filter(F.col("_with") > ratio * F.col("_pages")).select("_host", "_line")
 
 
 def dedup_lines(docs: DataFrame, host: Column | None = None, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
     """docs with boilerplate lines taken out of `text`; with counts=True also n_lines and n_dropped."""
     host = F.col("source") if host is None else host
     flagged = boilerplate(docs, host, text, ratio, min_pages)
-    sites = flagged.groupBy("_host").agg(F.collect_set("_line").alias("_drop"))
+    sites = written(flagged.groupBy("_host").agg(F.collect_set("_line").alias("_drop")))  # fewer than lines a page / ratio hashes each
     columns = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), host.alias("_site"))
-    if flagged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = row.join(F.broadcast(sites), row["_site"].eqNullSafe(sites["_host"]), "left")
-    else:
-        row = row.withColumn("_salt", F.pmod(F.xxhash64(F.col(f"_row.`{text}`")), F.lit(SALTS)))
-        sites = sites.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = row.join(sites, row["_site"].eqNullSafe(sites["_host"]) & (row["_salt"] == sites["_part"]), "left")
+    joined = _by_host(row, F.xxhash64(F.col(f"_row.`{text}`")), sites, BROADCAST_SITES, "left")
     whole = F.col(f"_row.`{text}`")
     lines = F.split(whole, "\n")
     stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), F.xxhash64(x)))

@@ -651,6 +651,7 @@ def test_lines_above_the_ratio_go(spark):
 def test_line_dedup_salted_way(spark, data, monkeypatch):
     want = sorted(map(repr, line_dedup.op9_line_dedup(spark, data).collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_SITES", 0)
     assert sorted(map(repr, line_dedup.op9_line_dedup(spark, data).collect())) == want
 
 
