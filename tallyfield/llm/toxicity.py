@@ -15,12 +15,14 @@ lambda S - ln(K n) and the sum of the significant ones gives the score.
 
 Log-odds come from training rows of three remainders of crc32(doc_id) mod 5, the law and
 the curve from another; remainder 0 is held out.  Training takes at most TRAIN_ROWS
-labelled rows, those of the least hashed ids.  What is sent to executors are FEATURES
-numbers.
+labelled documents, those of the least hashed ids (of documents with one id, the least text).
+What is sent to executors are FEATURES numbers; what comes back are two numbers a labelled
+document and a histogram a task.
 
 Cases: null and empty texts have no tokens and get the score of a text without segments;
 very long texts are scanned whole; repeated rows get equal scores; rows with a null doc_id
-are scored and not held out; labels of null are left out; with no labels of one kind all
+are scored and not held out; extra columns are ignored; an empty table gives no rows;
+labels of null are left out; with no labels of one kind all
 scores are 0.
 """
 
@@ -46,8 +48,10 @@ CONFIDENCE = 2.0
 DRIFT = 0.05
 #: Times that a feature counts at most in one text.
 SATURATION = 8
-SIGNIFICANT = 0.05
+#: Segments expected by chance, at most, for a passage to count.
+SIGNIFICANT = 0.001
 PREFIXES = (5, 6, 7)
+BINS = 400
 TRAIN_PARTS = 16
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -100,6 +104,7 @@ class Model:
     def __init__(self, odds: np.ndarray):
         self.odds = np.append(odds, np.float32(-np.inf)).astype(np.float32)  # cell -1 is the last
         self.lam, self.log_k, self.curve = 1.0, 0.0, (-50.0, 0.0, 0.0)
+        self.level = -math.log(SIGNIFICANT)
 
     def token_scores(self, cells: np.ndarray) -> np.ndarray:
         best = self.odds[cells[:, 0]]
@@ -114,8 +119,7 @@ class Model:
             return self.none(len(score))
         size = self.log_k + math.log(len(score))
         top = max(found)
-        level = -math.log(SIGNIFICANT)
-        over = [x for x in (self.lam * s[0] - size for s in found) if x >= level]
+        over = [x for x in (self.lam * s[0] - size for s in found) if x >= self.level]
         return self.lam * top[0] - size, sum(over), len(over), (top[1], top[2])
 
     def none(self, n: int) -> tuple[float, float, int, tuple[int, int]]:
@@ -163,7 +167,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)).cast("int")
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     few = known.withColumn("fold", fold).filter("fold <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(few), "doc_id").select(text_of().alias("text"), "toxic", "fold")
+    rows = docs.join(F.broadcast(few), "doc_id")
+    # an id that many documents bear counts once, with the least of its texts
+    return rows.groupBy("doc_id").agg(F.min(text_of()).alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold")).drop("doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -179,52 +185,74 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     model = Model(log_odds(other, toxic))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Number of tokens, segments in order of score and a histogram of token scores, by text."""
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(n, top) of each text without toxic label: tokens and largest segment; then one row with the histogram of all their token scores."""
+        bins = np.zeros(BINS, np.int64)
         for batch in batches:
-            out = []
+            n, top = [], []
             for _, _, data, offsets in pieces(batch.column(0)):
                 cells, first = tokens(data, offsets)
                 score = sent.value.token_scores(cells)
+                bins += histogram(score)
                 for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    found = sorted((s[0] for s in segments(score[low:high])), reverse=True)
-                    bins = np.bincount(np.clip((score[low:high] + 10) * 20, 0, 399).astype(np.int64), minlength=400)
-                    out.append((high - low, found, bins))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), pa.array([x[2].astype("<i4").tobytes() for x in out], pa.binary())], ["toxic", "n", "found", "bins"])
-
-    held = train.filter("fold = 1").select("text", "toxic").mapInArrow(measure, "toxic int, n long, found array<double>, bins binary").collect()  # at most `rows`
-    return _calibrate(model, [(r["toxic"], r["n"], list(r["found"]), r["bins"]) for r in held])
+                    n.append(high - low)
+                    top.append(max((s[0] for s in segments(score[low:high])), default=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(top, pa.float64()), pa.nulls(len(n), pa.list_(pa.int64()))], ["n", "top", "bins"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0.0]), pa.array([bins.tolist()], pa.list_(pa.int64()))], ["n", "top", "bins"])
+
+    held = train.filter("fold = 1").select("text", "toxic")
+    got = held.filter("toxic = 0").select("text").mapInArrow(largest, "n long, top double, bins array<bigint>").collect()  # at most `rows` and a row a task
+    clean = [(r["n"], r["top"]) for r in got if r["bins"] is None and r["n"]]
+    if not clean:
+        return Model(np.zeros(FEATURES))
+    model.lam, model.log_k = law(np.sum([r["bins"] for r in got if r["bins"] is not None], 0), clean)
+    judged = docs.sparkSession.sparkContext.broadcast(model)
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(toxic, largest, total) of each text."""
+        for batch in batches:
+            found = []
+            for _, _, data, offsets in pieces(batch.column(0)):
+                cells, first = tokens(data, offsets)
+                score = judged.value.token_scores(cells)
+                found += [judged.value.statistics(score[low:high])[:2] for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], ["toxic", "largest", "total"])
 
-def _calibrate(model: Model, held: list[tuple[int, int, list[float], bytes]]) -> Model:
-    clean = [x for x in held if not x[0] and x[1]]
-    if not clean or len(clean) == len(held):
+    rows = held.mapInArrow(measure, "toxic int, largest double, total double").collect()  # at most `rows`
+    toxic = np.array([r["toxic"] for r in rows], float)
+    if not toxic.any():
         return Model(np.zeros(FEATURES))
-    bins = sum(np.frombuffer(x[3], "<i4").astype(np.float64) for x in clean)
-    middle, share = (np.arange(400) + 0.5) / 20 - 10, bins / bins.sum()
+    model.curve = curve(np.array([r["largest"] for r in rows]), np.array([r["total"] for r in rows]), toxic)
+    return model
+
+
+def histogram(score: np.ndarray) -> np.ndarray:
+    """Token scores from -10 to 10 in steps of 0.05."""
+    return np.bincount(np.clip((score + 10) * 20, 0, BINS - 1).astype(np.int64), minlength=BINS)
+
+
+def law(bins: np.ndarray, largest: list[tuple[int, float]]) -> tuple[float, float]:
+    """lambda and ln K of the extreme-value law, from a histogram of token scores and (tokens, largest segment) of texts."""
+    middle, share = (np.arange(BINS) + 0.5) / 20 - 10, bins / bins.sum()
     low, high = 1e-3, 5.0
     for _ in range(60):
         lam = (low + high) / 2
         low, high = (low, lam) if (share * np.exp(lam * middle)).sum() > 1 else (lam, high)
-    model.lam = low
     # the median of lambda S - ln n is ln K - ln ln 2
-    model.log_k = float(np.median([model.lam * (x[2][0] if x[2] else 0.0) - math.log(x[1]) for x in clean])) + math.log(math.log(2))
-    level, rows = -math.log(SIGNIFICANT), []
-    for toxic, n, found, _ in held:
-        size = model.log_k + math.log(max(1, n))
-        over = [v for s in found if (v := model.lam * s - size) >= level]
-        rows.append((1.0, (model.lam * found[0] if found else 0.0) - size, math.log1p(sum(over)), toxic))
-    x = np.array(rows)
-    x, y = x[:, :3], x[:, 3]
+    return low, float(np.median([low * top - math.log(n) for n, top in largest])) + math.log(math.log(2))
+
+
+def curve(largest: np.ndarray, total: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
+    """Logistic weights of 1, largest and ln(1 + total), by Newton steps with a slight ridge."""
+    x = np.stack([np.ones(len(largest)), largest, np.log1p(total)], 1)
     w = np.zeros(3)
-    for _ in range(50):  # Newton steps with a slight ridge
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (p - y) + 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), x.T @ (p - toxic) + ridge * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    model.curve = tuple(w.tolist())
-    return model
+    return tuple(w.tolist())
 
 
 def score_table(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -131,3 +131,36 @@ def perplexities(train: list[str], held: list[str], asked: list[str], order: int
     low, high = steps[math.floor(at)], steps[math.ceil(at)]
     limit = (low + (high - low) * (at - math.floor(at))) * step * margin
     return [smooth(*total(t)) if total(t)[0] else None for t in asked], limit
+
+
+def maximal_segments(score: list[float], low: int = 0, high: int | None = None) -> list[tuple[float, int, int]]:
+    """The best segment, then those left and right of it (Ruzzo and Tompa's definition)."""
+    high = len(score) if high is None else high
+    best, found = 0.0, None
+    for i in range(low, high):
+        total = 0.0
+        for j in range(i, high):
+            total += score[j]
+            if total > best + 1e-9:
+                best, found = total, (i, j + 1)
+    if found is None:
+        return []
+    i, j = found
+    return maximal_segments(score, low, i) + [(best, i, j)] + maximal_segments(score, j, high)
+
+
+def toxicity(text: str | None, cell, odds, drift: float, lam: float, log_k: float, curve, significant: float) -> tuple[float, int]:
+    """(score, number of passages) of one text; cell gives a token's number, odds its log-odds."""
+    import math
+    import string
+
+    tokens = []
+    for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+        bare = w.strip(string.punctuation) or w
+        body = bare.encode()
+        tokens.append(max(odds[cell(p)] for p in [body, *(body[:k] for k in (5, 6, 7) if len(body) > k)]) - drift)
+    size = log_k + math.log(max(1, len(tokens)))
+    levels = [lam * s - size for s, _, _ in maximal_segments(tokens)]
+    over = [x for x in levels if x >= -math.log(significant)]
+    a, b, c = curve
+    return 1 / (1 + math.exp(-(a + b * max(levels, default=-size) + c * math.log1p(sum(over))))), len(over)

@@ -99,6 +99,46 @@ def test_toxicity_held_out(spark, data):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows.values())
 
 
+def test_toxicity_scores_match_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+
+    def cell(token: bytes) -> int:
+        data = np.frombuffer(token, np.uint8)
+        return int(span_hashes(data, np.array([0]), np.array([len(data)]))[0] >> np.uint64(64 - toxicity.FEATURES.bit_length() + 1))
+
+    some = docs.filter("length(text) < 900")
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    got = toxicity.score_table(some, model).collect()
+    assert len(got) == len(texts) > 100
+    for r in got:
+        score, n = brute.toxicity(texts[r["doc_id"]], cell, model.odds, toxicity.DRIFT, model.lam, model.log_k, model.curve, toxicity.SIGNIFICANT)
+        assert abs(r["score"] - score) < 1e-4 and r["n_passages"] == n and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_toxicity_law_and_curve():
+    rng = np.random.default_rng(4)
+    score = rng.normal(-0.4, 0.8, 200_000)
+    texts = [score[k : k + 200] for k in range(0, len(score), 200)]
+    largest = [(len(t), max(s for s, _, _ in toxicity.segments(t))) for t in texts]
+    lam, log_k = toxicity.law(toxicity.histogram(score), largest)
+    assert abs(np.exp(lam * score).mean() - 1) < 0.02 and abs(lam - 2 * 0.4 / 0.64) < 0.05  # normal scores: 2 m / s^2
+    expected = [np.exp(log_k) * n * np.exp(-lam * s) for n, s in largest]
+    assert abs(np.mean([np.exp(-e) < 0.5 for e in expected]) - 0.5) < 0.01
+    assert abs(np.mean([e < 0.05 for e in expected]) - 0.05) < 0.02  # chance segments are as rare as E says
+    a, b = rng.normal(0, 1, 500), np.abs(rng.normal(0, 1, 500))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(a + 2 * np.log1p(b) - 1)))).astype(float)
+    w = np.array(toxicity.curve(a, b, y))
+    x = np.stack([np.ones(500), a, np.log1p(b)], 1)
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 1e-2 * w).max() < 1e-6
+
+
+def test_toxicity_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}", "s") for i in range(300)], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, 0) for i in range(3)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs.select("doc_id", "text"), labels).count() <= 3
+
+
 def test_toxicity_odd_input(spark, odd_docs, odd_labels):
     for docs in (odd_docs, empty(spark)):
         for labels in (odd_labels, empty_labels(spark)):
