@@ -7,11 +7,13 @@ and a document that loses more than MAX_LOST of its words is rejected.  Before t
 base counts of a text decide: under 50 words or more than half of its words in repeated
 3-word windows.
 
-All counts come from array operations over the bytes of whole texts (see _text).
+Notices are short phrases of legal, cookie and subscription lines in four languages; a line
+that holds one fails.  All counts come from array operations over the bytes of whole texts
+(see _text).
 
 Cases: null text has no words and fails the base; so does an empty text.  A text of any
 length is read whole.  Repeated rows get equal results.  Lines are what `\\n` splits.
-Extra columns stay out unless named in `keep`.
+Extra columns stay out unless named in `keep`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +39,20 @@ MAX_CAPITALS = 0.5
 MAX_RUN = 0.3
 #: A line of at least so many words must hold one that ends with punctuation.
 PUNCTUATION_WORDS = 12
-#: Notices that make a line boilerplate (compared in lower case).
-NOTICES = (b"all rights reserved", b"privacy policy", b"terms of use", b"terms of service", b"cookie policy", b"uses cookies", b"enable javascript", b"is licensed under", b"sign in to", b"subscribe to our", b"share on facebook", b"lorem ipsum")
+#: Notices that make a line boilerplate (A-Z compared in lower case).
+NOTICES = tuple(
+    notice.encode()
+    for notice in (
+        # English
+        "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "enable javascript", "licensed under", "sign in to", "subscribe to our", "share on facebook", "lorem ipsum", "general public license", "apache license", "creative commons", "click here", "powered by",
+        # German
+        "alle rechte vorbehalten", "datenschutzerkl\u00e4rung", "allgemeine gesch\u00e4ftsbedingungen", "verwendet cookies", "javascript aktivieren", "unseren newsletter",
+        # French
+        "tous droits r\u00e9serv\u00e9s", "politique de confidentialit\u00e9", "conditions d'utilisation", "utilise des cookies", "activer javascript",
+        # Spanish
+        "todos los derechos reservados", "pol\u00edtica de privacidad", "aviso legal", "utiliza cookies", "activar javascript",
+    )
+)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
