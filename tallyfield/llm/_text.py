@@ -57,11 +57,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each pair; equal bytes give equal hashes."""
+def running(data: np.ndarray) -> np.ndarray:
+    """Running sums from which `span_hashes` takes its hashes."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[data] * _power(_BASE, len(data)), out=total[1:])
+    return total
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each pair; equal bytes give equal hashes.  total: `running` of data, if there is one."""
     n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * _power(_BASE, n), out=total[1:])
+    total = running(data) if total is None else total
     shift = _power(_BASE_INVERSE, n + 1)[start]
     return mix((total[end] - total[start]) * shift + (end - start).astype(np.uint64))
 

@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfield.llm._spark import bound_batches, fresh, table, text_of
-from tallyfield.llm._text import _BASE, _BASE_INVERSE, _BYTE_CODE, _IS_SEPARATOR, _power, lower_table, mix, pieces, span_hashes
+from tallyfield.llm._text import _BASE_INVERSE, _IS_SEPARATOR, _power, lower_table, mix, pieces, running, span_hashes
 
 BYTES_PER_ERROR = 20
 #: Bytes of a piece that are looked up at every position (pieces of items over BYTES_PER_ERROR have at least so many).
 ANCHOR = 10
 TABLE_BITS = 22
+#: Candidates (a place and a piece) that are looked at together; pieces may be common to many items.
+CANDIDATES = 1 << 20
 BLOCK_BYTES = 8_000_000
 
 
@@ -125,21 +127,26 @@ class Items:
         n = len(data)
         windows: dict[tuple[int, int], list[int]] = {}
         if n >= ANCHOR and len(self.anchor):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE_CODE[data] * _power(_BASE, n), out=total[1:])
+            total = running(data)
             head = mix((total[ANCHOR:] - total[:-ANCHOR]) * _power(_BASE_INVERSE, n + 1 - ANCHOR) + np.uint64(ANCHOR))
             at = np.flatnonzero(self.table[(head >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
             low, high = np.searchsorted(self.anchor, head[at], "left"), np.searchsorted(self.anchor, head[at], "right")
             count = high - low
-            at, low, count = at[count > 0], low[count > 0], count[count > 0]
-            piece = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            at = np.repeat(at, count)
-            row = np.searchsorted(offsets, at, "right") - 1
-            fits = at + self.length[piece] <= offsets[row + 1]
-            at, piece, row = at[fits], piece[fits], row[fits]
-            same = span_hashes(data, at, at + self.length[piece]) == self.whole[piece]
-            for p, j, r in zip(at[same].tolist(), piece[same].tolist(), row[same].tolist(), strict=True):
-                windows.setdefault((r, int(self.piece_of[j])), []).append(p - int(self.offset[j]))
+            places, lows, counts = at[count > 0], low[count > 0], count[count > 0]
+            upto = np.cumsum(counts)
+            first = 0
+            while first < len(places):
+                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + CANDIDATES, "right")))
+                low, count = lows[first:last], counts[first:last]
+                piece = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                at = np.repeat(places[first:last], count)
+                first = last
+                row = np.searchsorted(offsets, at, "right") - 1
+                fits = at + self.length[piece] <= offsets[row + 1]
+                at, piece, row = at[fits], piece[fits], row[fits]
+                same = span_hashes(data, at, at + self.length[piece], total) == self.whole[piece]
+                for p, j, r in zip(at[same].tolist(), piece[same].tolist(), row[same].tolist(), strict=True):
+                    windows.setdefault((r, int(self.piece_of[j])), []).append(p - int(self.offset[j]))
         for (r, i), begins in windows.items():
             item, k = self.items[i], self.budget[i]
             low, high = int(offsets[r]), int(offsets[r + 1])

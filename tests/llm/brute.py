@@ -164,3 +164,22 @@ def toxicity(text: str | None, cell, odds, drift: float, lam: float, log_k: floa
     over = [x for x in levels if x >= -math.log(significant)]
     a, b, c = curve
     return 1 / (1 + math.exp(-(a + b * max(levels, default=-size) + c * math.log1p(sum(over))))), len(over)
+
+
+def failed_lines(text: str | None, rules) -> tuple[int, int]:
+    """(failed lines, words in them) of the line rules, line by line."""
+    failed = lost = 0
+    for line in (text or "").split("\n"):
+        w = WORD.findall(line)
+        if not w:
+            continue
+        shouts = sum(sum("A" <= c <= "Z" for c in x) >= 2 and not any("a" <= c <= "z" for c in x) for x in w)
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+        bad = sum(c in "#*$%&|<>" for c in line) > rules.MAX_SYMBOLS * len(w)
+        bad |= len(w) >= 3 and shouts > rules.MAX_CAPITALS * len(w)
+        bad |= len(w) >= 6 and sum(a == b for a, b in zip(w, w[1:], strict=False)) > rules.MAX_RUN * len(w)
+        bad |= len(w) >= rules.PUNCTUATION_WORDS and not any(rules._ENDS[x.encode()[-1]] for x in w)
+        bad |= any(n.decode() in low for n in rules.NOTICES)
+        failed += bad
+        lost += bad * len(w)
+    return failed, lost

@@ -159,6 +159,15 @@ def test_rule_counts_match_brute_force(spark, data, odd_docs):
             assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not r["base_failed"] or not r["kept"])
 
 
+def test_line_verdicts_match_brute_force(spark, data, odd_docs):
+    extra = spark.createDataFrame([(-1, "Datenschutzerkl\u00e4rung lesen\nTODOS LOS DERECHOS RESERVADOS\nshort\na a a a a a a\nONE TWO THREE four five six seven\n" + "word " * 60 + "end."), (-2, ("plain words stand here\n" * 3 + "\n | | |\n") * 9)], "doc_id long, text string")
+    for docs in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), odd_docs.select("doc_id", "text"), extra):
+        for r in quality_rules.apply_rules(docs, keep=["doc_id", "text"]).collect():
+            failed, lost = brute.failed_lines(r["text"], quality_rules)
+            assert (r["n_failed_lines"], r["n_lost_words"]) == (failed, lost)
+            assert r["kept"] == (not r["base_failed"] and lost <= quality_rules.MAX_LOST * r["n_words"])
+
+
 def test_rules_tell_junk(spark, data):
     rows = quality_rules.op2_quality_rules(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
     assert not [r["doc_id"] for r in rows if r["quality"] == 0 and r["kept"]]
@@ -416,6 +425,17 @@ def test_passages_within_the_budget_are_found(spark, data):
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(items))) - {n for n, _ in want}
 
 
+def test_items_that_share_pieces(spark, monkeypatch):
+    """Many items of one beginning: candidates are looked at in parts, and every item is found."""
+    monkeypatch.setattr(decontamination, "CANDIDATES", 7)
+    start = "the common beginning of all the questions in this set reads like this and goes on "
+    items = [(i, f"{start} item number {i * 7919} ends here") for i in range(60)]
+    found = decontamination.Items(items)
+    text = decontamination.folded("x " + " and ".join(t for _, t in items))
+    data = np.frombuffer(text, np.uint8)
+    assert {i for _, i, d, _, _ in found.search(data, np.array([0, len(data)])) if d == 0} == set(range(60))
+
+
 def test_exact_items_in_documents(spark, data):
     docs = documents(spark, data).collect()
     items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
