@@ -1,8 +1,10 @@
 """WARC derivatives: linked metadata and plain-text conversion records of responses.
 
 Method: every response record yields two records that refer to it.  The metadata record
-(application/warc-fields) states the source's identifier, headers and digests, its title
-and number of links; the conversion record (text/plain) holds its text.  Both carry
+(application/warc-fields) states the source's identifier, status, every header and its
+digests, its title and number of links; the conversion record (text/plain) holds its text:
+character references that end with a semicolon (all names of HTML, decimal and hexadecimal
+numbers) are decoded in one pass, by the rules of HTML for numbers that are no characters.  Both carry
 WARC-Refers-To, the source's target URI, date and payload digest, and a block digest and
 length of their own.  Record identifiers are derived from the source's, so a task that is
 run again writes the same records.
@@ -13,13 +15,18 @@ Responses come from WARC bytes (`parse_responses`) or are made from a table of p
 Cases: a null address or body counts as empty; repeated rows give records of equal
 identifiers; pages of any length are converted whole; a response without body has a
 conversion record of length 0; an empty table gives no records; columns other than those
-named are ignored.
+named are ignored.  Records that cannot be read are no responses; `broken_records` lists them.
+A body is decoded by the charset of its header (UTF-8 without one), with replacements.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import json
+import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +42,26 @@ UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head
 #: Tags that end a line of text.
 BLOCKS = r"(?i)</?(?:br|p|div|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|nav|header|footer|aside|main|form|blockquote|pre|title)\b[^>]*>"
 ANY_TAG = r"<[A-Za-z/!?][^>]*>"
-BLANKS = r"[ \t\r\f]+"
+BLANKS = r"[ \t\r\f\x{a0}]+"
 LINE_ENDS = r" ?\n[ \n]*"
-#: Named entities that are decoded; the ampersand is the last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+REFERENCE = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def named_references() -> dict[str, str]:
+    """Every named character reference with its semicolon, by the table of the standard library."""
+    return {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
+
+
+def low_numbers() -> dict[str, str]:
+    """Numbers 128 to 159 stand for the characters of Windows-1252, where it has one."""
+    out = {}
+    for n in range(128, 160):
+        try:
+            out[str(n)] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            pass
+    return out
+
 
 RESPONSE = "record_id string, target_uri string, warc_date string, http_headers string, payload_digest string, body string"
 
@@ -53,14 +76,29 @@ def _digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
+def decoded(text: Column) -> Column:
+    """text with its character references decoded, each once."""
+    names = F.from_json(F.lit(json.dumps(named_references())), "map<string,string>")  # a constant
+    numbers = F.from_json(F.lit(json.dumps(low_numbers())), "map<string,string>")
+
+    def number(x: Column) -> Column:
+        digits = F.regexp_extract(x, "^&#[xX]?0*([0-9A-Fa-f]*);$", 1)
+        code = F.when(F.length(digits) > 7, F.lit(0)).when(F.lower(F.substring(x, 3, 1)) == "x", F.conv(digits, 16, 10).cast("long")).otherwise(F.try_to_number(F.concat(F.lit("0"), digits), F.lit("99999999")).cast("long"))
+        char = F.try_element_at(numbers, code.cast("string"))
+        none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return F.when(none, F.lit("\ufffd")).otherwise(F.coalesce(char, F.decode(F.unhex(F.lpad(F.hex(F.when(none, 32).otherwise(code)), 8, "0")), "UTF-32")))
+
+    parts = F.regexp_extract_all(text, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
+    one = F.transform(parts, lambda x: F.when(F.substring(x, 1, 2) == "&#", F.when(F.substring(x, -1, 1) == ";", number(x)).otherwise(x)).when((F.substring(x, 1, 1) == "&") & (F.length(x) > 1), F.coalesce(F.try_element_at(names, x), x)).otherwise(x))
+    return F.when(F.instr(text, "&") > 0, F.array_join(one, "")).otherwise(text)
+
+
 def page_text(html: Column) -> Column:
-    """Plain text of a page: unseen parts and tags out, blocks on lines, blanks folded, entities decoded."""
+    """Plain text of a page: unseen parts and tags out, blocks on lines, references decoded, blanks folded."""
     out = F.regexp_replace(html, UNSEEN, "")
     out = F.regexp_replace(out, BLOCKS, "\n")
     out = F.regexp_replace(out, ANY_TAG, "")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(out, BLANKS, " ")
+    out = F.regexp_replace(decoded(out), BLANKS, " ")
     return F.trim(F.regexp_replace(out, LINE_ENDS, "\n"), F.lit(" \n"))
 
 
@@ -76,11 +114,13 @@ def responses_from_pages(pages: DataFrame, key: str = "page_id", url: str = "url
 def derive(responses: DataFrame) -> DataFrame:
     """Two records for every response: type metadata and type conversion.  A column page_id stays if there is one."""
     source = F.col("record_id")
-    title = F.trim(F.regexp_replace(F.regexp_extract("body", r"(?is)<title[^>]*>([^<]*)", 1), r"\s+", " "))
+    title = F.trim(F.regexp_replace(decoded(F.regexp_extract("body", r"(?is)<title[^>]*>([^<]*)", 1)), r"[\s\x{a0}]+", " "))
     links = F.size(F.split(F.lower("body"), r"<a\s[^>]*href")) - 1
     status = F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
     kind = F.trim(F.regexp_extract("http_headers", r"(?i)content-type:([^\r\n]*)", 1))
-    facts = F.concat_ws("\r\n", F.concat(F.lit("source-record-id: "), source), F.concat(F.lit("source-status: "), status), F.concat(F.lit("source-content-type: "), kind), F.concat(F.lit("source-payload-digest: "), F.col("payload_digest")), F.concat(F.lit("source-length: "), F.octet_length("body").cast("string")), F.concat(F.lit("title: "), title), F.concat(F.lit("outlinks: "), links.cast("string")), F.lit(""))
+    lines = F.split(F.regexp_replace("http_headers", r"\r\n[ \t]+", " "), "\r?\n")
+    headers = F.transform(F.filter(lines, lambda x: (x != "") & ~x.rlike("^HTTP/")), lambda x: F.concat(F.lit("source-http-header: "), x))
+    facts = F.concat_ws("\r\n", F.concat(F.lit("source-record-id: "), source), F.concat(F.lit("source-status: "), status), F.concat(F.lit("source-content-type: "), kind), headers, F.concat(F.lit("source-payload-digest: "), F.col("payload_digest")), F.concat(F.lit("source-length: "), F.octet_length("body").cast("string")), F.concat(F.lit("title: "), title), F.concat(F.lit("outlinks: "), links.cast("string")), F.lit(""))
     made = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), facts.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), page_text(F.col("body")).alias("block")),
@@ -118,6 +158,32 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+def _body_text(http: str, body: bytes) -> str:
+    named = re.search(r"(?im)^content-type:[^\r\n]*charset=[\"']?([A-Za-z0-9._:-]+)", http)
+    try:
+        kind = codecs.lookup(named[1]).name if named else "utf-8"
+        return body.decode(kind, "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
+
+
+def broken_records(records: DataFrame, column: str = "record") -> DataFrame:
+    """(record, reason) of the rows that hold no whole WARC record; nulls are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in batch.column(0).to_pylist():
+                try:
+                    if data is not None:
+                        parse_record(data)
+                except ValueError as reason:
+                    rows.append((data, str(reason)))
+            yield pa.RecordBatch.from_pydict({"record": pa.array([r[0] for r in rows], pa.binary()), "reason": pa.array([r[1] for r in rows], pa.string())})
+
+    return records.select(F.col(f"`{column}`").cast("binary")).mapInArrow(run, "record binary, reason string")
+
+
 def parse_responses(records: DataFrame, column: str = "record") -> DataFrame:
     """Responses out of one WARC record a row; rows of other types, broken rows and nulls give none."""
 
@@ -133,7 +199,7 @@ def parse_responses(records: DataFrame, column: str = "record") -> DataFrame:
                     continue
                 http, _, body = block.partition(b"\r\n\r\n")
                 digest = headers.get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()
-                rows.append((headers.get("warc-record-id", ""), headers.get("warc-target-uri", ""), headers.get("warc-date", ""), http.decode("latin-1") + "\r\n", digest, body.decode("utf-8", "replace")))
+                rows.append((headers.get("warc-record-id", ""), headers.get("warc-target-uri", ""), headers.get("warc-date", ""), http.decode("latin-1") + "\r\n", digest, _body_text(http.decode("latin-1"), body)))
             names = [x.split()[0] for x in RESPONSE.split(", ")]
             yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(names)})
 
@@ -149,13 +215,22 @@ def _sql_urn(*parts: str) -> str:
     return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({digest}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
+def _sql_decoded(text: str) -> str:
+    """References of `text`: names by a MAP, numbers by chr."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    names = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in sorted(named_references().items())) + "}"
+    low = "MAP {" + ", ".join(f"{k}: {quoted(v)}" for k, v in low_numbers().items()) + "}"
+    code = "CASE WHEN lower(substr(x, 3, 1)) = 'x' THEN CAST('0x' || substr(x, 4, length(x) - 4) AS BIGINT) ELSE CAST(substr(x, 3, length(x) - 3) AS BIGINT) END"
+    number = f"CASE WHEN length(x) > 11 THEN chr(65533) WHEN ({code}) IN (0) OR ({code}) > 1114111 OR ({code}) BETWEEN 55296 AND 57343 THEN chr(65533) ELSE coalesce({low}[{code}], chr(CAST({code} AS INTEGER))) END"
+    one = f"CASE WHEN x LIKE '&#%;' THEN {number} WHEN x LIKE '&%;' THEN coalesce({names}[x], x) ELSE x END"
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '{REFERENCE}|[^&]+|&'), lambda x: {one}), '')"
+
+
 def _sql_text(html: str) -> str:
     out = f"regexp_replace({html}, '{UNSEEN}', '', 'g')"
     out = f"regexp_replace({out}, '{BLOCKS}', chr(10), 'g')"
     out = f"regexp_replace({out}, '{ANY_TAG}', '', 'g')"
-    for name, char in ENTITIES:
-        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    out = f"regexp_replace({out}, '{BLANKS}', ' ', 'g')"
+    out = f"regexp_replace({_sql_decoded(out)}, '{BLANKS}', ' ', 'g')"
     return f"trim(regexp_replace({out}, '{LINE_ENDS}', chr(10), 'g'), ' ' || chr(10))"
 
 
@@ -164,9 +239,10 @@ _SQL_FACTS = f" || {_CRLF} || ".join([
     "'source-record-id: ' || record_id",
     "'source-status: 200'",
     "'source-content-type: text/html; charset=utf-8'",
+    "'source-http-header: Content-Type: text/html; charset=utf-8'",
     "'source-payload-digest: ' || payload_digest",
     "'source-length: ' || strlen(body)",
-    r"'title: ' || trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>([^<]*)', 1), '\s+', ' ', 'g'))",
+    "'title: ' || trim(regexp_replace(" + _sql_decoded(r"regexp_extract(body, '(?is)<title[^>]*>([^<]*)', 1)") + r", '[\s\x{a0}]+', ' ', 'g'))",
     r"'outlinks: ' || (len(string_split_regex(lower(body), '<a\s[^>]*href')) - 1)",
     "''",
 ])

@@ -739,6 +739,57 @@ def test_warc_round_trip(spark, data):
     assert ids == 2 * pages.distinct().count()
 
 
+def test_references_are_decoded_like_the_standard_library(spark):
+    import html
+
+    texts = ["a &lt;b&gt; &amp;lt; &copy;&middot;&nbsp;x", "&#65;&#x41;&#X1F600;&#128;&#x9d; &#0; &#xD800; &#1114112; &#99999999999;", "&unknown; & &; &# &#; &#x; &amp &copy 2 &CounterClockwiseContourIntegral;&fjlig;", "plain", "", "&&amp;;"]
+    texts += [f"x{k}y" for k in warc.named_references()]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc.decoded(F.col("t")).alias("d")).collect()
+    import re
+
+    for r in got:  # the library also decodes some names without a semicolon: only whole references count here
+        assert r["d"] == re.sub(warc.REFERENCE, lambda m: html.unescape(m[0]) if m[0][1] == "#" else html.entities.html5.get(m[0][1:], m[0]), r["t"]).replace("\x9d", "\x9d"), r["t"]
+
+
+def test_page_text_matches_a_parser(spark, data):
+    """Text of the pages by a parser of the standard library instead of patterns."""
+    import re
+    from html.parser import HTMLParser
+
+    blocks = set("br p div li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer aside main form blockquote pre title".split())
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.out, self.unseen = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.unseen += tag in ("head", "style", "script")
+            self.out += ["\n"] * (tag in blocks)
+
+        def handle_endtag(self, tag):
+            self.unseen -= tag in ("head", "style", "script")
+            self.out += ["\n"] * (tag in blocks)
+
+        def handle_data(self, text):
+            self.out += [] if self.unseen else [text]
+
+        def handle_entityref(self, name):
+            self.out += [] if self.unseen else [f"&{name};"]
+
+    import html
+
+    pages = spark.read.parquet(f"{data}/pages.parquet").filter("html NOT LIKE '%&am' AND NOT html RLIKE '&[a-z]+($|[^a-z;])'")
+    rows = pages.select("html", warc.page_text(F.col("html")).alias("text")).collect()
+    assert len(rows) > 20
+    for r in rows:
+        parser = Text()
+        parser.feed(r["html"])
+        parser.close()
+        text = re.sub("[ \t\r\f\xa0]+", " ", html.unescape("".join(parser.out)))
+        assert r["text"] == re.sub(" ?\n[ \n]*", "\n", text).strip(" \n")
+
+
 def test_warc_parses_responses(spark):
     body = "<html><head><title> A  page </title></head><body><p>One &amp; two<br>three</p><script>no</script><a href='x'>l</a></body></html>".encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Own: 1\r\n\r\n" + body
@@ -749,6 +800,12 @@ def test_warc_parses_responses(spark):
     assert len(derived) == 2 and derived["conversion"]["block"] == "One & two\nthree\nl"
     meta = derived["metadata"]
     assert meta["refers_to"] == "<urn:uuid:1>" and meta["payload_digest"] == "sha1:ABC" and "X-Own: 1" in meta["http_headers"]
+    assert "source-http-header: X-Own: 1\r\n" in meta["block"]
+    record = bytes(warc.serialise(warc.derive(responses).filter("warc_type = 'metadata'")).first()["record"])
+    assert b"source-http-header: Content-Type: text/html\r\nsource-http-header: X-Own: 1\r\n" in record
+    assert sorted(r["reason"] for r in warc.broken_records(spark.createDataFrame(rows, "record binary")).collect()) == ["not a WARC record", "record is cut short"]
+    latin = record.split(b"\r\n")[0] + b"\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\n\r\nHTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n<p>caf\xe9"
+    assert warc.parse_responses(spark.createDataFrame([(latin,)], "record binary")).first()["body"] == "<p>caf\u00e9"
     assert "title: A page" in meta["block"] and "outlinks: 1" in meta["block"] and "source-status: 200" in meta["block"]
 
 
