@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm._spark import cut, partitions
+from tallyfield.llm._spark import cut, partitions, sized_broadcast, written
 
 
 class Union:
@@ -54,7 +54,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Edges are first contracted within partitions.  Then each round gives a vertex the least
     label of its neighbours and follows labels once more (pointer jumping), until nothing
-    changes.  Rounds are cut by reliable checkpoints.  An edge table without rows gives none.
+    changes.  The labels' own labels are a row a component, which is broadcast if small, so that
+    one large component is no hot key.  Rounds are cut by reliable checkpoints.  An edge table without rows gives none.
     """
     parts = partitions(edges)
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
@@ -65,8 +66,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("v").alias("w"), F.col("root").alias("_r")), "w").groupBy("v").agg(F.min("_r").alias("_r"))
         lower = labels.join(near, "v").select("v", F.col("root").alias("_was"), F.least("root", "_r").alias("root"))
-        jump = lower.select(F.col("v").alias("root"), F.col("root").alias("_up"))
-        new = cut(lower.join(jump, "root").select("v", "_was", F.least("root", "_up").alias("root")))
+        roots = lower.select("root").distinct()
+        jump = lower.select(F.col("v").alias("root"), F.col("root").alias("_up")).join(roots, "root", "left_semi")  # a row a component, not a vertex
+        new = cut(lower.join(sized_broadcast(written(jump)), "root").select("v", "_was", F.least("root", "_up").alias("root")))
         moved = new.filter("root <> _was").limit(1).count()
         labels = new.select("v", "root")
         if not moved:

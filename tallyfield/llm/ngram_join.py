@@ -4,23 +4,26 @@ Method (T-occurrence search with DivideSkip).  Two sets of sizes m and n reach a
 of 3/4 only if they share T = ceil(3 (m + n) / 7) shingles.
 
 1. Classes: documents of equal sets are one class, named by a 64-bit signature.
-2. Order: document frequencies of all shingles (over the classes) give the global order
-   "rare first"; only the HOT_ROWS most frequent ones are told apart, and the order never
-   affects the result, only the length of inverted lists.
+2. Order: document frequencies of all shingles (summed before they are dealt) give the
+   global order "rare first"; only the HOT_ROWS most frequent ones are told apart, and the
+   order never affects the result, only the length of inverted lists.
 3. Lists: by the prefix bound, linked classes share one of their first n - ceil(3n/4) + 1
    shingles in that order.  These are dealt into inverted lists.  Lists of up to SHORT
-   classes give pairs; longer ones stay lists.
+   classes give pairs; longer ones stay lists.  Shingles of WIDE classes and more are known
+   by then; their lists are never brought together but stay rows.
 4. Sketches: a parity bitmap of 2n bits a class bounds the symmetric difference from
-   below, so a pair over the bound is no link.  In a long list one class that most others
-   agree with is compared with all, and then only those outside its cluster are: classes
-   that are joined already need no pair of their own.
+   below, so a pair over the bound is no link.  Of a list over LIST_CHUNK classes each is
+   first paired with a few pivots of the list, the classes of least hash, which many lists
+   share.  Classes that are joined by then need no pair of their own: only those outside the
+   list's largest component are compared, chunk by chunk, with all of the list.
 5. Blocks: connected components of the remaining pairs.  Any link lies within a block.
-   Blocks of many shingles are dealt as pairs of chunks, so a task's memory is bounded.
-6. Exact join in each block: an inverted index; for every query class the lists are
-   divided, the short ones merged (one sort of their concatenation stands for the heap)
-   and counted, classes that reach T less the number of long lists are probed for in the
-   long lists by binary search, and those with T shingles in common are linked.  Queries
-   are needed only for classes outside the largest component found so far.
+   In a block over BLOCK_CHUNK shingles every class is first joined with a few pivots; then
+   only classes outside the largest component query the block, chunk by chunk.
+6. Exact join in each block: an inverted index; for every query class the longest lists are
+   set aside, the short ones merged by a heap and counted, classes that reach T less the
+   number of long lists are probed for in the long lists by binary search, and those with T
+   shingles in common are linked.  Queries are needed only for classes outside the largest
+   component found so far.
 7. Components of these links; the smallest doc_id of all members names a component.
 
 No list, block or component is collected; nothing is capped or sampled.
@@ -28,20 +31,25 @@ No list, block or component is collected; nothing is capped or sampled.
 Cases: null and empty texts, and texts without words, have an empty set and are linked
 with nothing; texts under five words have one shingle, the whole sequence; very long texts
 count whole; repeated rows and equal texts are one class; rows with a null doc_id are
-compared like others but never name a component while another id can; columns beside
-doc_id and text are ignored; an empty table gives no rows.
+compared like others but never name a component while another id can; ids may be of any
+type that has an order; columns beside doc_id and text are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tallyfield.llm._pack import edges, pack, pack_plain, unpack, unpack_plain
 from tallyfield.llm._spark import bound_batches, partitions, sized_broadcast, table, text_of, written
 from tallyfield.llm._text import lower_table, mix, pieces, shingle_hashes, span_hashes, words
 from tallyfield.llm.graph import Union, components
@@ -52,8 +60,14 @@ HOT_FREQUENCY = 32
 HOT_ROWS = 1 << 18
 #: Inverted lists up to this length give pairs at once.
 SHORT = 8
+#: A frequent shingle in at least so many classes has a list of rows; pivots of a long list.
+WIDE = 4096
+PIVOTS = 3
+#: Long lists and large blocks whose numbers may be broadcast (about 100 bytes each); large blocks whose pivots' sets may be (some kB each).
+LARGE_GROUPS = 500_000
+LARGE_BLOCKS = 2_000
 #: Classes of a chunk of a long list; shingles of a chunk of a block.
-LIST_CHUNK = 4096
+LIST_CHUNK = 512
 BLOCK_CHUNK = 500_000
 #: Shingles that a task holds before it passes them on.
 FLUSH = 1_000_000
@@ -92,8 +106,8 @@ def sets_of(array: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
 
 def signature(grams: np.ndarray) -> int:
     """Signed 64-bit name of a set."""
-    total = mix(grams + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-    return int(mix(np.array([total * np.uint64(0xE7037ED1A0B428DB) + np.uint64(len(grams))])).view(np.int64)[0])
+    total = mix(grams + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total * np.uint64(0xE7037ED1A0B428DB) + np.uint64(len(grams))).view(np.int64)[0])
 
 
 def sketch(grams: np.ndarray) -> bytes:
@@ -112,22 +126,6 @@ def _fold(bitmap: np.ndarray, words64: int) -> np.ndarray:
     return bitmap
 
 
-def _pack(sorted_values: np.ndarray) -> bytes:
-    """Differences of sorted values as byte planes; planes of zeros are left out."""
-    planes = np.ascontiguousarray(np.diff(sorted_values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
-    used = [k for k in range(8) if planes[k].any()]
-    return bytes([sum(1 << k for k in used)]) + b"".join(planes[k].tobytes() for k in used)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    used = [k for k in range(8) if blob[0] >> k & 1]
-    n = (len(blob) - 1) // max(1, len(used))
-    planes = np.zeros((n, 8), np.uint8)
-    for i, k in enumerate(used):
-        planes[:, k] = np.frombuffer(blob, np.uint8, n, 1 + i * n)
-    return np.cumsum(planes.view(np.uint64).ravel())
-
-
 # --- 1. classes -----------------------------------------------------------------------
 
 
@@ -150,11 +148,11 @@ def _frequency_parts(shards: int):
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held) >> np.uint64(24))
+            values, count = np.unique(np.concatenate(held) >> np.uint64(24), return_counts=True)
             edge = np.searchsorted(values, (np.arange(1, shards, dtype=np.uint64) << np.uint64(40)) // np.uint64(shards))
-            parts = np.split(values, edge)
+            parts, counts = np.split(values, edge), np.split(count.astype(np.uint32), edge)
             full = [k for k, p in enumerate(parts) if len(p)]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_pack(parts[k]) for k in full], pa.binary())], ["shard", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(parts[k]) for k in full], pa.binary()), pa.array([pack_plain(counts[k]) for k in full], pa.binary())], ["shard", "grams", "counts"])
 
         for batch in batches:
             for grams in sets_of(batch.column(0)):
@@ -173,37 +171,46 @@ def _frequency_parts(shards: int):
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [_unpack(x) for b in batches for x in b.column(1).to_pylist()]
-    if not held:
+    grams, counts = [], []
+    for b in batches:
+        for g, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            grams.append(unpack(g))
+            counts.append(unpack_plain(c, len(grams[-1]), np.uint32))
+    if not grams:
         return
-    values = np.sort(np.concatenate(held))
-    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    count = np.diff(np.append(start, len(values)))
+    values, place = np.unique(np.concatenate(grams), return_inverse=True)
+    count = np.bincount(place, np.concatenate(counts), len(values)).astype(np.int64)
     hot = count >= HOT_FREQUENCY
-    yield pa.RecordBatch.from_arrays([pa.array(values[start[hot]].astype(np.int64)), pa.array(count[hot])], ["gram", "df"])
+    yield pa.RecordBatch.from_arrays([pa.array(values[hot].astype(np.int64)), pa.array(count[hot])], ["gram", "df"])
 
 
 # --- 3. inverted lists ----------------------------------------------------------------
 
 
 def _postings(shards: int, hot):
+    """Blocks of postings by shards of shingles; those of wide shingles by shards -1, -2, ... of classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = hot.value
+        frequent, wide = hot.value
         seen: set[int] = set()
         held, names, sizes, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
             lengths = np.fromiter(map(len, held), np.int64, len(held))
             grams = np.concatenate(held) >> np.uint64(8)
-            order = np.argsort(grams)
-            grams = grams[order]
-            name = np.repeat(np.array(names, np.int64), lengths)[order]
-            n = np.repeat(np.array(sizes, np.int32), lengths)[order]
-            cut_at = np.searchsorted(grams, (np.arange(shards + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(shards) << np.uint64(24))
-            cut_at[-1] = len(grams)
-            full = [k for k in range(shards) if cut_at[k] < cut_at[k + 1]]
-            parts = [slice(cut_at[k], cut_at[k + 1]) for k in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_pack(grams[p]) for p in parts], pa.binary()), pa.array([name[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())], ["shard", "grams", "sigs", "sizes"])
+            name = np.repeat(np.array(names, np.int64), lengths)
+            n = np.repeat(np.array(sizes, np.int32), lengths)
+            shard = ((grams >> np.uint64(24)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            if len(wide):
+                at = np.minimum(np.searchsorted(wide, grams >> np.uint64(16)), len(wide) - 1)
+                apart = wide[at] == grams >> np.uint64(16)
+                shard[apart] = -1 - (mix(name[apart].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((grams, shard))
+            grams, name, n, shard = grams[order], name[order], n[order], shard[order]
+            cut_at = np.append(edges(shard), len(grams))
+            full = shard[cut_at[:-1]].tolist()
+            parts = [slice(x, y) for x, y in zip(cut_at[:-1], cut_at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(grams[p]) for p in parts], pa.binary()), pa.array([name[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())], ["shard", "grams", "sigs", "sizes"])
 
         for batch in batches:
             for grams in sets_of(batch.column(0)):
@@ -233,12 +240,19 @@ def _postings(shards: int, hot):
 _LISTS = "list long, a long, na int, b long, nb int"
 
 
+def _members(lists: np.ndarray, sig: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lists), pa.array(sig), pa.array(n), pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int32())], ["list", "a", "na", "b", "nb"])
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of short lists (list null) and members of long ones (a is the member)."""
+    """Pairs of short lists (list null) and members of long ones (a is the member).  Postings of wide shingles are members as they come."""
     grams, sigs, sizes = [], [], []
     for b in batches:
-        for g, s, n in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            grams.append(_unpack(g))
+        for shard, g, s, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if shard < 0:
+                yield _members(unpack(g).view(np.int64), np.frombuffer(s, np.int64), np.frombuffer(n, np.int32))
+                continue
+            grams.append(unpack(g))
             sigs.append(np.frombuffer(s, np.int64))
             sizes.append(np.frombuffer(n, np.int32))
     if not grams:
@@ -277,8 +291,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(one), 1000):
             some = long[one[k : k + 1000]]
             at = np.concatenate([np.arange(start[x], start[x] + length[x]) for x in some])
-            lists = np.repeat(name[k : k + 1000].view(np.int64), length[some])
-            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(sig[at]), pa.array(n[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32())], ["list", "a", "na", "b", "nb"])
+            yield _members(np.repeat(name[k : k + 1000].view(np.int64), length[some]), sig[at], n[at])
 
 
 # --- 4. sketches ----------------------------------------------------------------------
@@ -307,11 +320,8 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
-def _list_forest(group: pa.Table) -> pa.Table:
-    """Edges that connect what may be linked in one long list (or pair of its chunks)."""
-    sig = group.column("a").to_numpy()
-    n = group.column("na").to_numpy().astype(np.int64)
-    maps = group.column("sketch").to_pylist()
+def _nearer(n: np.ndarray, maps: list[bytes]):
+    """near(k): rows whose sketches allow a link with row k."""
     width = np.fromiter(map(len, maps), np.int64, len(maps)) // 8
     by_width = {w: (rows := np.flatnonzero(width == w), np.frombuffer(b"".join(maps[k] for k in rows), np.uint64).reshape(len(rows), w)) for w in np.unique(width).tolist()}
     folded: dict[tuple[int, int], np.ndarray] = {}
@@ -329,7 +339,33 @@ def _list_forest(group: pa.Table) -> pa.Table:
             found.append(rows[ok])
         return np.concatenate(found)
 
-    return pa.table(dict(zip(("a", "b"), _cover(sig, near), strict=True)), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    return near
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _list_forest(group: pa.Table) -> pa.Table:
+    """Edges that connect what may be linked in one list."""
+    near = _nearer(group.column("na").to_numpy().astype(np.int64), group.column("sketch").to_pylist())
+    return pa.table(dict(zip(("a", "b"), _cover(group.column("a").to_numpy(), near), strict=True)), schema=_EDGES)
+
+
+def _rest_forest(group: pa.Table) -> pa.Table:
+    """Edges between the classes that ask and all classes of a chunk of a long list."""
+    return _asked(group, "a", _nearer(group.column("na").to_numpy().astype(np.int64), group.column("sketch").to_pylist()))
+
+
+def _asked(group: pa.Table, name: str, near) -> pa.Table:
+    """Edges of the rows that ask to those that near(k) gives, without circles."""
+    sig, asks = group.column(name).to_numpy(), np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False))
+    sets, a, b = Union(len(sig)), [], []
+    for k in asks.tolist():
+        for x in near(k).tolist():
+            if x != k and sets.join(k, x) and sig[x] != sig[k]:
+                a.append(int(sig[k]))
+                b.append(int(sig[x]))
+    return pa.table({"a": a, "b": b}, schema=_EDGES)
 
 
 def _cover(sig: np.ndarray, near) -> tuple[list[int], list[int]]:
@@ -358,26 +394,14 @@ def _cover(sig: np.ndarray, near) -> tuple[list[int], list[int]]:
     return [int(sig[x]) for x, _ in edges], [int(sig[y]) for _, y in edges]
 
 
-def _in_chunks(df: DataFrame, group: str, key: str, weight, most: int) -> DataFrame:
-    """df with a column `part`: groups of more than `most` weight are dealt as pairs of chunks (a row goes to as many parts as chunks)."""
-    total = df.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("_chunks"))
-    rows = df.join(sized_broadcast(total.filter("_chunks > 1")), group, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64(F.col(key)), F.col("_chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    rows = rows.withColumn("_mine", mine).withColumn("_other", other)
-    # the rows of one chunk meet in each of its pairs, so a part (i, i) is needed only where there is one chunk
-    rows = rows.filter((F.col("_chunks") == 1) | (F.col("_mine") != F.col("_other")))
-    return rows.withColumn("part", F.least("_mine", "_other") * F.col("_chunks") + F.greatest("_mine", "_other")).drop("_chunks", "_mine", "_other")
-
-
 # --- 6. exact join --------------------------------------------------------------------
 
 
 def divide_skip(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
     """Members of at least `need` of the sorted lists, and in how many each is.
 
-    The longest lists are set aside; the others are merged and counted; what can still
-    reach `need` is looked up in the long lists by binary search.
+    The longest lists are set aside; the others are merged by a heap and counted; what can
+    still reach `need` is looked up in the long lists by binary search.
     """
     none = np.zeros(0, np.int64)
     if len(lists) < need:
@@ -386,9 +410,13 @@ def divide_skip(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndar
     aside = int(need / (DIVIDE_SKIP_MU * np.log2(max(2, len(lists[-1]))) + 1))
     aside = max(0, min(need - 1, aside, len(lists) - 1))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    who, count = np.unique(np.concatenate(short), return_counts=True)
-    keep = count >= need - aside
-    who, count = who[keep], count[keep]
+    who_, count_ = [], []
+    for x, same in groupby(merge(*[x.tolist() for x in short])):  # a heap over the heads of the lists
+        c = sum(1 for _ in same)
+        if c >= need - aside:
+            who_.append(x)
+            count_.append(c)
+    who, count = np.array(who_, np.int64), np.array(count_, np.int64)
     for done, x in enumerate(long, 1):
         if not len(who):
             break
@@ -399,15 +427,13 @@ def divide_skip(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndar
     return who, count
 
 
-def _block_links(group: pa.Table) -> pa.Table:
-    """Links that connect each component of one block (or pair of its chunks)."""
-    sig = group.column("sig").to_numpy()
-    grams = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
+def _linker(grams: list[np.ndarray]):
+    """near(k): rows whose sets are linked with the set of row k, by an inverted index of all."""
     n = np.fromiter(map(len, grams), np.int64, len(grams))
     flat, doc = np.concatenate(grams), np.repeat(np.arange(len(grams)), n)
     order = np.lexsort((doc, flat))
     gram, doc = flat[order], doc[order]
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    start = edges(gram)
     ends = np.append(start[1:], len(gram))
     # number of the list of each shingle of each class, in the order of the classes
     number = np.empty(len(flat), np.int64)
@@ -421,7 +447,36 @@ def _block_links(group: pa.Table) -> pa.Table:
         who, common = divide_skip([doc[start[x] : ends[x]] for x in own.tolist()], need)
         return who[(who != k) & (common >= required(n[k], n[who]))]
 
-    return pa.table(dict(zip(("a", "b"), _cover(sig, near), strict=True)), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    return near
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """Links that connect each component of one block."""
+    near = _linker([np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()])
+    return pa.table(dict(zip(("a", "b"), _cover(group.column("sig").to_numpy(), near), strict=True)), schema=_EDGES)
+
+
+def _rest_links(group: pa.Table) -> pa.Table:
+    """Links between the classes that ask and all classes of a chunk of a large block."""
+    near = _linker([np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()])
+    return _asked(group, "sig", near)
+
+
+def _pivot_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of classes (sig, grams) with the pivots of their block (pivots: sig and grams of each)."""
+    for batch in batches:
+        a, b = [], []
+        sets: dict[int, np.ndarray] = {}
+        for name, blob, pivots in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            own = np.frombuffer(blob, np.uint64)
+            for p in pivots:
+                other = sets.setdefault(p["sig"], np.frombuffer(p["grams"], np.uint64))
+                if p["sig"] != name:
+                    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                    if (other[at] == own).sum() >= required(len(own), len(other)):
+                        a.append(name)
+                        b.append(p["sig"])
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=_EDGES)
 
 
 def _sets_in(bitmap):
@@ -457,40 +512,83 @@ def _bitmap(names: DataFrame, count: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _rest(rows: DataFrame, group: str, name: str, weight, most: int, joined: DataFrame) -> DataFrame:
+    """rows with columns part and asks: of groups whose classes are not of one component of `joined`, the classes outside the largest one (they ask), and beside each chunk of those all classes, in chunks of `most` weight."""
+    named = rows.join(joined.select(F.col("vertex").alias(name), F.col("root").alias("_root")), name, "left").withColumn("_root", F.coalesce("_root", name))
+    named = written(named)
+    sizes = named.groupBy(group, "_root").agg(F.sum(weight).alias("_n"))
+    of = sizes.groupBy(group).agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")).filter("_all > _most")
+    chunks = [F.ceil(x / most).cast("int").alias(c) for x, c in ((F.col("_all"), "_chunks"), (F.col("_all") - F.col("_most"), "_asked"))]
+    dealt = named.join(sized_broadcast(written(of.select(group, "_main", *chunks)), LARGE_GROUPS), group)
+    spread = lambda c: F.pmod(F.xxhash64(name), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asks = dealt.filter("_root <> _main").withColumns({"_i": spread("_asked"), "asks": F.lit(True)}).withColumn("_c", every("_chunks"))
+    others = dealt.withColumns({"_c": spread("_chunks"), "asks": F.lit(False)}).withColumn("_i", every("_asked"))
+    return asks.unionByName(others).select(*rows.columns, (F.col("_i").cast("long") * F.col("_chunks") + F.col("_c")).alias("part"), "asks")
+
+
+def _exact_links(sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect the components of the blocks of (sig, grams, root)."""
+    weight = F.octet_length("grams") / 8
+    pivot = F.struct("sig", "grams")
+    large = written(sets.groupBy("root").agg(F.sum(weight).alias("_all"), F.array(*[F.min_by(pivot, F.xxhash64("sig", F.lit(i))) for i in range(PIVOTS)]).alias("pivots")).filter(F.col("_all") > BLOCK_CHUNK))
+    if not large.limit(1).count():
+        return sets.groupBy("root").applyInArrow(_block_links, "a long, b long")
+    roots = sized_broadcast(large.select("root"), LARGE_GROUPS)
+    links = sets.join(roots, "root", "left_anti").groupBy("root").applyInArrow(_block_links, "a long, b long")
+    rows = sets.join(sized_broadcast(large.select("root", "pivots"), LARGE_BLOCKS), "root")
+    found = written(rows.select("sig", "grams", "pivots").mapInArrow(_pivot_links, "a long, b long"))
+    rest = _rest(sets.join(roots, "root", "left_semi"), "root", "sig", weight, BLOCK_CHUNK, components(found))
+    return links.union(found).union(rest.groupBy("root", "part").applyInArrow(_rest_links, "a long, b long"))
+
+
 def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    body = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
+    body = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
     only_text = body.select("_text")
     parts = partitions(docs)
 
-    rows = written(body.mapInArrow(_classes, "doc_id long, n_shingles long, sig long, sketch binary"))
+    schema = T.StructType([body.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("sketch", T.BinaryType())])
+    rows = written(body.mapInArrow(_classes, schema))
     classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.any_value("sketch").alias("sketch")))
 
     shards = 4 * parts
-    frequent = only_text.mapInArrow(_frequency_parts(shards), "shard int, data binary").repartition(parts, "shard").mapInArrow(_frequent, "gram long, df long")
-    top = frequent.orderBy(F.desc("df"), "gram").limit(HOT_ROWS).select("gram").collect()  # at most HOT_ROWS numbers
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top], np.int64)).astype(np.uint64))
+    frequent = only_text.mapInArrow(_frequency_parts(shards), "shard int, grams binary, counts binary").repartition(parts, "shard").mapInArrow(_frequent, "gram long, df long")
+    top = frequent.orderBy(F.desc("df"), "gram").limit(HOT_ROWS).collect()  # at most HOT_ROWS pairs of numbers
+    sorted_ = lambda x: np.sort(np.array(x, np.int64)).astype(np.uint64)
+    hot = spark.sparkContext.broadcast((sorted_([r["gram"] for r in top]), sorted_([r["gram"] for r in top if r["df"] >= WIDE])))
 
     posted = only_text.mapInArrow(_postings(shards, hot), "shard int, grams binary, sigs binary, sizes binary")
     lists = written(posted.repartition(parts, "shard").mapInArrow(_lists, _LISTS))
 
-    left = classes.select(F.col("sig").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = classes.select(F.col("sig").alias("b"), F.col("sketch").alias("sketch_b"))
-    pairs = lists.filter("list IS NULL").select("a", "na", "b", "nb").distinct()
-    close = pairs.join(left, "a").join(right, "b").select("a", "na", "sketch_a", "b", "nb", "sketch_b").mapInArrow(_close_pairs, "a long, b long")
+    sketches = classes.select(F.col("sig").alias("a"), F.col("sketch").alias("sketch"))
     members = lists.filter("list IS NOT NULL").select("list", "a", "na").distinct()
-    members = _in_chunks(members, "list", "a", F.lit(1), LIST_CHUNK).join(left.withColumnRenamed("sketch_a", "sketch"), "a")
-    forest = members.groupBy("list", "part").applyInArrow(_list_forest, "a long, b long")
-    blocks = components(close.union(forest))
+    counted = members.groupBy("list").agg(F.count("*").alias("_n"), *[F.min_by(F.struct(F.col("a").alias("b"), F.col("na").alias("nb")), F.xxhash64("a", F.lit(i))).alias(f"_pivot{i}") for i in range(PIVOTS)])
+    long = written(counted.filter(F.col("_n") > LIST_CHUNK))
+    some_long = bool(long.limit(1).count())
+
+    pairs = lists.filter("list IS NULL").select("a", "na", "b", "nb")
+    if some_long:
+        long_members = written(members.join(sized_broadcast(long.select("list", "_n", F.array(*[f"_pivot{i}" for i in range(PIVOTS)]).alias("_pivots")), LARGE_GROUPS), "list"))
+        pivoted = long_members.select("a", "na", F.explode("_pivots").alias("_pivot")).select("a", "na", "_pivot.b", "_pivot.nb").filter("a <> b AND 4 * least(na, nb) >= 3 * greatest(na, nb)")
+        pairs = pairs.union(pivoted)
+        members = members.join(sized_broadcast(long.select("list"), LARGE_GROUPS), "list", "left_anti")
+    left, right = (sketches.select(F.col("a").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    close = written(pairs.distinct().join(left, "a").join(right, "b").select("a", "na", "sketch_a", "b", "nb", "sketch_b").mapInArrow(_close_pairs, "a long, b long"))
+    forest = members.join(sketches, "a").groupBy("list").applyInArrow(_list_forest, "a long, b long")
+    linked = written(close.union(forest))
+    if some_long:
+        rest = _rest(long_members.select("list", "a", "na"), "list", "a", F.lit(1), LIST_CHUNK, components(linked)).join(sketches, "a")
+        linked = linked.union(rest.groupBy("list", "part").applyInArrow(_rest_forest, "a long, b long"))
+    blocks = components(linked)
 
     count = blocks.count()
     if count:
         bitmap = spark.sparkContext.broadcast(_bitmap(blocks, count))
         sets = only_text.mapInArrow(_sets_in(bitmap), "sig long, grams binary").join(blocks.withColumnRenamed("vertex", "sig"), "sig").dropDuplicates(["sig"])
-        dealt = _in_chunks(written(sets), "root", "sig", F.octet_length("grams") / 8, BLOCK_CHUNK)
-        links = components(dealt.groupBy("root", "part").applyInArrow(_block_links, "a long, b long"))
+        links = components(_exact_links(written(sets)))
         named = links.join(classes.select("sig", "first_id"), F.col("vertex") == F.col("sig"))
         lowest = named.groupBy("root").agg(F.min("first_id").alias("component"))
         class_of = classes.join(links.join(lowest, "root").select(F.col("vertex").alias("sig"), "component"), "sig", "left").select("sig", F.coalesce("component", "first_id").alias("component"))

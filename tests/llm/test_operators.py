@@ -199,6 +199,8 @@ def test_join_on_groups_and_chains(spark, monkeypatch, small):
         monkeypatch.setattr(ngram_join, "LIST_CHUNK", 7)
         monkeypatch.setattr(ngram_join, "BLOCK_CHUNK", 400)
         monkeypatch.setattr(ngram_join, "HOT_FREQUENCY", 4)
+        monkeypatch.setattr(ngram_join, "WIDE", 20)
+        monkeypatch.setattr(ngram_join, "LARGE_BLOCKS", 0)
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefghij") + str(rng.randrange(400))
     texts, base = {}, [word() for _ in range(60)]
@@ -221,6 +223,30 @@ def test_join_on_groups_and_chains(spark, monkeypatch, small):
     assert got == brute.components(texts)
 
 
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Thousands of near copies beside a second family that shares most of their words, in small chunks: rows dealt out stay in proportion."""
+    for name, size in (("LIST_CHUNK", 50), ("BLOCK_CHUNK", 4000), ("WIDE", 500)):
+        monkeypatch.setattr(ngram_join, name, size)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    other = base[:30] + [f"v{i}" for i in range(14)]  # 26 shingles of 36 and 40: no link
+    texts = {}
+    for i in range(2600):
+        words = list(base if i % 13 else other)
+        words[rng.randrange(5)] = f"x{i}"  # at most five shingles of the first words differ
+        texts[i] = " ".join(words)
+    dealt = []
+    real = ngram_join._rest
+    monkeypatch.setattr(ngram_join, "_rest", lambda *a: dealt.append(out := ngram_join.written(real(*a))) or out)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    small = {k: t for k, t in texts.items() if k < 150}
+    want = brute.components(small)
+    assert {k: got[k] for k in small} == {k: c for k, (_, c) in want.items()}
+    families = {True: {got[k] for k in texts if k % 13}, False: {got[k] for k in texts if not k % 13}}
+    assert all(len(x) == len({want[k][1] for k in small if bool(k % 13) == f}) for f, x in families.items())
+    assert dealt and all(d.count() < 40 * len(texts) for d in dealt)
+
+
 def test_divide_skip_counts():
     rng = np.random.default_rng(2)
     for _ in range(40):
