@@ -247,6 +247,24 @@ class Flow:
         out = Flow(self._df, order)
         return Flow(self._df.orderBy(*out._order_columns()), order)
 
+    def with_rank(self, name: str = "rank") -> Flow:
+        """The place of each row in the flow's order, from 1.
+
+        Rows are dealt to ranges of the order, numbered within them, and the ranges' sizes
+        are carried over: no task holds all rows.
+        """
+        order = self._order_columns()
+        if not order:
+            raise ValueError("a rank needs an order")
+        df = self._df
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        # persisted, so that the ranges are the same for their sizes and for their rows
+        dealt = df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()).persist()
+        before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+        starts = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        numbered = dealt.withColumn("__at", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
+        return self._with(numbered.join(F.broadcast(starts), "__range").withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__range", "__at", "__start"))
+
     def limit(self, n: int) -> Flow:
         if n < 0:
             raise ValueError("a limit is not negative")

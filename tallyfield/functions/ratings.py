@@ -1,8 +1,8 @@
 """Team ratings: Elo and Pi as ordered folds, Colley and Massey as small linear systems.
 
 A fold depends on every match before, so a league is one task (`by`); leagues run beside
-each other.  The linear systems take their counts from Spark aggregates; what comes to the
-driver is a row for each pair of teams of one league.
+each other.  The linear systems take their counts from Spark aggregates and are solved for
+each league in a task that holds a row for each pair of its teams; nothing comes to the driver.
 """
 
 from __future__ import annotations
@@ -87,43 +87,48 @@ def elo_probabilities(home_rating, away_rating, home_advantage: float = 100.0, d
     return win / (1 + tie), tie / (1 + tie), (1 - win) / (1 + tie)
 
 
-def _pairs(matches: DataFrame, home: str, away: str, home_goals: str, away_goals: str) -> pd.DataFrame:
-    """Per ordered pair of teams: games, wins, draws and goals, of both roles; a bounded table of one league."""
+def _solved(matches: DataFrame, home: str, away: str, home_goals: str, away_goals: str, by: Sequence[str], fields: str, solve) -> DataFrame:
+    """Counts for every ordered pair of teams, and solve(teams, counts) for each league: a task holds a row a pair of one league's teams."""
     row = lambda t, o, x, y: F.struct(F.col(t).cast("string").alias("team"), F.col(o).cast("string").alias("other"), F.col(x).cast("double").alias("f"), F.col(y).cast("double").alias("a"))
-    both = matches.select(F.explode(F.array(row(home, away, home_goals, away_goals), row(away, home, away_goals, home_goals))).alias("r")).select("r.*")
-    return both.groupBy("team", "other").agg(F.count("*").alias("n"), F.count_if(F.col("f") > F.col("a")).alias("won"), F.count_if(F.col("f") == F.col("a")).alias("drawn"), F.sum("f").alias("f"), F.sum("a").alias("a")).toPandas()
-
-
-def colley(matches: DataFrame, home: str, away: str, home_goals: str, away_goals: str, include_draws: bool = True, draw_weight: float = 0.5) -> DataFrame:
-    """Colley ratings: C r = b with C = 2 + games on the diagonal; a draw adds half of draw_weight to both sides."""
-    pairs = _pairs(matches, home, away, home_goals, away_goals)
-    teams = sorted(set(pairs["team"]))
-    at = {t: i for i, t in enumerate(teams)}
-    c, b = np.diag(np.full(len(teams), 2.0)), np.ones(len(teams))
-    for t, o, n, won, drawn in pairs[["team", "other", "n", "won", "drawn"]].itertuples(index=False):
-        i, j = at[t], at[o]
-        c[i, i] += n
-        c[i, j] -= n
+    both = matches.select(*by, F.explode(F.array(row(home, away, home_goals, away_goals), row(away, home, away_goals, home_goals))).alias("r")).select(*by, "r.*")
+    pairs = both.groupBy(*by, "team", "other").agg(F.count("*").alias("n"), F.count_if(F.col("f") > F.col("a")).alias("won"), F.count_if(F.col("f") == F.col("a")).alias("drawn"), F.sum("f").alias("f"), F.sum("a").alias("a"))
+    schema = T.StructType([matches.schema[c] for c in by] + [T.StructField("team", T.StringType()), *T._parse_datatype_string(fields).fields])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        teams = sorted(set(pdf["team"]))
+        at = {t: i for i, t in enumerate(teams)}
+        counts = {c: np.zeros((len(teams), len(teams))) for c in ("n", "won", "drawn", "f", "a")}
+        where = pdf["team"].map(at).to_numpy(), pdf["other"].map(at).to_numpy()
+        for c, m in counts.items():
+            m[where] = pdf[c].to_numpy()
+        out = pd.DataFrame({"team": teams, **solve(**counts)})
+        for k, c in enumerate(by):
+            out.insert(k, c, [pdf[c].iloc[0]] * len(teams))
+        return out
+
+    return pairs.groupBy(*by).applyInPandas(run, schema)
+
+
+def colley(matches: DataFrame, home: str, away: str, home_goals: str, away_goals: str, include_draws: bool = True, draw_weight: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """Colley ratings of each league: C r = b with C = 2 + games on the diagonal; a draw adds half of draw_weight to both sides."""
+
+    def solve(n, won, drawn, f, a):
+        c = np.diag(2 + n.sum(1)) - n
         lost = n - won - drawn
-        b[i] += (won - lost) / 2 + (drawn * draw_weight / 2 if include_draws else 0.0)
-    rating = np.linalg.solve(c, b) if teams else np.zeros(0)
-    return matches.sparkSession.createDataFrame([(t, float(r)) for t, r in zip(teams, rating, strict=True)], "team string, rating double")
-
-
-def massey(matches: DataFrame, home: str, away: str, home_goals: str, away_goals: str) -> DataFrame:
-    """Massey ratings by least squares with a zero sum, and their offence and defence parts."""
-    pairs = _pairs(matches, home, away, home_goals, away_goals)
-    teams = sorted(set(pairs["team"]))
-    at = {t: i for i, t in enumerate(teams)}
-    games, meet, diff, scored = (np.zeros(len(teams)), np.zeros((len(teams), len(teams))), np.zeros(len(teams)), np.zeros(len(teams)))
-    for t, o, n, f, a in pairs[["team", "other", "n", "f", "a"]].itertuples(index=False):
-        games[at[t]] += n
-        meet[at[t], at[o]] += n
-        diff[at[t]] += f - a
-        scored[at[t]] += f
-    m = np.diag(games) - meet
-    rating = np.linalg.lstsq(np.vstack([m, np.ones(len(teams))]), np.append(diff, 0.0), rcond=None)[0] if teams else np.zeros(0)
-    # (T + P) d = T r - f, with T the games and P the meetings
-    defence = np.linalg.lstsq(np.diag(games) + meet, games * rating - scored, rcond=None)[0] if teams else np.zeros(0)
-    rows = [(t, float(r), float(r - d), float(d)) for t, r, d in zip(teams, rating, defence, strict=True)]
-    return matches.sparkSession.createDataFrame(rows, "team string, rating double, offence double, defence double")
+        b = 1 + ((won - lost) / 2 + (drawn * draw_weight / 2 if include_draws else 0.0)).sum(1)
+        return {"rating": np.linalg.solve(c, b)}
+
+    return _solved(matches, home, away, home_goals, away_goals, by, "rating double", solve)
+
+
+def massey(matches: DataFrame, home: str, away: str, home_goals: str, away_goals: str, by: Sequence[str] = ()) -> DataFrame:
+    """Massey ratings of each league by least squares with a zero sum, and their offence and defence parts."""
+
+    def solve(n, won, drawn, f, a):
+        games, diff, scored = n.sum(1), (f - a).sum(1), f.sum(1)
+        rating = np.linalg.lstsq(np.vstack([np.diag(games) - n, np.ones(len(n))]), np.append(diff, 0.0), rcond=None)[0]
+        # (T + P) d = T r - f, with T the games and P the meetings
+        defence = np.linalg.lstsq(np.diag(games) + n, games * rating - scored, rcond=None)[0]
+        return {"rating": rating, "offence": rating - defence, "defence": defence}
+
+    return _solved(matches, home, away, home_goals, away_goals, by, "rating double, offence double, defence double", solve)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,44 +65,79 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(weigh(F.array_intersect(x, y)) / weigh(F.array_union(x, y)))
 
 
+#: Pairs that are compared together.
+PAIRS = 4096
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words, padded, and their lengths."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.zeros((len(words), max(1, size.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, size
+
+
+def jaro_array(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro similarity of pairs: letters within half the longer length match once each; two matches out of order are one transposition."""
+    x, m = _codes(a)
+    y, n = _codes(b)
+    rows, place = np.arange(len(a)), np.arange(y.shape[1])
+    reach = np.maximum(m, n) // 2 - 1
+    used, hit = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        near = (np.abs(place - i) <= reach[:, None]) & (place < n[:, None]) & (i < m)[:, None]
+        ok = near & (y == x[:, i : i + 1]) & ~used
+        first = ok.argmax(1)
+        hit[:, i] = ok[rows, first]
+        used[rows[hit[:, i]], first[hit[:, i]]] = True
+    matches = hit.sum(1)
+    left, right = np.zeros((len(a), x.shape[1]), np.uint32), np.zeros((len(a), x.shape[1]), np.uint32)
+    for out, codes, mask in ((left, x, hit), (right, y, used)):
+        row, col = np.nonzero(mask)
+        out[row, (np.cumsum(mask, 1) - 1)[row, col]] = codes[row, col]
+    swapped = (left != right).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(matches > 0, (matches / m + matches / n + (matches - swapped) / matches) / 3, 0.0)
+    same = np.fromiter((p == q for p, q in zip(a, b, strict=True)), bool, len(a))
+    return np.where(same, 1.0, score)
+
+
+def jaro_winkler_array(a: list[str], b: list[str], scale: float = 0.1) -> np.ndarray:
+    score = jaro_array(a, b)
+    prefix, alike = np.zeros(len(a)), np.ones(len(a), bool)
+    for k in range(4):
+        alike &= np.fromiter((p[k : k + 1] == q[k : k + 1] != "" for p, q in zip(a, b, strict=True)), bool, len(a))
+        prefix += alike
+    return score + prefix * scale * (1 - score)
+
+
 def jaro_value(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    used, matched = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                matched.append(c)
-                break
-    if not matched:
-        return 0.0
-    other = [c for c, u in zip(b, used, strict=True) if u]
-    m, half = len(matched), sum(x != y for x, y in zip(matched, other, strict=True)) / 2
-    return (m / len(a) + m / len(b) + (m - half) / m) / 3
+    return float(jaro_array([a], [b])[0])
 
 
 def jaro_winkler_value(a: str, b: str, scale: float = 0.1) -> float:
-    score, prefix = jaro_value(a, b), 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return score + prefix * scale * (1 - score)
+    return float(jaro_winkler_array([a], [b], scale)[0])
+
+
+def _in_batches(a: pd.Series, b: pd.Series, compare) -> pd.Series:
+    """compare of the pairs that differ, those of like length together; null beside a null."""
+    pairs = pd.DataFrame({"a": a, "b": b})
+    known = pairs.dropna().drop_duplicates()
+    known = known.iloc[(known["a"].str.len() + known["b"].str.len()).argsort(kind="stable")]
+    scores = [compare(known["a"].iloc[k : k + PAIRS].tolist(), known["b"].iloc[k : k + PAIRS].tolist()) for k in range(0, len(known), PAIRS)]
+    known = known.assign(score=np.concatenate(scores) if scores else np.zeros(0))
+    return pairs.merge(known, on=["a", "b"], how="left")["score"].astype("float64")
 
 
 @pandas_udf(DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_value(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _in_batches(a, b, jaro_array)
 
 
 @pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro with a bonus for up to four equal first letters, at any score."""
-    return pd.Series([None if x is None or y is None else jaro_winkler_value(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _in_batches(a, b, jaro_winkler_array)
 
 
 def snake_case(name: str) -> str:

@@ -14,8 +14,6 @@ from pyspark.sql.window import Window as W
 from tallyfield.functions.aggregates import Frame, Spec, resolve as resolve_spec
 from tallyfield.functions.paths import get_field, resolve
 
-#: Rows of one group and instant that keep their order apart in a time frame.
-PEERS = 1024
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
@@ -75,8 +73,8 @@ def rolling(df: DataFrame, keys: Sequence[str], window: int | str, aggregators:
     """Aggregates over the last `window` rows, or the last time span, of each group.
 
     A time frame is [t - span, t] and sees of rows at the same instant only those that come
-    before in row order.  For that, frames range over a number made of the instant and the
-    row's place among its peers.  Rows come out where the frame has min_periods rows and,
+    before in row order.  For that, frames range over twice the instant, and the row's place
+    among its peers in decimals (below 1 for up to ten thousand million peers).  Rows come out where the frame has min_periods rows and,
     with a step, at every step-th row of the group.
     """
     parts = [get_field(df, k) for k in keys]
@@ -92,11 +90,10 @@ def rolling(df: DataFrame, keys: Sequence[str], window: int | str, aggregators:
         at = instant_micros(df, time_field)
         df = df.filter(at.isNotNull())
         peers = W.partitionBy(*parts, at).orderBy(*order)
-        place = F.row_number().over(peers) - 1
-        place = F.when(place < PEERS, place).otherwise(F.raise_error(F.lit(f"more than {PEERS} rows of one group at one instant")).cast("int"))
-        df = df.withColumn("__at", at * (2 * PEERS) + place)
+        place = (F.row_number().over(peers) - 1).cast("decimal(12,0)") * F.lit("0.0000000001").cast("decimal(10,10)")
+        df = df.withColumn("__at", ((at * 2).cast("decimal(20,0)") + place).cast("decimal(32,10)"))
         ordered = W.partitionBy(*parts).orderBy("__at")
-        frame = ordered.rangeBetween(-(span * 2 * PEERS + PEERS - 1), 0)
+        frame = ordered.rangeBetween(-(2 * span + 1), 0)
     out = df.withColumns(aggregate_columns(df, aggregators, Frame(frame)) | {"__n": F.count(F.lit(1)).over(frame), "__i": F.row_number().over(ordered)})
     out = out.filter(F.col("__n") >= min_periods)
     if step:

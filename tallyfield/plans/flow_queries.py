@@ -177,9 +177,9 @@ def join_full(spark, d):
     return a.join(b, on="k", how="outer").df
 
 
-@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def join_anti(spark, d):
-    return flow(spark, d, "customer").select("c_custkey").join(flow(spark, d, "orders").select("o_custkey"), left_on="c_custkey", right_on="o_custkey", how="anti").df
+    return flow(spark, d, "customer").select("c_custkey").join(flow(spark, d, "orders").filter(where_gt("o_totalprice", 250000)).select("o_custkey"), left_on="c_custkey", right_on="o_custkey", how="anti").df
 
 
 @query("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
@@ -212,9 +212,9 @@ def join_coerced_auto(spark, d):
     return flow(spark, d, "nation").select("n_nationkey", "n_regionkey").join(r, left_on="n_regionkey", right_on="key", how="inner", type_coercion="auto").select("n_nationkey", "r_name").df
 
 
-@query("join_null_safe", "WITH a AS (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id < 50), b AS (SELECT * FROM (VALUES (0, 'bad'), (1, 'good'), (NULL, 'none')) v(q, word)) SELECT a.doc_id, b.word FROM a JOIN b ON a.quality IS NOT DISTINCT FROM b.q")
+@query("join_null_safe", "WITH a AS (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)), b AS (SELECT * FROM (VALUES (0, 'bad'), (1, 'good'), (NULL, 'none')) v(q, word)) SELECT a.doc_id, b.word FROM a JOIN b ON a.quality IS NOT DISTINCT FROM b.q")
 def join_null_safe(spark, d):
-    a = flow(spark, d, "documents").filter(where_lt("doc_id", 50)).select("doc_id").join(flow(spark, d, "labels"), on="doc_id").select("doc_id", "quality")
+    a = flow(spark, d, "documents").select("doc_id").join(flow(spark, d, "labels"), on="doc_id").select("doc_id", "quality")
     b = Flow(spark.createDataFrame([(0, "bad"), (1, "good"), (None, "none")], "q int, word string"))
     return a.join(b, left_on="quality", right_on="q", how="inner").select("doc_id", "word").df
 
@@ -406,11 +406,10 @@ def time_bucket_numeric(spark, d):
 # --- order, samples, sets
 
 
-@query("sort_mixed_nulls", "SELECT doc_id, rank FROM (SELECT d.doc_id, row_number() OVER (ORDER BY l.quality DESC NULLS LAST, l.toxic ASC NULLS LAST, d.doc_id) AS rank FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE rank <= 100")
+@query("sort_mixed_nulls", "SELECT d.doc_id, row_number() OVER (ORDER BY l.quality DESC NULLS LAST, l.toxic ASC NULLS LAST, d.doc_id) AS rank FROM documents d LEFT JOIN labels l USING (doc_id)")
 def sort_mixed_nulls(spark, d):
-    top = flow(spark, d, "documents").select("doc_id").join(flow(spark, d, "labels"), on="doc_id").sort_by("quality", "toxic", "doc_id", ascending=[False, True, True]).limit(100)
-    # the number of a row is asked for only among the hundred that are left
-    return top.df.withColumn("rank", F.row_number().over(W.orderBy(F.col("quality").desc_nulls_last(), F.col("toxic").asc_nulls_last(), "doc_id")).cast("long")).select("doc_id", "rank")
+    rows = flow(spark, d, "documents").select("doc_id").join(flow(spark, d, "labels"), on="doc_id").sort_by("quality", "toxic", "doc_id", ascending=[False, True, True])
+    return rows.with_rank("rank").select("doc_id", "rank").df
 
 
 @query("limit_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

@@ -31,7 +31,8 @@ BASE: dict[str, str] = {
     "match_source_ids": "SELECT 's' || CAST(k AS VARCHAR(9)) AS source, CAST(o_orderkey AS VARCHAR(20)) AS source_id, CAST(o_orderkey AS VARCHAR(20)) AS match_id FROM (SELECT *, 1 AS k FROM orders UNION ALL SELECT *, 2 AS k FROM orders) r WHERE o_orderkey % 3 <> k",
     "match_quarantine": "SELECT 's' AS source, CAST(o_orderkey AS VARCHAR(20)) AS source_id FROM orders WHERE o_orderkey % 5000 = 77",
     "team_season_membership": "SELECT DISTINCT CAST(o_custkey AS VARCHAR(20)) AS team_id, o_orderpriority AS competition_id, CAST(year(o_orderdate) AS VARCHAR(9)) AS season_id FROM orders",
-    "ingestion_runs": "SELECT DISTINCT 'r' || CAST(o_orderkey % 5 AS VARCHAR(9)) AS ingestion_run_id FROM orders",
+    "ingestion_runs": "SELECT DISTINCT 'r' || CAST(o_orderkey % 5 AS VARCHAR(9)) AS ingestion_run_id, 's' AS source, o_orderpriority AS competition_id FROM orders",
+    "source_coverage": "SELECT DISTINCT 's' AS source, o_orderpriority AS competition_id FROM orders WHERE o_orderpriority <> '5-LOW'",
     "seasons": "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR(9)) AS season_id, CAST(CAST(year(o_orderdate) AS VARCHAR(9)) || '-01-15' AS DATE) AS start_date, CAST(CAST(year(o_orderdate) AS VARCHAR(9)) || '-12-15' AS DATE) AS end_date FROM orders",
     "bookmakers": "SELECT DISTINCT 'b' || CAST(event_id % 4 AS VARCHAR(9)) AS bookmaker_id, event_id % 4 = 0 AS is_reference FROM events",
     "odds_observations": """SELECT CAST(event_id AS VARCHAR(20)) AS observation_id, CAST(user_id AS VARCHAR(20)) AS match_id, 'b' || CAST(event_id % 4 AS VARCHAR(9)) AS bookmaker_id,

@@ -32,7 +32,9 @@ def constrain(requests: DataFrame, cohort: Sequence[str], stake: str, available:
     if policy == "reject":
         beyond = F.lit(0).cast("decimal(18,2)")
     elif policy == "pro_rata":
-        beyond = cents(ask * (have / F.nullif(total, F.lit(0).cast("decimal(28,10)"))))
+        small = lambda x: F.round(x * 100, 0).cast("decimal(18,0)")  # noqa: E731  whole cents
+        part, all_ = small(cents(ask)) * small(have), F.nullif(small(total), F.lit(0).cast("decimal(18,0)"))
+        beyond = (((part - part % all_) / all_).cast("decimal(18,0)").cast("decimal(20,2)") / 100).cast("decimal(18,2)")  # the quotient is whole
     else:
         if rank is None:
             raise ValueError("truncate needs a rank")

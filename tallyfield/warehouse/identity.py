@@ -39,5 +39,5 @@ def proposals(unresolved: DataFrame, teams: DataFrame, least: float = 0.80, most
     left = unresolved.select("source", "raw_name", "country").distinct()
     pairs = left.join(teams.select("team_id", "canonical_name", "country").distinct(), "country")
     scored = pairs.select("*", *similarity(F.col("raw_name"), F.col("canonical_name"))).filter(F.col("score") >= least)
-    own = W.partitionBy("source", "raw_name", "country").orderBy(F.desc("score"), "canonical_name", "team_id")
+    own = W.partitionBy("source", "raw_name", "country").orderBy(F.desc(F.round("score", 9)), "canonical_name", "team_id")
     return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= most)

@@ -92,14 +92,31 @@ def two_sided(z: Column) -> Column:
     return erfc(z)
 
 
-def benjamini_hochberg(results: DataFrame, p: str = "p_value", q: float = 0.10, by: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> DataFrame:
-    """results with q_value and discovery.  A family of tests is small: its size is a number of situations, not of rows."""
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    ranked = results.withColumns({"_rank": F.row_number().over(part.orderBy(p, *tie)), "_m": F.count("*").over(part)})
-    tail = part.orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0)
-    ranked = ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(tail)))
-    last = F.max(F.when(F.col(p) <= F.lit(q) * F.col("_rank") / F.col("_m"), F.col("_rank"))).over(part)
-    return ranked.withColumn("discovery", F.coalesce(F.col("_rank") <= last, F.lit(False))).drop("_rank", "_m")
+#: Bins of p values for each halving.
+BINS = 64
+
+
+def benjamini_hochberg(results: DataFrame, p: str = "p_value", q: float = 0.10, by: tuple[str, ...] = ()) -> DataFrame:
+    """results with q_value and discovery, for families of any size; null p values have neither.
+
+    Equal p values have one q value, so values are counted first.  They are ranked in bins
+    of their logarithm (at most 1075 * BINS of them a family), and the bins' counts and least
+    values are carried over from bin to bin: no task holds a family.
+    """
+    family = (F.struct(*[F.col(f"`{c}`") for c in by]) if by else F.lit(0)).alias("_family")
+    named = results.select("*", family, F.col(p).cast("double").alias("_p"))
+    bin_ = F.when(F.col("_p") <= 0, F.lit(-1076 * BINS)).otherwise(-F.floor(-F.log2("_p") * BINS)).cast("long")
+    values = named.filter("_p IS NOT NULL").groupBy("_family", "_p").agg(F.count("*").alias("_n")).withColumn("_bin", bin_)
+    of = W.partitionBy("_family").orderBy("_bin")
+    bins = values.groupBy("_family", "_bin").agg(F.sum("_n").alias("_n"))
+    bins = bins.select("_family", "_bin", (F.sum("_n").over(of) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy("_family")).alias("_m"))
+    own = W.partitionBy("_family", "_bin").orderBy("_p")
+    ranked = values.join(bins, ["_family", "_bin"]).withColumn("_rank", F.col("_before") + F.sum("_n").over(own)).withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank"))
+    after = ranked.groupBy("_family", "_bin").agg(F.min("_v").alias("_v")).select("_family", "_bin", F.min("_v").over(W.partitionBy("_family").orderBy("_bin").rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    last = ranked.groupBy("_family").agg(F.max(F.when(F.col("_p") <= F.lit(q) * F.col("_rank") / F.col("_m"), F.col("_rank"))).alias("_last"))
+    least = F.least(F.lit(1.0), F.min("_v").over(own.rowsBetween(0, W.unboundedFollowing)), F.col("_after"))
+    judged = ranked.join(after, ["_family", "_bin"]).join(last, "_family").select("_family", "_p", least.alias("q_value"), F.coalesce(F.col("_rank") <= F.col("_last"), F.lit(False)).alias("discovery"))
+    return named.join(judged, ["_family", "_p"], "left").select(*[F.col(f"`{c}`") for c in results.columns], "q_value", "discovery")
 
 
 # --- event study ----------------------------------------------------------------------

@@ -175,7 +175,7 @@ def test_shock_and_did(spark):
 def test_scan_finds_a_planted_bias(spark):
     rows = [(i, "HOME" if (i % 10 < (7 if i % 2 else 4)) else "DRAW", 0.4, 0.3, 0.3, i % 2) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, outcome string, p_home double, p_draw double, p_away double, odd int")
-    got = research.benjamini_hochberg(research.scan(df, {"odd": ("odd = 1", "p", False)}), tie=("selection",)).collect()
+    got = research.benjamini_hochberg(research.scan(df, {"odd": ("odd = 1", "p", False)})).collect()
     home = next(r for r in got if r["selection"] == "HOME")
     assert home["discovery"] and home["delta"] > 0.15 and len(got) == 3
 
