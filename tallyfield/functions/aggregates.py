@@ -149,11 +149,15 @@ def percentile(field: str, q: float, approximate: bool = False) -> Spec:
 
 
 def custom(func: Callable[[list[dict[str, Any]]], Any], returns: str | T.DataType, *fields: str) -> Spec:
-    """A Python function of a group's rows (dicts of `fields`, in row order if there is one): the slow path."""
+    """A Python function of a group's rows (dicts of `fields`, in row order if there is one), in Arrow batches: the slow path.
+
+    A group comes to the function as one list, so it must fit a task's memory; use named
+    aggregates or `register` a Column for groups of any size.
+    """
     def build(c: Column, k: T.DataType, f: Frame) -> Column:
         row = F.struct(*[F.col(f"`{x}`") for x in fields])
         rows = f.run(F.collect_list(row)) if f.over is not None or f._order is None else _listed(row, f)
-        return F.udf(lambda got: func([r.asDict(recursive=True) for r in got]), returns)(rows)
+        return F.udf(lambda got: func([r.asDict(recursive=True) for r in got or []]), returns, useArrow=True)(rows)
 
     return Spec(build, None)
 

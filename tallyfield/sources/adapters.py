@@ -20,9 +20,10 @@ def _text(df: DataFrame, name: str) -> Column:
 
 
 def _day(text: Column) -> Column:
-    """dd/mm/yyyy or dd/mm/yy."""
+    """dd/mm/yyyy or dd/mm/yy, in which 69 to 99 are of the last century."""
     long = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(text, F.lit("d/M/yyyy")))
-    return F.to_date(F.coalesce(long, F.try_to_timestamp(text, F.lit("d/M/yy"))))
+    short = F.to_date(F.try_to_timestamp(text, F.lit("d/M/yy")))
+    return F.coalesce(F.to_date(long), F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short))
 
 
 def read_results_csv(spark: SparkSession, path: str, source: str = "footballdata", competition: str | None = None, season: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import importlib
 import json
 import os
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,16 +99,22 @@ class _Reader(DataSourceReader):
         page, size = 1, int(self.options.get("page_size", PAGE_SIZE))
         while (body := self._fetch(page)) is not None:
             yield page, body
-            if len(_records(body)) < size:
+            if len(_records(body, [x for x in self.options.get("places", "").split(",") if x])) < size:
                 return
             page += 1
 
 
-def _records(body: str) -> list[Any]:
-    """The list a page holds: itself, or its one list."""
+def _records(body: str, places: Sequence[str] = ()) -> list[Any]:
+    """The list a page holds: itself, that at the first of the places that has one, or its longest list."""
     got = json.loads(body)
     if isinstance(got, list):
         return got
+    for place in places:
+        found = got
+        for part in place.split("."):
+            found = found.get(part) if isinstance(found, dict) else None
+        if isinstance(found, list):
+            return found
     lists = [v for v in got.values() if isinstance(v, list)] if isinstance(got, dict) else []
     return max(lists, key=len, default=[])
 

@@ -149,6 +149,9 @@ def player_careers(df: DataFrame) -> DataFrame:
 
 
 def referees(df: DataFrame) -> DataFrame:
+    """Referees of a document, or of its stages."""
+    if many(df, "stage") is not None:
+        df = items(df, "stage")
     return items(df, "referee")
 
 
