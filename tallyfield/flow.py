@@ -29,6 +29,33 @@ from tallyfield.sources import files, records
 ORDINAL = "__ordinal"
 
 
+class PerRow:
+    """A Python function of a row (a dict) or of a value, with the type it returns: the slow path, in Arrow batches."""
+
+    def __init__(self, func: Callable[[Any], Any], returns: str | T.DataType):
+        self.func, self.returns = func, returns
+
+    def over_rows(self, df: DataFrame) -> Column:
+        func = self.func
+        return F.udf(lambda row: func(row.asDict(recursive=True)), self.returns, useArrow=True)(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+
+    def over_value(self, value: Column) -> Column:
+        func = self.func
+
+        def convert(x: Any) -> Any:
+            try:
+                return None if x is None else func(x)
+            except (TypeError, ValueError):
+                return None
+
+        return F.udf(convert, self.returns, useArrow=True)(value)
+
+
+def per_row(func: Callable[[Any], Any], returns: str | T.DataType) -> PerRow:
+    """For `assign` a function of the row as a dict, for `cast` one of the value (null where it fails)."""
+    return PerRow(func, returns)
+
+
 class Flow:
     """An immutable pipeline; every method gives a new one and nothing runs before an action."""
 
@@ -130,8 +157,9 @@ class Flow:
         hidden = [F.col(ORDINAL)] if ORDINAL in self._df.columns else []
         return self._with(self._df.select(*[build(k, v) for k, v in flat.items()], *hidden))
 
-    def assign(self, **fields: Column | Callable[[DataFrame], Column]) -> Flow:
-        """New or replaced columns; all of them see the row as it was.  A name with __ for a dot sets a nested field."""
+    def assign(self, **fields: Column | Callable[[DataFrame], Column] | PerRow) -> Flow:
+        """New or replaced columns; all of them see the row as it was.  `per_row(func, type)` computes one in Python."""
+        fields = {k: v.over_rows(self.df) if isinstance(v, PerRow) else v for k, v in fields.items()}
         values = {k: v(self._df) if callable(v) and not isinstance(v, Column) else v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
         return self._with(self._df.withColumns(values))
 
@@ -204,9 +232,10 @@ class Flow:
             return self
         return self._with(self._df.withColumns({name: F.get(found[0], F.lit(i)) for i, name in enumerate(into)}))
 
-    def cast(self, **types: str | T.DataType) -> Flow:
-        """Change types; what cannot be read becomes null."""
-        return self._with(self._df.withColumns({k: paths.get_field(self._df, k).try_cast(v) for k, v in types.items()}))
+    def cast(self, **types: str | T.DataType | PerRow) -> Flow:
+        """Change types; what cannot be read becomes null.  `per_row(func, type)` converts the field's values in Python."""
+        to = lambda k, v: v.over_value(paths.get_field(self._df, k)) if isinstance(v, PerRow) else paths.get_field(self._df, k).try_cast(v)
+        return self._with(self._df.withColumns({k: to(k, v) for k, v in types.items()}))
 
     def with_schema(self, schema: Mapping[str, str | T.DataType], strict: bool = False, drop_extra: bool = False) -> Flow:
         """Cast fields to a schema; strict raises on values that cannot be read, else they become null."""

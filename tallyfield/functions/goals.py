@@ -283,3 +283,41 @@ def goal_expectancy(home: float, draw: float, away: float, rho: float = 0.0, mos
 
     x, value = minimise(loss, np.log([1.4, 1.1]), tolerance=1e-9)
     return math.exp(x[0]), math.exp(x[1]), value
+
+
+def _three_way(home: np.ndarray, away: np.ndarray, rho: float, most: int) -> np.ndarray:
+    """(home, draw, away) probabilities of score grids, a row a pair of means."""
+    k = np.arange(most + 1)
+    log_factorial = np.cumsum(np.log(np.maximum(k, 1)))
+    p, q = (np.exp(k * np.log(m)[:, None] - m[:, None] - log_factorial) for m in (home, away))
+    grid = p[:, :, None] * q[:, None, :]
+    for (h, a), tau in {(0, 0): 1 - home * away * rho, (0, 1): 1 + home * rho, (1, 0): 1 + away * rho, (1, 1): np.full(len(home), 1 - rho)}.items():
+        grid[:, h, a] *= np.maximum(tau, 0)
+    grid /= grid.sum((1, 2), keepdims=True)
+    return np.stack([(grid * np.tri(most + 1, k=-1)).sum((1, 2)), np.trace(grid, axis1=1, axis2=2), (grid * np.tri(most + 1, k=-1).T).sum((1, 2))], 1)
+
+
+def expected_goals(home, draw, away, rho: float = 0.0, most: int = 12, steps: int = 60):
+    """Column of (home, away, error): the goal means whose grid gives three probabilities; Newton steps for whole batches.  Null or impossible probabilities give null."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("home double, away double, error double")
+    def solve(h: pd.Series, d: pd.Series, a: pd.Series) -> pd.DataFrame:
+        want = np.stack([x.to_numpy(float) for x in (h, d, a)], 1)
+        good = np.isfinite(want).all(1) & (want >= 0).all(1) & (want.sum(1) > 0)
+        want = np.where(good[:, None], want, 1.0)
+        want /= want.sum(1, keepdims=True)
+        x = np.tile(np.log([1.4, 1.1]), (len(want), 1))
+        gap = lambda at: _three_way(np.exp(at[:, 0]), np.exp(at[:, 1]), rho, most)[:, [0, 2]] - want[:, [0, 2]]
+        for _ in range(steps):
+            now = gap(x)
+            slope = np.stack([(gap(x + e) - gap(x - e)) / 2e-6 for e in np.eye(2) * 1e-6], 2)
+            move = np.linalg.solve(slope + np.eye(2) * 1e-12, now[:, :, None])[:, :, 0]
+            x = np.clip(x - np.clip(move, -0.5, 0.5), -8, 3)
+            if np.abs(move).max(initial=0) < 1e-13:
+                break
+        error = ((_three_way(np.exp(x[:, 0]), np.exp(x[:, 1]), rho, most) - want) ** 2).mean(1)
+        hide = lambda v: np.where(good, v, np.nan)
+        return pd.DataFrame({"home": hide(np.exp(x[:, 0])), "away": hide(np.exp(x[:, 1])), "error": hide(error)}).astype(object).where(lambda f: f.notna(), None)
+
+    return solve(home, draw, away)

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 STATES = ("WIN", "HALF_WIN", "PUSH", "HALF_LOSE", "LOSE")
 
@@ -288,3 +291,50 @@ def hedge_stakes(stakes: Column, odds: Column, hedge_odds: Column) -> Column:
 def value_bet(probability: Column, odds: Column, least: float = 0.0) -> Column:
     """Whether a price pays more than the probability asks."""
     return probability * odds - 1 > least
+
+
+def kelly_independent(probabilities: Column, odds: Column, fraction: float = 1.0, most: int = 12) -> Column:
+    """Stakes on independent events at once that maximise expected log growth, in Arrow batches.
+
+    Growth is taken over all 2^n results of n events (n up to `most`); its maximum under
+    stakes of 0 and more that together leave something comes from projected Newton steps.
+    """
+    @pandas_udf("array<double>")
+    def stakes(p: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else (_independent(np.asarray(x, float), np.asarray(y, float), most) * fraction).tolist() for x, y in zip(p, o, strict=True)])
+
+    return stakes(probabilities, odds)
+
+
+def _independent(p: np.ndarray, o: np.ndarray, most: int) -> np.ndarray:
+    n = len(p)
+    if n != len(o) or n > most:
+        raise ValueError(f"as many prices as probabilities, at most {most}")
+    won = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    chance = np.where(won, p, 1 - p).prod(1)
+    gain = np.where(won, o - 1, -1.0)
+    open_ = p * o > 1
+    f = np.where(open_, np.maximum((p * o - 1) / np.maximum(o - 1, 1e-12), 0) / max(1, n), 0.0)
+
+    def growth(x):
+        wealth = 1 + gain @ x
+        return -np.inf if wealth[chance > 0].min() <= 1e-12 else float(chance @ np.log(np.maximum(wealth, 1e-300)))
+
+    for _ in range(200):
+        wealth = 1 + gain @ f
+        slope = (chance / wealth) @ gain
+        free = (f > 0) | (slope > 0)
+        free &= open_
+        if not free.any() or np.abs(slope[free & (f > 0)]).max(initial=0) < 1e-13 and not (slope[(f <= 0) & open_] > 1e-13).any():
+            break
+        bend = -(gain[:, free] * (chance / wealth**2)[:, None]).T @ gain[:, free]
+        step = np.zeros(n)
+        step[free] = -np.linalg.solve(bend - 1e-14 * np.eye(free.sum()), slope[free])
+        size, now = 1.0, growth(f)
+        while size > 1e-12 and not growth(np.maximum(f + size * step, 0)) >= now:
+            size /= 2
+        moved = np.maximum(f + size * step, 0)
+        if np.abs(moved - f).max() < 1e-15:
+            break
+        f = moved
+    return f

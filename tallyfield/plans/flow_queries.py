@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyfield.flow import Flow
+from tallyfield.flow import Flow, per_row
 from tallyfield.functions import paths
-from tallyfield.functions.aggregates import percentile
+from tallyfield.functions.aggregates import custom, names as aggregate_names, percentile, register
 from tallyfield.functions.predicates import where_contains, where_endswith, where_equals, where_exists, where_gt, where_gte, where_in, where_is_null, where_lt, where_lte, where_not_equals, where_not_in, where_regex_match, where_startswith
 from tallyfield.operators.joins import interval_join, latest_as_of
 from tallyfield.plans.registry import flow, query, table
@@ -464,3 +464,89 @@ def except_all(spark, d):
 @query("intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def intersect(spark, d):
     return flow(spark, d, "orders").rename(o_custkey="k").select("k").intersect(flow(spark, d, "customer").filter(where_gt("c_acctbal", 0)).rename(c_custkey="k").select("k")).df
+
+
+# --- rows in Python, schemas, groups, further forms of the query language
+
+
+@query("map_rows", "SELECT n_nationkey * 2 AS twice, upper(substr(n_name, 1, 3)) AS short FROM nation WHERE n_regionkey <> 2")
+def map_rows(spark, d):
+    def change(row):
+        return None if row["n_regionkey"] == 2 else {"twice": row["n_nationkey"] * 2, "short": row["n_name"][:3].upper()}
+
+    return flow(spark, d, "nation").map(change, "twice long, short string").df
+
+
+@query("assign_per_row", "SELECT c_custkey, c_name || '/' || c_mktsegment AS label, round(c_acctbal * 2, 2) AS double_balance, length(c_name) AS c_name FROM customer")
+def assign_per_row(spark, d):
+    f = flow(spark, d, "customer").assign(label=per_row(lambda r: f"{r['c_name']}/{r['c_mktsegment']}", "string"), double_balance=F.round(F.col("c_acctbal") * 2, 2))
+    return f.cast(c_name=per_row(len, "long")).select("c_custkey", "label", "double_balance", "c_name").df
+
+
+@query("pipe_steps", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY o_orderpriority HAVING count(*) > 2")
+def pipe_steps(spark, d):
+    dear = lambda f, least: f.filter(where_gt("o_totalprice", least))
+    return flow(spark, d, "orders").pipe(dear, 200000).group_by("o_orderpriority").summary({"n": "count"}).pipe(lambda f: f.filter(where_gt("n", 2))).df
+
+
+@query("with_schema", "SELECT p_partkey::VARCHAR AS p_partkey, TRY_CAST(p_name AS INTEGER) AS p_name, CAST(floor(p_retailprice) AS BIGINT) AS p_retailprice FROM part")
+def with_schema(spark, d):
+    return flow(spark, d, "part").assign(p_retailprice=F.floor("p_retailprice")).with_schema({"p_partkey": "string", "p_name": "int", "p_retailprice": "long"}, drop_extra=True).df
+
+
+@query("grouped_rows", "SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
+def grouped_rows(spark, d):
+    g = flow(spark, d, "nation", "n_nationkey").grouped("n_regionkey").df
+    return g.select("n_regionkey", F.size("records").cast("long").alias("n"), F.array_join(F.transform("records", lambda r: r["n_name"]), ",").alias("names"))
+
+
+@query("custom_aggregates", "SELECT event_type, count(*) AS n, CAST(max(event_id) - min(event_id) AS BIGINT) AS spread, CAST(arg_min(user_id, (ts, event_id)) AS BIGINT) AS first_user FROM events GROUP BY event_type")
+def custom_aggregates(spark, d):
+    spread = custom(lambda rows: max(r["event_id"] for r in rows) - min(r["event_id"] for r in rows), "long", "event_id")
+    first = custom(lambda rows: rows[0]["user_id"], "long", "user_id")
+    return flow(spark, d, "events", "ts", "event_id").group_by("event_type").summary({"n": "count", "spread": spread, "first_user": first}).df
+
+
+@query("registered_aggregate", "SELECT event_type, sum(value * value) AS squares FROM (SELECT event_type, floor(value) AS value FROM events) GROUP BY event_type")
+def registered_aggregate(spark, d):
+    if "sum_of_squares" not in aggregate_names():
+        register("sum_of_squares", lambda c, k, f: f.run(F.sum(c * c)))
+    return flow(spark, d, "events").assign(value=F.floor("value").cast("double")).group_by("event_type").summary({"squares": ("sum_of_squares", "value")}).df
+
+
+@query("dsl_further_forms", "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'P') AND (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '%LOW') AND NOT (o_custkey = 3)")
+def dsl_further_forms(spark, d):
+    return flow(spark, d, "orders").query("o_orderstatus not in ['F', 'P'] and (o_orderpriority.startswith('1') or o_orderpriority.endswith('LOW')) and not (o_custkey == @key)", key=3).select("o_orderkey").df
+
+
+@query("dsl_dotted_fields", "SELECT o_orderkey FROM orders WHERE o_custkey > 500 AND o_orderstatus = 'F' AND year(o_orderdate) >= 1995")
+def dsl_dotted_fields(spark, d):
+    o = table(spark, d, "orders")
+    nested = o.select("o_orderkey", F.struct(F.struct(F.col("o_custkey").alias("id")).alias("owner"), F.col("o_orderstatus").alias("status")).alias("meta"), F.struct(F.to_date("o_orderdate").alias("day")).alias("at"))
+    return Flow(nested).query("meta.owner.id > 500 and meta.status == 'F' and at.day >= date(1995, 1, 1)").select("o_orderkey").df
+
+
+@query("list_overlap", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderstatus = '2-HIGH'")
+def list_overlap(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.array("o_orderpriority", "o_orderstatus").alias("tags"))
+    return Flow(o).filter(where_in("tags", ["1-URGENT", "2-HIGH"])).select("o_orderkey").df
+
+
+@query("group_order", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS dearest, count(*) AS n FROM orders GROUP BY o_custkey")
+def group_order(spark, d):
+    g = flow(spark, d, "orders", "o_orderkey").group_by("o_custkey").sort_by("o_totalprice", ascending=False).select("o_orderkey", "o_totalprice")
+    ranked = g.to_flow().df.withColumn("n_", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")))
+    sizes = g.to_flow().df.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return ranked.filter("n_ = 1").select("o_custkey", F.col("o_orderkey").alias("dearest")).join(sizes, "o_custkey")
+
+
+@query("win_rolling_time_peers", """
+WITH x AS (SELECT o_orderkey, date_trunc('year', o_orderdate) AS t, floor(o_totalprice) AS v, row_number() OVER (ORDER BY date_trunc('year', o_orderdate), o_orderkey) AS k FROM orders),
+c AS (SELECT *, sum(v) OVER (ORDER BY k) AS upto, count(*) OVER (ORDER BY k) AS n FROM x),
+y AS (SELECT t, sum(v) AS v, count(*) AS n FROM x GROUP BY t)
+SELECT c.o_orderkey, c.upto - coalesce(sum(y.v), 0) AS total, CAST(c.n - coalesce(sum(y.n), 0) AS BIGINT) AS n FROM c LEFT JOIN y ON y.t < c.t - INTERVAL 400 DAY GROUP BY c.o_orderkey, c.upto, c.n""")
+def win_rolling_time_peers(spark, d):
+    """Thousands of rows of a group at one instant: each sees those before it in row order."""
+    o = table(spark, d, "orders").select("o_orderkey", F.date_trunc("year", "o_orderdate").alias("t"), F.floor("o_totalprice").cast("double").alias("v"), F.lit(1).alias("g"))
+    out = Flow(o, ["t", "o_orderkey"]).group_by("g").rolling_summary("400d", {"total": ("sum", "v"), "n": "count"}, time_field="t")
+    return out.df.select("o_orderkey", "total", "n")

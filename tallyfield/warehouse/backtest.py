@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tallyfield.functions.markets import settle_bet
@@ -196,23 +197,24 @@ def metrics(bets: DataFrame, initial: Decimal | float = 1000) -> DataFrame:
 def bootstrap_mean(df: DataFrame, by: Iterable[str], value: str, draws: int = 1000, seed: int = 1, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of a mean by the Poisson bootstrap.
 
-    Every row weighs a Poisson(1) number in each draw, so resampling is one pass and one
-    aggregation and groups of any size are spread over tasks.
+    Every row weighs a Poisson(1) number in each draw.  Equal rows are counted first, and c of
+    them weigh a Poisson(c) number seeded by the row, so the result does not depend on how
+    rows lie; a task sends on two sums a group and draw.
     """
     keys = list(by)
-    names = [df.schema[k] for k in keys]
-    from pyspark.sql import types as T
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("_weights", T.ArrayType(T.DoubleType()))])
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).withColumn("_h", F.xxhash64(*keys, "_v"))
 
-    schema = T.StructType([*names, T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("_weights", T.ArrayType(T.DoubleType()))])
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_h")).filter("_v IS NOT NULL")
-
-    def run_part(batches):
+    def resample(batches):
+        held: dict = {}
         for pdf in batches:
-            for key, g in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
-                w = np.random.default_rng([seed, *(np.uint64(x) for x in np.atleast_1d(np.bitwise_xor.reduce(g["_h"].to_numpy().view(np.uint64))))]).poisson(1.0, (len(g), draws))
-                sums = (w * g["_v"].to_numpy()[:, None]).sum(0)
-                yield pd.DataFrame([(*(key if isinstance(key, tuple) else (key,)), sums.tolist(), w.sum(0).astype(float).tolist())], columns=schema.names)
-
-    parts = rows.mapInPandas(run_part, schema).select(*keys, F.posexplode(F.arrays_zip("_sums", "_weights")).alias("_d", "_x"))
+            for r in pdf.itertuples(index=False):
+                w = np.random.Generator(np.random.Philox(key=[seed, int(np.int64(r[-1]).view(np.uint64))])).poisson(float(r[-2]), draws)
+                sums = held.setdefault(tuple(r[: len(keys)]), np.zeros((2, draws)))
+                sums[0] += w * r[-3]
+                sums[1] += w
+        yield pd.DataFrame([(*k, s[0].tolist(), s[1].tolist()) for k, s in held.items()], columns=schema.names)
+
+    parts = rows.toDF(*keys, "v_", "c_", "h_").mapInPandas(resample, schema).select(*keys, F.posexplode(F.arrays_zip("_sums", "_weights")).alias("_d", "_x"))
     means = parts.groupBy(*keys, "_d").agg((F.sum("_x._sums") / F.nullif(F.sum("_x._weights"), F.lit(0.0))).alias("_m"))
     return means.groupBy(*keys).agg(F.percentile("_m", F.lit(alpha / 2)).alias("low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("high"), F.stddev_samp("_m").alias("se"))

@@ -70,6 +70,19 @@ def score_forecasts(rows: DataFrame, by: Sequence[str], probs: str = "probs", ou
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(brier(p, y) / F.size(p)).alias("brier"), F.avg(log_loss(p, y)).alias("logloss"), F.avg(rps(p, y)).alias("rps"))
 
 
+def compare_forecasts(rows: DataFrame, by: Sequence[str], first: str, second: str, outcome: str = "outcome", score: str = "logloss", draws: int = 1000, seed: int = 1) -> DataFrame:
+    """Mean gain of the second forecast over the first (negative: the second is better), with its interval over resampled rows."""
+    from tallyfield.warehouse.backtest import bootstrap_mean
+
+    of = {"brier": lambda p: brier(p, F.col(outcome)) / F.size(p), "logloss": lambda p: log_loss(p, F.col(outcome)), "rps": lambda p: rps(p, F.col(outcome))}
+    if score not in of:
+        raise ValueError(f"score is one of {', '.join(of)}")
+    gains = rows.select(*by, (of[score](F.col(second)) - of[score](F.col(first))).alias("gain"))
+    means = gains.groupBy(*by).agg(F.count("*").alias("n"), F.avg("gain").alias("gain"))
+    intervals = bootstrap_mean(gains, by, "gain", draws, seed)
+    return means.join(intervals, list(by)) if by else means.crossJoin(F.broadcast(intervals))  # one row on either side
+
+
 def walk_forward(matches: DataFrame, boundaries: Sequence, by: Sequence[str], kind: str = "dixon_coles", half_life_days: float | None = None, least: int = 20, date: str = "kickoff_utc", settled: str = "settled_at", home: str = "home", away: str = "away", home_goals: str = "home_goals", away_goals: str = "away_goals") -> DataFrame:
     """One fit for each group and boundary from results settled strictly before it: (by, trained_through, team, attack, defence, home_advantage, extra, n_train)."""
     marks = F.array(*[F.lit(b).cast("timestamp") for b in boundaries])

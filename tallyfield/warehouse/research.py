@@ -5,11 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window as W
 
+from tallyfield.functions import implied, metrics
+from tallyfield.warehouse.market import consensus
 from tallyfield.warehouse.views import ONE_X_TWO, Warehouse, analytic_lineups, analytic_matches, day_steps, outcome
 
 SELECTIONS = ("HOME", "DRAW", "AWAY")
@@ -221,24 +225,104 @@ def evidence_class(edge: Column, null_edge: Column, n_books: Column, aged: Colum
 def permutation_test(rows: DataFrame, group: str, value: str, draws: int = 1000, seed: int = 1) -> DataFrame:
     """(observed, p_value): spread of group means against that of shuffled groups.
 
-    A draw deals rows to groups of the same shares by hash, so each draw is an aggregation and
-    no row is gathered; the spread is the variance of group means weighted by size.
+    A draw deals the copies of every value to groups of the same shares (a multinomial number
+    each), seeded by the value, so the result does not depend on how rows lie.  Equal values are
+    counted first, and a task sends on two sums a draw and group.  The spread is the variance
+    of group means weighted by size.
     """
-    shares = rows.groupBy(group).agg(F.count("*").alias("_n")).collect()  # a row a group
-    total = sum(r["_n"] for r in shares)
-    edges, run = [], 0
-    for r in sorted(shares, key=lambda r: str(r[group])):
-        run += r["_n"]
-        edges.append(run / total)
-    keyed = rows.select(F.col(value).cast("double").alias("_v"), F.col(group).alias("_g"), F.monotonically_increasing_id().alias("_h"))  # equal rows are dealt apart
-
-    def spread(df: DataFrame, by: list[str]) -> DataFrame:
-        per = df.groupBy(*by, "_k").agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"))
-        return per.groupBy(*by).agg((F.sum(F.col("_n") * F.col("_m") * F.col("_m")) / F.sum("_n") - F.pow(F.sum(F.col("_n") * F.col("_m")) / F.sum("_n"), F.lit(2.0))).alias("spread"))
-
-    observed = spread(keyed.withColumn("_k", F.col("_g").cast("string")), []).first()["spread"]
-    place = F.pmod(F.xxhash64("_h", "_d", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    dealt = keyed.select("_v", "_h", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
-    dealt = dealt.withColumn("_k", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= place)).cast("string"))
-    drawn = spread(dealt, ["_d"])
-    return drawn.agg(F.lit(observed).alias("observed"), ((F.count_if(F.col("spread") >= observed) + 1) / (F.count("*") + 1)).alias("p_value"))
+    known = rows.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    own = known.groupBy("_g").agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"))
+    spread = (F.sum(F.col("_n") * F.col("_m") * F.col("_m")) / F.sum("_n") - F.pow(F.sum(F.col("_n") * F.col("_m")) / F.sum("_n"), F.lit(2.0))).alias("spread")
+    observed = own.agg(spread).first()["spread"]
+    sizes = [r["_n"] for r in own.orderBy("_g").select("_n").collect()]  # a row a group
+    shares = np.array(sizes) / max(1, sum(sizes))
+
+    def deal(batches):
+        n, total = np.zeros((draws, len(shares))), np.zeros((draws, len(shares)))
+        for pdf in batches:
+            for v, c in zip(pdf["_v"], pdf["_c"], strict=True):
+                dealt = np.random.Generator(np.random.Philox(key=[seed, int(np.float64(v + 0.0).view(np.uint64))])).multinomial(c, shares, size=draws)
+                n += dealt
+                total += v * dealt
+        yield pd.DataFrame({"_d": np.repeat(np.arange(draws), len(shares)), "_k": np.tile(np.arange(len(shares)), draws), "_n": n.ravel(), "_t": total.ravel()})
+
+    counted = known.groupBy("_v").agg(F.count("*").alias("_c"))
+    dealt = counted.mapInPandas(deal, "_d int, _k int, _n double, _t double").groupBy("_d", "_k").agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t")).filter("_n > 0")
+    drawn = dealt.withColumn("_m", F.col("_t") / F.col("_n")).groupBy("_d").agg(spread)
+    return drawn.agg(F.lit(observed).alias("observed"), ((F.count_if(F.col("spread") >= observed - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def bootstrap_errors(labelled: DataFrame, hypotheses: Mapping[str, tuple[str, str, bool]] = HYPOTHESES, key: str = "match_id", draws: int = 1000, seed: int = 1) -> DataFrame:
+    """(hypothesis, selection, se): deviation of `scan`'s difference over resampled matches.
+
+    A match weighs a Poisson(1) number in each draw, seeded by its key; a task sends on the
+    weighted sums of its matches.
+    """
+    names, flags = [], []
+    for name, (condition, price, _) in hypotheses.items():
+        for s in SELECTIONS:
+            prob = f"{price}_{s.lower()}"
+            names.append((name, s))
+            flags.append(F.struct(F.coalesce(F.expr(condition.format(prob=prob)), F.lit(False)).alias("i"), ((F.col("outcome") == s).cast("double") - F.col(prob)).alias("r")))
+    rows = labelled.select(F.xxhash64(key).alias("h"), F.transform(F.array(*flags), lambda x: x["i"]).alias("i"), F.transform(F.array(*flags), lambda x: x["r"]).alias("r"))
+
+    def resample(batches):
+        sums = np.zeros((2, 2, len(names), draws))  # inside or not, weight or weighted residual
+        for pdf in batches:
+            for h, i, r in zip(pdf["h"], pdf["i"], pdf["r"], strict=True):
+                w = np.random.Generator(np.random.Philox(key=[seed, int(np.int64(h).view(np.uint64))])).poisson(1.0, draws)
+                inside, known = np.asarray(i, bool), np.asarray(r, float)
+                for side in (0, 1):
+                    at = (inside == bool(side)) & ~np.isnan(known)
+                    sums[side, 0, at] += w
+                    sums[side, 1, at] += known[at][:, None] * w
+        yield pd.DataFrame({"k": np.repeat(np.arange(len(names)), draws), "d": np.tile(np.arange(draws), len(names)), **{c: sums[side, what].ravel() for c, side, what in (("n1", 1, 0), ("t1", 1, 1), ("n0", 0, 0), ("t0", 0, 1))}})
+
+    drawn = rows.mapInPandas(resample, "k int, d int, n1 double, t1 double, n0 double, t0 double").groupBy("k", "d").agg(*[F.sum(c).alias(c) for c in ("n1", "t1", "n0", "t0")])
+    se = drawn.filter("n1 > 0 AND n0 > 0").groupBy("k").agg(F.stddev_samp(F.col("t1") / F.col("n1") - F.col("t0") / F.col("n0")).alias("se"))
+    of = lambda j: F.get(F.array(*[F.lit(x[j]) for x in names]), F.col("k"))
+    return se.select(of(0).alias("hypothesis"), of(1).alias("selection"), "se")
+
+
+def market_channel(w: Warehouse, market: str = ONE_X_TWO, moved: float = 0.01) -> DataFrame:
+    """What the way from the price before the match to the closing one brings: scores of both, their gain, and how far prices move.
+
+    One row over the reference bookmaker's matches with a result; a negative gain means that
+    the closing price knows more.
+    """
+    books = w["bookmakers"].filter("is_reference").select("bookmaker_id")
+    fair = w["fair_probabilities"].filter(F.col("market_type") == market).join(F.broadcast(books), "bookmaker_id")  # a reference bookmaker or two
+    pick = lambda p, s: F.max(F.when((F.col("capture_precision") == p) & (F.col("selection") == s), F.col("fair_prob")))
+    wide = fair.groupBy("match_id").agg(*[F.array(*[pick(p, s) for s in SELECTIONS]).alias(n) for p, n in (("PREMATCH", "pre"), ("CLOSING", "close"))])
+    wide = wide.filter(~F.exists(F.concat("pre", "close"), lambda x: x.isNull()))
+    result = F.when(F.col("goals_home") > F.col("goals_away"), 0).when(F.col("goals_home") == F.col("goals_away"), 1).otherwise(2)
+    rows = wide.join(analytic_matches(w).select("match_id"), "match_id").join(w["match_results"].select("match_id", result.alias("y")), "match_id")
+    rows = rows.withColumn("move", F.array_max(F.zip_with("pre", "close", lambda a, b: F.abs(a - b))))
+    score = {"brier": lambda p: metrics.brier(p, F.col("y")) / F.size(p), "logloss": lambda p: metrics.log_loss(p, F.col("y")), "rps": lambda p: metrics.rps(p, F.col("y"))}
+    out = [F.count("*").alias("n"), F.median("move").alias("median_move"), F.avg("move").alias("mean_move"), F.avg((F.col("move") > moved).cast("double")).alias("share_moved")]
+    for name, f in score.items():
+        out += [F.avg(f(F.col("pre"))).alias(f"pre_{name}"), F.avg(f(F.col("close"))).alias(f"close_{name}"), F.avg(f(F.col("close")) - f(F.col("pre"))).alias(f"{name}_gain")]
+    return rows.agg(*out)
+
+
+def two_way_clv(rows: DataFrame, market: str, books: Mapping[str, tuple[str, str]], closing: tuple[str, str], selections: tuple[str, str], method: str = "shin", absurd: float = 0.5) -> DataFrame:
+    """(market, book, selection, price, clv) of a two-way market in a wide table: prices against the fair closing ones; values beyond `absurd` are errors of the source."""
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    close = F.array(*[number(c) for c in closing])
+    good = rows.filter(F.forall(close, lambda x: F.coalesce(x > 1, F.lit(False))))
+    quotes = [F.struct(F.lit(b).alias("book"), F.lit(s).alias("selection"), F.lit(k).alias("k"), number(pair[k]).alias("price"), F.least(*[F.coalesce(number(c), F.lit(0.0)) for c in pair]).alias("least")) for b, pair in books.items() for k, s in enumerate(selections)]
+    out = good.withColumn("_fair", implied.probabilities(close, method)).withColumn("_q", F.explode(F.array(*quotes))).filter("_q.least > 1")
+    out = out.select(*rows.columns, F.lit(market).alias("market"), F.col("_q.book").alias("book"), F.col("_q.selection").alias("selection"), F.col("_q.price").alias("price"), (F.get("_fair", F.col("_q.k")) * F.col("_q.price") - 1).alias("clv"))
+    return out.filter(F.abs("clv") <= absurd)
+
+
+def last_days(quotes: DataFrame, closing: DataFrame, results: DataFrame, today: Column, days: int = 3, least_books: int = 5, method: str = "shin") -> DataFrame:
+    """The best prices of matches played in the last days against the other books' consensus, with what closing prices and results made of them.
+
+    quotes (match_id, bookmaker_id, odds), closing (match_id, odds), results (match_id, day, outcome as a place of the odds).
+    """
+    recent = results.filter(F.col("day") >= F.date_sub(today, days))
+    seen = consensus(quotes.join(recent.select("match_id"), "match_id", "left_semi"), method=method).filter(F.col("n_books") >= least_books)
+    fair = closing.select("match_id", implied.probabilities(F.col("odds"), method).alias("_close"))
+    out = seen.join(recent, "match_id").join(fair, "match_id", "left")
+    return out.select("match_id", "day", "place", "n_books", "fair", "best_book", "best_price", F.col("edge_vs_consensus").alias("edge"), (F.get("_close", F.col("place")) * F.col("best_price") - 1).alias("clv"), (F.col("outcome") == F.col("place")).alias("won"))

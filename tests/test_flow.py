@@ -369,3 +369,20 @@ def test_records_and_actions(spark, capsys):
     assert "x" in capsys.readouterr().out
     assert "Scan" in f.explain() and f.profile() and f.cache().count() == 2
     assert Flow.from_concat(f, f).count() == 4
+
+
+def test_functions_of_rows_and_values(spark):
+    from tallyfield.flow import Flow, per_row
+
+    f = Flow.from_records(spark, [{"a": "1", "b": {"c": 2}}, {"a": "x", "b": {"c": None}}, {"a": None, "b": None}])
+    got = f.assign(d=per_row(lambda r: None if r["b"] is None else (r["b"]["c"] or 0) + 1, "long")).cast(a=per_row(int, "long")).collect()
+    assert [(r["a"], r["d"]) for r in got] == [(1, 3), (None, 1), (None, None)]
+
+
+def test_ranks_over_ranges(spark):
+    from tallyfield.flow import Flow
+
+    f = Flow(spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.col("id").alias("v"))).sort_by("k", ascending=False)
+    assert all(r["rank"] == 500 - r["k"] for r in f.with_rank().df.collect())
+    with pytest.raises(ValueError):
+        Flow(spark.range(3)).with_rank()

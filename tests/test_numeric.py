@@ -272,3 +272,43 @@ def test_jaro_of_a_pair_that_swaps_an_odd_number_of_letters(a, b):
 def test_jaro_is_symmetric_and_bounded(a, b):
     assert 0 <= text.jaro_value(a, b) <= 1 and abs(text.jaro_value(a, b) - text.jaro_value(b, a)) < 0.2
     assert text.jaro_winkler_value(a, b) >= text.jaro_value(a, b) - 1e-12
+
+
+def test_expected_goals_of_a_column(spark):
+    rows = [(0.5, 0.25, 0.25), (0.2, 0.3, 0.5), (None, 0.3, 0.4), (0.9, 0.07, 0.03)]
+    df = spark.createDataFrame(rows, "h double, d double, a double").withColumn("m", goals.expected_goals(F.col("h"), F.col("d"), F.col("a")))
+    for r in df.collect():
+        if r["h"] is None:
+            assert r["m"]["home"] is None
+            continue
+        one = goals.goal_expectancy(r["h"], r["d"], r["a"])
+        assert r["m"]["error"] <= one[2] + 1e-12 and abs(r["m"]["home"] - one[0]) < 1e-2 and abs(r["m"]["away"] - one[1]) < 1e-2
+
+
+def test_stakes_on_independent_events(spark):
+    rng = random.Random(5)
+    for _ in range(20):
+        n = rng.randrange(1, 5)
+        o = [rng.uniform(1.3, 6) for _ in range(n)]
+        p = [min(0.95, rng.uniform(0.85, 1.25) / x) for x in o]
+        f = markets._independent(np.array(p), np.array(o), 12)
+
+        def growth(f, p=p, o=o, n=n):
+            total = 0.0
+            for bits in range(1 << n):
+                chance, wealth = 1.0, 1.0
+                for k in range(n):
+                    won = bits >> k & 1
+                    chance *= p[k] if won else 1 - p[k]
+                    wealth += f[k] * (o[k] - 1 if won else -1)
+                total += chance * math.log(wealth)
+            return total
+
+        assert (f >= 0).all() and all(f[k] == 0 for k in range(n) if p[k] * o[k] <= 1)
+        best = growth(f)
+        for _ in range(60):  # no stakes near by grow faster
+            other = np.maximum(f + np.array([rng.gauss(0, 0.01) for _ in range(n)]), 0)
+            assert growth(other) <= best + 1e-9
+    assert markets._independent(np.array([0.6]), np.array([2.0]), 12)[0] == pytest.approx(0.2)
+    with pytest.raises(ValueError):
+        markets._independent(np.full(13, 0.5), np.full(13, 3.0), 12)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pandas as pd
@@ -341,3 +342,60 @@ def test_paged_source(spark, tmp_path):
     for bad in (("none", "events", {}), ("opta", "none", {}), ("opta", "events", {"colour": 1})):
         with pytest.raises(ValueError):
             api.read(spark, bad[0], bad[1], **bad[2])
+
+
+def test_provider_feeds(spark, tmp_path):
+    import json
+
+    from tallyfield.sources import providers
+
+    ask = providers.Requests("K")
+    assert len([n for n in dir(ask) if not n.startswith("_") and callable(getattr(ask, n))]) == len(api.OPTA) == 22
+    assert ask.areas().paged and not ask.areas("a").paged and ask.areas().page(2, 10)["_pgNm"] == "2"
+    for bad in (lambda: ask.matches(date_from="2024-02-01", date_to="2024-01-01"), lambda: ask.matches(date_from="2024-02-01"), lambda: ask.venues(), lambda: ask.player_career(), lambda: ask.player_career("p", "c"), lambda: ask.referees(), lambda: ask.referees("p", "t"), lambda: ask.injuries(contestant_uuid="c"), lambda: ask.transfers(), lambda: ask.transfers("p", start_date="2024-01-01"), lambda: ask.transfers(tournament_calendar_uuid="t", start_date="2024-01-01", end_date="2024-01-02"), lambda: ask.match(""), lambda: ask.tournament_calendars("no"), lambda: providers.StatsBomb.request("none")):
+        with pytest.raises(ValueError):
+            bad()
+    assert not ask.transfers("p").paged and ask.transfers(contestant_uuid="c").paged and not ask.injuries("p", "t").paged
+    (tmp_path / "squads").mkdir()
+    for page, ids in ((1, [1, 2]), (2, [3])):
+        (tmp_path / "squads" / f"{page}.json").write_text(json.dumps({"teamSquads": {"squad": [{"id": k} for k in ids]}, "noise": [1, 2, 3, 4]}))
+    opta = providers.Opta(spark, root=str(tmp_path), page_size=2)
+    assert sorted(r["id"] for r in opta.squads(contestant_uuid="c", schema="id long").collect()) == [1, 2, 3]
+    assert sorted(json.loads(r["record"])["id"] for r in opta.squads(contestant_uuid="c").collect()) == [1, 2, 3]
+    with pytest.raises(AttributeError):
+        opta.nothing()
+
+
+def test_resampling_does_not_depend_on_partitions(spark):
+    rows = spark.range(600).select((F.col("id") % 3).alias("g"), (F.col("id") % 50 + F.when(F.col("id") % 3 == 0, 9).otherwise(0)).cast("double").alias("v"), F.col("id").cast("string").alias("match_id"))
+    for measure in (lambda df: research.permutation_test(df, "g", "v", 300), lambda df: backtest.bootstrap_mean(df, ["g"], "v", 300)):
+        one, many = (sorted(map(tuple, measure(df).collect())) for df in (rows.coalesce(1), rows.repartition(7, "match_id")))
+        assert all(a == pytest.approx(b) for a, b in zip(one, many, strict=True))
+    assert research.permutation_test(rows, "g", "v", 300).first()["p_value"] < 0.01
+    assert research.permutation_test(rows.withColumn("g", F.floor(F.col("v")) % 2 * 0 + F.col("match_id").cast("long") % 2), "g", "v", 300).first()["p_value"] > 0.05
+
+
+def test_bootstrap_of_matches_tends_to_the_closed_form(spark):
+    rng = random.Random(4)
+    rows = [(str(i), rng.choice(["HOME", "DRAW", "AWAY"]), 0.4, 0.3, 0.3, rng.random() < 0.3) for i in range(900)]
+    df = spark.createDataFrame(rows, "match_id string, outcome string, p_home double, p_draw double, p_away double, odd boolean")
+    family = {"odd": ("odd", "p", False)}
+    formula = {r["selection"]: r["se"] for r in research.scan(df, family).collect()}
+    drawn = {r["selection"]: r["se"] for r in research.bootstrap_errors(df, family, draws=800).collect()}
+    assert all(abs(drawn[s] / formula[s] - 1) < 0.12 for s in formula) and len(formula) == 3
+
+
+def test_multiple_testing_by_families(spark):
+    rows = [(None if i % 40 == 7 else "ab"[i % 2], None if i == 3 else (i * 37 % 100) / 100.0 * (i % 4) / 4) for i in range(400)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, f string, p_value double")
+    got = {r["id"]: r for r in research.benjamini_hochberg(df, by=("f",), q=0.2).collect()}
+    assert len(got) == 400 and got[3]["q_value"] is None and not got[3]["discovery"]
+    for f in ("a", "b", None):
+        p = sorted((v, i) for i, (g, v) in enumerate(rows) if g == f and v is not None)
+        m, best, q = len(p), 1.0, {}
+        for k in range(m, 0, -1):
+            best = min(best, p[k - 1][0] * m / k)
+            q[p[k - 1][1]] = best
+        last = max([k for k in range(1, m + 1) if p[k - 1][0] <= 0.2 * k / m], default=0)
+        found = {i for _, i in p[:last]}
+        assert all(abs(got[i]["q_value"] - x) < 1e-12 and got[i]["discovery"] == (i in found) for i, x in q.items())
