@@ -15,7 +15,7 @@ from tallyfield.flow import Flow
 from tallyfield.functions import text
 from tallyfield.functions.predicates import where_coded_event, where_in, where_qualifier
 from tallyfield.plans.registry import flow, query, table
-from tallyfield.sources import adapters, nested, providers
+from tallyfield.sources import adapters, nested, pages, providers
 
 # --- requests and pages
 
@@ -355,3 +355,44 @@ def coded_events(spark, d):
     f = Flow(e)
     hit = f.filter(where_coded_event("goal", CODES) | where_qualifier("Head", {"head": 2}, "yes"))
     return hit.df.select("event_id", (F.col("typeId") == 16).alias("by_code"), (F.col("event_id") % 3 == 2).alias("by_qualifier"))
+
+
+# --- saved pages
+
+
+@query("club_ratings", "SELECT c_name AS team, CAST(c_nationkey AS VARCHAR) AS country, c_custkey::INTEGER AS rank, round(1500 + c_acctbal / 100, 6) AS elo, DATE '2024-01-01' AS since FROM customer")
+def club_ratings(spark, d):
+    c = table(spark, d, "customer")
+    text_rows = c.select(F.col("c_custkey").cast("string").alias("Rank"), F.col("c_name").alias("Club"), F.col("c_nationkey").cast("string").alias("Country"), F.lit("1").alias("Level"), (1500 + F.col("c_acctbal") / 100).cast("string").alias("Elo"), F.lit("2024-01-01").alias("From"), F.lit("2024-01-07").alias("To"))
+    return pages.club_ratings(text_rows).select("team", "country", "rank", F.round("elo", 6).alias("elo"), F.col("from").alias("since"))
+
+
+@query("league_documents", """SELECT 'fixture' AS kind, CAST(o_orderkey AS VARCHAR) AS id, 'h' || o_custkey AS home, CAST(o_orderkey % 4 AS DOUBLE) AS value, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus <> 'O'
+UNION ALL SELECT 'shot', CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'a' END, l_discount, DATE '2024-01-02' FROM lineitem""")
+def league_documents(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    two = lambda h, a: F.struct(h.cast("string").alias("h"), a.cast("string").alias("a"))
+    date = F.struct(k.cast("string").alias("id"), (F.col("o_orderstatus") != "O").alias("isResult"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.struct(F.concat(F.lit("h"), "o_custkey").alias("title")).alias("h"), F.struct(F.lit("x").alias("title")).alias("a"), two(k % 4, k % 3).alias("goals"), two(k % 4, k % 3).alias("xG"), F.struct(F.lit("0.5").alias("w"), F.lit("0.3").alias("d"), F.lit("0.2").alias("l")).alias("forecast"))
+    league = o.groupBy("o_orderpriority").agg(F.to_json(F.struct(F.collect_list(date).alias("dates"))).alias("document"))
+    li = table(spark, d, "lineitem")
+    shot = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_discount").cast("string").alias("xG"), F.lit("2024-01-02 20:00:00").alias("date"), F.when(F.col("l_linenumber") % 2 == 0, "h").otherwise("a").alias("h_a"))
+    side = lambda s, n: F.collect_list(F.when(F.col("l_linenumber") % 2 == n, shot)).alias(s)
+    shots = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.struct(side("h", 0), side("a", 1)).alias("shots"))).alias("document"))
+    fixtures = pages.league_fixtures(league).select(F.lit("fixture").alias("kind"), F.col("source_id").alias("id"), F.col("team_home").alias("home"), F.col("xg_home").alias("value"), F.col("date").alias("day"))
+    return fixtures.union(pages.match_shots(shots).select(F.lit("shot"), "shot_id", "side", "xg", F.to_date("datetime")))
+
+
+@query("html_statistics", """SELECT n_name AS squad, CAST(s_suppkey AS VARCHAR) AS player, (s_suppkey * 1000.5)::DOUBLE AS goals, round(s_acctbal, 2) AS per_90 FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT n_name, 'squad', count(*)::DOUBLE, NULL FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name""")
+def html_statistics(spark, d):
+    """Statistics pages of each nation: a table of the squad, an empty one, and one of players in a comment, with group headers and a repeated header row."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    row = F.concat(F.lit("<tr><th>"), F.col("s_suppkey"), F.lit("</th><td>"), F.format_number(F.col("s_suppkey") * 1000.5, 1), F.lit("</td><td> "), F.col("s_acctbal").cast("string"), F.lit(" </td></tr>"))
+    head = "<tr><th></th><th colspan='2'>Performance</th></tr><tr><th>Player</th><th>Gls</th><th>Per 90</th></tr>"
+    body = F.array_join(F.collect_list(row), "<tr><th>Player</th><th>Gls</th><th>Per 90</th></tr>")
+    html = F.concat(F.lit("<p>x</p><table id='a'><thead><tr><th>Squad</th><th>N</th></tr></thead><tbody><tr><td>"), F.col("n_name"), F.lit("</td><td>"), F.count("*"), F.lit(f"</td></tr></tbody></table><table id='b'></table><!-- <table id='c'><thead>{head}</thead>"), body, F.lit("</table> -->"))
+    docs = s.groupBy("n_name").agg(html.alias("html"))
+    got = pages.season_statistics(docs, "n_name")
+    players = got["players"].select(F.col("n_name").alias("squad"), pages.cell("player", number=False).alias("player"), pages.cell("performance_gls").alias("goals"), F.round(pages.cell("performance_per_90"), 2).alias("per_90"))
+    return players.union(got["squad_for"].select(pages.cell("squad", number=False), F.lit("squad"), pages.cell("n"), F.lit(None).cast("double")))
