@@ -113,12 +113,16 @@ def join(left: DataFrame, right: DataFrame, on: str | Sequence[str] | None = Non
     return joined.select(*[v.alias(k) for k, v in values.items()])
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str | Sequence[str], left_time: str, right_time: str, prefix: str = "", strict: bool = False, tolerance_seconds: float | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str | Sequence[str], left_time: str, right_time: str, prefix: str = "", strict: bool = False, tolerance_seconds: float | None = None, bin_seconds: float | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or (strict) before its time.
 
     Both sides go through one sort by key and time and a running last value: one shuffle,
     no join, and memory that does not grow with matches.  Right columns get the prefix; of
     right rows at one time the one greatest in its remaining columns is taken.
+
+    A key that holds a large share of the rows is one task in that sort.  With bin_seconds a
+    key's time is cut into bins that are sorted apart; the last right row of each bin is carried
+    over to the bins after it (a row a key and bin), so hot keys are spread over their bins.
     """
     keys = [by] if isinstance(by, str) else list(by)
     values = [c for c in right.columns if c not in keys]
@@ -126,8 +130,23 @@ def asof_join(left: DataFrame, right: DataFrame, by: str | Sequence[str], left_t
     body = F.struct(*[F.col(f"`{c}`") for c in values])
     r = right.filter(F.col(f"`{right_time}`").isNotNull()).select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col(f"`{right_time}`").cast("timestamp_ntz").alias("__t"), F.lit(r_turn).alias("__turn"), body.alias("__right"), F.lit(None).cast(T.StructType(left.schema.fields)).alias("__left"))
     l = left.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col(f"`{left_time}`").cast("timestamp_ntz").alias("__t"), F.lit(l_turn).alias("__turn"), F.lit(None).cast(r.schema["__right"].dataType).alias("__right"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("__left"))
-    window = W.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy(F.col("__t").asc_nulls_first(), "__turn", F.col("__right").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    seen = l.unionByName(r).withColumn("__match", F.last("__right", ignorenulls=True).over(window)).filter(F.col("__left").isNotNull())
+    own, order = [f"__k{i}" for i in range(len(keys))], (F.col("__t").asc_nulls_first(), "__turn", F.col("__right").asc_nulls_first())
+    both = l.unionByName(r)
+    if bin_seconds is None:
+        window = W.partitionBy(*own).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        seen = both.withColumn("__match", F.last("__right", ignorenulls=True).over(window)).filter(F.col("__left").isNotNull())
+    else:
+        both = both.withColumn("__bin", F.floor(F.unix_micros(F.col("__t").cast("timestamp")) / F.lit(float(bin_seconds) * 1e6)))
+        window = W.partitionBy(*own, "__bin").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        # of a bin's right rows the latest, of those at one time the greatest; then the last of the bins before
+        last = both.groupBy(*own, "__bin").agg(F.max(F.when(F.col("__right").isNotNull(), F.struct("__t", "__right")))["__right"].alias("__last"))
+        before = W.partitionBy(*own).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+        carried = last.select(*[F.col(k).alias(f"_{k}") for k in own], F.col("__bin").alias("__carry_bin"), F.last("__last", ignorenulls=True).over(before).alias("__carry"))
+        inside = both.withColumn("__in", F.last("__right", ignorenulls=True).over(window)).filter(F.col("__left").isNotNull())
+        same = F.col("__bin").eqNullSafe(F.col("__carry_bin"))
+        for k in own:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        seen = inside.join(carried, same, "left").withColumn("__match", F.coalesce("__in", F.when(F.col("__t").isNotNull(), F.col("__carry"))))
     if tolerance_seconds is not None:
         age = F.col("__t").cast("timestamp").cast("double") - F.col(f"__match.`{right_time}`").cast("timestamp").cast("double")
         seen = seen.withColumn("__match", F.when(age <= tolerance_seconds, F.col("__match")))

@@ -386,3 +386,19 @@ def test_ranks_over_ranges(spark):
     assert all(r["rank"] == 500 - r["k"] for r in f.with_rank().df.collect())
     with pytest.raises(ValueError):
         Flow(spark.range(3)).with_rank()
+
+
+def test_asof_join_in_bins(spark):
+    import datetime as dt
+    import random
+
+    from tallyfield.operators.joins import asof_join
+
+    rng = random.Random(3)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    left = spark.createDataFrame([(rng.choice("aab") if i % 9 else None, None if i % 31 == 0 else at(rng.randrange(4000)), i) for i in range(300)], "k string, t timestamp, i int")
+    right = spark.createDataFrame([(rng.choice("ab") if i % 7 else None, None if i % 29 == 0 else at(rng.randrange(5000) - 500), i) for i in range(200)], "k string, u timestamp, v int")
+    for how in ({}, {"strict": True}, {"tolerance_seconds": 60}):
+        want = sorted(asof_join(left, right, "k", "t", "u", **how).collect(), key=lambda r: r["i"])
+        for width in (50, 100_000, 0.5):
+            assert sorted(asof_join(left, right, "k", "t", "u", bin_seconds=width, **how).collect(), key=lambda r: r["i"]) == want
