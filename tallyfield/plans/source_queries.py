@@ -96,6 +96,23 @@ def provider_pages(spark, d):
     return rows[0].union(rows[1]).union(rows[2])
 
 
+def fantasy_page(endpoint: str, options: Mapping[str, str], page: int) -> str | None:
+    """Made documents of the fantasy feeds: `fetch` of the query below."""
+    rows = [{"id": k, "entry": k * 10, "is_current": k == 7, "first_name": "f", "second_name": "s", "web_name": f"w{k}"} for k in range(1, 21)]
+    return json.dumps({"gameweek_info": {"events": rows}, "player_data": {"elements": rows, "events": []}, "player_history": {"fixtures": [], "history": rows}, "rankings": {"standings": {"results": rows}}, "entry_picks": {"picks": rows}, "entry_transfers": rows}[endpoint])
+
+
+@query("fantasy_feeds", "SELECT feed, k::INTEGER AS id FROM (SELECT unnest(['players', 'names', 'history', 'rankings', 'picks', 'transfers', 'weeks']) AS feed) CROSS JOIN (SELECT unnest(range(1, 21)) AS k) UNION ALL SELECT 'current', 7::INTEGER")
+def fantasy_feeds(spark, d):
+    f, kind = providers.FPL(spark, f"{__name__}:fantasy_page"), "id int"
+    feeds = {"weeks": f.gameweek_info(kind), "current": f.current_gameweek(), "players": f.player_data(kind), "names": f.player_id_mappings(), "history": f.player_history(3, kind), "rankings": f.rankings(schema=kind), "picks": f.entry_picks(5, 2, kind), "transfers": f.entry_transfers(5, kind)}
+    out = None
+    for name, flow_ in feeds.items():
+        rows = flow_.df.select(F.lit(name).alias("feed"), "id")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 # --- un-nesting
 
 

@@ -284,3 +284,53 @@ class Opta(_Provider):
 
     def __dir__(self) -> list[str]:
         return [*super().__dir__(), *api.OPTA]
+
+
+class FPL(_Provider):
+    """Feeds of the fantasy game.  Paths and places are fixed values; the schema is that of one record."""
+
+    name = "fpl"
+
+    @staticmethod
+    def request(feed: str, **ids: int) -> Request:
+        ways = {
+            "gameweek_info": ("/bootstrap-static/", ("events",)),
+            "player_data": ("/bootstrap-static/", ("elements",)),
+            "player_history": ("/element-summary/{player_id}/", ("history",)),
+            "rankings": ("/leagues-classic/{league_id}/standings/", ("standings.results",)),
+            "entry_picks": ("/entry/{entry_id}/event/{gameweek}/picks/", ("picks",)),
+            "entry_transfers": ("/entry/{entry_id}/transfers/", ()),
+        }
+        if feed not in ways:
+            raise ValueError(f"unknown feed {feed}")
+        path, places = ways[feed]
+        if any(v < 1 for v in ids.values()):
+            raise ValueError("ids count from 1")
+        return Request(feed, path.format(**ids), {}, False, places)
+
+    def gameweek_info(self, schema: Any = None) -> Flow:
+        return self.flow(self.request("gameweek_info"), schema)
+
+    def current_gameweek(self) -> Flow:
+        """The gameweek that is on, with its id."""
+        weeks = self.gameweek_info("id int, is_current boolean").df
+        return Flow(weeks.filter("is_current").select("id"))
+
+    def player_data(self, schema: Any = None) -> Flow:
+        return self.flow(self.request("player_data"), schema)
+
+    def player_id_mappings(self) -> Flow:
+        """Ids and names of all players."""
+        return self.player_data("id int, first_name string, second_name string, web_name string")
+
+    def player_history(self, player_id: int, schema: Any = None) -> Flow:
+        return self.flow(self.request("player_history", player_id=player_id), schema)
+
+    def rankings(self, league_id: int = 314, schema: Any = None) -> Flow:
+        return self.flow(self.request("rankings", league_id=league_id), schema)
+
+    def entry_picks(self, entry_id: int, gameweek: int, schema: Any = None) -> Flow:
+        return self.flow(self.request("entry_picks", entry_id=entry_id, gameweek=gameweek), schema)
+
+    def entry_transfers(self, entry_id: int, schema: Any = None) -> Flow:
+        return self.flow(self.request("entry_transfers", entry_id=entry_id), schema)
