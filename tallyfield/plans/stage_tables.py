@@ -21,7 +21,7 @@ BASE: dict[str, str] = {
         {KICKOFF} - INTERVAL '1' DAY * (3 - k) AS observed_at, 's' AS source
         FROM (SELECT *, 1 AS k FROM orders UNION ALL SELECT *, 2 AS k FROM orders) r WHERE o_orderkey % 10 = 0""",
     "team_aliases": """SELECT CAST(c_custkey AS VARCHAR(20)) || '-' || CAST(k AS VARCHAR(9)) AS alias_id, CAST(c_custkey AS VARCHAR(20)) AS team_id, 's' || CAST(k AS VARCHAR(9)) AS source,
-        c_name AS alias_raw, lower(c_name) AS alias_normalized, 'EXACT' AS match_method, CASE WHEN c_custkey % 50 = 7 AND k = 1 THEN 'PROPOSED' ELSE 'APPROVED' END AS status
+        c_name AS alias_raw, lower(c_name) AS alias_normalized, CASE WHEN c_custkey % 90 = 11 AND k = 2 THEN 'FUZZY' ELSE 'EXACT' END AS match_method, CASE WHEN c_custkey % 50 = 7 AND k = 1 THEN 'PROPOSED' ELSE 'APPROVED' END AS status
         FROM (SELECT *, 1 AS k FROM customer UNION ALL SELECT *, 2 AS k FROM customer) r WHERE c_custkey % 5 <> k""",
     "match_merges": """SELECT CAST(o_orderkey AS VARCHAR(20)) AS merged_match_id, CAST(o_orderkey + 1 AS VARCHAR(20)) AS surviving_match_id, 'same' AS reason FROM orders WHERE o_orderkey % 1000 = 501""",
     "teams": "SELECT CAST(c_custkey AS VARCHAR(20)) AS team_id, c_name AS canonical_name, CAST(c_nationkey AS VARCHAR(9)) AS country FROM customer",

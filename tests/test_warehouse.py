@@ -399,3 +399,20 @@ def test_multiple_testing_by_families(spark):
         last = max([k for k in range(1, m + 1) if p[k - 1][0] <= 0.2 * k / m], default=0)
         found = {i for _, i in p[:last]}
         assert all(abs(got[i]["q_value"] - x) < 1e-12 and got[i]["discovery"] == (i in found) for i, x in q.items())
+
+
+def test_null_edge_against_plain_draws(spark):
+    import numpy as np
+
+    rows = [(0.4, 0.05, 5, 0.06), (0.02, 0.1, 4, 0.05), (0.3, 0.0, 6, 0.05), (0.5, 0.02, 2, 0.05), (0.33, 0.08, 8, 0.0)]
+    df = spark.createDataFrame(rows, "c double, s double, n int, o double")
+    got = [r[0] for r in df.select(market.null_edge(F.col("c"), F.col("s"), F.col("n"), F.col("o"))).collect()]
+    for (c, s, n, o), e in zip(rows, got, strict=True):
+        if s <= 0 or n < 3:
+            assert e == 0
+            continue
+        rng = np.random.default_rng(20260909)
+        drawn = np.maximum(1e-4, c + rng.uniform(-s / 2, s / 2, (4000, n)))
+        mine = rng.integers(0, n, 4000)
+        edges = [np.median(np.delete(d, m)) / (d[m] * (1 + o / 3)) - 1 for d, m in zip(drawn, mine, strict=True)]
+        assert abs(np.quantile(edges, 0.95) - e) < 1e-9
