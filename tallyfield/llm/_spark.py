@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,17 +15,39 @@ from tallyfield.llm import _memory  # noqa: F401  sets how workers give memory b
 BROADCAST_ROWS = 2_000_000
 
 
+#: Tables that this process has written, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset and all run on this machine (tests), a temporary one; on a cluster that raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
+def new_table(spark: SparkSession) -> str:
+    """The path of a new table in the shared folder; `clear_tables` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Delete the tables that operators have written in this application so far; results that still read them must be written before.  Gives their number."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        kind(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(kind(path), True)
+    return len(paths)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)
@@ -36,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage through a Parquet table in the shared folder (columns can be pruned on reading)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = new_table(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

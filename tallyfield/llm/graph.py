@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm._spark import cut, partitions, sized_broadcast, written
+from tallyfield.llm._spark import cut, sized_broadcast, written
 
 
 class Union:
@@ -49,23 +49,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"a": names, "b": names[root]})
 
 
+#: Edges that one task contracts.
+EDGES = 500_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, root): the smallest vertex that each vertex of an edge reaches.
 
-    Edges are first contracted within partitions.  Then each round gives a vertex the least
-    label of its neighbours and follows labels once more (pointer jumping), until nothing
-    changes.  The labels' own labels are a row a component, which is broadcast if small, so that
-    one large component is no hot key.  Rounds are cut by reliable checkpoints.  An edge table without rows gives none.
+    Edges are dealt to as many tasks as hold EDGES each, which contract theirs to stars; if it
+    is one task, that is all.  Else each round gives a vertex the least label of its neighbours
+    and follows labels once more (pointer jumping), until nothing changes.  The labels' own
+    labels are a row a component, which is broadcast if small, so that one large component is
+    no hot key.  Rounds are cut by reliable checkpoints.  An edge table without rows gives none.
     """
-    parts = partitions(edges)
-    pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    stars = pairs.repartition(parts, "a", "b").mapInArrow(_contract, "a long, b long").filter("a <> b")
+    pairs = written(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b"))
+    tasks = max(1, -(-pairs.count() // EDGES))
+    stars = pairs.repartition(tasks).mapInArrow(_contract, "a long, b long")
+    if tasks == 1:
+        return written(stars.select(F.col("a").alias("vertex"), F.col("b").alias("root")))
+    stars = written(stars.filter("a <> b"))
     both = cut(stars.select(F.col("a").alias("v"), F.col("b").alias("w")).union(stars.select("b", "a")).distinct())
-    labels = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("root"))
-    labels = cut(labels)
+    labels = cut(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("v").alias("w"), F.col("root").alias("_r")), "w").groupBy("v").agg(F.min("_r").alias("_r"))
-        lower = labels.join(near, "v").select("v", F.col("root").alias("_was"), F.least("root", "_r").alias("root"))
+        lower = cut(labels.join(near, "v").select("v", F.col("root").alias("_was"), F.least("root", "_r").alias("root")))
         roots = lower.select("root").distinct()
         jump = lower.select(F.col("v").alias("root"), F.col("root").alias("_up")).join(roots, "root", "left_semi")  # a row a component, not a vertex
         new = cut(lower.join(sized_broadcast(written(jump)), "root").select("v", "_was", F.least("root", "_up").alias("root")))

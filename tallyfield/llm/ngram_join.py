@@ -13,8 +13,7 @@ of 3/4 only if they share T = ceil(3 (m + n) / 7) shingles.
    by then; their lists are never brought together but stay rows.
 4. Sketches: a parity bitmap of 2n bits a class bounds the symmetric difference from
    below, so a pair over the bound is no link.  Of a list over LIST_CHUNK classes each is
-   first paired with a few pivots of the list, the classes of least hash, which many lists
-   share.  Classes that are joined by then need no pair of their own: only those outside the
+   first paired with a few pivots, classes of least hash in its lists, which many lists share.  Classes that are joined by then need no pair of their own: only those outside the
    list's largest component are compared, chunk by chunk, with all of the list.
 5. Blocks: connected components of the remaining pairs.  Any link lies within a block.
    In a block over BLOCK_CHUNK shingles every class is first joined with a few pivots; then
@@ -62,15 +61,17 @@ HOT_ROWS = 1 << 18
 SHORT = 8
 #: A frequent shingle in at least so many classes has a list of rows; pivots of a long list.
 WIDE = 4096
-PIVOTS = 3
+PIVOTS = 2
 #: Long lists and large blocks whose numbers may be broadcast (about 100 bytes each); large blocks whose pivots' sets may be (some kB each).
 LARGE_GROUPS = 500_000
 LARGE_BLOCKS = 2_000
 #: Classes of a chunk of a long list; shingles of a chunk of a block.
 LIST_CHUNK = 512
-BLOCK_CHUNK = 500_000
+BLOCK_CHUNK = 40_000
 #: Shingles that a task holds before it passes them on.
 FLUSH = 1_000_000
+#: A class of more than one of so many rows is sent to its rows rather than joined with them.
+HEAVY = 10_000
 #: Bits of the bitmap that spares most sets outside all blocks the join (it may only let too many pass).
 MAX_FILTER_BITS = 1 << 24
 #: Cost of a binary probe against a merge step, for the number of long lists.
@@ -345,12 +346,6 @@ def _nearer(n: np.ndarray, maps: list[bytes]):
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _list_forest(group: pa.Table) -> pa.Table:
-    """Edges that connect what may be linked in one list."""
-    near = _nearer(group.column("na").to_numpy().astype(np.int64), group.column("sketch").to_pylist())
-    return pa.table(dict(zip(("a", "b"), _cover(group.column("a").to_numpy(), near), strict=True)), schema=_EDGES)
-
-
 def _rest_forest(group: pa.Table) -> pa.Table:
     """Edges between the classes that ask and all classes of a chunk of a long list."""
     return _asked(group, "a", _nearer(group.column("na").to_numpy().astype(np.int64), group.column("sketch").to_pylist()))
@@ -552,7 +547,7 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     schema = T.StructType([body.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("sketch", T.BinaryType())])
     rows = written(body.mapInArrow(_classes, schema))
-    classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.any_value("sketch").alias("sketch")))
+    classes = written(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies")))
 
     shards = 4 * parts
     frequent = only_text.mapInArrow(_frequency_parts(shards), "shard int, grams binary, counts binary").repartition(parts, "shard").mapInArrow(_frequent, "gram long, df long")
@@ -564,25 +559,20 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     lists = written(posted.repartition(parts, "shard").mapInArrow(_lists, _LISTS))
 
     sketches = classes.select(F.col("sig").alias("a"), F.col("sketch").alias("sketch"))
-    members = lists.filter("list IS NOT NULL").select("list", "a", "na").distinct()
-    counted = members.groupBy("list").agg(F.count("*").alias("_n"), *[F.min_by(F.struct(F.col("a").alias("b"), F.col("na").alias("nb")), F.xxhash64("a", F.lit(i))).alias(f"_pivot{i}") for i in range(PIVOTS)])
-    long = written(counted.filter(F.col("_n") > LIST_CHUNK))
-    some_long = bool(long.limit(1).count())
-
-    pairs = lists.filter("list IS NULL").select("a", "na", "b", "nb")
-    if some_long:
-        long_members = written(members.join(sized_broadcast(long.select("list", "_n", F.array(*[f"_pivot{i}" for i in range(PIVOTS)]).alias("_pivots")), LARGE_GROUPS), "list"))
-        pivoted = long_members.select("a", "na", F.explode("_pivots").alias("_pivot")).select("a", "na", "_pivot.b", "_pivot.nb").filter("a <> b AND 4 * least(na, nb) >= 3 * greatest(na, nb)")
-        pairs = pairs.union(pivoted)
-        members = members.join(sized_broadcast(long.select("list"), LARGE_GROUPS), "list", "left_anti")
+    members = written(lists.filter("list IS NOT NULL").select("list", "a", "na").distinct())
+    pivot = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"), F.col("na").alias("nb"))
+    pivots = members.groupBy("list").agg(F.min(pivot).alias("_first"), F.min_by(pivot, F.xxhash64("a", F.lit(1))).alias("_second"))
+    asked = members.join(sized_broadcast(pivots, LARGE_GROUPS), "list").select("a", "na", F.explode(F.array("_first", "_second")).alias("_pivot")).select("a", "na", "_pivot.*")
+    # of the pivots of all its lists, a class is paired with those of least hash: most classes of a family share them
+    fits = asked.filter("a <> b AND 4 * least(na, nb) >= 3 * greatest(na, nb)").groupBy("a", "na").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "b", "nb"))), 1, PIVOTS).alias("_least"))
+    pairs = lists.filter("list IS NULL").select("a", "na", "b", "nb").union(fits.select("a", "na", F.explode("_least").alias("_pivot")).select("a", "na", "_pivot.b", "_pivot.nb"))
     left, right = (sketches.select(F.col("a").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    close = written(pairs.distinct().join(left, "a").join(right, "b").select("a", "na", "sketch_a", "b", "nb", "sketch_b").mapInArrow(_close_pairs, "a long, b long"))
-    forest = members.join(sketches, "a").groupBy("list").applyInArrow(_list_forest, "a long, b long")
-    linked = written(close.union(forest))
-    if some_long:
-        rest = _rest(long_members.select("list", "a", "na"), "list", "a", F.lit(1), LIST_CHUNK, components(linked)).join(sketches, "a")
-        linked = linked.union(rest.groupBy("list", "part").applyInArrow(_rest_forest, "a long, b long"))
-    blocks = components(linked)
+    close = pairs.distinct().join(left, "a").join(right, "b").select("a", "na", "sketch_a", "b", "nb", "sketch_b").mapInArrow(_close_pairs, "a long, b long")
+    blocks = components(close)
+    rest = _rest(members, "list", "a", F.lit(1), LIST_CHUNK, blocks).join(sketches, "a")
+    more = written(rest.groupBy("list", "part").applyInArrow(_rest_forest, "a long, b long"))
+    if more.limit(1).count():
+        blocks = components(blocks.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(more))
 
     count = blocks.count()
     if count:
@@ -591,10 +581,14 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
         links = components(_exact_links(written(sets)))
         named = links.join(classes.select("sig", "first_id"), F.col("vertex") == F.col("sig"))
         lowest = named.groupBy("root").agg(F.min("first_id").alias("component"))
-        class_of = classes.join(links.join(lowest, "root").select(F.col("vertex").alias("sig"), "component"), "sig", "left").select("sig", F.coalesce("component", "first_id").alias("component"))
+        class_of = classes.join(links.join(lowest, "root").select(F.col("vertex").alias("sig"), "component"), "sig", "left").select("sig", "copies", F.coalesce("component", "first_id").alias("component"))
     else:
-        class_of = classes.select("sig", F.col("first_id").alias("component"))
-    joined = rows.select("doc_id", "n_shingles", "sig").join(class_of, "sig", "left")
+        class_of = classes.select("sig", "copies", F.col("first_id").alias("component"))
+    named, total = written(class_of), rows.count()
+    heavy = F.broadcast(named.filter(F.col("copies") * HEAVY > total).select("sig", "component"))  # fewer than HEAVY rows
+    light = named.filter(F.col("copies") * HEAVY <= total).select("sig", "component")
+    mine = rows.select("doc_id", "n_shingles", "sig")
+    joined = mine.join(heavy, "sig").unionByName(mine.join(heavy, "sig", "left_anti").join(light, "sig", "left"))
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tallyfield.llm._pack import edges, pack, pack_plain, unpack, unpack_plain
-from tallyfield.llm._spark import bound_batches, partitions, shared_dir, sized_broadcast, table, text_of, written
+from tallyfield.llm._spark import bound_batches, new_table, partitions, sized_broadcast, table, text_of, written
 from tallyfield.llm._text import _IS_SEPARATOR, lower_table, mix, pieces
 
 ORDER = 6
@@ -208,7 +208,7 @@ def chunks(layout: Layout) -> DataFrame:
     spark = layout.source.sparkSession
     bound_batches(spark)
     rows = layout.source.mapInArrow(_chunker(layout.body), "chunk long, data binary, grams binary, counts binary, n long")
-    name, path = f"quality_chunks_{uuid.uuid4().hex}", f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    name, path = f"quality_chunks_{uuid.uuid4().hex}", new_table(spark)
     rows.write.format("parquet").option("compression", "none").option("path", path).bucketBy(partitions(rows), "chunk").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay: the table has a path of its own

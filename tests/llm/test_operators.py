@@ -63,7 +63,9 @@ def test_hashes_follow_content():
     assert s[0] == s[3] and len(set(s.tolist())) == 3
 
 
-def test_components(spark):
+@pytest.mark.parametrize("each", [3, 500_000])
+def test_components(spark, monkeypatch, each):
+    monkeypatch.setattr("tallyfield.llm.graph.EDGES", each)
     edges = spark.createDataFrame([(1, 2), (3, 2), (4, 5), (9, 8), (8, 7), (7, 6), (6, 4), (10, 10)], "a long, b long")
     got = {r["vertex"]: r["root"] for r in components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4, 8: 4, 9: 4}
@@ -201,6 +203,7 @@ def test_join_on_groups_and_chains(spark, monkeypatch, small):
         monkeypatch.setattr(ngram_join, "HOT_FREQUENCY", 4)
         monkeypatch.setattr(ngram_join, "WIDE", 20)
         monkeypatch.setattr(ngram_join, "LARGE_BLOCKS", 0)
+        monkeypatch.setattr("tallyfield.llm.graph.EDGES", 40)
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefghij") + str(rng.randrange(400))
     texts, base = {}, [word() for _ in range(60)]
@@ -861,3 +864,17 @@ def test_sql_agrees(spark, data):
 def test_ten_queries():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalogue.queries())
     assert numbers == list(range(1, 11))
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tallyfield.llm import _spark
+
+    frame = _spark.written(spark.range(5))
+    assert frame.count() == 5 and _spark.clear_tables(spark) >= 1 and _spark.clear_tables(spark) == 0
+    with pytest.raises(Exception, match="(?i)path|not exist|found"):
+        spark.read.parquet(*frame.inputFiles()).count()
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(RuntimeError):
+        _spark.shared_dir(cluster)
