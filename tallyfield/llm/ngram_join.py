@@ -46,7 +46,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from tallyfield.llm._pack import edges, pack, pack_plain, unpack, unpack_plain
 from tallyfield.llm._spark import bound_batches, partitions, sized_broadcast, table, text_of, written
@@ -537,8 +536,8 @@ def _exact_links(sets: DataFrame) -> DataFrame:
     return links.union(found).union(rest.groupBy("root", "part").applyInArrow(_rest_links, "a long, b long"))
 
 
-def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _classes_named(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, sig, sketch) of every row, and (sig, copies, component, root) of every class: its component's smallest id and a name of the component."""
     spark = docs.sparkSession
     bound_batches(spark)
     body = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
@@ -581,28 +580,59 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
         links = components(_exact_links(written(sets)))
         named = links.join(classes.select("sig", "first_id"), F.col("vertex") == F.col("sig"))
         lowest = named.groupBy("root").agg(F.min("first_id").alias("component"))
-        class_of = classes.join(links.join(lowest, "root").select(F.col("vertex").alias("sig"), "component"), "sig", "left").select("sig", "copies", F.coalesce("component", "first_id").alias("component"))
+        class_of = classes.join(links.join(lowest, "root").select(F.col("vertex").alias("sig"), "component", "root"), "sig", "left").select("sig", "copies", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component")).alias("component"), F.coalesce("root", "sig").alias("root"))
     else:
-        class_of = classes.select("sig", "copies", F.col("first_id").alias("component"))
-    named, total = written(class_of), rows.count()
-    heavy = F.broadcast(named.filter(F.col("copies") * HEAVY > total).select("sig", "component"))  # fewer than HEAVY rows
-    light = named.filter(F.col("copies") * HEAVY <= total).select("sig", "component")
-    mine = rows.select("doc_id", "n_shingles", "sig")
-    joined = mine.join(heavy, "sig").unionByName(mine.join(heavy, "sig", "left_anti").join(light, "sig", "left"))
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        class_of = classes.select("sig", "copies", F.col("first_id").alias("component"), F.col("sig").alias("root"))
+    return rows, written(class_of)
+
+
+def _with_classes(rows: DataFrame, named: DataFrame, total: int) -> DataFrame:
+    """rows (with sig) and the component and root of their classes; null for empty sets."""
+    heavy = F.broadcast(named.filter(F.col("copies") * HEAVY > total).select("sig", "component", "root"))  # fewer than HEAVY rows
+    light = named.filter(F.col("copies") * HEAVY <= total).select("sig", "component", "root")
+    return rows.join(heavy, "sig").unionByName(rows.join(heavy, "sig", "left_anti").join(light, "sig", "left"))
+
+
+def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
+    out = _with_classes(rows.select("doc_id", "n_shingles", "sig"), named, rows.count())
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _labelled(*_classes_named(docs, text, key))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text) with the text's signature in place of the text; null for an empty set."""
+    for batch in batches:
+        names = [signature(g) if len(g) else None for g in sets_of(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64())], ["_row", "sig"])
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each component stays, that of the smallest id; rows without an id stay."""
-    named = written(similar_components(docs, text, key))
-    kept = named.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    """One row of each component stays, that of the smallest id.
+
+    A row without an id stays if its component has no id and it is the first of its rows (as
+    JSON text), or if its set is empty.  Of several rows of one kept id the first as JSON text
+    stays.
+    """
+    rows, classes = _classes_named(docs, text, key)
+    named = written(_labelled(rows, classes))
+    kept = named.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_copies"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_first")).filter("_first")
     once = sized_broadcast(kept.select(F.col("doc_id").alias("_kept"), "_copies"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_own"))
-    joined = row.join(once, row["_own"] == once["_kept"], "left").filter("_own IS NULL OR _kept IS NOT NULL")
-    single = joined.filter("_own IS NULL OR _copies = 1")
-    if kept.filter("_copies > 1").limit(1).count():  # several rows of one id: the first of them in order of all columns
-        order = W.partitionBy("_own").orderBy("_row")
-        single = single.unionByName(joined.filter("_copies > 1").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n"))
+    joined = row.join(once, row["_own"] == once["_kept"])
+    single = joined.filter("_copies = 1").select("_row")
+    if kept.filter("_copies > 1").limit(1).count():
+        single = single.unionByName(joined.filter("_copies > 1").groupBy("_own").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row"))
+    bare = docs.filter(F.col(f"`{key}`").isNull())
+    if bare.limit(1).count():
+        source = bare.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_of(f"`{text}`").alias("_text"))
+        signed = source.mapInArrow(_signed, T.StructType([source.schema["_row"], T.StructField("sig", T.LongType())]))
+        found = written(_with_classes(signed, classes, rows.count()))
+        alone = found.filter("sig IS NOT NULL AND component IS NULL").groupBy("root").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
+        single = single.unionByName(found.filter("sig IS NULL").select("_row")).unionByName(alone)
     return single.select("_row.*")
 
 

@@ -279,6 +279,12 @@ def test_join_odd_input(spark, odd_docs):
     kept = ngram_join.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 8]
     assert ngram_join.keep_one(empty(spark)).count() == 0
+    same = "these are the very same words in several rows of no id"
+    rows = [(None, same, "b"), (None, same, "a"), (None, "other words that one row with an id holds too", "c"), (9, "other words that one row with an id holds too", "d"), (None, None, "e"), (None, "", "f"), (None, "something else that stands alone here", "g")]
+    bare = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    assert sorted(r["tag"] for r in ngram_join.keep_one(bare).collect()) == ["a", "d", "e", "f", "g"]
+    named = spark.createDataFrame([("x", same), ("k", same), ("z", "unlike all the others that are here")], "doc_id string, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(named).collect()} == {"x": "k", "k": "k", "z": "z"}
 
 
 # --- 4 quality model
