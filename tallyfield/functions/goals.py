@@ -321,3 +321,17 @@ def expected_goals(home, draw, away, rho: float = 0.0, most: int = 12, steps: in
         return pd.DataFrame({"home": hide(np.exp(x[:, 0])), "away": hide(np.exp(x[:, 1])), "error": hide(error)}).astype(object).where(lambda f: f.notna(), None)
 
     return solve(home, draw, away)
+
+
+def score_log_probability(kind: str, home_goals, away_goals, home_mean, away_mean, extra: Sequence[float] = ()):
+    """Column of the log probability of a final score under a model's means and extras, in Arrow batches."""
+    from pyspark.sql.functions import pandas_udf
+
+    if kind not in KINDS or len(extra) != len(KINDS[kind].extra):
+        raise ValueError(f"a kind of {', '.join(KINDS)} and its extras")
+
+    @pandas_udf("double")
+    def run(h: pd.Series, a: pd.Series, mh: pd.Series, ma: pd.Series) -> pd.Series:
+        return pd.Series(log_likelihood(kind, h.to_numpy(int), a.to_numpy(int), mh.to_numpy(float), ma.to_numpy(float), list(extra)))
+
+    return run(home_goals, away_goals, home_mean, away_mean)

@@ -420,3 +420,38 @@ def bronze_to_silver(spark, d):
         rows = made[name].agg(F.count("*").alias("n"), F.sum(F.col(column).cast("long")).alias("total")).select(F.lit(name).alias("name"), "n", "total")
         out = rows if out is None else out.union(rows)
     return out
+
+
+@query("goal_likelihoods", """
+WITH x AS (SELECT o_orderkey AS id, o_orderkey % 4 AS h, o_orderkey % 3 AS a, 0.8 + o_orderkey % 10 / 5.0::DOUBLE AS m, 0.6 + o_orderkey % 7 / 5.0::DOUBLE AS n FROM orders),
+f AS (SELECT unnest(range(4)) AS k, unnest([1.0, 1.0, 2.0, 6.0]) AS fact),
+y AS (SELECT x.*, fh.fact AS fh, fa.fact AS fa, exp(-m) * pow(m, h) / fh.fact AS p, exp(-n) * pow(n, a) / fa.fact AS q FROM x JOIN f fh ON fh.k = h JOIN f fa ON fa.k = a),
+b AS (SELECT id, sum(exp(-m) * pow(m, h - f.k) / g.fact * exp(-n) * pow(n, a - f.k) / j.fact * exp(-exp(-2.0)) * pow(exp(-2.0), f.k) / f.fact) AS p FROM x JOIN f ON f.k <= least(h, a) JOIN f g ON g.k = h - f.k JOIN f j ON j.k = a - f.k GROUP BY id),
+c AS (SELECT x.id, coalesce(sum(exp(-m) * pow(m, f.k) / f.fact) FILTER (WHERE f.k <= h), 0) AS u, coalesce(sum(exp(-m) * pow(m, f.k) / f.fact) FILTER (WHERE f.k < h), 0) AS u0, coalesce(sum(exp(-n) * pow(n, f.k) / f.fact) FILTER (WHERE f.k <= a), 0) AS v, coalesce(sum(exp(-n) * pow(n, f.k) / f.fact) FILTER (WHERE f.k < a), 0) AS v0 FROM x CROSS JOIN f GROUP BY x.id),
+z AS (SELECT *, exp(3.0) AS r, 1 / (1 + exp(4.0)) AS z FROM y)
+SELECT z.id, round(ln(z.p) + ln(q), 8) AS poisson, round(ln(z.p) + ln(q) + ln(CASE WHEN h = 0 AND a = 0 THEN 1 + 0.05 * m * n WHEN h = 0 AND a = 1 THEN 1 - 0.05 * m WHEN h = 1 AND a = 0 THEN 1 - 0.05 * n WHEN h = 1 AND a = 1 THEN 1.05 ELSE 1 END), 8) AS dixon_coles,
+  round(lgamma(h + r) - lgamma(r) - ln(fh) + r * ln(r / (r + m)) + h * ln(m / (r + m)) + lgamma(a + r) - lgamma(r) - ln(fa) + r * ln(r / (r + n)) + a * ln(n / (r + n)), 7) AS negative_binomial,
+  round(ln(CASE WHEN h = 0 THEN z ELSE 0 END + (1 - z) * z.p) + ln(CASE WHEN a = 0 THEN z ELSE 0 END + (1 - z) * q), 8) AS zero_inflated, round(ln(b.p), 8) AS bivariate,
+  round(ln((-ln(1 + (exp(-0.5 * u) - 1) * (exp(-0.5 * v) - 1) / (exp(-0.5) - 1)) + ln(1 + (exp(-0.5 * u0) - 1) * (exp(-0.5 * v) - 1) / (exp(-0.5) - 1)) + ln(1 + (exp(-0.5 * u) - 1) * (exp(-0.5 * v0) - 1) / (exp(-0.5) - 1)) - ln(1 + (exp(-0.5 * u0) - 1) * (exp(-0.5 * v0) - 1) / (exp(-0.5) - 1))) / 0.5), 6) AS weibull_copula
+FROM z JOIN b ON b.id = z.id JOIN c ON c.id = z.id""")
+def goal_likelihoods(spark, d):
+    """Log probabilities of final scores under six models (the Weibull counts with a shape of 1, which are Poisson counts)."""
+    k = F.col("o_orderkey")
+    x = table(spark, d, "orders").select(k.alias("id"), (k % 4).alias("h"), (k % 3).alias("a"), (F.lit(0.8) + k % 10 / F.lit(5.0)).alias("m"), (F.lit(0.6) + k % 7 / F.lit(5.0)).alias("n"))
+    extras = {"poisson": (), "dixon_coles": (-0.05,), "negative_binomial": (3.0,), "zero_inflated": (-4.0,), "bivariate": (-2.0,), "weibull_copula": (0.0, 0.5)}
+    digits = {"negative_binomial": 7, "weibull_copula": 6}
+    return x.select("id", *[F.round(goals.score_log_probability(kind, F.col("h"), F.col("a"), F.col("m"), F.col("n"), e), digits.get(kind, 8)).alias(kind) for kind, e in extras.items()])
+
+
+@query("predictions_of_strengths", """
+WITH s AS (SELECT s_nationkey % 5 AS league, CAST(s_suppkey AS VARCHAR) AS team, s_suppkey % 9 / 20.0::DOUBLE AS attack, -(s_suppkey % 7) / 20.0::DOUBLE AS defence FROM supplier),
+m AS (SELECT league, avg(attack) AS ma, avg(defence) AS md FROM s GROUP BY league),
+f AS (SELECT c_custkey AS id, c_nationkey % 5 AS league, CAST(c_custkey % 150 AS VARCHAR) AS home, CAST(c_custkey % 130 + 1 AS VARCHAR) AS away FROM customer)
+SELECT f.id, round(exp(0.25 + coalesce(h.attack, ma) + coalesce(a.defence, md)), 9) AS lambda_home, round(exp(coalesce(a.attack, ma) + coalesce(h.defence, md)), 9) AS lambda_away, h.team IS NULL OR a.team IS NULL AS used_prior
+FROM f JOIN m USING (league) LEFT JOIN s h ON h.league = f.league AND h.team = f.home LEFT JOIN s a ON a.league = f.league AND a.team = f.away""")
+def predictions_of_strengths(spark, d):
+    k = F.col("s_suppkey")
+    strengths = table(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("league"), k.cast("string").alias("team"), (k % 9 / F.lit(20.0)).alias("attack"), (-(k % 7) / F.lit(20.0)).alias("defence"), F.lit(0.25).alias("home_advantage"))
+    c = F.col("c_custkey")
+    fixtures = table(spark, d, "customer").select(c.alias("id"), (F.col("c_nationkey") % 5).alias("league"), (c % 150).cast("string").alias("home"), (c % 130 + 1).cast("string").alias("away"))
+    return rounded(goals.predict_many(fixtures, strengths, ["league"]).select("id", "lambda_home", "lambda_away", "used_prior"), "lambda_home", "lambda_away")
