@@ -413,3 +413,35 @@ def html_statistics(spark, d):
     got = pages.season_statistics(docs, "n_name")
     players = got["players"].select(F.col("n_name").alias("squad"), pages.cell("player", number=False).alias("player"), pages.cell("performance_gls").alias("goals"), F.round(pages.cell("performance_per_90"), 2).alias("per_90"))
     return players.union(got["squad_for"].select(pages.cell("squad", number=False), F.lit("squad"), pages.cell("n"), F.lit(None).cast("double")))
+
+
+# --- streams
+
+
+@query("late_events", """
+WITH e AS (SELECT event_id % 2 AS batch, event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, ts FROM events),
+m AS (SELECT max(ts) FILTER (WHERE batch = 0) - INTERVAL 48 HOUR AS first, max(ts) - INTERVAL 48 HOUR AS final FROM e)
+SELECT event_type, start, count(*) AS n FROM e CROSS JOIN m WHERE start + INTERVAL 6 HOUR <= final AND (batch = 0 OR start + INTERVAL 6 HOUR > first) GROUP BY event_type, start""")
+def late_events(spark, d):
+    """A stream of two batches: rows of the second that come after the watermark of the first are left out, and windows come out once it has passed them."""
+    from tallyfield.streaming import folds
+
+    root = scratch(spark)
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    name = f"late_{uuid.uuid4().hex}"
+    for batch in (0, 1):
+        e.filter(F.col("event_id") % 2 == batch).coalesce(1).write.parquet(f"{root}/in/b{batch}")
+        rows = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
+        counted = folds.tumbling(rows, "ts", "6 hours", ["event_type"], "48 hours", n=F.count("*")).select("event_type", F.col("window.start").alias("start"), "n")
+        stream = counted.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").queryName(f"{name}_{batch}").trigger(availableNow=True).start()
+        stream.awaitTermination()
+    return spark.read.schema("event_type string, start timestamp, n long").parquet(f"{root}/out")
+
+
+@query("streamed_prices", "SELECT match_key, bookmaker, count(*) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS match_key, CAST(event_id % 2 AS VARCHAR) AS bookmaker, round(value / 25) AS home, lag(round(value / 25)) OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts) AS before, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts) AS k FROM events) x WHERE k = 1 OR home IS DISTINCT FROM before GROUP BY match_key, bookmaker")
+def streamed_prices(spark, d):
+    """Price changes of a poll log, counted by match and bookmaker."""
+    from tallyfield.plans.market_queries import _polls
+    from tallyfield.streaming import folds
+
+    return folds.fold_prices(_polls(spark, d)).groupBy("match_key", "bookmaker").agg(F.count("*").alias("n"))
