@@ -27,12 +27,12 @@ def log_factorial(k: np.ndarray) -> np.ndarray:
 _gamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def minimise(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 200, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
-    """BFGS with central differences and a halving line search."""
+def minimise(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 200, tolerance: float = 1e-6, slope: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, float]:
+    """BFGS with a halving line search; central differences where no slope is given."""
     x, n = start.astype(float), len(start)
     step = 1e-5
 
-    def slope(at: np.ndarray) -> np.ndarray:
+    def differences(at: np.ndarray) -> np.ndarray:
         out = np.empty(n)
         for i in range(n):
             d = np.zeros(n)
@@ -40,6 +40,7 @@ def minimise(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int =
             out[i] = (f(at + d) - f(at - d)) / (2 * step)
         return out
 
+    slope = slope or differences
     inverse, value, grad = np.eye(n), f(x), slope(x)
     for _ in range(rounds):
         if np.abs(grad).max() < tolerance:
@@ -204,6 +205,12 @@ def log_likelihood(kind: str, h: np.ndarray, a: np.ndarray, mh: np.ndarray, ma:
     return _poisson(h, mh) + _poisson(a, ma)
 
 
+def _merged(*columns: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct columns, sums of their weights, their numbers)."""
+    rows, place, sizes = np.unique(np.stack([c.astype(np.int64) for c in columns]), axis=1, return_inverse=True, return_counts=True)
+    return rows, np.bincount(place.ravel(), w, rows.shape[1]), sizes
+
+
 def fit(matches: pd.DataFrame, kind: str = "dixon_coles", home: str = "home", away: str = "away", home_goals: str = "home_goals", away_goals: str = "away_goals", weight: str | None = None, neutral: str | None = None, ridge: float = 1e-3) -> GoalModel:
     """Maximum likelihood with attack strengths of mean 0; a slight ridge keeps unbeaten sides finite."""
     if kind not in KINDS:
@@ -217,21 +224,42 @@ def fit(matches: pd.DataFrame, kind: str = "dixon_coles", home: str = "home", aw
     w = matches[weight].to_numpy(float) if weight else np.ones(len(matches))
     away_from_home = matches[neutral].to_numpy(bool) if neutral else np.zeros(len(matches), bool)
     own = KINDS[kind]
+    # matches of the same sides and score count together
+    (i, j, h, a, away_from_home), w, sizes = _merged(i, j, h, a, away_from_home, w=w)
+    away_from_home = away_from_home.astype(bool)
 
     def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
         attack = x[:n] - x[:n].mean()
         return attack, x[n : 2 * n], 0.0 if away_from_home.all() else x[2 * n], x[2 * n + 1 :]
 
-    def loss(x: np.ndarray) -> float:
+    def logs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log means of both sides, and the extras."""
         attack, defence, hfa, extra = parts(x)
-        mh = np.exp(np.clip(hfa * ~away_from_home + attack[i] + defence[j], -8, 4))
-        ma = np.exp(np.clip(attack[j] + defence[i], -8, 4))
+        return hfa * ~away_from_home + attack[i] + defence[j], attack[j] + defence[i], extra
+
+    def likelihood(lh: np.ndarray, la: np.ndarray, extra: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
-            total = -(w * log_likelihood(kind, h, a, mh, ma, extra)).sum()
+            return w * log_likelihood(kind, h, a, np.exp(np.clip(lh, -8, 4)), np.exp(np.clip(la, -8, 4)), extra)
+
+    def loss(x: np.ndarray) -> float:
+        total = -likelihood(*logs(x)).sum()
         return float(total + ridge * (x[: 2 * n] ** 2).sum()) if np.isfinite(total) else 1e30
 
-    level = math.log(max(0.1, (h.mean() + a.mean()) / 2))
-    x, value = minimise(loss, np.concatenate([np.zeros(n), np.full(n, level), [0.2], own.start]))
+    def slope(x: np.ndarray, step: float = 1e-5) -> np.ndarray:
+        """By differences of each match's two log means and of the extras, carried over to the strengths."""
+        lh, la, extra = logs(x)
+        by_home = -(likelihood(lh + step, la, extra) - likelihood(lh - step, la, extra)) / (2 * step)
+        by_away = -(likelihood(lh, la + step, extra) - likelihood(lh, la - step, extra)) / (2 * step)
+        attack = np.bincount(i, by_home, n) + np.bincount(j, by_away, n)
+        defence = np.bincount(j, by_home, n) + np.bincount(i, by_away, n)
+        hfa = 0.0 if away_from_home.all() else by_home[~away_from_home].sum()
+        more = [-(likelihood(lh, la, extra + d).sum() - likelihood(lh, la, extra - d).sum()) / (2 * step) for d in np.eye(len(extra)) * step]
+        out = np.concatenate([attack - attack.mean(), defence, [hfa], more])
+        out[: 2 * n] += 2 * ridge * x[: 2 * n]
+        return np.nan_to_num(out, posinf=0.0, neginf=0.0)
+
+    level = math.log(max(0.1, (np.average(h, weights=sizes) + np.average(a, weights=sizes)) / 2))
+    x, value = minimise(loss, np.concatenate([np.zeros(n), np.full(n, level), [0.2], own.start]), slope=slope)
     attack, defence, hfa, extra = parts(x)
     return GoalModel(kind, teams, attack, defence, float(hfa), dict(zip(own.extra, (float(v) for v in extra), strict=True)), -float(value), 2 * n + len(own.extra))
 
