@@ -84,7 +84,7 @@ def partitions(df: DataFrame) -> int:
 
 
 #: Bytes of one Arrow batch between the JVM and a worker (Spark's default bounds rows only, 10,000 whole texts).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -68,7 +68,7 @@ LARGE_BLOCKS = 2_000
 LIST_CHUNK = 512
 BLOCK_CHUNK = 40_000
 #: Shingles that a task holds before it passes them on.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: A class of more than one of so many rows is sent to its rows rather than joined with them.
 HEAVY = 10_000
 #: Bits of the bitmap that spares most sets outside all blocks the join (it may only let too many pass).

@@ -48,7 +48,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tallyfield.llm._pack import edges, pack, pack_plain, unpack, unpack_plain
-from tallyfield.llm._spark import bound_batches, new_table, partitions, sized_broadcast, table, text_of, written
+from tallyfield.llm._memory import trim
+from tallyfield.llm._spark import BATCH_BYTES, bound_batches, new_table, partitions, sized_broadcast, table, text_of, written
 from tallyfield.llm._text import _IS_SEPARATOR, lower_table, mix, pieces
 
 ORDER = 6
@@ -166,6 +167,15 @@ class Layout:
         self.source = docs.select(*columns)
 
 
+def _added(keys: np.ndarray, count: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with counts, and more of them, as one."""
+    at = np.searchsorted(keys, more)
+    known = np.zeros(len(more), bool)
+    known[at < len(keys)] = keys[at[at < len(keys)]] == more[at < len(keys)]
+    count[at[known]] += n[known]
+    return np.insert(keys, at[~known], more[~known]), np.insert(count, at[~known], n[~known])
+
+
 def _chunker(body: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -175,15 +185,14 @@ def _chunker(body: int):
         def chunk() -> pa.RecordBatch:
             batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             codes, role = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
-            found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, count = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
             for a, b, data, offsets in pieces(batch.column(body)):
                 key, row = grams(data, offsets, codes[a:b])
-                for group in (key[role[a:b][row] == TRAIN], key[role[a:b][row] != TRAIN]):
-                    some, n = np.unique(group, return_counts=True)
-                    found.append(some)
-                    counts.append(n if len(counts) % 2 else np.zeros(len(some), np.int64))
-            keys, place = np.unique(np.concatenate(found), return_inverse=True)
-            count = np.bincount(place, np.concatenate(counts), len(keys)).astype(np.uint32)
+                training = role[a:b][row] == TRAIN
+                some, n = np.unique(key[training], return_counts=True)
+                keys, count = _added(keys, count, some, n.astype(np.uint32))
+                some = np.unique(key[~training])
+                keys, count = _added(keys, count, some, np.zeros(len(some), np.uint32))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd"))) as out:
                 out.write_batch(batch)
@@ -197,6 +206,7 @@ def _chunker(body: int):
                 if size >= CHUNK_BYTES:
                     yield chunk()
                     held, size, number = [], 0, number + 1
+                    trim()
         if any(b.num_rows for b in held):
             yield chunk()
 
@@ -398,7 +408,10 @@ def _scorer(body: int, width: int, shards: int, only: int | None, schema: T.Stru
                 asked, row = grams(text, offsets, codes[a:b])
                 n[a:b] = np.bincount(row, minlength=b - a)
                 total[a:b] = np.bincount(row, known.get(asked), b - a)
-            out.append(pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(codes), pa.array(n), pa.array(-total / SCALE)], schema.names))
+            done = pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(codes), pa.array(n), pa.array(-total / SCALE)], schema.names)
+            rows = max(1, done.num_rows * BATCH_BYTES // max(1, done.nbytes))  # of a bounded size, also on the way back
+            out += [done.slice(low, rows) for low in range(0, done.num_rows, rows)]
+        trim()
         if out:
             return pa.Table.from_batches(out)
         from pyspark.sql.pandas.types import to_arrow_schema
