@@ -49,7 +49,7 @@ from pyspark.sql.window import Window as W
 
 from tallyfield.llm._pack import edges, pack, pack_plain, unpack, unpack_plain
 from tallyfield.llm._memory import trim
-from tallyfield.llm._spark import BATCH_BYTES, bound_batches, new_table, partitions, sized_broadcast, table, text_of, written
+from tallyfield.llm._spark import BATCH_BYTES, bound_batches, new_table, partitions, release, sized_broadcast, table, text_of, written
 from tallyfield.llm._text import _IS_SEPARATOR, lower_table, mix, pieces
 
 ORDER = 6
@@ -350,10 +350,15 @@ def answers(table: DataFrame) -> tuple[DataFrame, int]:
     shards = max(partitions(table), -(-total // SHARD_KEYS))
     asked = table.select("chunk", "grams", "counts").mapInArrow(_dealer(shards), "shard int, chunk long, grams binary, counts binary")
     counted = written(asked.groupBy("shard").applyInArrow(_continued, "order int, g long, c long"))
+    release(table.sparkSession)
     of = {r["g"]: r["n"] for r in counted.filter(F.col("order") == ORDER).groupBy("g").agg(F.sum("c").alias("n")).collect()}
-    lower = lower_orders(counted.filter(F.col("order") == ORDER - 1).select("g", "c")).mapInArrow(_dealt_lower(shards), "shard int, low binary, p binary")
+    probable = lower_orders(counted.filter(F.col("order") == ORDER - 1).select("g", "c"))
+    release(table.sparkSession)
+    lower = probable.mapInArrow(_dealt_lower(shards), "shard int, low binary, p binary")
     reply = asked.groupBy("shard").cogroup(lower.groupBy("shard")).applyInArrow(_answerer(_discounts(*(of.get(k, 0) for k in (1, 2, 3, 4)))), "chunk long, shard int, values binary")
-    return written(reply), shards
+    reply = written(reply)
+    release(table.sparkSession)
+    return reply, shards
 
 
 class Costs:
@@ -451,6 +456,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     held = chunks(layout)
     reply, shards = answers(held)
     limits = sized_broadcast(written(_limits(written(scored(layout, held, reply, shards, HELD).filter("_n > 0")), quantile, margin)))
+    release(docs.sparkSession)
     joined = scored(layout, held, reply, shards).join(limits, "_code", "left")
     perplexity = F.when((F.col("_n") > 0) & F.col("_mean").isNotNull(), _smoothed())
     return joined.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], perplexity.alias("perplexity"), "threshold", F.coalesce(perplexity <= F.col("threshold"), F.lit(True)).alias("kept"))
