@@ -63,6 +63,8 @@ HELD_PARTS = 5
 #: Bytes of text in a chunk (a longer text is a chunk of its own); n-grams of a shard on average.
 CHUNK_BYTES = 8 << 20
 SHARD_KEYS = 2_000_000
+#: Compression of the chunks: their texts are most of what this writes.
+LEVEL = 6
 #: Parts of a nat in which log probabilities are sent.
 SCALE = 2048
 
@@ -194,7 +196,7 @@ def _chunker(body: int):
                 some = np.unique(key[~training])
                 keys, count = _added(keys, count, some, np.zeros(len(some), np.uint32))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd"))) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
                 out.write_batch(batch)
             return pa.RecordBatch.from_pydict({"chunk": [part << 32 | number], "data": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "grams": pa.array([pack(keys)], pa.binary()), "counts": pa.array([pack_plain(count)], pa.binary()), "n": pa.array([len(keys)], pa.int64())})
 
