@@ -61,7 +61,7 @@ SMOOTHING = 200
 #: One of so many parts of the trusted documents is held out for the thresholds.
 HELD_PARTS = 5
 #: Bytes of text in a chunk (a longer text is a chunk of its own); n-grams of a shard on average.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 SHARD_KEYS = 2_000_000
 #: Compression of the chunks: their texts are most of what this writes.
 LEVEL = 6
