@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import byte_bpe, decontamination, line_dedup, ngram_join, pii, quality_model, quality_rules, sharding, toxicity, warc
+from tallyfield.llm import byte_bpe, conversations, decontamination, line_dedup, ngram_join, pii, quality_model, quality_rules, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_warc": warc.op10_warc,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.OP9_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op9_line_dedup": line_dedup.OP9_SQL, "op10_warc": warc.OP10_SQL, "op13_conversation_repair": conversations.OP13_SQL}
