@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm import byte_bpe, conversations, decontamination, line_dedup, ngram_join, pii, quality_model, quality_rules, quantile_summaries, sharding, toxicity, warc
+from tallyfield.llm import byte_bpe, conversations, decontamination, line_dedup, ngram_join, pii, quality_model, quality_rules, quantile_summaries, sharding, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_warc": warc.op10_warc,
+        "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
         "op12_quantile_summaries": quantile_summaries.op12_quantile_summaries,
         "op13_conversation_repair": conversations.op13_conversation_repair,
     }
