@@ -13,7 +13,7 @@ part of a group only, and a group's parts are added up from their totals, one ro
 is collected or broadcast.  A value that a third of the rows share is counted before the shuffle.
 
 Size: a sketch keeps at most K + 2K/3 + 4K/9 + ... + 8 a level: with K = 250 fewer than 1,000 items up
-to 1e14 rows; its rank error is about 1.1 % at 99 % confidence, 2 % being five deviations.
+to 1e13 rows; its rank error is about 1.1 % at 99 % confidence, 2 % being five deviations.
 
 Cases: rows without group, item or money are dropped; a null id counts as an empty one; equal rows
 all count (of clicks one row an id, the least by client and value); equal values of x are one point of the order; groups under

@@ -49,14 +49,17 @@ GRAMS = LEAST - GRAM + 1
 KEY_BITS = 48
 #: Bytes of text in a chunk, and of the corpus for each shard.
 CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Windows of one run at most (texts that repeat themselves have longer ones) and window starts worked on at once.
 RUN = 64
-BLOCK = 1 << 19
+BLOCK = 1 << 18
+#: Suffixes that a shard sorts at once: whole anchors, one at least.
+WORK = 1 << 17
 #: Documents with one anchor beyond which its windows are dealt one by one.
 HOT = 50_000
 
 _NO_ID = (1 << 63) - 1
+_SALT = np.uint64(0xA24BAED4963EE407)
 _ZSTD = pa.Codec("zstd")
 
 
@@ -76,7 +79,7 @@ def _block_runs(data: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.nda
     """(start, windows, anchor, hash of the bytes) of the runs of windows in a block; whole[i]: window i lies in one document."""
     total = running(data)
     gram = np.arange(len(data) - GRAM + 1)
-    least = _sliding_least(span_hashes(data, gram, gram + GRAM, total) >> np.uint64(64 - KEY_BITS), GRAMS)[: len(whole)]
+    least = _sliding_least(span_hashes(data, gram, gram + GRAM, total), GRAMS)[: len(whole)]
     fresh = np.ones(len(whole) + 1, bool)
     fresh[1:-1] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
     bounds = np.flatnonzero(fresh)
@@ -86,7 +89,8 @@ def _block_runs(data: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.nda
         parts = -(-n // RUN)
         turn = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, n = np.repeat(start, parts) + RUN * turn, np.minimum(RUN, np.repeat(n, parts) - RUN * turn)
-    return start, n, least[start], span_hashes(data, start, start + n + (LEAST - 1), total)
+    key = mix(least[start] ^ _SALT) >> np.uint64(64 - KEY_BITS)  # least hashes are small: mixed anew they fill all shards alike
+    return start, n, key, span_hashes(data, start, start + n + (LEAST - 1), total)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -390,6 +394,22 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, n: np.ndarray, group:
     return run[hit], turn[hit]
 
 
+def _in_parts(data: np.ndarray, start: np.ndarray, n: np.ndarray, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`repeated_windows` of runs in order of their groups, about WORK suffixes at once."""
+    before = np.cumsum(n) - n
+    first = edges(group)
+    part = (before[first] // WORK)[np.cumsum(np.diff(group, prepend=group[0] - 1) != 0) - 1]
+    bounds = np.append(edges(part), len(part))
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        size = n[a:b] + LEAST - 1
+        at = np.cumsum(size) - size
+        own = data[np.repeat(start[a:b] - at, size) + np.arange(size.sum())]
+        run, turn = repeated_windows(own, at, n[a:b], group[a:b], ids[a:b])
+        out.append((run + a, turn))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _judge(sent: pa.Table) -> pa.Table:
     """The windows of each chunk's runs that a smaller id has: (chunk, starts, counts)."""
     count = sent.column("n").to_pylist()
@@ -398,10 +418,13 @@ def _judge(sent: pa.Table) -> pa.Table:
     n = n.astype(np.int64)
     size = n + LEAST - 1
     ends = np.cumsum(size)
-    bounds = np.append(0, ends)[np.append(0, np.cumsum(count))]
-    data = np.concatenate([np.frombuffer(_ZSTD.decompress(x.as_buffer(), int(b - a)), np.uint8) for x, a, b in zip(sent.column("text"), bounds[:-1], bounds[1:], strict=True)])
-    at = ends - size
-    own = mix(span_hashes(data, at, ends))
+    at, texts, own = ends - size, [], []
+    marks = np.append(0, np.cumsum(count))
+    for blob, a, b in zip(sent.column("text"), marks[:-1], marks[1:], strict=True):  # hashed block by block: their sums take eight times the room
+        texts.append(np.frombuffer(_ZSTD.decompress(blob.as_buffer(), int(size[a:b].sum())), np.uint8))
+        own.append(span_hashes(texts[-1], at[a:b] - at[a], ends[a:b] - at[a]))
+    data, own = np.concatenate(texts), np.concatenate(own)
+    del texts
     order, which, behind = _fallen_together(data, at, n, key, own, ids)
     hits = [(order[behind], np.zeros(behind.sum(), np.int64), n[order[behind]])]
     ahead, of = order[~behind], which[~behind]
@@ -411,7 +434,7 @@ def _judge(sent: pa.Table) -> pa.Table:
     several = np.repeat(np.diff(first, append=len(one)) > 1, np.diff(first, append=len(one)))
     chosen = one[several]
     if len(chosen):
-        run, turn = repeated_windows(data, at[chosen], n[chosen], np.searchsorted(anchors[first], key[chosen]), ids[chosen])
+        run, turn = _in_parts(data, at[chosen], n[chosen], np.searchsorted(anchors[first], key[chosen]), ids[chosen])
         # neighbouring windows of a run are one hit; other runs of the same text and id share it
         fresh = np.ones(len(run), bool)
         fresh[1:] = (run[1:] != run[:-1]) | (turn[1:] != turn[:-1] + 1)
