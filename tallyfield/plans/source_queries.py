@@ -436,12 +436,3 @@ def late_events(spark, d):
         stream = counted.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").queryName(f"{name}_{batch}").trigger(availableNow=True).start()
         stream.awaitTermination()
     return spark.read.schema("event_type string, start timestamp, n long").parquet(f"{root}/out")
-
-
-@query("streamed_prices", "SELECT match_key, bookmaker, count(*) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS match_key, CAST(event_id % 2 AS VARCHAR) AS bookmaker, round(value / 25) AS home, lag(round(value / 25)) OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts) AS before, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts) AS k FROM events) x WHERE k = 1 OR home IS DISTINCT FROM before GROUP BY match_key, bookmaker")
-def streamed_prices(spark, d):
-    """Price changes of a poll log, counted by match and bookmaker."""
-    from tallyfield.plans.market_queries import _polls
-    from tallyfield.streaming import folds
-
-    return folds.fold_prices(_polls(spark, d)).groupBy("match_key", "bookmaker").agg(F.count("*").alias("n"))
