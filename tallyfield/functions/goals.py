@@ -207,7 +207,10 @@ def log_likelihood(kind: str, h: np.ndarray, a: np.ndarray, mh: np.ndarray, ma:
 
 def _merged(*columns: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct columns, sums of their weights, their numbers)."""
-    rows, place, sizes = np.unique(np.stack([c.astype(np.int64) for c in columns]), axis=1, return_inverse=True, return_counts=True)
+    whole = [c.astype(np.int64) for c in columns]
+    spans = [int(c.max()) + 1 for c in whole]
+    key, place, sizes = np.unique(np.ravel_multi_index(whole, spans), return_inverse=True, return_counts=True)
+    rows = np.stack(np.unravel_index(key, spans))
     return rows, np.bincount(place.ravel(), w, rows.shape[1]), sizes
 
 

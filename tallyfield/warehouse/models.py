@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.functions import goals
+from tallyfield.functions import goal_fits, goals
 from tallyfield.functions.metrics import brier, log_loss, rps
 
 
@@ -85,6 +85,8 @@ def compare_forecasts(rows: DataFrame, by: Sequence[str], first: str, second: st
 
 def walk_forward(matches: DataFrame, boundaries: Sequence, by: Sequence[str], kind: str = "dixon_coles", half_life_days: float | None = None, least: int = 20, date: str = "kickoff_utc", settled: str = "settled_at", home: str = "home", away: str = "away", home_goals: str = "home_goals", away_goals: str = "away_goals") -> DataFrame:
     """One fit for each group and boundary from results settled strictly before it: (by, trained_through, team, attack, defence, home_advantage, extra, n_train)."""
+    if kind in goal_fits.KINDS:  # from running sums of each pair
+        return goal_fits.walk_forward(matches, boundaries, by, kind, half_life_days, least, date, settled, home=home, away=away, home_goals=home_goals, away_goals=away_goals)
     marks = F.array(*[F.lit(b).cast("timestamp") for b in boundaries])
     spread = matches.withColumn("trained_through", F.explode(F.filter(marks, lambda m: F.col(settled).cast("timestamp") < m)))
     if half_life_days:
