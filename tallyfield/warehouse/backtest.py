@@ -6,6 +6,7 @@ settings, leagues) are groups and go side by side.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import ROUND_DOWN, Decimal
@@ -132,32 +133,31 @@ def fold_run(rows: pd.DataFrame, config: Config) -> pd.DataFrame:
     """The bets of one run in order of kickoff: settle what is due, size the cohort, stake."""
     lag, f = pd.Timedelta(seconds=config.settlement_lag_seconds), config.frictions
     cash = peak = Decimal(config.initial_bankroll)
-    open_bets: list[dict] = []
+    exposure = Decimal(0)
+    open_bets: deque[dict] = deque()  # all are due one lag after their kickoff, so in the order in which they were placed
     out: list[dict] = []
 
-    def exposure() -> Decimal:
-        return sum((b["stake"] for b in open_bets), Decimal(0))
-
     def settle(at: pd.Timestamp | None) -> None:
-        nonlocal cash, peak
-        for b in sorted((b for b in open_bets if at is None or b["due"] <= at), key=lambda b: (b["due"], b["n"])):
-            open_bets.remove(b)
+        nonlocal cash, peak, exposure
+        while open_bets and (at is None or open_bets[0]["due"] <= at):
+            b = open_bets.popleft()
+            exposure -= b["stake"]
             known = b["state"] if b["state"] is not None and (at is None or b["known"] <= at) else "VOID"
             returned = (b["stake"] * Decimal(str(_RETURN[known](b["price_taken"])))).quantize(Decimal("0.000001"), ROUND_DOWN)
             fee = f.commission(returned - b["stake"])
             cash += returned - fee
-            peak = max(peak, cash + exposure())
+            peak = max(peak, cash + exposure)
             b |= {"outcome": known, "returned": returned, "commission": fee, "pnl": returned - b["stake"] - fee, "settled_at": at if at is not None else b["due"]}
-            b["drawdown"] = float((peak - cash - exposure()) / peak) if peak > 0 else 0.0
+            b["drawdown"] = float((peak - cash - exposure) / peak) if peak > 0 else 0.0
             out.append(b)
 
     for at, cohort in rows.groupby("kickoff_utc", sort=True):
         settle(at)
-        equity = cash + exposure()
+        equity = cash + exposure
         if config.stop_at_ruin and equity <= config.ruin_threshold:
             break
         cohort = cohort.sort_values([*QUOTE], kind="stable")
-        available = max(equity * Decimal(str(config.max_exposure)) - exposure(), Decimal(0))
+        available = max(equity * Decimal(str(config.max_exposure)) - exposure, Decimal(0))
         asked = [f.round_stake(equity * Decimal(str(config.stake_fraction)))] * len(cohort)
         granted, constrained = _grant(asked, available, config.policy, cohort["rank"].tolist())
         for stake, r in zip(granted, cohort.itertuples(index=False), strict=True):
@@ -165,7 +165,8 @@ def fold_run(rows: pd.DataFrame, config: Config) -> pd.DataFrame:
             if stake <= 0 or stake > cash:
                 continue
             cash -= stake
-            open_bets.append({"run_id": r.run_id, "kickoff_utc": at, **{k: getattr(r, k) for k in QUOTE}, "price_taken": f.price(r.price), "price_precision": r.price_precision, "model_prob": r.model_prob, "stake": stake, "state": r.state, "known": r.settled_at, "due": at + lag, "n": len(out) + len(open_bets), "equity_open": equity, "constrained": constrained})
+            exposure += stake
+            open_bets.append({"run_id": r.run_id, "kickoff_utc": at, **{k: getattr(r, k) for k in QUOTE}, "price_taken": f.price(r.price), "price_precision": r.price_precision, "model_prob": r.model_prob, "stake": stake, "state": r.state, "known": r.settled_at, "due": at + lag, "equity_open": equity, "constrained": constrained})
     settle(None)
     return pd.DataFrame(out)
 
