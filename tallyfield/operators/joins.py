@@ -168,15 +168,44 @@ def interval_join(left: DataFrame, right: DataFrame, by: str, left_time: str, ri
     width = max(before_seconds + after_seconds, 1e-6)
     seconds = lambda c: F.col(f"`{c}`").cast("timestamp").cast("double")
     l = left.withColumn("__lo", seconds(left_time) - before_seconds).withColumn("__hi", seconds(left_time) + after_seconds)
-    l = l.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else l
     spread = l.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))))
     r = right.select(*[F.col(f"`{c}`").alias(c if c == by else prefix + c) for c in right.columns]).withColumn("__at", F.col(f"`{prefix + right_time}`").cast("timestamp").cast("double"))
     r = r.withColumn("__bin", F.floor(F.col("__at") / width))
     hits = spread.join(r, [by, "__bin"]).filter((F.col("__at") >= F.col("__lo")) & (F.col("__at") <= F.col("__hi")))
-    if how == "inner":
-        return hits.drop("__lo", "__hi", "__at", "__bin")
-    columns = [c for c in r.columns if c not in (by, "__at", "__bin")]
-    return l.join(hits.select("__row", *columns), "__row", "left").drop("__row", "__lo", "__hi")
+    hits = hits.drop("__lo", "__hi", "__at", "__bin")
+    return hits if how == "inner" else with_misses(left, hits)
+
+
+def with_misses(left: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits (columns of left, then others) and the left rows without one.  Rows are told by what they hold, which is the same however often they are read; equal rows have equal hits."""
+    met = hits.select(*[F.col(f"`{c}`").alias(f"__m{k}") for k, c in enumerate(left.columns)]).distinct()
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"__m{k}")) for k, c in enumerate(left.columns)]
+    return hits.unionByName(left.join(met, same, "left_anti"), allowMissingColumns=True)
+
+
+#: Shortest cells of `span_join`, in seconds; each level doubles them.
+CELL_SECONDS = 60.0
+
+
+def span_join(spans: DataFrame, points: DataFrame, by: str, start: str, end: str, time: str, how: str = "inner", prefix: str = "right_", cell_seconds: float = CELL_SECONDS) -> DataFrame:
+    """Points of the same key within [start, end] of each span, whatever the spans' lengths.
+
+    A span lies in the level whose cells are at least as long as itself, so it touches two of them
+    at most; a point looks into its one cell of every level that spans use.  Key, level and
+    cell are an equi-join: minutes and years side by side, and a hot key is spread over its cells.
+    The levels in use (two dozen from a minute to years) are read first.
+    """
+    seconds = lambda c: F.col(f"`{c}`").cast("timestamp").cast("double")
+    length = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(cell_seconds))
+    level = F.ceil(F.round(F.log2(length / cell_seconds), 9)).cast("int")
+    known = spans.withColumns({"__lo": seconds(start), "__hi": seconds(end)}).filter("__hi >= __lo").withColumn("__level", level)
+    levels = sorted(r[0] for r in known.select("__level").distinct().collect())  # fewer than sixty
+    width = F.lit(cell_seconds) * F.pow(F.lit(2.0), F.col("__level"))
+    spread = known.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))))
+    r = points.select(*[F.col(f"`{c}`").alias(c if c == by else prefix + c) for c in points.columns]).withColumn("__at", F.col(f"`{prefix + time}`").cast("timestamp").cast("double"))
+    r = r.filter("__at IS NOT NULL").withColumn("__level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("__cell", F.floor(F.col("__at") / width))
+    hits = spread.join(r, [by, "__level", "__cell"]).filter("__at >= __lo AND __at <= __hi").drop("__lo", "__hi", "__at", "__level", "__cell")
+    return hits if how == "inner" else with_misses(spans, hits)
 
 
 def resolve_merges(merges: DataFrame, merged: str = "merged_id", surviving: str = "surviving_id", most: int = 64) -> DataFrame:

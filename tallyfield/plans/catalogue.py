@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.plans import fit_queries, flow_queries, market_queries, numeric_queries, source_queries, stream_queries  # noqa: F401  they register their queries
+from tallyfield.plans import fit_queries, flow_queries, market_queries, numeric_queries, scale_queries, source_queries, stream_queries  # noqa: F401  they register their queries
 from tallyfield.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "purchases_by_user"

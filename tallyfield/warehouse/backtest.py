@@ -106,6 +106,10 @@ def deduplicated(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
 
 
+#: Blocks of rows that tasks resample apart.
+BLOCKS = 64
+
+
 # --- the ledger -----------------------------------------------------------------------
 
 BETS = "run_id string, kickoff_utc timestamp, match_id string, bookmaker_id string, market_type string, line double, selection string, price_taken double, price_precision string, model_prob double, stake decimal(18,6), outcome string, returned decimal(18,6), commission decimal(18,6), pnl decimal(18,6), settled_at timestamp, equity_open decimal(18,6), constrained boolean, drawdown double"
@@ -198,24 +202,29 @@ def metrics(bets: DataFrame, initial: Decimal | float = 1000) -> DataFrame:
 def bootstrap_mean(df: DataFrame, by: Iterable[str], value: str, draws: int = 1000, seed: int = 1, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of a mean by the Poisson bootstrap.
 
-    Every row weighs a Poisson(1) number in each draw.  Equal rows are counted first, and c of
-    them weigh a Poisson(c) number seeded by the row, so the result does not depend on how
-    rows lie; a task sends on two sums a group and draw.
+    Every row weighs a Poisson(1) number in each draw, so c equal rows weigh a Poisson(c) number.
+    Equal rows are counted first and dealt to blocks by a hash; a block draws all its numbers from
+    one generator, in order of its rows, and sends on two sums a group and draw.  The result
+    does not depend on how rows lie.
     """
     keys = list(by)
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("_weights", T.ArrayType(T.DoubleType()))])
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).withColumn("_h", F.xxhash64(*keys, "_v"))
-
-    def resample(batches):
-        held: dict = {}
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                w = np.random.Generator(np.random.Philox(key=[seed, int(np.int64(r[-1]).view(np.uint64))])).poisson(float(r[-2]), draws)
-                sums = held.setdefault(tuple(r[: len(keys)]), np.zeros((2, draws)))
-                sums[0] += w * r[-3]
-                sums[1] += w
-        yield pd.DataFrame([(*k, s[0].tolist(), s[1].tolist()) for k, s in held.items()], columns=schema.names)
-
-    parts = rows.toDF(*keys, "v_", "c_", "h_").mapInPandas(resample, schema).select(*keys, F.posexplode(F.arrays_zip("_sums", "_weights")).alias("_d", "_x"))
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_v", *keys), F.lit(BLOCKS)).cast("int"))
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.Generator(np.random.Philox(key=[seed, int(pdf["_b"].iloc[0])]))
+        pdf = pdf.sort_values([*keys, "_v"], kind="stable").reset_index(drop=True)
+        out = []
+        for key, own in pdf.groupby(keys, dropna=False, sort=True) if keys else [((), pdf)]:
+            sums = np.zeros((2, draws))
+            for low in range(0, len(own), 1000):
+                v, c = (own[x].to_numpy(float)[low : low + 1000] for x in ("_v", "_c"))
+                w = rng.poisson(c[:, None], (len(c), draws))
+                sums += np.stack([v @ w, w.sum(0)])
+            out.append((*(key if isinstance(key, tuple) else (key,)), sums[0].tolist(), sums[1].tolist()))
+        return pd.DataFrame(out, columns=schema.names)
+
+    parts = rows.groupBy("_b").applyInPandas(resample, schema).select(*keys, F.posexplode(F.arrays_zip("_sums", "_weights")).alias("_d", "_x"))
     means = parts.groupBy(*keys, "_d").agg((F.sum("_x._sums") / F.nullif(F.sum("_x._weights"), F.lit(0.0))).alias("_m"))
     return means.groupBy(*keys).agg(F.percentile("_m", F.lit(alpha / 2)).alias("low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("high"), F.stddev_samp("_m").alias("se"))

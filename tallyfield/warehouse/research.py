@@ -222,32 +222,67 @@ def evidence_class(edge: Column, null_edge: Column, n_books: Column, aged: Colum
     return F.when(edge.isNull() | (n_books < 3), "D").when((edge > null_edge) & (n_books >= 5) & ~aged, "A").when((edge > null_edge) & ~aged, "B").when(edge > 0, "C").otherwise("D")
 
 
+#: Blocks of distinct values that tasks deal apart.
+BLOCKS = 64
+
+
+def _split(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of `take` rows drawn from groups of sizes left (draws, groups) come from each group, in every draw."""
+    out = np.zeros_like(left)
+    rest, take = left.sum(1), np.full(len(left), take, np.int64)
+    for g in range(left.shape[1]):
+        rest = rest - left[:, g]
+        out[:, g] = rng.hypergeometric(left[:, g], rest, take)
+        take = take - out[:, g]
+    return out
+
+
+def _share(seed: int, block: int, totals: np.ndarray, sizes: np.ndarray, draws: int) -> np.ndarray:
+    """Rows of each group in a block (draws, groups): the rows are halved down a tree of blocks, each node seeded by itself, so every task finds the same numbers on its way down."""
+    left, low, high, node = np.tile(sizes, (draws, 1)), 0, len(totals), 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = _split(np.random.Generator(np.random.Philox(key=[seed, node])), left, int(totals[low:middle].sum()))
+        if block < middle:
+            left, high, node = first, middle, 2 * node
+        else:
+            left, low, node = left - first, middle, 2 * node + 1
+    return left
+
+
 def permutation_test(rows: DataFrame, group: str, value: str, draws: int = 1000, seed: int = 1) -> DataFrame:
     """(observed, p_value): spread of group means against that of shuffled groups.
 
-    A draw deals the copies of every value to groups of the same shares (a multinomial number
-    each), seeded by the value, so the result does not depend on how rows lie.  Equal values are
-    counted first, and a task sends on two sums a draw and group.  The spread is the variance
-    of group means weighted by size.
+    Every draw keeps the sizes of the groups and the copies of each value: the rows of all groups are
+    split down a tree of blocks of values, then value by value, by multivariate hypergeometric
+    numbers.  Equal values are counted first and blocks are dealt by a hash of the value, so the
+    result does not depend on how rows lie; a block sends on one sum a draw and group.  The
+    spread is the variance of group means weighted by size.  Fewer than 1e9 rows.
     """
     known = rows.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     own = known.groupBy("_g").agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"))
     spread = (F.sum(F.col("_n") * F.col("_m") * F.col("_m")) / F.sum("_n") - F.pow(F.sum(F.col("_n") * F.col("_m")) / F.sum("_n"), F.lit(2.0))).alias("spread")
     observed = own.agg(spread).first()["spread"]
-    sizes = [r["_n"] for r in own.orderBy("_g").select("_n").collect()]  # a row a group
-    shares = np.array(sizes) / max(1, sum(sizes))
-
-    def deal(batches):
-        n, total = np.zeros((draws, len(shares))), np.zeros((draws, len(shares)))
-        for pdf in batches:
-            for v, c in zip(pdf["_v"], pdf["_c"], strict=True):
-                dealt = np.random.Generator(np.random.Philox(key=[seed, int(np.float64(v + 0.0).view(np.uint64))])).multinomial(c, shares, size=draws)
-                n += dealt
-                total += v * dealt
-        yield pd.DataFrame({"_d": np.repeat(np.arange(draws), len(shares)), "_k": np.tile(np.arange(len(shares)), draws), "_n": n.ravel(), "_t": total.ravel()})
-
-    counted = known.groupBy("_v").agg(F.count("*").alias("_c"))
-    dealt = counted.mapInPandas(deal, "_d int, _k int, _n double, _t double").groupBy("_d", "_k").agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t")).filter("_n > 0")
+    sizes = np.array([r["_n"] for r in own.orderBy("_g").select("_n").collect()], np.int64)  # a row a group
+    counted = known.groupBy("_v").agg(F.count("*").alias("_c")).withColumn("_b", F.pmod(F.xxhash64("_v"), F.lit(BLOCKS)).cast("int"))
+    totals = np.zeros(BLOCKS, np.int64)
+    for r in counted.groupBy("_b").agg(F.sum("_c").alias("_n")).collect():  # a row a block
+        totals[r["_b"]] = r["_n"]
+    if totals.sum() >= 1_000_000_000:
+        raise ValueError("hypergeometric numbers are drawn from fewer than 1e9 rows")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["_b"].iloc[0])
+        left = _share(seed, block, totals, sizes, draws)
+        rng = np.random.Generator(np.random.Philox(key=[seed, (1 << 32) + block]))
+        total = np.zeros(left.shape)
+        for v, c in pdf.sort_values("_v")[["_v", "_c"]].itertuples(index=False):
+            dealt = _split(rng, left, int(c))
+            left = left - dealt
+            total += v * dealt
+        return pd.DataFrame({"_d": np.repeat(np.arange(draws), len(sizes)), "_k": np.tile(np.arange(len(sizes)), draws), "_n": np.tile(sizes, draws).astype(float), "_t": total.ravel()})
+
+    dealt = counted.groupBy("_b").applyInPandas(deal, "_d int, _k int, _n double, _t double").groupBy("_d", "_k").agg(F.max("_n").alias("_n"), F.sum("_t").alias("_t")).filter("_n > 0")
     drawn = dealt.withColumn("_m", F.col("_t") / F.col("_n")).groupBy("_d").agg(spread)
     return drawn.agg(F.lit(observed).alias("observed"), ((F.count_if(F.col("spread") >= observed - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
 
