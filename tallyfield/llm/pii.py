@@ -14,13 +14,17 @@ its kind, and added if there is one, it passes the kind's check and overlaps no
 Passwords and keys are labelled too; they are no kind of `spans` and have columns of their
 own (n_secrets, secrets).
 
+Chains are decoded in padded batches of bounded size, a long one alone and in segments, so a text
+that is all numbers takes room in proportion to its own words.
+
 Chains are the words within REACH words of a trigger (a digit, @, or a cue such as "(at)"
 or "dot").  No span that its kind's check accepts reaches further: its words hold digits,
 "at" or "dot" themselves, or stand beside one that does; what is beyond is outside.
 
 Cases: null text is empty; an empty text has no spans and the digest of no bytes; very long
 texts are searched whole in linear time (anchored searches), and so are very long numbers;
-repeated rows get equal spans; an empty table gives no rows; extra columns are ignored by
+repeated rows get equal spans; of labellings with equal scores the one with the earlier
+label counts; an empty table gives no rows; extra columns are ignored by
 `find` and kept by `redact`.
 """
 
@@ -44,8 +48,10 @@ SECRET = "secret"
 LABELS = ["O"] + [f"{p}-{k}" for k in (*KINDS, SECRET) for p in "BI"]
 FEATURE_BITS = 13
 REACH = 4
-#: Chains decoded together.
+#: Chains decoded together, and words of a padded batch at most; a longer chain goes alone, its words looked at SEGMENT at a time.
 BATCH = 512
+CELLS = 1 << 15
+SEGMENT = 1 << 12
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -195,23 +201,47 @@ api_key: [secret:sk9f8a7b6c5d4e3f2a1b0c] in the file
 found [secret:QRSTUVWABCDEFGHJKLM7] in it
 commit 9f1c02a fixes it
 word internationalisation2024 is long
+call [phone:415 555 2671] tonight
+phone [phone:212 555 0147] and ask for Lee
+tel [phone:312 555 0188] or come by
+my mobile number is [phone:646 555 0101] now
+results 123 4567 8901 were seen
+rows 12 34 56 78 90 here
+totals: 123 456 7890
+in 2019 2020 2021 it rose
+born 12 03 1984 in 5551
+Section 10 . 2 . 3 . 4 of the act
+chapter 4 . 1 . 2 . 3 is short
+see section 7 . 1 . 2 . 9 below
+write me: [email:dan(at)post(dot)se]
+mail [email:pat@home dot net] or call
+it is [email:kim@shop (dot) org] now
+card [card:4111|1111|1111|1111] was used
 """
 
 
 #: Written forms and the places they stand in; two of three pairs of them join the table, the others are for measuring.
-FORMS = ("email:lena at post dot org", "email:tom.ray (at) shop (dot) net", "email:help [at] desk [dot] com", "email:office(at)school.edu", "email:maria at fastmail dot biz", "email:ann_b at corp dot co dot uk", "email:joe {at} web {dot} ch", "email:x.y at mail dot firm dot info", "phone:(312) 555-0188", "phone:(646) 555 0101", "phone:312-555-0122", "phone:312.555.0166", "phone:0161 4960 777", "phone:01 45 22 33 44", "phone:0161-496-0321", "ip:10 dot 20 dot 30 dot 40", "ip:192[.]0[.]2[.]146", "ip:172 (dot) 31 (dot) 5 (dot) 9", "ip:203 . 0 . 113 . 99", "ip:198[dot]51[dot]100[dot]7", "ip:45[.]76[.]128[.]201", "ip:5 dot 9 dot 88 dot 17", "ip:91.12.7[.]8", "ip:192 . 0 . 2 . 77", "ip:172 . 16 . 0 . 250", "ip:11 dot 2 dot 3 dot 4", "ip:185.220[.]100[.]240", "email:pia at home dot fr", "email:ned<at>mail<dot>net", "email:ivo{at}lab{dot}edu", "card:4242.4242.4242.4242", "card:4916/3385/0608/2832", "card:5105_1051_0510_5100", "card:6011:1111:1111:1117", "card:4532 - 0151 - 1283 - 0366", "secret:password=41d0c9aa7be35f2e18", 'secret:"5f8d04c3b1a29e7761f0c2d3e4a5b69788990011"', "secret:WXYZ4T7K2M9QH5RB8LCA", "secret:MNOPQ2RSTUVWXYZA6BCD", "secret:KLMNOPQRS7TUVWXYZABC")
+FORMS = ("email:lena at post dot org", "email:tom.ray (at) shop (dot) net", "email:help [at] desk [dot] com", "email:office(at)school.edu", "email:maria at fastmail dot biz", "email:ann_b at corp dot co dot uk", "email:joe {at} web {dot} ch", "email:x.y at mail dot firm dot info", "phone:(312) 555-0188", "phone:(646) 555 0101", "phone:312-555-0122", "phone:312.555.0166", "phone:0161 4960 777", "phone:01 45 22 33 44", "phone:0161-496-0321", "ip:10 dot 20 dot 30 dot 40", "ip:192[.]0[.]2[.]146", "ip:172 (dot) 31 (dot) 5 (dot) 9", "ip:203 . 0 . 113 . 99", "ip:198[dot]51[dot]100[dot]7", "ip:45[.]76[.]128[.]201", "ip:5 dot 9 dot 88 dot 17", "ip:91.12.7[.]8", "ip:192 . 0 . 2 . 77", "ip:172 . 16 . 0 . 250", "ip:11 dot 2 dot 3 dot 4", "ip:185.220[.]100[.]240", "email:pia at home dot fr", "email:ned<at>mail<dot>net", "email:ivo{at}lab{dot}edu", "card:4242.4242.4242.4242", "card:4916/3385/0608/2832", "card:5105_1051_0510_5100", "card:6011:1111:1111:1117", "card:4532 - 0151 - 1283 - 0366", "secret:password=41d0c9aa7be35f2e18", 'secret:"5f8d04c3b1a29e7761f0c2d3e4a5b69788990011"', "secret:WXYZ4T7K2M9QH5RB8LCA", "secret:MNOPQ2RSTUVWXYZA6BCD", "secret:KLMNOPQRS7TUVWXYZABC", "phone:030 1234 567", "phone:0711 234 5678", "phone:020 7123 4567", "phone:04 91 22 33 44", "phone:089 3216 540", "ip:10 . 0 . 0 . 138", "ip:192 . 168 . 1 . 20", "ip:8[.]8[.]4[.]4", "ip:151[.]101[.]1[.]69")
 PLACES = ("please call or write {} today", "{}", "you find it under {}, as always", "then {} was given to us.", "for more: {}", "the old one, {} is gone", "and {} on the last page", "reach us: {} or come by", "it was {} that she used", "Siehe {} und mehr", "voir {} pour cela", "{} is it", "mail {} ok", "the server {} down", "the box at {} failed", "from {} all day", "con {} en la casa", "chez papa {} ici.")
 
 
-def table_lines() -> list[str]:
-    more = [place.format(f"[{form}]") for i, form in enumerate(FORMS) for j, place in enumerate(PLACES) if (i + j) % 3]
-    return LABELLED.strip().split("\n") + more
+#: Groups of numbers that are no telephone numbers where nothing says so, and places without such a word.
+NUMBERS = ("123 4567 8901", "12 34 56 78 90", "123 456 7890", "2019 2020 2021", "12 03 1984 5551", "48 213 755 90", "1 024 768 2048", "3 14 159 2653", "100 200 300 400", "55 812 4410 9", "7 001 234 567", "31 12 1999 2000", "16 32 64 128 256", "410 220 3300 12", "1000 2000 3000", "640 480 800 600")
+PLAIN = ("results {} were seen", "{}", "rows {} here", "totals: {}", "then {} was given to us.", "it was {} that she used", "and {} on the last page", "the old one, {} is gone", "con {} en la casa", "{} is it", "voir {} pour cela", "in {} it rose", "Siehe {} und mehr", "you find it under {}, as always", "lots {} sold out")
+
 
+def table_lines(held: int = 0) -> list[str]:
+    """The table; with held, every held-th written form (of any kind, and of the numbers) is left out of it as a whole."""
+    trained = lambda i: not held or i % held
+    more = [place.format(f"[{form}]") for i, form in enumerate(FORMS) for j, place in enumerate(PLACES) if (i + j) % 3 and trained(i)]
+    plain = [place.format(form) for i, form in enumerate(NUMBERS) for j, place in enumerate(PLAIN) if (i + j) % 2 and trained(i)]
+    return LABELLED.strip().split("\n") + more + plain
 
-def labelled() -> list[tuple[list[str], list[str]]]:
+
+def labelled(held: int = 0) -> list[tuple[list[str], list[str]]]:
     """(words, labels) of each sentence of the table."""
     out = []
-    for line in table_lines():
+    for line in table_lines(held):
         words, labels = [], []
         for part in re.split(r"(\[(?:email|ip|card|phone|secret):(?:[^\[\]]|\[at\]|\[dot\]|\[\.\])*\])", line):
             m = re.match(r"\[(email|ip|card|phone|secret):(.*)\]\Z", part)
@@ -261,11 +291,15 @@ def _outline(word: str) -> str:
     return _RUN.sub(lambda m: "d" if m[0][0].isdigit() else "x", word.strip(",;:!?\"'")[:80])
 
 
-@lru_cache(1 << 16)
 def _own(word: str) -> tuple[str, ...]:
+    return _features_of(word) if len(word) <= 64 else _features_of.__wrapped__(word)  # long words are not kept
+
+
+@lru_cache(1 << 15)
+def _features_of(word: str) -> tuple[str, ...]:
     low = word.lower().strip(".,;:!?\"'")
     digits = sum("0" <= c <= "9" for c in word)
-    return ("s=" + shape(word), "d=%d" % min(digits, 11), "w=" + (low if low in _CUES else "-"), "k=" + _stuff(word[:200]), "o=" + _outline(word[:200]), "p=" + word[:1] if not word[:1].isalnum() else "p=a", "e=" + word[-1:] if not word[-1:].isalnum() else "e=a", "l=%d" % min(len(word), 12))
+    return ("s=" + shape(word), "d=%d" % min(digits, 11), "w=" + (low if low in _CUES else "-"), "k=" + _stuff(word[:200]), "o=" + _outline(word[:200]), "p=" + word[:1] if not word[:1].isalnum() else "p=a", "e=" + word[-1:] if not word[-1:].isalnum() else "e=a", "l=%d" % min(len(word), 12), "z=%d" % (word[:1] == "0" or word[:2] == "(0"))
 
 
 @lru_cache(1 << 17)
@@ -285,7 +319,7 @@ def features(words: list[str]) -> list[list[int]]:
                 got.append(f"{d}{own[k + d][2]}")
         for d in (-2, -1, 1, 2):
             if 0 <= k + d < len(words):
-                got += [f"{d}{f}" for f in own[k + d][:4]]
+                got += [f"{d}{f}" for f in (*own[k + d][:4], own[k + d][8])]
             else:
                 got.append(f"{d}none")
         out.append([_cell(f) for f in got])
@@ -313,7 +347,8 @@ class CRF:
     def fit(cls, sentences: list[tuple[list[str], list[str]]], rounds: int = 120, rate: float = 0.1, ridge: float = 0.02) -> CRF:
         """Gradient ascent (Adam) on the penalised conditional likelihood, all sentences at once."""
         n = len(LABELS)
-        longest = max(len(w) for w, _ in sentences)
+        sentences = sorted(sentences, key=lambda s: -len(s[0]))  # the longest first: those still going at any word are a prefix
+        longest = len(sentences[0][0])
         feats = [features(w) for w, _ in sentences]
         gold = np.full((len(sentences), longest), -1)
         for i, (_, labels) in enumerate(sentences):
@@ -327,6 +362,7 @@ class CRF:
         cell_at, rows_by_cell = np.flatnonzero(np.diff(cells[by_cell], prepend=-1)), rows[by_cell]
         moments = [np.zeros((len(used), n)), np.zeros((len(used), n)), np.zeros_like(pairs), np.zeros_like(pairs)]
         mask = gold >= 0
+        going = [*mask.sum(0), 0]
         truth = np.zeros((len(sentences) * longest, n))
         truth[np.flatnonzero(mask.ravel()), gold[mask]] = 1
         gold_pairs = np.zeros_like(pairs)
@@ -342,19 +378,21 @@ class CRF:
             move = pairs + barrier
             alpha = [move[n] + emit[:, 0]]
             for t in range(1, longest):
-                a = _logsum(alpha[-1][:, :, None] + move[:n], 1) + emit[:, t]
-                alpha.append(np.where(mask[:, t, None], a, alpha[-1]))
-            beta = [np.zeros((len(sentences), n))]
+                alpha.append(_logsum(alpha[-1][: going[t], :, None] + move[:n], 1) + emit[: going[t], t])
+            total = np.concatenate([_logsum(alpha[t][going[t + 1] :], 1) for t in range(longest - 1, -1, -1)])
+            beta = [np.zeros((going[-2], n))]
             for t in range(longest - 1, 0, -1):
-                b = _logsum(move[:n] + (emit[:, t] + beta[0])[:, None, :], 2)
-                beta.insert(0, np.where(mask[:, t, None], b, beta[0]))
-            total = _logsum(alpha[-1], 1)
-            expect = np.exp(np.stack([a + b for a, b in zip(alpha, beta, strict=True)], 1) - total[:, None, None]) * mask[:, :, None]
+                b = np.zeros((going[t - 1], n))
+                b[: going[t]] = _logsum(move[:n] + (emit[: going[t], t] + beta[0])[:, None, :], 2)
+                beta.insert(0, b)
+            expect = np.zeros((len(sentences), longest, n))
+            for t in range(longest):
+                expect[: going[t], t] = np.exp(alpha[t] + beta[t] - total[: going[t], None])
             pair_expect = np.zeros_like(pairs)
             pair_expect[n] = expect[:, 0].sum(0)
             for t in range(1, longest):
-                q = np.exp(alpha[t - 1][:, :, None] + move[:n] + (emit[:, t] + beta[t])[:, None, :] - total[:, None, None])
-                pair_expect[:n] += (q * mask[:, t, None, None]).sum(0)
+                k = going[t]
+                pair_expect[:n] += np.exp(alpha[t - 1][:k, :, None] + move[:n] + (emit[:k, t] + beta[t])[:, None, :] - total[:k, None, None]).sum(0)
             off = truth - expect.reshape(-1, n)
             grad = np.add.reduceat(off[rows_by_cell], cell_at)  # of the used cells
             for k, (param, g) in enumerate(((weight, grad - ridge * weight[used]), (pairs, gold_pairs - pair_expect - ridge * pairs))):
@@ -368,37 +406,59 @@ class CRF:
                     param += change
         return cls(weight.astype(np.float32), (pairs + barrier).astype(np.float32))
 
+    def emissions(self, words: list[str], low: int, high: int) -> np.ndarray:
+        """Scores of the labels of words low to high; features look three words to either side."""
+        first = max(low - 3, 0)
+        return np.stack([self.cells[c].sum(0) for c in features(words[first : high + 3])[low - first : high - first]])
+
     def decode(self, chains: list[list[str]]) -> list[list[int]]:
-        """The best labels of each chain (Viterbi), chains of like length in one padded batch."""
+        """The best labels of each chain (Viterbi), chains of like length in one padded batch of at most CELLS words."""
         out: list[list[int]] = [[]] * len(chains)
-        order = sorted(range(len(chains)), key=lambda k: len(chains[k]))
-        n = len(LABELS)
-        for low in range(0, len(order), BATCH):
-            some = order[low : low + BATCH]
-            longest = len(chains[some[-1]])
-            if not longest:
-                continue
-            emit = np.zeros((len(some), longest, n), np.float32)
-            size = np.array([len(chains[k]) for k in some])
-            for i, k in enumerate(some):
-                for t, cells in enumerate(features(chains[k])):
-                    emit[i, t] = self.cells[cells].sum(0)
-            score = self.pairs[n] + emit[:, 0]
-            back = np.zeros((longest, len(some), n), np.int8)
-            for t in range(1, longest):
+        order = sorted((k for k in range(len(chains)) if chains[k]), key=lambda k: len(chains[k]))
+        while order:
+            take = 1
+            while take < min(BATCH, len(order)) and (take + 1) * len(chains[order[take]]) <= CELLS:
+                take += 1
+            some, order = order[:take], order[take:]
+            for k, path in zip(some, self._decoded([chains[k] for k in some]), strict=True):
+                out[k] = path
+        return out
+
+    def _decoded(self, chains: list[list[str]]) -> list[list[int]]:
+        n, size = len(LABELS), np.array([len(c) for c in chains])
+        longest = int(size.max())
+        back = np.zeros((longest, len(chains), n), np.int8)
+        score = np.zeros((len(chains), n), np.float32)
+        for low in range(0, longest, SEGMENT):
+            high = min(low + SEGMENT, longest)
+            emit = np.zeros((len(chains), high - low, n), np.float32)
+            for i, words in enumerate(chains):
+                if low < len(words):
+                    own = self.emissions(words, low, min(high, len(words)))
+                    emit[i, : len(own)] = own
+            for t in range(low, high):
+                if not t:
+                    score = self.pairs[n] + emit[:, 0]
+                    continue
                 ways = score[:, :, None] + self.pairs[:n]
                 back[t] = ways.argmax(1)
-                score = np.where((t < size)[:, None], ways.max(1) + emit[:, t], score)
-            last = score.argmax(1)
-            for i, k in enumerate(some):
-                label, path = int(last[i]), []
-                for t in range(int(size[i]) - 1, -1, -1):
-                    path.append(label)
-                    label = int(back[t, i, label])
-                out[k] = path[::-1]
+                score = np.where((t < size)[:, None], ways.max(1) + emit[:, t - low], score)
+        out, last = [], score.argmax(1)
+        for i in range(len(chains)):
+            label, path = int(last[i]), np.zeros(size[i], np.int8)
+            for t in range(int(size[i]) - 1, -1, -1):
+                path[t] = label
+                label = int(back[t, i, label])
+            out.append(path.tolist())
         return out
 
 
+@lru_cache(1)
+def fitted() -> CRF:
+    """The field of the whole table: fitted once in a process."""
+    return CRF.fit(labelled())
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
@@ -423,14 +483,14 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)"
+_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s?@\s?)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\s*\.\s*)"
 _TIGHT_DOT = _DOT.replace(r"|\s*\.\s*", r"|\.")
 #: How the kinds are written out; the match is what is added.
 _WRITTEN = {
     "email": re.compile(rf"[A-Za-z0-9_%+-]+(?:{_TIGHT_DOT}[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_TIGHT_DOT}[A-Za-z0-9-]+)*{_TIGHT_DOT}[A-Za-z]{{2,}}\b", re.I | re.A),
     "ip": re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I | re.A),
-    "card": re.compile(r"(?<![0-9])[0-9](?:(?:[ ./_:-]| [-\u2013] )?[0-9]){13,18}(?![0-9])", re.A),
+    "card": re.compile(r"(?<![0-9])[0-9](?:(?:[ ./_:|-]| [-\u2013] )?[0-9]){13,18}(?![0-9])", re.A),
     "phone": re.compile(r"[+(]?[0-9][0-9 ().-]*[0-9](?![0-9])", re.A),
     SECRET: re.compile(r"[A-Za-z0-9+/_-]{12,}", re.A),
 }
@@ -487,7 +547,7 @@ def split_secrets(spans: list[tuple[int, int, str]]) -> tuple[list[tuple[int, in
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", crf: CRF | None = None) -> DataFrame:
     """doc_id, numbers of base spans, base_sha256, spans (all), n_added, n_secrets, secrets and n_found (spans and secrets) for every row."""
     bound_batches(docs.sparkSession)
-    crf = crf or CRF.fit(labelled())
+    crf = crf or fitted()
     sent = docs.sparkSession.sparkContext.broadcast(crf)
     body = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(f"`{text}`").alias("_text"))
     schema = T.StructType([body.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("n_secrets", T.LongType()), T.StructField("secrets", T.StringType()), T.StructField("n_found", T.LongType())])
@@ -509,7 +569,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", crf: CRF | No
 
 def redact(docs: DataFrame, text: str = "text", crf: CRF | None = None) -> DataFrame:
     """docs with each span replaced by its kind in brackets; all columns stay and null stays null."""
-    crf = crf or CRF.fit(labelled())
+    bound_batches(docs.sparkSession)
+    crf = crf or fitted()
     sent = docs.sparkSession.sparkContext.broadcast(crf)
     names = docs.columns
     at = names.index(text)
