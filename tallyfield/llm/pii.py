@@ -217,6 +217,8 @@ write me: [email:dan(at)post(dot)se]
 mail [email:pat@home dot net] or call
 it is [email:kim@shop (dot) org] now
 card [card:4111|1111|1111|1111] was used
+bitte an [email:Info at Firma dot DE] senden
+all of it goes to [email:Press at Paper dot UK] instead
 """
 
 
