@@ -170,10 +170,10 @@ def join_right(spark, d):
     return flow(spark, d, "orders").select("o_orderkey", "o_custkey").join(flow(spark, d, "customer").select("c_custkey", "c_name"), left_on="o_custkey", right_on="c_custkey", how="right").select("c_custkey", "c_name", "o_orderkey").df
 
 
-@query("join_full", "SELECT coalesce(a.k, b.k) AS k, a.x, b.y FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT s_suppkey AS k, s_acctbal AS y FROM supplier WHERE s_suppkey % 2 = 0) b ON a.k = b.k")
+@query("join_full", "SELECT coalesce(a.k, b.k) AS k, a.x, b.y FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer) a FULL JOIN (SELECT s_suppkey * 20 AS k, s_acctbal AS y FROM supplier) b ON a.k = b.k")
 def join_full(spark, d):
-    a = Flow(table(spark, d, "customer").filter("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", "c_acctbal AS x"))
-    b = Flow(table(spark, d, "supplier").filter("s_suppkey % 2 = 0").selectExpr("s_suppkey AS k", "s_acctbal AS y"))
+    a = Flow(table(spark, d, "customer").selectExpr("c_custkey AS k", "c_acctbal AS x"))
+    b = Flow(table(spark, d, "supplier").selectExpr("s_suppkey * 20 AS k", "s_acctbal AS y"))  # so that either side misses some
     return a.join(b, on="k", how="outer").df
 
 

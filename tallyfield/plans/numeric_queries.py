@@ -213,12 +213,12 @@ def situation_family(spark, d):
 
 
 @query("formation_shocks", """
-WITH a AS (SELECT o_custkey AS match_id, CASE o_orderkey % 4 WHEN 0 THEN 'GOALKEEPER' WHEN 1 THEN 'DEFENDER' WHEN 2 THEN 'MIDFIELDER' ELSE 'FORWARD' END AS position, (o_orderkey % 10) / 10.0::DOUBLE AS share, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 6) / 10.0::DOUBLE END AS other FROM orders WHERE o_orderkey % 11 = 0),
+WITH a AS (SELECT o_custkey * 8 + CAST(floor(o_totalprice) AS BIGINT) % 8 AS match_id, CASE o_orderkey % 4 WHEN 0 THEN 'GOALKEEPER' WHEN 1 THEN 'DEFENDER' WHEN 2 THEN 'MIDFIELDER' ELSE 'FORWARD' END AS position, (o_orderkey % 10) / 10.0::DOUBLE AS share, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 6) / 10.0::DOUBLE END AS other FROM orders),
 s AS (SELECT match_id, sum(CASE position WHEN 'GOALKEEPER' THEN 1.0 WHEN 'DEFENDER' THEN 0.6 WHEN 'MIDFIELDER' THEN 0.5 ELSE 0.8 END * greatest(0, share - coalesce(other, 0))) AS shock, count(*) AS n, bool_or(position = 'GOALKEEPER') AS g, bool_or(position = 'FORWARD' AND share >= 0.6) AS f, bool_or(position = 'DEFENDER' AND share >= 0.6) AS d FROM a GROUP BY match_id)
 SELECT match_id, round(shock, 9) AS shock, n AS n_absent, CASE WHEN g OR f OR d OR n >= 3 THEN concat_ws(',', CASE WHEN g THEN 'GOALKEEPER_OUT' END, CASE WHEN f THEN 'KEY_FORWARD_OUT' END, CASE WHEN d THEN 'KEY_DEFENDER_OUT' END, CASE WHEN n >= 3 THEN 'MULTIPLE_ABSENCES' END, CASE WHEN n >= 5 THEN 'SURPRISE_XI' END) ELSE 'NONE' END AS categories FROM s""")
 def formation_shocks(spark, d):
     k = F.col("o_orderkey")
-    a = table(spark, d, "orders").filter(k % 11 == 0).select(F.col("o_custkey").alias("match_id"), F.when(k % 4 == 0, "GOALKEEPER").when(k % 4 == 1, "DEFENDER").when(k % 4 == 2, "MIDFIELDER").otherwise("FORWARD").alias("position"), (k % 10 / F.lit(10.0)).alias("start_share"), F.when(k % 7 > 0, k % 6 / F.lit(10.0)).alias("replacement_share"))
+    a = table(spark, d, "orders").select((F.col("o_custkey") * 8 + F.floor("o_totalprice").cast("long") % 8).alias("match_id"), F.when(k % 4 == 0, "GOALKEEPER").when(k % 4 == 1, "DEFENDER").when(k % 4 == 2, "MIDFIELDER").otherwise("FORWARD").alias("position"), (k % 10 / F.lit(10.0)).alias("start_share"), F.when(k % 7 > 0, k % 6 / F.lit(10.0)).alias("replacement_share"))
     return rounded(research.formation_shock(a).withColumn("categories", F.array_join("categories", ",")), "shock")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 import uuid
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,101 +15,135 @@ from tallyfield.flow import Flow
 from tallyfield.functions import text
 from tallyfield.functions.predicates import where_coded_event, where_in, where_qualifier
 from tallyfield.plans.registry import flow, query, table
-from tallyfield.sources import adapters, nested, pages, providers
+from tallyfield.sources import adapters, nested, pages, polls, providers
 
 # --- requests and pages
 
 
-def requests() -> dict[str, providers.Request]:
-    """A request of every feed."""
+def requests(k: int) -> dict[str, providers.Request]:
+    """A request of every feed, with ids of k."""
     r, s = providers.Requests("K"), providers.StatsBomb.request
     return {
-        "tournament_calendars": r.tournament_calendars("active", competition_uuid="c1", include_stages=True),
-        "venues": r.venues(tournament_calendar_uuid="t1", use_opta_names=True),
+        "tournament_calendars": r.tournament_calendars("active", competition_uuid=f"c1-{k}", include_stages=True),
+        "venues": r.venues(tournament_calendar_uuid=f"t1-{k}", use_opta_names=True),
         "areas": r.areas(),
-        "area": r.areas("a1"),
-        "tournament_schedule": r.tournament_schedule("t1", coverage_level=[1, 15]),
-        "matches": r.matches(fixture_uuids=["f1", "f2"], competition_uuids=["c1"], date_from="2024-01-01", date_to="2024-01-31", lineups=True),
-        "match": r.match("f1", live=True),
-        "match_stats_player": r.match_stats_player(["f1", "f2"]),
-        "match_stats_team": r.match_stats_team("f1", use_opta_names=True),
-        "events": r.events("f1", contestant_uuid="k1", event_types=[1, 13]),
-        "pass_matrix": r.pass_matrix("f1"),
-        "possession": r.possession("f1"),
-        "player_career": r.player_career(person_uuid="p1"),
-        "player_career_team": r.player_career(contestant_uuid="k1", active=False),
-        "referees": r.referees(stage_uuid="s1"),
-        "referee": r.referees(person_uuid="p1"),
-        "rankings": r.rankings("t1"),
-        "injuries": r.injuries(tournament_calendar_uuid="t1", contestant_uuid="k1"),
-        "injuries_person": r.injuries(person_uuid="p1"),
-        "transfers": r.transfers(competition_uuid="c1", start_date="2024-01-01", end_date="2024-02-01"),
-        "teams": r.teams(tournament_calendar_uuid="t1", series_uuid="z1"),
-        "team_standings": r.team_standings("t1", type="home"),
-        "squads": r.squads(contestant_uuid="k1"),
-        "player_season_stats": r.player_season_stats("t1", "k1"),
-        "team_season_stats": r.team_season_stats("t1", detailed=False),
-        "contestant_participation": r.contestant_participation("k1", active=True),
+        "area": r.areas(f"a1-{k}"),
+        "tournament_schedule": r.tournament_schedule(f"t1-{k}", coverage_level=[1, 15]),
+        "matches": r.matches(fixture_uuids=[f"f1-{k}", f"f2-{k}"], competition_uuids=[f"c1-{k}"], date_from="2024-01-01", date_to="2024-01-31", lineups=True),
+        "match": r.match(f"f1-{k}", live=True),
+        "match_stats_player": r.match_stats_player([f"f1-{k}", f"f2-{k}"]),
+        "match_stats_team": r.match_stats_team(f"f1-{k}", use_opta_names=True),
+        "events": r.events(f"f1-{k}", contestant_uuid=f"k1-{k}", event_types=[1, 13]),
+        "pass_matrix": r.pass_matrix(f"f1-{k}"),
+        "possession": r.possession(f"f1-{k}"),
+        "player_career": r.player_career(person_uuid=f"p1-{k}"),
+        "player_career_team": r.player_career(contestant_uuid=f"k1-{k}", active=False),
+        "referees": r.referees(stage_uuid=f"s1-{k}"),
+        "referee": r.referees(person_uuid=f"p1-{k}"),
+        "rankings": r.rankings(f"t1-{k}"),
+        "injuries": r.injuries(tournament_calendar_uuid=f"t1-{k}", contestant_uuid=f"k1-{k}"),
+        "injuries_person": r.injuries(person_uuid=f"p1-{k}"),
+        "transfers": r.transfers(competition_uuid=f"c1-{k}", start_date="2024-01-01", end_date="2024-02-01"),
+        "teams": r.teams(tournament_calendar_uuid=f"t1-{k}", series_uuid=f"z1-{k}"),
+        "team_standings": r.team_standings(f"t1-{k}", type="home"),
+        "squads": r.squads(contestant_uuid=f"k1-{k}"),
+        "player_season_stats": r.player_season_stats(f"t1-{k}", f"k1-{k}"),
+        "team_season_stats": r.team_season_stats(f"t1-{k}", detailed=False),
+        "contestant_participation": r.contestant_participation(f"k1-{k}", active=True),
         "sb_competitions": s("competitions"),
-        "sb_matches": s("matches", competition_id=2, season_id=44),
-        "sb_events": s("events", match_id=7, include_360_metrics=True),
-        "sb_lineups": s("lineups", match_id=7),
-        "sb_player_match_stats": s("player_match_stats", match_id=7),
-        "sb_player_season_stats": s("player_season_stats", competition_id=2, season_id=44),
-        "sb_team_match_stats": s("team_match_stats", match_id=7),
-        "sb_team_season_stats": s("team_season_stats", competition_id=2, season_id=44),
+        "sb_matches": s("matches", competition_id=k, season_id=44),
+        "sb_events": s("events", match_id=k, include_360_metrics=True),
+        "sb_lineups": s("lineups", match_id=k),
+        "sb_player_match_stats": s("player_match_stats", match_id=k),
+        "sb_player_season_stats": s("player_season_stats", competition_id=k, season_id=44),
+        "sb_team_match_stats": s("team_match_stats", match_id=k),
+        "sb_team_season_stats": s("team_season_stats", competition_id=k, season_id=44),
     }
 
 
-@query("provider_requests", """SELECT * FROM (VALUES
-('tournament_calendars', '/tournamentcalendar/K/active', '_fmt=json&comp=c1&stages=yes', TRUE), ('venues', '/venues/K', '_fmt=json&_lcl=en-op&tmcl=t1', TRUE), ('areas', '/areas/K', '_fmt=json', TRUE), ('area', '/areas/K/a1', '_fmt=json', FALSE),
-('tournament_schedule', '/tournamentschedule/K/t1', '_fmt=json&cvlv=1,15', FALSE), ('matches', '/match/K', '_fmt=json&comp=c1&fx=f1,f2&lineups=yes&live=yes&mt.mDt=[2024-01-01T00:00:00Z TO 2024-01-31T00:00:00Z]', TRUE), ('match', '/match/K/f1', '_fmt=json&lineups=no&live=yes', FALSE),
-('match_stats_player', '/matchstats/K', '_fmt=json&fx=f1,f2', FALSE), ('match_stats_team', '/matchstats/K', '_fmt=json&_lcl=en-op&fx=f1', FALSE), ('events', '/matchevent/K/f1', '_fmt=json&ctst=k1&type=1,13', FALSE), ('pass_matrix', '/passmatrix/K/f1', '_fmt=json', FALSE), ('possession', '/possession/K/f1', '_fmt=json', FALSE),
-('player_career', '/playercareer/K/p1', '_fmt=json&prsn=p1', FALSE), ('player_career_team', '/playercareer/K', '_fmt=json&active=no&ctst=k1', TRUE), ('referees', '/referees/K', '_fmt=json&stg=s1', TRUE), ('referee', '/referees/K', '_fmt=json&prsn=p1', FALSE), ('rankings', '/rankings/K', '_fmt=json&tmcl=t1', FALSE),
-('injuries', '/injuries/K', '_fmt=json&ctst=k1&tmcl=t1', TRUE), ('injuries_person', '/injuries/K/p1', '_fmt=json&prsn=p1', FALSE), ('transfers', '/transfers/K', '_fmt=json&comp=c1&endDt=2024-02-01&strtDt=2024-01-01', TRUE), ('teams', '/team/K', '_fmt=json&srs=z1&tmcl=t1', TRUE),
-('team_standings', '/standings/K', '_fmt=json&live=no&tmcl=t1&type=home', FALSE), ('squads', '/squads/K', '_fmt=json&ctst=k1', TRUE), ('player_season_stats', '/seasonstats/K', '_fmt=json&ctst=k1&detailed=yes&tmcl=t1', FALSE), ('team_season_stats', '/seasonstats/K', '_fmt=json&detailed=no&tmcl=t1', FALSE), ('contestant_participation', '/contestantparticipation/K', '_fmt=json&active=yes&ctst=k1', FALSE),
-('sb_competitions', '/competitions', '', FALSE), ('sb_matches', '/matches', 'competition_id=2&season_id=44', FALSE), ('sb_events', '/events', 'include_360_metrics=true&match_id=7', FALSE), ('sb_lineups', '/lineups', 'match_id=7', FALSE), ('sb_player_match_stats', '/player_match_stats', 'match_id=7', FALSE),
-('sb_player_season_stats', '/player_season_stats', 'competition_id=2&season_id=44', FALSE), ('sb_team_match_stats', '/team_match_stats', 'match_id=7', FALSE), ('sb_team_season_stats', '/team_season_stats', 'competition_id=2&season_id=44', FALSE)) v(feed, path, params, paged)""")
+@query("provider_requests", """SELECT feed, replace(path, '#', CAST(s_suppkey AS VARCHAR)) AS path, replace(params, '#', CAST(s_suppkey AS VARCHAR)) AS params, paged, s_suppkey AS k FROM supplier CROSS JOIN (VALUES
+('tournament_calendars', '/tournamentcalendar/K/active', '_fmt=json&comp=c1-#&stages=yes', TRUE), ('venues', '/venues/K', '_fmt=json&_lcl=en-op&tmcl=t1-#', TRUE), ('areas', '/areas/K', '_fmt=json', TRUE), ('area', '/areas/K/a1-#', '_fmt=json', FALSE),
+('tournament_schedule', '/tournamentschedule/K/t1-#', '_fmt=json&cvlv=1,15', FALSE), ('matches', '/match/K', '_fmt=json&comp=c1-#&fx=f1-#,f2-#&lineups=yes&live=yes&mt.mDt=[2024-01-01T00:00:00Z TO 2024-01-31T00:00:00Z]', TRUE), ('match', '/match/K/f1-#', '_fmt=json&lineups=no&live=yes', FALSE),
+('match_stats_player', '/matchstats/K', '_fmt=json&fx=f1-#,f2-#', FALSE), ('match_stats_team', '/matchstats/K', '_fmt=json&_lcl=en-op&fx=f1-#', FALSE), ('events', '/matchevent/K/f1-#', '_fmt=json&ctst=k1-#&type=1,13', FALSE), ('pass_matrix', '/passmatrix/K/f1-#', '_fmt=json', FALSE), ('possession', '/possession/K/f1-#', '_fmt=json', FALSE),
+('player_career', '/playercareer/K/p1-#', '_fmt=json&prsn=p1-#', FALSE), ('player_career_team', '/playercareer/K', '_fmt=json&active=no&ctst=k1-#', TRUE), ('referees', '/referees/K', '_fmt=json&stg=s1-#', TRUE), ('referee', '/referees/K', '_fmt=json&prsn=p1-#', FALSE), ('rankings', '/rankings/K', '_fmt=json&tmcl=t1-#', FALSE),
+('injuries', '/injuries/K', '_fmt=json&ctst=k1-#&tmcl=t1-#', TRUE), ('injuries_person', '/injuries/K/p1-#', '_fmt=json&prsn=p1-#', FALSE), ('transfers', '/transfers/K', '_fmt=json&comp=c1-#&endDt=2024-02-01&strtDt=2024-01-01', TRUE), ('teams', '/team/K', '_fmt=json&srs=z1-#&tmcl=t1-#', TRUE),
+('team_standings', '/standings/K', '_fmt=json&live=no&tmcl=t1-#&type=home', FALSE), ('squads', '/squads/K', '_fmt=json&ctst=k1-#', TRUE), ('player_season_stats', '/seasonstats/K', '_fmt=json&ctst=k1-#&detailed=yes&tmcl=t1-#', FALSE), ('team_season_stats', '/seasonstats/K', '_fmt=json&detailed=no&tmcl=t1-#', FALSE), ('contestant_participation', '/contestantparticipation/K', '_fmt=json&active=yes&ctst=k1-#', FALSE),
+('sb_competitions', '/competitions', '', FALSE), ('sb_matches', '/matches', 'competition_id=#&season_id=44', FALSE), ('sb_events', '/events', 'include_360_metrics=true&match_id=#', FALSE), ('sb_lineups', '/lineups', 'match_id=#', FALSE), ('sb_player_match_stats', '/player_match_stats', 'match_id=#', FALSE),
+('sb_player_season_stats', '/player_season_stats', 'competition_id=#&season_id=44', FALSE), ('sb_team_match_stats', '/team_match_stats', 'match_id=#', FALSE), ('sb_team_season_stats', '/team_season_stats', 'competition_id=#&season_id=44', FALSE)) v(feed, path, params, paged)""")
 def provider_requests(spark, d):
-    rows = [(name, r.path, "&".join(f"{k}={v}" for k, v in sorted(r.params.items())), r.paged) for name, r in requests().items()]
-    return spark.createDataFrame(rows, "feed string, path string, params string, paged boolean")
+    """A request of every feed for each supplier."""
 
+    def run(batches):
+        for pdf in batches:
+            rows = [(name, r.path, "&".join(f"{c}={v}" for c, v in sorted(r.params.items())), r.paged, k) for k in pdf["k"] for name, r in requests(int(k)).items()]
+            yield pd.DataFrame(rows, columns=["feed", "path", "params", "paged", "k"])
 
-def made_page(endpoint: str, options: Mapping[str, str], page: int) -> str | None:
-    """A page of made records, 250 in all: `fetch` of the queries below."""
-    size = int(options.get("page_size", "100"))
-    rows = [{"id": k, "name": f"{endpoint}{k}"} for k in range((page - 1) * size, min(page * size, 250))]
-    if endpoint == "teams":
-        return json.dumps({"contestants": {"contestant": rows}})
-    if endpoint == "referees":
-        return json.dumps({"stage": [{"referee": rows[:50]}, {"referee": rows[50:]}]}) if page == 1 else None
-    return json.dumps(rows) if rows else None
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).mapInPandas(run, "feed string, path string, params string, paged boolean, k long")
 
 
-@query("provider_pages", """SELECT feed, k AS id, feed || k AS name FROM (SELECT 'teams' AS feed, unnest(range(250)) AS k UNION ALL SELECT 'events', unnest(range(100)) UNION ALL SELECT 'referees', unnest(range(100)))""")
+def _saved(pages_: DataFrame, root: str, endpoint: str) -> None:
+    """Documents (page, value) as the saved pages of an endpoint."""
+    pages_.select("page", "value").repartition("page").write.partitionBy("page").text(f"{root}/{endpoint}")
+
+
+def saved_document(endpoint: str, options: Mapping[str, str], page: int) -> str | None:
+    """The one document of a saved page: `fetch` of the queries below.  The fantasy feeds page within one document."""
+    from pyarrow import fs
+
+    system, root = polls.file_system(options["root"])
+    found = system.get_file_info(fs.FileSelector(f"{root}/{endpoint}/page={page}", allow_not_found=True))
+    for info in found:
+        if info.is_file and not info.base_name.startswith(("_", ".")):
+            with system.open_input_stream(info.path) as f:
+                return f.read().decode()
+    return None
+
+
+def is_saved(endpoint: str, options: Mapping[str, str], page: int) -> bool:
+    from pyarrow import fs
+
+    system, root = polls.file_system(options["root"])
+    return system.get_file_info(f"{root}/{endpoint}/page={page}").type == fs.FileType.Directory
+
+
+@query("provider_pages", "SELECT 'teams' AS feed, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'events', n_nationkey, n_name FROM nation UNION ALL SELECT 'referees', n_nationkey, n_name FROM nation")
 def provider_pages(spark, d):
-    made = f"{__name__}:made_page"
-    opta, other = providers.Opta(spark, made, page_size=100), providers.StatsBomb(spark, made, page_size=100)
-    kind = "id long, name string"
-    parts = {"teams": opta.teams(tournament_calendar_uuid="t", schema=kind), "events": other.events(7, schema=kind), "referees": opta.referees(person_uuid="p", schema=f"stage array<struct<referee:array<struct<id:bigint,name:string>>>>")}
+    """Teams in pages of a hundred customers, whose number is found by asking; events and referees in one document of all nations."""
+    root, kind = scratch(spark), "id long, name string"
+    record = lambda k, n: F.struct(F.col(k).alias("id"), F.col(n).alias("name"))
+    teams = table(spark, d, "customer").groupBy((F.floor(F.col("c_custkey") / 100) + 1).alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(record("c_custkey", "c_name")).alias("contestant")).alias("contestants"))).alias("value"))
+    nations = F.collect_list(record("n_nationkey", "n_name"))
+    one = table(spark, d, "nation").groupBy(F.lit(1).alias("page"))
+    _saved(teams, root, "teams")
+    _saved(one.agg(F.to_json(nations).alias("value")), root, "events")
+    halves = [F.struct(F.filter(nations, lambda r: r["id"] % 2 == h).alias("referee")) for h in (0, 1)]
+    _saved(one.agg(F.to_json(F.struct(F.array(*halves).alias("stage"))).alias("value")), root, "referees")
+    options = {"root": root, "page_size": 100, "probe": f"{__name__}:is_saved"}
+    opta, other = providers.Opta(spark, f"{__name__}:saved_document", **options), providers.StatsBomb(spark, f"{__name__}:saved_document", **options)
+    parts = {"teams": opta.teams(tournament_calendar_uuid="t", schema=kind), "events": other.events(7, schema=kind), "referees": opta.referees(person_uuid="p", schema="stage array<struct<referee:array<struct<id:bigint,name:string>>>>")}
     rows = [f.df.select(F.lit(name).alias("feed"), "id", "name") for name, f in parts.items()]
     return rows[0].union(rows[1]).union(rows[2])
 
 
-def fantasy_page(endpoint: str, options: Mapping[str, str], page: int) -> str | None:
-    """Made documents of the fantasy feeds: `fetch` of the query below."""
-    rows = [{"id": k, "entry": k * 10, "is_current": k == 7, "first_name": "f", "second_name": "s", "web_name": f"w{k}"} for k in range(1, 21)]
-    return json.dumps({"gameweek_info": {"events": rows}, "player_data": {"elements": rows, "events": []}, "player_history": {"fixtures": [], "history": rows}, "rankings": {"standings": {"results": rows}}, "entry_picks": {"picks": rows}, "entry_transfers": rows}[endpoint])
-
-
-@query("fantasy_feeds", "SELECT feed, k::INTEGER AS id FROM (SELECT unnest(['players', 'names', 'history', 'rankings', 'picks', 'transfers', 'weeks']) AS feed) CROSS JOIN (SELECT unnest(range(1, 21)) AS k) UNION ALL SELECT 'current', 7::INTEGER")
+@query("fantasy_feeds", """SELECT feed, CAST(n_nationkey + 1 AS INTEGER) AS id FROM nation CROSS JOIN (SELECT unnest(['weeks', 'players', 'names', 'history', 'rankings', 'picks', 'transfers']) AS feed)
+UNION ALL SELECT 'current', CAST(max(n_nationkey) + 1 AS INTEGER) FROM nation""")
 def fantasy_feeds(spark, d):
-    f, kind = providers.FPL(spark, f"{__name__}:fantasy_page"), "id int"
+    """Every feed of the fantasy game as a document of all nations."""
+    root, kind = scratch(spark), "id int"
+    n = table(spark, d, "nation")
+    last = n.agg(F.max("n_nationkey").alias("last"))
+    record = F.struct((F.col("n_nationkey") + 1).alias("id"), (F.col("n_nationkey") == F.col("last")).alias("is_current"), F.col("n_name").alias("first_name"), F.col("n_name").alias("second_name"), F.col("n_name").alias("web_name"))
+    rows = n.crossJoin(F.broadcast(last)).groupBy(F.lit(1).alias("page")).agg(F.collect_list(record).alias("r"))  # one row on the right
+    r = F.col("r")
+    ways = {"gameweek_info": F.struct(r.alias("events")), "player_data": F.struct(r.alias("elements")), "player_history": F.struct(r.alias("history")), "rankings": F.struct(F.struct(r.alias("results")).alias("standings")), "entry_picks": F.struct(r.alias("picks")), "entry_transfers": r}
+    for endpoint, document in ways.items():
+        _saved(rows.select("page", F.to_json(document).alias("value")), root, endpoint)
+    f = providers.FPL(spark, f"{__name__}:saved_document", root=root)
     feeds = {"weeks": f.gameweek_info(kind), "current": f.current_gameweek(), "players": f.player_data(kind), "names": f.player_id_mappings(), "history": f.player_history(3, kind), "rankings": f.rankings(schema=kind), "picks": f.entry_picks(5, 2, kind), "transfers": f.entry_transfers(5, kind)}
     out = None
     for name, flow_ in feeds.items():
-        rows = flow_.df.select(F.lit(name).alias("feed"), "id")
-        out = rows if out is None else out.union(rows)
+        got = flow_.df.select(F.lit(name).alias("feed"), "id")
+        out = got if out is None else out.union(got)
     return out
 
 
@@ -248,10 +282,12 @@ def nested_merged(spark, d):
 # --- records, files, actions
 
 
-@query("records_concat", "SELECT * FROM (VALUES (1, 'a', 2.5::DOUBLE, NULL), (2, 'b', NULL, 'y'), (3, NULL, 4.0::DOUBLE, NULL), (9, 'z', NULL, 'w')) v(id, name, xg, tag)")
+@query("records_concat", "SELECT CAST(n_nationkey AS INTEGER) AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 0.5::DOUBLE END AS xg, CASE WHEN n_nationkey % 2 = 1 THEN 'odd' END AS tag FROM nation UNION ALL SELECT CAST(r_regionkey AS INTEGER), r_name, NULL, 'region' FROM region")
 def records_concat(spark, d):
-    first = Flow.from_records(spark, [{"id": 1, "name": "a", "xg": 2.5}, {"id": 2, "name": "b", "tag": "y"}, {"id": 3, "xg": 4}])
-    return Flow.from_concat(first, Flow.from_list(spark, [{"id": 9, "name": "z", "tag": "w"}])).cast(id="int").df
+    """Python records of two small tables, of differing keys, put one after the other."""
+    nations = [{"id": r["n_nationkey"], "name": r["n_name"]} | ({"tag": "odd"} if r["n_nationkey"] % 2 else {"xg": r["n_nationkey"] * 0.5}) for r in table(spark, d, "nation").collect()]
+    regions = [{"id": r["r_regionkey"], "name": r["r_name"], "tag": "region"} for r in table(spark, d, "region").collect()]
+    return Flow.from_concat(Flow.from_records(spark, nations), Flow.from_list(spark, regions)).cast(id="int").df
 
 
 @query("flow_actions", "SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM nation) AS length, FALSE AS empty, TRUE AS none, (SELECT string_agg(n_name, ',' ORDER BY n_nationkey) FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 3)) AS head, (SELECT count(*) FROM nation) AS iterated, 4 AS keys")
@@ -336,9 +372,9 @@ def fixtures_json_adapter(spark, d):
     k = F.col("o_orderkey")
     score = F.when(k % 5 == 0, '{"ft":[2,1],"ht":[1,0]}').when(k % 5 == 1, '{"ft":[1,0]}').when(k % 5 == 2, "{}").when(k % 5 == 3, "[4,3]").otherwise("null")
     one = F.concat(F.lit('{"round":"r","date":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('","team1":"a","team2":"'), k, F.lit('","score":'), score, F.lit("}"))
-    lists = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.concat(F.lit('{"name":"n","matches":['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("value"))
+    lists = table(spark, d, "orders").groupBy(F.floor(k / 5000).alias("y")).agg(F.concat(F.lit('{"name":"n","matches":['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("value"))
     root = scratch(spark)
-    lists.select("value", "y").repartition(8, "y").write.partitionBy("y").text(root)
+    lists.select("value", "y").repartition("y").write.partitionBy("y").text(root)
     out = adapters.read_fixtures_json(spark, f"{root}/*/*", "C", "S")
     return out.select(F.col("away_name_raw").cast("long").alias("k"), "match_date", "goals_home", "goals_away", "goals_home_ht")
 
@@ -391,7 +427,7 @@ def league_documents(spark, d):
     k = F.col("o_orderkey")
     two = lambda h, a: F.struct(h.cast("string").alias("h"), a.cast("string").alias("a"))
     date = F.struct(k.cast("string").alias("id"), (F.col("o_orderstatus") != "O").alias("isResult"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.struct(F.concat(F.lit("h"), "o_custkey").alias("title")).alias("h"), F.struct(F.lit("x").alias("title")).alias("a"), two(k % 4, k % 3).alias("goals"), two(k % 4, k % 3).alias("xG"), F.struct(F.lit("0.5").alias("w"), F.lit("0.3").alias("d"), F.lit("0.2").alias("l")).alias("forecast"))
-    league = o.groupBy("o_orderpriority").agg(F.to_json(F.struct(F.collect_list(date).alias("dates"))).alias("document"))
+    league = o.groupBy("o_orderpriority", F.floor(k / 5000)).agg(F.to_json(F.struct(F.collect_list(date).alias("dates"))).alias("document"))
     li = table(spark, d, "lineitem")
     shot = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_discount").cast("string").alias("xG"), F.lit("2024-01-02 20:00:00").alias("date"), F.when(F.col("l_linenumber") % 2 == 0, "h").otherwise("a").alias("h_a"))
     side = lambda s, n: F.collect_list(F.when(F.col("l_linenumber") % 2 == n, shot)).alias(s)
@@ -430,7 +466,7 @@ def late_events(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     name = f"late_{uuid.uuid4().hex}"
     for batch in (0, 1):
-        e.filter(F.col("event_id") % 2 == batch).coalesce(1).write.parquet(f"{root}/in/b{batch}")
+        e.filter(F.col("event_id") % 2 == batch).write.parquet(f"{root}/in/b{batch}")
         rows = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
         counted = folds.tumbling(rows, "ts", "6 hours", ["event_type"], "48 hours", n=F.count("*")).select("event_type", F.col("window.start").alias("start"), "n")
         stream = counted.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").queryName(f"{name}_{batch}").trigger(availableNow=True).start()

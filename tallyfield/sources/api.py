@@ -88,8 +88,16 @@ class _Reader(DataSourceReader):
         return getattr(importlib.import_module(self.module), self.name)(self.endpoint, self.options, page)
 
     def partitions(self) -> list[InputPartition]:
-        """A partition a page; with an unknown number of pages one that walks to the last."""
-        return [_Page(k) for k in range(1, self.pages + 1)] if self.pages else [_Page(0)]
+        """A partition a page.  A number of pages that is not given is found by the option `probe` ("module:function", which tells whether a page is there); without one a partition walks to the last page."""
+        n = self.pages
+        if not n and (probe := self.options.get("probe")):
+            from tallyfield.sources.polls import last_page
+
+            module, _, name = probe.partition(":")
+            there = getattr(importlib.import_module(module), name)
+            n = last_page(lambda page: there(self.endpoint, self.options, page))
+            return [_Page(k) for k in range(1, n + 1)]
+        return [_Page(k) for k in range(1, n + 1)] if n else [_Page(0)]
 
     def read(self, partition: _Page) -> Iterator[tuple[int, str]]:
         if partition.page:
