@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield.functions import diagnostics
+from tallyfield.operators.frames import rolling_order
 from tallyfield.operators.joins import span_join
 from tallyfield.operators.quantiles import exact_quantiles
 from tallyfield.plans.registry import query, table
@@ -62,3 +63,12 @@ SELECT parameter, round(n / tau, 6) AS ess, round(tau, 9) AS tau, CAST(cutoff AS
 def chain_effective_size(spark, d):
     out = diagnostics.effective_size(_chains(spark, d), most=40)
     return out.select("parameter", F.round("ess", 6).alias("ess"), F.round("tau", 9).alias("tau"), F.col("cutoff").cast("int").alias("cutoff"))
+
+
+@query("rolling_order_long", """SELECT event_id, round(quantile_cont(value, 0.5) OVER w, 6) AS middle, round(quantile_cont(value, 0.9) OVER w, 6) AS high, round(max(value) OVER w - min(value) OVER w, 6) AS spread, CAST(count(DISTINCT value) OVER w AS DOUBLE) AS kinds
+FROM events WINDOW w AS (PARTITION BY event_id % 3 = 0 ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""")
+def rolling_order_long(spark, d):
+    """Order statistics of the last thousand events, in two groups of most rows each."""
+    e = table(spark, d, "events").select("event_id", "ts", "value", (F.col("event_id") % 3 == 0).alias("third"))
+    out = rolling_order(e, ["third"], ["ts", "event_id"], "value", 1000, middle="median", high=0.9, spread="range", kinds="nunique")
+    return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("middle", "high", "spread")], "kinds")

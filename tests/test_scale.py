@@ -112,3 +112,24 @@ def test_diagnostics_against_arrays(spark):
 def test_the_left_side_is_not_numbered(spark):
     plan = span_join(spark.createDataFrame([(1, "a", at(0), at(9))], "id int, k string, s timestamp, e timestamp"), spark.createDataFrame([("a", at(1))], "k string, t timestamp"), "k", "s", "e", "t", how="left").select(F.count("*"))._jdf.queryExecution().toString()
     assert "monotonically" not in plan and "CartesianProduct" not in plan
+
+
+def test_rolling_order_statistics(spark):
+    from tallyfield.operators.frames import rolling_order
+
+    pick = random.Random(6)
+    rows = [(g, k, pick.choice([None, float("nan"), float(pick.randrange(12)), pick.random()]), "x") for g, n in (("a", 95), ("b", 3), (None, 20)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int, v double, _v string").repartition(3)
+    for size in (1, 7, 200):
+        got = {(r["g"], r["k"]): r for r in rolling_order(df, ["g"], ["k"], "v", size, middle="median", p=0.2, n="count", u="nunique", w="range").collect()}
+        assert len(got) == len(rows)
+        for g, k, _, _ in rows:
+            frame = [v for h, j, v, _ in rows if h == g and k - size < j <= k and v is not None and v == v]
+            r = got[g, k]
+            assert (r["n"], r["u"], r["_v"]) == (len(frame), len(set(frame)), "x")
+            want = (np.median(frame), np.quantile(frame, 0.2), max(frame) - min(frame)) if frame else (None, None, None)
+            assert all((a is None and b is None) or abs(a - b) < 1e-9 for a, b in zip((r["middle"], r["p"], r["w"]), want, strict=True))
+    assert rolling_order(df.limit(0), ["g"], ["k"], "v", 5, m="median").collect() == []
+    for bad in ("mean", 1.5):
+        with pytest.raises(ValueError):
+            rolling_order(df, ["g"], ["k"], "v", 5, m=bad)
