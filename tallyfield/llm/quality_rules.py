@@ -1,7 +1,7 @@
 """Line-first quality rules.
 
 Method: every line of a text is judged by itself.  A line fails if it is navigation
-(pipes and other symbols between words), boilerplate (a known notice), shouting, a run of
+(pipes and other symbols between words, or a row of names and numbers), boilerplate (a known notice), shouting, a run of
 the same word, or a longer line without punctuation.  Failed lines are taken out,
 and a document that loses more than MAX_LOST of its words is rejected.  Before that the
 base counts of a text decide: under 50 words or more than half of its words in repeated
@@ -12,7 +12,8 @@ that holds one fails.  All counts come from array operations over the bytes of w
 (see _text).
 
 Cases: null text has no words and fails the base; so does an empty text.  A text of any
-length is read whole.  Repeated rows get equal results.  Lines are what `\\n` splits.
+length is read whole.  Repeated rows get equal results; a text that
+loses just MAX_LOST of its words stays.  Lines are what `\\n` splits.
 Extra columns stay out unless named in `keep`; an empty table gives no rows.
 """
 
@@ -39,7 +40,7 @@ MAX_CAPITALS = 0.5
 MAX_RUN = 0.3
 #: A line of at least so many words must hold one that ends with punctuation.
 PUNCTUATION_WORDS = 12
-#: Notices that make a line boilerplate (A-Z compared in lower case).
+#: Notices that make a line boilerplate (compared in lower case, accents included).
 NOTICES = tuple(
     notice.encode()
     for notice in (
@@ -60,9 +61,13 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOWER_CASE = np.zeros(256, bool)
 _LOWER_CASE[97:123] = True
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?:;\"')]}")] = True
-_ENDS[[0xA6, 0x9D, 0x99, 0xBB, 0x82, 0x81, 0x9F]] = True  # last bytes of … ” ’ » 。 ！ ？ and of letters like them
+#: Characters that end a sentence, a clause or a quotation.
+PUNCTUATION = ".!?:;\"')]}\u2026\u201d\u201c\u2019\u00bb\u3002\uff01\uff1f\u061f\u0964"
+_ENDS = [np.array(sorted(int.from_bytes(c.encode(), "big") for c in PUNCTUATION if len(c.encode()) == size), np.int64) for size in (1, 2, 3)]
+#: A line of at least so many words, each with a capital or a digit first and none with punctuation last, is navigation.
+MENU_WORDS = 6
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[65:91] = _CAPITAL[48:58] = True
 
 COLUMNS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("n_lines", T.LongType()), ("n_failed_lines", T.LongType()), ("n_lost_words", T.LongType())]
 
@@ -73,6 +78,24 @@ def _sums(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stops(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word's last character, as a whole, is punctuation."""
+    code, out = np.zeros(len(end), np.int64), np.zeros(len(end), bool)
+    for k, known in enumerate(_ENDS):  # the last byte, the last two, the last three
+        inside = end - 1 - k >= start
+        code += np.where(inside, data[np.maximum(end - 1 - k, 0)].astype(np.int64), 0) << (8 * k)
+        out |= inside & np.isin(code, known)
+    return out
+
+
+def _folded(data: np.ndarray) -> bytes:
+    """Bytes in lower case: A-Z, and the capitals of Western European letters with accents."""
+    low = np.frombuffer(data.tobytes().lower(), np.uint8).copy()
+    accents = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
+    low[1:][accents] += 0x20
+    return low.tobytes()
+
+
 def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts key, whether each sorted entry equals the one before)."""
     order = np.argsort(key, kind="stable")
@@ -129,14 +152,16 @@ def judge(data: np.ndarray, offsets: np.ndarray, max_lost: float = MAX_LOST) ->
     capital = _sums((upper[end] - upper[start] >= 2) & (lower[end] == lower[start]))
     again = np.zeros(len(start), bool)
     again[1:] = hashes[1:] == hashes[:-1]
-    run, stops = _sums(again), _sums(_ENDS[data[end - 1]])
+    run, stops = _sums(again), _sums(_stops(data, start, end))
     fail = np.zeros(len(line_start), bool)
     s, w = spoken, in_line[spoken]
     fail[s] = symbols[line_end[s]] - symbols[line_start[s]] > MAX_SYMBOLS * w
     fail[s] |= (w >= 3) & (capital[word_high[s]] - capital[word_low[s]] > MAX_CAPITALS * w)
     fail[s] |= (w >= 6) & (run[word_high[s]] - run[word_low[s] + 1] > MAX_RUN * w)
     fail[s] |= (w >= PUNCTUATION_WORDS) & (stops[word_high[s]] == stops[word_low[s]])
-    low = data.tobytes().lower()
+    named = _sums(_CAPITAL[data[start]])
+    fail[s] |= (w >= MENU_WORDS) & (named[word_high[s]] - named[word_low[s]] == w) & (stops[word_high[s]] == stops[word_low[s]])
+    low = _folded(data)
     for notice in NOTICES:
         k = low.find(notice)
         while k >= 0:

@@ -174,11 +174,12 @@ def failed_lines(text: str | None, rules) -> tuple[int, int]:
         if not w:
             continue
         shouts = sum(sum("A" <= c <= "Z" for c in x) >= 2 and not any("a" <= c <= "z" for c in x) for x in w)
-        low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+        low = re.sub("[A-Z\u00c0-\u00d6\u00d8-\u00de]", lambda m: m[0].lower(), line)
         bad = sum(c in "#*$%&|<>" for c in line) > rules.MAX_SYMBOLS * len(w)
         bad |= len(w) >= 3 and shouts > rules.MAX_CAPITALS * len(w)
         bad |= len(w) >= 6 and sum(a == b for a, b in zip(w, w[1:], strict=False)) > rules.MAX_RUN * len(w)
-        bad |= len(w) >= rules.PUNCTUATION_WORDS and not any(rules._ENDS[x.encode()[-1]] for x in w)
+        bad |= len(w) >= rules.PUNCTUATION_WORDS and not any(x[-1] in rules.PUNCTUATION for x in w)
+        bad |= len(w) >= rules.MENU_WORDS and all(re.match("[A-Z0-9]", x) for x in w) and not any(x[-1] in rules.PUNCTUATION for x in w)
         bad |= any(n.decode() in low for n in rules.NOTICES)
         failed += bad
         lost += bad * len(w)

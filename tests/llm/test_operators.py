@@ -170,6 +170,17 @@ def test_line_verdicts_match_brute_force(spark, data, odd_docs):
             assert r["kept"] == (not r["base_failed"] and lost <= quality_rules.MAX_LOST * r["n_words"])
 
 
+def test_whole_characters_capitals_with_accents_and_menus(spark):
+    """Lines by themselves: 1 fails, 0 stays."""
+    twelve = "ein Satz ohne jedes Zeichen am Ende der nur aus Worten besteht und"
+    lines = [(f"{twelve} da\u00df", 1), (f"{twelve} \u00e6", 1), (f"{twelve} Ende.", 0), (f"{twelve} Ende\u2026", 0), (f"{twelve} Ende\u201d", 0), (f"{twelve} Ende\u00bb", 0), (f"{twelve} Ende\u3002", 0), ("DATENSCHUTZERKL\u00c4RUNG", 1), ("La Pol\u00cdtica de privacidad", 1), ("Home News Sport Weather Contact Login Register", 1), ("1 2 3 4 5 Next Last", 1), ("Anna Lee and Tom Ray went Home", 0), ("Rome Paris London Berlin Vienna Madrid.", 0), ("\u00bb", 0), ("\u00df", 0)]
+    df = spark.createDataFrame([(k, line) for k, (line, _) in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_failed_lines"] for r in quality_rules.apply_rules(df).collect()}
+    assert [(lines[k][0], n) for k, n in sorted(got.items())] == lines
+    for line, n in lines:
+        assert brute.failed_lines(line, quality_rules)[0] == n
+
+
 def test_rules_tell_junk(spark, data):
     rows = quality_rules.op2_quality_rules(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
     assert not [r["doc_id"] for r in rows if r["quality"] == 0 and r["kept"]]
