@@ -41,7 +41,8 @@ from tallyfield.llm._spark import table, text_of, written
 SHARDS = 40
 #: Bytes that a row takes beside its text.
 ROW_BYTES = 16
-#: Significant bits of a group's size.
+#: Different sizes that are packed as they are, and the least significant bits of a size where there are more.
+MOST_SIZES = 1 << 16
 SIZE_BITS = 12
 #: A group of more than one of so many rows is sent to its rows rather than joined with them.
 HEAVY = 10_000
@@ -182,23 +183,33 @@ def even_runs(runs: list[tuple[int, int]], shards: int) -> list[list[tuple[int,
     return out
 
 
-def _rounded(size: Column) -> Column:
-    """A size in SIZE_BITS significant bits, rounded up."""
-    spare = F.greatest(F.length(F.bin(size)) - SIZE_BITS, F.lit(0))
+def _rounded(size: Column, bits: int = SIZE_BITS) -> Column:
+    """A size in so many significant bits, rounded up."""
+    spare = F.greatest(F.length(F.bin(size)) - bits, F.lit(0))
     unit = F.call_function("shiftleft", F.lit(1).cast("long"), spare)
     return F.call_function("shiftleft", F.call_function("shiftright", size + unit - 1, spare), spare)
 
 
+def significant_bits(groups: DataFrame, most: int = MOST_SIZES) -> int:
+    """The most significant bits (63: exact) at which `bytes` has at most `most` different values."""
+    sizes = groups.select("bytes").distinct()
+    for bits in (63, 24, 20, 16, 14):
+        if sizes.select(_rounded(F.col("bytes"), bits)).distinct().limit(most + 1).count() <= most:
+            return bits
+    return SIZE_BITS
+
+
 def _starts(df: DataFrame, of: str, cell: str) -> DataFrame:
     """(of, cell, _start): how many rows of `of` are in the cells before."""
     before = W.partitionBy(of).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
     return df.groupBy(of, cell).agg(F.count("*").alias("_rows")).select(of, cell, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
 
 
-def place_groups(groups: DataFrame, shards: int) -> DataFrame:
+def place_groups(groups: DataFrame, shards: int, most: int = MOST_SIZES) -> DataFrame:
     """(_group, shard, copies) from (_group, bytes, copies)."""
     spark = groups.sparkSession
-    sized = written(groups.withColumn("_size", _rounded(F.col("bytes"))))
+    groups = written(groups)
+    sized = groups.withColumn("_size", _rounded(F.col("bytes"), significant_bits(groups, most)))
     runs = [(r["_size"], r["n"]) for r in sized.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()]  # one row a size
     spans = []
     for (size, count), placed in zip(runs, even_runs(runs, shards) if runs else [], strict=True):
