@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyfield.functions.text import jaro_winkler, normalize_name, token_set_ratio
+from tallyfield.functions.text import jaro_winkler, normalize_name, token_set_ratio, tokens
 from tallyfield.warehouse.views import Warehouse
 
 
@@ -31,13 +31,65 @@ def similarity(a, b):
     return F.greatest(jw, ts).alias("score"), F.when(jw >= ts, "JARO_WINKLER").otherwise("TOKEN_SET").alias("score_method")
 
 
+#: Letters from rare to common in names; an order for the index, any would do.
+RARE = "qxzjkvwyfbghpmucdltosnriea"
+#: Weight of a word that is a number, of any other 1 (as in `token_set_ratio`).
+NUMBER_WEIGHT = 0.3
+
+
+def _letters(name: Column) -> Column:
+    """The letters of a name as a set: each with its how-manieth occurrence, rare ones and late occurrences first."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    nth = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("n"), F.instr(F.lit(RARE), c).alias("rank"), c.alias("letter")))
+    return F.transform(F.array_sort(nth), lambda x: F.concat(x["letter"], (-x["n"]).cast("string")))
+
+
+def index_keys(name: Column, words: Column, least: float) -> Column:
+    """Keys of a name: two names that may be alike share one.
+
+    Jaro-Winkler of at least `least` takes an equal first letter, or else Jaro itself of that, which takes
+    so many common letters that of either name's letters, in one order for all names, one of the
+    first few is common.  A token ratio of at least `least` takes a common word among each one's first
+    words, up to where the weight of the others falls below `least` of all.
+    """
+    letters, n = _letters(name), F.length(name)
+    common = F.greatest(F.ceil((3 * least - 2) * n - F.lit(1e-9)), F.lit(1))  # at the greatest difference in length that is left
+    of_letters = F.transform(F.slice(letters, 1, F.greatest(n - common + 1, F.lit(0)).cast("int")), lambda t: F.concat(F.lit("L"), t))
+    ordered = F.array_sort(F.transform(F.array_distinct(words), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    weigh = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.when(x["t"].rlike("^[0-9]+$"), NUMBER_WEIGHT).otherwise(1.0))
+    total = weigh(ordered)
+    first = F.filter(F.transform(ordered, lambda x, i: F.struct(x["t"].alias("t"), weigh(F.slice(ordered, i + 1, F.lit(1 << 20))).alias("w"))), lambda x: x["w"] >= least * total - 1e-9)
+    return F.concat(F.array(F.concat(F.lit("F"), F.left(name, F.lit(1)))), of_letters, F.transform(first, lambda x: F.concat(F.lit("W"), x["t"])))
+
+
+def candidates(left: DataFrame, right: DataFrame, a: str, b: str, by: str, least: float = 0.80) -> DataFrame:
+    """Pairs of rows (all columns of both) of one `by` whose names `a` and `b` may be alike by `least` or more: no pair that is goes missing.
+
+    Names are joined on the keys of an inverted index, each pair at its least common key only.
+    What is left is bounded by common letters, lengths and first letters before anything is scored.
+    """
+    def indexed(df: DataFrame, name: str, side: str) -> DataFrame:
+        norm, words = normalize_name(F.col(name)), tokens(F.col(name))
+        named = df.filter(F.col(name).isNotNull()).withColumns({f"_n{side}": norm, f"_w{side}": words}).withColumns({f"_l{side}": _letters(F.col(f"_n{side}")), f"_k{side}": F.array_distinct(index_keys(F.col(f"_n{side}"), F.col(f"_w{side}"), least))})
+        return named.withColumn("_key", F.explode(f"_k{side}"))
+
+    met = indexed(left, a, "a").join(indexed(right, b, "b"), [by, "_key"]).filter(F.col("_key") == F.array_min(F.array_intersect("_ka", "_kb")))
+    m, x, y = F.size(F.array_intersect("_la", "_lb")), F.length("_na"), F.length("_nb")
+    jaro = F.when(F.col("_na") == F.col("_nb"), 1.0).when(m == 0, 0.0).otherwise((m / x + m / y + 1) / 3)
+    prefix = F.aggregate(F.array(*[F.lit(k) for k in range(1, 5)]), F.lit(0), lambda p, k: p + F.when((x >= k) & (F.left("_na", k) == F.left("_nb", k)), 1).otherwise(0))
+    bound = jaro + 0.1 * prefix * (1 - jaro)
+    hopeful = met.filter((bound >= least - 1e-9) | (token_set_ratio(F.col(a), F.col(b)) >= least - 1e-9))
+    return hopeful.drop("_key", *[f"_{c}{side}" for c in "nwlk" for side in "ab"])
+
+
 def proposals(unresolved: DataFrame, teams: DataFrame, least: float = 0.80, most: int = 5) -> DataFrame:
     """The best candidates of the same country for each unresolved name; never applied by themselves.
 
-    Names are compared with every team of their country, which holds at most some thousand.
+    Names meet the teams of their country that an index over letters and words leaves, which
+    are all that can reach `least`.
     """
     left = unresolved.select("source", "raw_name", "country").distinct()
-    pairs = left.join(teams.select("team_id", "canonical_name", "country").distinct(), "country")
+    pairs = candidates(left, teams.select("team_id", "canonical_name", "country").distinct(), "raw_name", "canonical_name", "country", least)
     scored = pairs.select("*", *similarity(F.col("raw_name"), F.col("canonical_name"))).filter(F.col("score") >= least)
     own = W.partitionBy("source", "raw_name", "country").orderBy(F.desc(F.round("score", 9)), "canonical_name", "team_id")
     return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= most)
