@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions import diagnostics
 from tallyfield.operators.frames import rolling_order
 from tallyfield.operators.joins import span_join
+from tallyfield.operators.merged import merge_aggregate
 from tallyfield.operators.quantiles import exact_quantiles
 from tallyfield.plans.registry import query, table
 
@@ -72,3 +73,18 @@ def rolling_order_long(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "value", (F.col("event_id") % 3 == 0).alias("third"))
     out = rolling_order(e, ["third"], ["ts", "event_id"], "value", 1000, middle="median", high=0.9, spread="range", kinds="nunique")
     return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("middle", "high", "spread")], "kinds")
+
+
+@query("merged_log_means", """SELECT g, round(exp(avg(ln(v))), 6) AS mean FROM (SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_suppkey END AS g, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem) x GROUP BY g""")
+def merged_log_means(spark, d):
+    """Geometric means by a Python aggregate whose states are merged; a third of all rows in one group."""
+    import numpy as np
+
+    li = table(spark, d, "lineitem").select(F.expr("CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_suppkey END").alias("g"), F.col("l_extendedprice").cast("double").alias("v"))
+
+    def add(state, rows):
+        n, total = state or (0, 0.0)
+        return n + len(rows), total + float(np.log(rows["v"]).sum())
+
+    out = merge_aggregate(li, ["g"], ["v"], "mean", "double", add, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: float(np.exp(s[1] / s[0])))
+    return out.select("g", F.round("mean", 6).alias("mean"))

@@ -44,6 +44,10 @@ def median(values):
     return (low + high) / 2
 
 
+#: Rows of a matrix of draws.
+NULL_ROWS = 256
+
+
 @lru_cache(64)
 def _drawn(books: int, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of `books` prices in a unit spread around 0, drawn `draws` times: one's own, and the two middle ones of the others."""
@@ -58,19 +62,20 @@ def null_edge(fair, dispersion, n_books, overround, draws: int = 4000, seed: int
     """The 95th percentile of the edge that such disagreement shows where there is none, by simulation in Arrow batches.
 
     Every row sees the same draws, which only its centre and spread move, so they are made once
-    for each number of books.
+    for each number of books, and the rows of one number are one matrix.
     """
 
     @pandas_udf("double")
     def run(c: pd.Series, s: pd.Series, n: pd.Series, o: pd.Series) -> pd.Series:
-        out = []
-        for centre, spread, books, over in zip(c, s, n, o, strict=True):
-            if not spread or spread <= 0 or books < 3:
-                out.append(0.0)
-                continue
-            own, low, high = (np.maximum(1e-4, centre + spread * x) for x in _drawn(int(books), draws, seed))
-            edge = (low + high) / 2 / (own * (1 + over / 3)) - 1
-            out.append(float(np.quantile(edge, 0.95)))
+        centre, spread, books, over = (x.to_numpy(float, na_value=np.nan) for x in (c, s, n, o))
+        out = np.zeros(len(centre))
+        moved = (spread > 0) & ~(books < 3)
+        for b in np.unique(books[moved]):
+            at = np.flatnonzero(moved & (books == b))
+            for low in range(0, len(at), NULL_ROWS):
+                k = at[low : low + NULL_ROWS, None]
+                own, under, above = (np.maximum(1e-4, centre[k] + spread[k] * x) for x in _drawn(int(b), draws, seed))
+                out[k[:, 0]] = np.quantile((under + above) / 2 / (own * (1 + over[k] / 3)) - 1, 0.95, axis=1)
         return pd.Series(out)
 
     return run(fair, dispersion, n_books, overround)

@@ -133,3 +133,16 @@ def test_rolling_order_statistics(spark):
     for bad in ("mean", 1.5):
         with pytest.raises(ValueError):
             rolling_order(df, ["g"], ["k"], "v", 5, m=bad)
+
+
+def test_merged_aggregates(spark):
+    from tallyfield.operators.merged import merge_aggregate
+
+    rows = [(g, k, v) for g, k, v in itertools.product(["a", "b", None], [1, None], range(40)) if not (g == "b" and k is None)]
+    df = spark.createDataFrame(rows, "g string, k int, v int").repartition(7)
+    bits = lambda s, rows: (s or 0) | sum(1 << int(v) for v in set(rows["v"]))
+    got = {(r["g"], None if r["k"] is None else int(r["k"])): r["mask"] for r in merge_aggregate(df, ["g", "k"], ["v"], "mask", "long", bits, lambda a, b: a | b, lambda s: s).collect()}
+    assert got == {(g, k): (1 << 40) - 1 for g, k in {(g, k) for g, k, _ in rows}}
+    (whole,) = merge_aggregate(df, [], ["v"], "n", "long", lambda s, rows: (s or 0) + len(rows), lambda a, b: a + b, lambda s: s).collect()
+    assert whole["n"] == len(rows)
+    assert merge_aggregate(df.limit(0), ["g"], ["v"], "n", "long", bits, max, int).collect() == []
