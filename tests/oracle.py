@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def connect(sf_dir: str):
@@ -12,6 +14,8 @@ def connect(sf_dir: str):
 
     con = duckdb.connect()
     for t in TABLES:
+        if not os.path.exists(f"{sf_dir}/{t}.parquet"):
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 
