@@ -73,7 +73,12 @@ def candidates(left: DataFrame, right: DataFrame, a: str, b: str, by: str, least
         named = df.filter(F.col(name).isNotNull()).withColumns({f"_n{side}": norm, f"_w{side}": words}).withColumns({f"_l{side}": _letters(F.col(f"_n{side}")), f"_k{side}": F.array_distinct(index_keys(F.col(f"_n{side}"), F.col(f"_w{side}"), least))})
         return named.withColumn("_key", F.explode(f"_k{side}"))
 
-    met = indexed(left, a, "a").join(indexed(right, b, "b"), [by, "_key"]).filter(F.col("_key") == F.array_min(F.array_intersect("_ka", "_kb")))
+    l, r = indexed(left, a, "a"), indexed(right, b, "b")
+    # names of one first letter meet at that; the others at their least common key
+    first = l["_key"].startswith("F")
+    same = (l[by] == r[by]) & (l["_key"] == r["_key"]) & (first | (F.left("_na", F.lit(1)) != F.left("_nb", F.lit(1))))
+    met = l.join(r, same).drop(r[by], r["_key"])
+    met = met.filter(F.col("_key").startswith("F") | (F.col("_key") == F.array_min(F.array_intersect("_ka", "_kb"))))
     m, x, y = F.size(F.array_intersect("_la", "_lb")), F.length("_na"), F.length("_nb")
     jaro = F.when(F.col("_na") == F.col("_nb"), 1.0).when(m == 0, 0.0).otherwise((m / x + m / y + 1) / 3)
     prefix = F.aggregate(F.array(*[F.lit(k) for k in range(1, 5)]), F.lit(0), lambda p, k: p + F.when((x >= k) & (F.left("_na", k) == F.left("_nb", k)), 1).otherwise(0))
@@ -82,14 +87,16 @@ def candidates(left: DataFrame, right: DataFrame, a: str, b: str, by: str, least
     return hopeful.drop("_key", *[f"_{c}{side}" for c in "nwlk" for side in "ab"])
 
 
-def proposals(unresolved: DataFrame, teams: DataFrame, least: float = 0.80, most: int = 5) -> DataFrame:
+def proposals(unresolved: DataFrame, teams: DataFrame, least: float = 0.80, most: int = 5, indexed: bool = False) -> DataFrame:
     """The best candidates of the same country for each unresolved name; never applied by themselves.
 
-    Names meet the teams of their country that an index over letters and words leaves, which
-    are all that can reach `least`.
+    Names are compared with every team of their country, which holds at most some thousand, or
+    (indexed) with those that `candidates` leaves, which gives the same rows: better where names differ
+    in their letters, slower where all look alike.
     """
     left = unresolved.select("source", "raw_name", "country").distinct()
-    pairs = candidates(left, teams.select("team_id", "canonical_name", "country").distinct(), "raw_name", "canonical_name", "country", least)
+    known = teams.select("team_id", "canonical_name", "country").distinct()
+    pairs = candidates(left, known, "raw_name", "canonical_name", "country", least) if indexed else left.join(known, "country")
     scored = pairs.select("*", *similarity(F.col("raw_name"), F.col("canonical_name"))).filter(F.col("score") >= least)
     own = W.partitionBy("source", "raw_name", "country").orderBy(F.desc(F.round("score", 9)), "canonical_name", "team_id")
     return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= most)

@@ -45,3 +45,10 @@ def test_the_plan_has_no_cross_join(spark):
     df = spark.createDataFrame([(1, "Inter", "X")], "i int, raw string, country string")
     plan = identity.candidates(df, df.toDF("j", "known", "country"), "raw", "known", "country")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_proposals_with_and_without_the_index(spark):
+    left = spark.createDataFrame([("s", n, "X") for n in made(40, 5)], "source string, raw_name string, country string")
+    right = spark.createDataFrame([(str(k), n, "X") for k, n in enumerate(made(40, 6))], "team_id string, canonical_name string, country string")
+    one, two = (sorted((r["raw_name"], r["team_id"], round(r["score"], 9), r["rank"]) for r in identity.proposals(left, right, indexed=x).collect()) for x in (True, False))
+    assert one == two and one
