@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass
-from decimal import ROUND_DOWN, Decimal
+from decimal import ROUND_DOWN, Decimal, localcontext
 
 import numpy as np
 import pandas as pd
@@ -112,7 +112,9 @@ BLOCKS = 64
 
 # --- the ledger -----------------------------------------------------------------------
 
-BETS = "run_id string, kickoff_utc timestamp, match_id string, bookmaker_id string, market_type string, line double, selection string, price_taken double, price_precision string, model_prob double, stake decimal(18,6), outcome string, returned decimal(18,6), commission decimal(18,6), pnl decimal(18,6), settled_at timestamp, equity_open decimal(18,6), constrained boolean, drawdown double"
+BETS = "run_id string, kickoff_utc timestamp, match_id string, bookmaker_id string, market_type string, line double, selection string, price_taken double, price_precision string, model_prob double, stake decimal(38,6), outcome string, returned decimal(38,6), commission decimal(38,6), pnl decimal(38,6), settled_at timestamp, equity_open decimal(38,6), constrained boolean, drawdown double"
+#: Digits that products and shares of amounts of BETS take.
+DIGITS = 100
 
 _RETURN = {"WIN": lambda p: p, "HALF_WIN": lambda p: 1 + (p - 1) / 2, "PUSH": lambda p: 1.0, "VOID": lambda p: 1.0, "HALF_LOSE": lambda p: 0.5, "LOSE": lambda p: 0.0}
 
@@ -186,7 +188,8 @@ def run(w: Warehouse, candidates: DataFrame, config: Config = Config(), run_id:
     names = [x.split()[0] for x in BETS.split(", ")]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fold_run(pdf, config)
+        with localcontext(prec=DIGITS):
+            got = fold_run(pdf, config)
         return got.reindex(columns=names) if len(got) else pd.DataFrame(columns=names)
 
     return rows.groupBy("run_id").applyInPandas(fold, BETS)

@@ -416,3 +416,16 @@ def test_null_edge_against_plain_draws(spark):
         mine = rng.integers(0, n, 4000)
         edges = [np.median(np.delete(d, m)) / (d[m] * (1 + o / 3)) - 1 for d, m in zip(drawn, mine, strict=True)]
         assert abs(np.quantile(edges, 0.95) - e) < 1e-9
+
+
+def test_ledger_of_amounts_beyond_28_digits(spark):
+    day = dt.datetime(2024, 1, 1)
+    wins = spark.createDataFrame([("run", day + dt.timedelta(days=k), f"m{k}", "b", "ONE_X_TWO", 0.0, "HOME", 1e4, "PREMATCH", None, 0.0) for k in range(13)], "run_id string, kickoff_utc timestamp, match_id string, bookmaker_id string, market_type string, line double, selection string, price double, price_precision string, model_prob double, rank double")
+    results = spark.createDataFrame([(f"m{k}", 1, 0, day + dt.timedelta(days=k, hours=1)) for k in range(13)], "match_id string, goals_home int, goals_away int, settled_at timestamp")
+    bets = sorted(backtest.run({"match_results": results}, wins).collect(), key=lambda r: r["kickoff_utc"])
+    cash = 10**5  # cents
+    for b in bets:
+        stake = cash // 100
+        assert (b["stake"] * 100, b["returned"] * 100) == (stake, stake * 10**4)
+        cash += stake * (10**4 - 1)
+    assert len(bets) == 13 and cash > 10**28
