@@ -284,10 +284,11 @@ def agg_all_any(spark, d):
     return flow(spark, d, "lineitem").group_by("l_orderkey").summary({"every": ("all", "l_discount"), "some": ("any", "l_discount")}).df
 
 
-@query("agg_filter_clause", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, max(value) FILTER (WHERE event_type = 'purchase') AS top, arg_max(ts, value) FILTER (WHERE event_type = 'view') AS best_view FROM events GROUP BY user_id")
+@query("agg_filter_clause", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, max(value) FILTER (WHERE event_type = 'purchase') AS top, arg_max(ts, (value, ts)) FILTER (WHERE event_type = 'view' AND value IS NOT NULL) AS best_view FROM events GROUP BY user_id")
 def agg_filter_clause(spark, d):
+    """The best view is that of the highest value, of equal ones the latest."""
     table(spark, d, "events").createOrReplaceTempView("events_filter_clause")
-    return spark.sql("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, max(value) FILTER (WHERE event_type = 'purchase') AS top, max_by(ts, value) FILTER (WHERE event_type = 'view') AS best_view FROM events_filter_clause GROUP BY user_id")
+    return spark.sql("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, max(value) FILTER (WHERE event_type = 'purchase') AS top, max_by(ts, struct(value, ts)) FILTER (WHERE event_type = 'view' AND value IS NOT NULL) AS best_view FROM events_filter_clause GROUP BY user_id")
 
 
 @query("agg_count_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderstatus) AS states, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS names FROM orders GROUP BY o_orderpriority")
