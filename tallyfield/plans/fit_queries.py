@@ -58,9 +58,9 @@ s AS (SELECT league, day, h AS side, x AS scored FROM f UNION ALL SELECT league,
 k AS (SELECT DISTINCT league, day, side, coalesce(sum(1) OVER w, 0) AS n, sum(scored) OVER w AS goals FROM s WINDOW w AS (PARTITION BY league, side ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
 b AS (SELECT f.league, f.id, f.day, 10.0::DOUBLE AS stake, 1.5 + f.id % 30 / 10.0::DOUBLE AS price, x > y AS won FROM f JOIN k kh ON kh.league = f.league AND kh.day = f.day AND kh.side = f.h JOIN k ka ON ka.league = f.league AND ka.day = f.day AND ka.side = f.a
   WHERE kh.n >= 5 AND ka.n >= 5 AND kh.goals / kh.n > ka.goals / ka.n),
-p AS (SELECT *, CASE WHEN won THEN stake * (price - 1) ELSE -stake END AS profit FROM b),
+p AS (SELECT *, CAST(CASE WHEN won THEN stake * (price - 1) ELSE -stake END AS DECIMAL(28, 9)) AS profit FROM b),
 r AS (SELECT *, 300 + sum(profit) OVER (PARTITION BY league ORDER BY day, id ROWS UNBOUNDED PRECEDING) AS bankroll FROM p),
-e AS (SELECT *, count(*) FILTER (bankroll < -1e-9) OVER (PARTITION BY league ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS broke FROM r)"""
+e AS (SELECT *, count(*) FILTER (bankroll < 0) OVER (PARTITION BY league ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS broke FROM r)"""
 
 
 def _daily(spark, d) -> DataFrame:
@@ -72,13 +72,13 @@ def _daily(spark, d) -> DataFrame:
     return daily.account(bets, ["league"], "day", ["id"], 300.0)
 
 
-@query("daily_backtest", f"{DAILY} SELECT league, id, day, round(profit, 6) AS profit, round(bankroll, 6) AS bankroll FROM e WHERE broke = 0")
+@query("daily_backtest", f"{DAILY} SELECT league, id, day, round(profit::DOUBLE, 6) AS profit, round(bankroll::DOUBLE, 6) AS bankroll FROM e WHERE broke = 0")
 def daily_backtest(spark, d):
     """Ten on the side that has scored more so far, judged by earlier days only; a league stops when its bankroll is gone."""
     return _daily(spark, d).select("league", "id", "day", F.round("profit", 6).alias("profit"), F.round("bankroll", 6).alias("bankroll"))
 
 
-@query("daily_backtest_results", f"{DAILY} SELECT league, count(*) AS n_bets, CAST(sum(won::INT) AS BIGINT) AS n_won, round(100.0 * sum(won::INT) / count(*), 6) AS won_percent, round(max(bankroll), 6) AS most, round(min(bankroll), 6) AS least, round(sum(profit), 6) AS profit, round(100 * sum(profit) / 300, 6) AS roi FROM e WHERE broke = 0 GROUP BY league")
+@query("daily_backtest_results", f"{DAILY} SELECT league, count(*) AS n_bets, CAST(sum(won::INT) AS BIGINT) AS n_won, round(100.0 * sum(won::INT) / count(*), 6) AS won_percent, round(max(bankroll)::DOUBLE, 6) AS most, round(min(bankroll)::DOUBLE, 6) AS least, round(sum(profit)::DOUBLE, 6) AS profit, round(100 * sum(profit)::DOUBLE / 300, 6) AS roi FROM e WHERE broke = 0 GROUP BY league")
 def daily_backtest_results(spark, d):
     out = daily.results(_daily(spark, d), ["league"], 300.0)
     return out.select("league", "n_bets", "n_won", *[F.round(c, 6).alias(c) for c in ("won_percent", "most", "least", "profit", "roi")])

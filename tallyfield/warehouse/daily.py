@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Exact amounts while they are summed.
+MONEY = "decimal(28,9)"
+
 
 def appearances(fixtures: DataFrame, keys: Sequence[str], day: str, home: str, away: str, home_goals: str, away_goals: str) -> DataFrame:
     """keys, day, side, venue, scored and conceded: two rows a fixture."""
@@ -29,23 +32,28 @@ def lookback(rows: DataFrame, keys: Sequence[str], day: str, **sums: Column) ->
 
 
 def account(bets: DataFrame, by: Sequence[str], day: str, order: Sequence[str], initial: float = 1000.0, stop_at_negative: bool = True) -> DataFrame:
-    """bets (stake, price, won) with profit and the bankroll after each; a run ends with the fixture that takes it below 0."""
+    """bets (stake, price, won) with profit and the bankroll after each; a run ends with the fixture that takes it below 0.
+
+    Profits are rounded to nine decimals and summed exactly, so neither the order of sums nor a run's length moves its end.
+    """
     won = F.coalesce(F.col("won"), F.lit(False))
-    rows = bets.withColumn("profit", F.when(won, F.col("stake") * (F.col("price") - 1)).otherwise(-F.col("stake")))
+    rows = bets.withColumn("profit", F.when(won, F.col("stake") * (F.col("price") - 1)).otherwise(-F.col("stake")).cast(MONEY))
     days = rows.groupBy(*by, day).agg(F.sum("profit").alias("_p"))
-    opened = days.select(*by, day, (F.lit(initial) + F.coalesce(F.sum("_p").over(W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).alias("_open"))
+    opened = days.select(*by, day, (F.lit(initial).cast(MONEY) + F.coalesce(F.sum("_p").over(W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast(MONEY))).alias("_open"))
     within = F.sum("profit").over(W.partitionBy(*by, day).orderBy(*order))
-    out = rows.withColumn("_in", within).join(opened, [*by, day]).withColumn("bankroll", F.col("_open") + F.col("_in")).drop("_open", "_in")
+    out = rows.withColumn("_in", within).join(opened, [*by, day]).withColumn("_left", F.col("_open") + F.col("_in")).drop("_open", "_in")
+    plain = lambda df: df.withColumns({"profit": F.col("profit").cast("double"), "bankroll": F.col("_left").cast("double")}).drop("_left")
     if not stop_at_negative:
-        return out
+        return plain(out)
     place = F.struct(day, *order)
-    broke = out.filter("bankroll < -1e-9").groupBy(*by).agg(F.min(place).alias("_end")) if by else out.filter("bankroll < -1e-9").agg(F.min(place).alias("_end"))
+    broke = out.filter("_left < 0").groupBy(*by).agg(F.min(place).alias("_end")) if by else out.filter("_left < 0").agg(F.min(place).alias("_end"))
     joined = out.join(broke, list(by), "left") if by else out.crossJoin(F.broadcast(broke))  # one row
-    return joined.filter(F.col("_end").isNull() | (place <= F.col("_end"))).drop("_end")
+    return plain(joined.filter(F.col("_end").isNull() | (place <= F.col("_end"))).drop("_end"))
 
 
 def results(history: DataFrame, by: Sequence[str], initial: float = 1000.0) -> DataFrame:
     """by, n_bets, n_won, won_percent, most, least, profit and roi of an account's history."""
     won = F.coalesce(F.col("won"), F.lit(False)).cast("long")
-    out = history.groupBy(*by).agg(F.count("*").alias("n_bets"), F.sum(won).alias("n_won"), F.max("bankroll").alias("most"), F.min("bankroll").alias("least"), F.sum("profit").alias("profit"))
+    profit = F.sum(F.col("profit").cast(MONEY)).cast("double").alias("profit")
+    out = history.groupBy(*by).agg(F.count("*").alias("n_bets"), F.sum(won).alias("n_won"), F.max("bankroll").alias("most"), F.min("bankroll").alias("least"), profit)
     return out.select(*by, "n_bets", "n_won", (100 * F.col("n_won") / F.col("n_bets")).alias("won_percent"), "most", "least", "profit", (100 * F.col("profit") / initial).alias("roi"))

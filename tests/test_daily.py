@@ -47,3 +47,10 @@ def test_results_and_no_bets(spark):
     (r,) = daily.results(daily.account(bets, [], "day", ["id"], 100.0), [], 100.0).collect()
     assert (r["n_bets"], r["n_won"], r["won_percent"], r["most"], r["least"], r["profit"], r["roi"]) == (2, 1, 50.0, 120.0, 110.0, 10.0, 10.0)
     assert daily.account(bets.limit(0), [], "day", ["id"]).collect() == []
+
+
+def test_a_bankroll_of_exactly_nothing_goes_on(spark):
+    bets = [(0, DAY, 1e7, 2.0, False)] + [(k, DAY + dt.timedelta(days=k), 0.3, 2.0, False) for k in range(1, 11)] + [(11, DAY + dt.timedelta(days=11), 1.0, 2.0, True)]
+    df = spark.createDataFrame(bets, "id int, day date, stake double, price double, won boolean")
+    out = sorted((r["id"], r["bankroll"]) for r in daily.account(df, [], "day", ["id"], 1e7 + 3).collect())
+    assert out[-2:] == [(10, 0.0), (11, 1.0)]  # sums of doubles are below 0 after ten times 0.3
