@@ -1,13 +1,15 @@
 """Python aggregates of groups of any size: states are made batch by batch where rows lie, and merged.
 
-A task keeps a state for each group it has met and sends these on, not rows; a group's
-states meet in steps, so a hot group is as many small states as there are tasks.
+Rows are dealt by ranges of their groups, a hot group's over several tasks, and sorted, so that a
+batch holds few groups and `add` is called for each of these once.  A task sends on states; a
+group's states meet in steps, so a hot group is as many small states as it has tasks.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Groups whose states a task holds before it sends them on.
 HELD = 50_000
+#: Rows of a batch that is sent on.
+PAGE = 10_000
 #: Parts in which a group's states are merged first.
 SALTS = 32
 
@@ -48,19 +52,38 @@ def merge_aggregate(df: DataFrame, by: Sequence[str], fields: Sequence[str], nam
         if held:
             yield sent(held)
 
-    def joined(pdf: pd.DataFrame) -> Any:
-        states = [pickle.loads(s) for s in pdf["_state"]]  # noqa: S301  states of our own
+    def joined(pickled: list[bytes]) -> Any:
+        states = [pickle.loads(s) for s in pickled]  # noqa: S301  states of our own
         while len(states) > 1:
             states = [merge(*states[k : k + 2]) if k + 1 < len(states) else states[k] for k in range(0, len(states), 2)]
         return states[0]
 
-    def halfway(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*[pdf[n].iloc[0] for n in names], pickle.dumps(joined(pdf)))], columns=schema.names)
+    def runs(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[tuple[tuple, Any]]:
+        """Keys and merged state of each run of rows with the same keys."""
+        rows = (r for pdf in batches for r in pdf.itertuples(index=False, name=None))
+        for key, own in groupby(rows, key=lambda r: plain(r[:keys])):
+            yield key, joined([r[-1] for r in own])
 
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*[pdf[n].iloc[0] for n in names], finish(joined(pdf)))], columns=[*names, name])
+    def paged(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+        held = []
+        for r in rows:
+            held.append(r)
+            if len(held) == PAGE:
+                yield pd.DataFrame(held, columns=columns)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    def halfway(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return paged(((*key[:-1], pickle.dumps(state)) for key, state in runs(batches, len(names) + 1)), schema.names)
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return paged(((*key, finish(state)) for key, state in runs(batches, len(names))), [*names, name])
 
+    if names:
+        rows = rows.repartitionByRange(*names, F.xxhash64(*[F.col(f"`{c}`") for c in fields] or names)).sortWithinPartitions(*names)
     states = rows.mapInPandas(gather, schema).withColumn("_salt", F.pmod(F.xxhash64("_state"), F.lit(SALTS)))
-    some = states.groupBy(*names, "_salt").applyInPandas(halfway, schema)
+    some = states.repartition(*names, "_salt").sortWithinPartitions(*names, "_salt").select(*names, "_salt", "_state").mapInPandas(halfway, schema)
     out = T.StructType([*schema.fields[:-1], T.StructField(name, T._parse_datatype_string(returns))])
-    return some.groupBy(*names).applyInPandas(last, out).toDF(*by, name)
+    met = some.repartition(*names).sortWithinPartitions(*names) if names else some.coalesce(1)
+    return met.mapInPandas(last, out).toDF(*by, name)

@@ -146,3 +146,12 @@ def test_merged_aggregates(spark):
     (whole,) = merge_aggregate(df, [], ["v"], "n", "long", lambda s, rows: (s or 0) + len(rows), lambda a, b: a + b, lambda s: s).collect()
     assert whole["n"] == len(rows)
     assert merge_aggregate(df.limit(0), ["g"], ["v"], "n", "long", bits, max, int).collect() == []
+
+
+def test_a_group_is_added_once_a_batch(spark):
+    from tallyfield.operators.merged import merge_aggregate
+
+    df = spark.range(20_000).select((F.col("id") % 500).alias("g"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v")).repartition(7)
+    out = merge_aggregate(df, ["g"], ["v"], "x", "struct<calls: long, n: long>", lambda s, rows: (s[0] + 1, s[1] + len(rows)) if s else (1, len(rows)), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: {"calls": s[0], "n": s[1]}).collect()
+    assert sorted((r["g"], r["x"]["n"]) for r in out) == [(g, 40) for g in range(500)]
+    assert sum(r["x"]["calls"] for r in out) < 2 * 500  # rows lie in seven parts: it was 3,500 or more
