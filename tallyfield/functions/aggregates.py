@@ -25,6 +25,10 @@ class Frame:
     def run(self, agg: Column) -> Column:
         return agg if self.over is None else agg.over(self.over)
 
+    def total(self, agg: Column) -> Column:
+        """An exact sum or a count, which a frame may take as the difference of two running ones."""
+        return self.run(agg)
+
     @property
     def order(self) -> Column:
         if self._order is None:
@@ -58,6 +62,8 @@ def _percentile(p: float) -> Builder:
 
 
 def _sum(c: Column, k: T.DataType, f: Frame) -> Column:
+    if isinstance(k, T.IntegralType) and f.over is not None:
+        return F.coalesce(f.total(F.sum(c.cast("decimal(20,0)"))), F.lit(0)).cast("long")  # running totals may pass longs
     zero = F.lit(0) if isinstance(k, T.IntegralType) else F.lit(0.0)
     return F.coalesce(f.run(F.sum(_number(c, k))), zero)
 
@@ -98,8 +104,8 @@ def _mode(c: Column, k: T.DataType, f: Frame) -> Column:
 
 
 _REGISTRY: dict[str, Builder] = {
-    "count": lambda c, k, f: f.run(F.count(F.lit(1))),
-    "count_nonnull": lambda c, k, f: f.run(F.count(c)),
+    "count": lambda c, k, f: f.total(F.count(F.lit(1))),
+    "count_nonnull": lambda c, k, f: f.total(F.count(c)),
     "sum": _sum,
     "mean": lambda c, k, f: f.run(F.avg(_number(c, k))),
     "min": lambda c, k, f: f.run(F.min(_number(c, k))),

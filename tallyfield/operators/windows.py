@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
+from pyspark.sql.window import Window as W, WindowSpec
 
 from tallyfield.functions.aggregates import Frame, Spec, resolve as resolve_spec
 from tallyfield.functions.paths import get_field, resolve
@@ -69,12 +69,24 @@ def cumulative(df: DataFrame, keys: Sequence[str], field: str, order: Sequence[C
     return df.withColumn(alias or f"cumulative_{field}", F.sum(value).over(w))
 
 
+class _Span(Frame):
+    """A frame of time: counts and exact sums are what was up to a row less what was before its frame, so their time does not grow with the frame's rows."""
+
+    def __init__(self, over: WindowSpec, upto: WindowSpec, before: WindowSpec):
+        super().__init__(over)
+        self._upto, self._before = upto, before
+
+    def total(self, agg: Column) -> Column:
+        return F.coalesce(agg.over(self._upto), F.lit(0)) - F.coalesce(agg.over(self._before), F.lit(0))
+
+
 def rolling(df: DataFrame, keys: Sequence[str], window: int | str, aggregators: Mapping[str, Any], order: Sequence[Column], time_field: str | None = None, min_periods: int = 1, step: int | None = None) -> DataFrame:
     """Aggregates over the last `window` rows, or the last time span, of each group.
 
     A time frame is [t - span, t] and sees of rows at the same instant only those that come
     before in row order.  For that, frames range over twice the instant, and the row's place
-    among its peers in decimals (below 1 for up to ten thousand million peers).  Rows come out where the frame has min_periods rows and,
+    among its peers in decimals (below 1 for up to ten thousand million peers).  Counts and sums of whole
+    numbers are differences of running totals; other aggregates go over each frame's rows anew.  Rows come out where the frame has min_periods rows and,
     with a step, at every step-th row of the group.
     """
     parts = [get_field(df, k) for k in keys]
@@ -82,7 +94,7 @@ def rolling(df: DataFrame, keys: Sequence[str], window: int | str, aggregators:
         if window < 1:
             raise ValueError("a window has at least one row")
         ordered = W.partitionBy(*parts).orderBy(*order)
-        frame = ordered.rowsBetween(-(window - 1), 0)
+        frame = Frame(ordered.rowsBetween(-(window - 1), 0))
     else:
         if time_field is None:
             raise ValueError("a time window needs a time_field")
@@ -93,8 +105,8 @@ def rolling(df: DataFrame, keys: Sequence[str], window: int | str, aggregators:
         place = (F.row_number().over(peers) - 1).cast("decimal(12,0)") * F.lit("0.0000000001").cast("decimal(10,10)")
         df = df.withColumn("__at", ((at * 2).cast("decimal(20,0)") + place).cast("decimal(32,10)"))
         ordered = W.partitionBy(*parts).orderBy("__at")
-        frame = ordered.rangeBetween(-(2 * span + 1), 0)
-    out = df.withColumns(aggregate_columns(df, aggregators, Frame(frame)) | {"__n": F.count(F.lit(1)).over(frame), "__i": F.row_number().over(ordered)})
+        frame = _Span(ordered.rangeBetween(-(2 * span + 1), 0), ordered.rowsBetween(W.unboundedPreceding, 0), ordered.rangeBetween(W.unboundedPreceding, -(2 * span + 1)))
+    out = df.withColumns(aggregate_columns(df, aggregators, frame) | {"__n": frame.total(F.count(F.lit(1))), "__i": F.row_number().over(ordered)})
     out = out.filter(F.col("__n") >= min_periods)
     if step:
         out = out.filter((F.col("__i") - 1) % step == 0)

@@ -548,6 +548,6 @@ y AS (SELECT t, sum(v) AS v, count(*) AS n FROM x GROUP BY t)
 SELECT c.o_orderkey, c.upto - coalesce(sum(y.v), 0) AS total, CAST(c.n - coalesce(sum(y.n), 0) AS BIGINT) AS n FROM c LEFT JOIN y ON y.t < c.t - INTERVAL 400 DAY GROUP BY c.o_orderkey, c.upto, c.n""")
 def win_rolling_time_peers(spark, d):
     """Thousands of rows of a group at one instant: each sees those before it in row order."""
-    o = table(spark, d, "orders").select("o_orderkey", F.date_trunc("year", "o_orderdate").alias("t"), F.floor("o_totalprice").cast("double").alias("v"), F.lit(1).alias("g"))
+    o = table(spark, d, "orders").select("o_orderkey", F.date_trunc("year", "o_orderdate").alias("t"), F.floor("o_totalprice").cast("long").alias("v"), F.lit(1).alias("g"))
     out = Flow(o, ["t", "o_orderkey"]).group_by("g").rolling_summary("400d", {"total": ("sum", "v"), "n": "count"}, time_field="t")
-    return out.df.select("o_orderkey", "total", "n")
+    return out.df.select("o_orderkey", F.col("total").cast("double").alias("total"), "n")

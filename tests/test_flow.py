@@ -402,3 +402,18 @@ def test_asof_join_in_bins(spark):
         want = sorted(asof_join(left, right, "k", "t", "u", **how).collect(), key=lambda r: r["i"])
         for width in (50, 100_000, 0.5):
             assert sorted(asof_join(left, right, "k", "t", "u", bin_seconds=width, **how).collect(), key=lambda r: r["i"]) == want
+
+
+def test_sums_of_time_frames_take_time_by_rows_not_frames(spark):
+    import time
+
+    df = spark.range(60_000).select(F.lit(1).alias("g"), F.timestamp_seconds(F.col("id") % 10 * 3600).alias("t"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"), "id").coalesce(1)
+    began = time.perf_counter()
+    out = Flow(df, ["t", "id"]).group_by("g").rolling_summary("3h", {"s": ("sum", "v"), "n": "count", "k": ("count_nonnull", "v")}, time_field="t").df
+    got = {r["id"]: (r["s"], r["n"], r["k"]) for r in out.collect()}
+    assert time.perf_counter() - began < 20  # frames of 18,000 rows and more, each gone over anew, took minutes
+    rows = sorted(range(60_000), key=lambda k: (k % 10, k))
+    for at in [*range(0, 60_000, 997), 59_999]:
+        frame = [k for k in rows[: at + 1] if k % 10 >= rows[at] % 10 - 3]
+        known = [k for k in frame if k % 7]
+        assert got[rows[at]] == (sum(known), len(frame), len(known))
