@@ -60,7 +60,11 @@ def normalize_name(col: Column) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Jaccard of the words of two names; numbers weigh 0.3."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+    return token_ratio(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))
+
+
+def token_ratio(x: Column, y: Column) -> Column:
+    """`token_set_ratio` of names whose distinct words are given."""
     weigh = lambda words: F.aggregate(words, F.lit(0.0), lambda s, t: s + F.when(t.rlike("^[0-9]+$"), 0.3).otherwise(1.0))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(weigh(F.array_intersect(x, y)) / weigh(F.array_union(x, y)))
 
@@ -120,13 +124,16 @@ def jaro_winkler_value(a: str, b: str, scale: float = 0.1) -> float:
 
 
 def _in_batches(a: pd.Series, b: pd.Series, compare) -> pd.Series:
-    """compare of the pairs that differ, those of like length together; null beside a null."""
-    pairs = pd.DataFrame({"a": a, "b": b})
-    known = pairs.dropna().drop_duplicates()
-    known = known.iloc[(known["a"].str.len() + known["b"].str.len()).argsort(kind="stable")]
-    scores = [compare(known["a"].iloc[k : k + PAIRS].tolist(), known["b"].iloc[k : k + PAIRS].tolist()) for k in range(0, len(known), PAIRS)]
-    known = known.assign(score=np.concatenate(scores) if scores else np.zeros(0))
-    return pairs.merge(known, on=["a", "b"], how="left")["score"].astype("float64")
+    """compare of the pairs, those of like length together; null beside a null."""
+    x, y = a.to_numpy(object), b.to_numpy(object)
+    known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    length = np.fromiter((len(x[k]) + len(y[k]) for k in known), np.int64, len(known))
+    known = known[length.argsort(kind="stable")]
+    out = np.full(len(x), np.nan)
+    for k in range(0, len(known), PAIRS):
+        own = known[k : k + PAIRS]
+        out[own] = compare(x[own].tolist(), y[own].tolist())
+    return pd.Series(out)
 
 
 @pandas_udf(DoubleType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyfield.functions.text import jaro_winkler, normalize_name, token_set_ratio, tokens
+from tallyfield.functions.text import jaro_winkler, normalize_name, token_ratio, token_set_ratio, tokens
 from tallyfield.warehouse.views import Warehouse
 
 
@@ -62,6 +62,12 @@ def index_keys(name: Column, words: Column, least: float) -> Column:
     return F.concat(F.array(F.concat(F.lit("F"), F.left(name, F.lit(1)))), of_letters, F.transform(first, lambda x: F.concat(F.lit("W"), x["t"])))
 
 
+#: Parts of a country's names, each compared with all its teams.
+SALTS = 32
+#: Tasks that pairs are dealt to: names are few and short, so by their bytes they would be one.
+PARTS = 200
+
+
 def candidates(left: DataFrame, right: DataFrame, a: str, b: str, by: str, least: float = 0.80) -> DataFrame:
     """Pairs of rows (all columns of both) of one `by` whose names `a` and `b` may be alike by `least` or more: no pair that is goes missing.
 
@@ -96,7 +102,16 @@ def proposals(unresolved: DataFrame, teams: DataFrame, least: float = 0.80, most
     """
     left = unresolved.select("source", "raw_name", "country").distinct()
     known = teams.select("team_id", "canonical_name", "country").distinct()
-    pairs = candidates(left, known, "raw_name", "canonical_name", "country", least) if indexed else left.join(known, "country")
-    scored = pairs.select("*", *similarity(F.col("raw_name"), F.col("canonical_name"))).filter(F.col("score") >= least)
+    if indexed:
+        pairs = candidates(left, known, "raw_name", "canonical_name", "country", least)
+        scored = pairs.select("*", *similarity(F.col("raw_name"), F.col("canonical_name"))).filter(F.col("score") >= least)
+    else:  # each name is normalised once, not in each pair; a country's names are dealt in SALTS parts
+        prepared = lambda df, name, side: df.withColumns({f"_n{side}": normalize_name(F.col(name)), f"_w{side}": F.array_distinct(tokens(F.col(name)))})
+        l = prepared(left, "raw_name", "a").withColumn("_salt", F.pmod(F.xxhash64("raw_name"), F.lit(SALTS)).cast("int")).repartition(PARTS, "country", "_salt")
+        r = prepared(known, "canonical_name", "b").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(PARTS, "country", "_salt")
+        both = l.hint("merge").join(r, ["country", "_salt"]).withColumns({"_jw": jaro_winkler("_na", "_nb"), "_ts": token_ratio(F.col("_wa"), F.col("_wb"))})
+        found = F.struct(F.greatest("_jw", "_ts").alias("score"), F.when(F.col("_jw") >= F.col("_ts"), "JARO_WINKLER").otherwise("TOKEN_SET").alias("score_method"))
+        # an explode, as a filter would have the letters compared once for itself and once for the column
+        scored = both.select(*left.columns, "team_id", "canonical_name", F.explode(F.filter(F.array(found), lambda x: x["score"] >= least)).alias("_s")).select(*left.columns, "team_id", "canonical_name", "_s.*")
     own = W.partitionBy("source", "raw_name", "country").orderBy(F.desc(F.round("score", 9)), "canonical_name", "team_id")
     return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= most)

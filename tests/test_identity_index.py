@@ -52,3 +52,19 @@ def test_proposals_with_and_without_the_index(spark):
     right = spark.createDataFrame([(str(k), n, "X") for k, n in enumerate(made(40, 6))], "team_id string, canonical_name string, country string")
     one, two = (sorted((r["raw_name"], r["team_id"], round(r["score"], 9), r["rank"]) for r in identity.proposals(left, right, indexed=x).collect()) for x in (True, False))
     assert one == two and one
+
+
+def test_all_pairs_are_compared_once_and_in_parts(spark):
+    left = spark.createDataFrame([("s", f"Suplier {k}", "X") for k in range(300)], "source string, raw_name string, country string")
+    right = spark.createDataFrame([(str(k), f"Supplier {k}", "X") for k in range(20)], "team_id string, canonical_name string, country string")
+    out = identity.proposals(left, right)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "_salt" in plan
+    scored = left.join(right, "country").select("raw_name", "team_id", *identity.similarity(F.col("raw_name"), F.col("canonical_name"))).filter("score >= 0.8").collect()
+    best = {}
+    for r in scored:
+        best.setdefault(r["raw_name"], []).append(r["score"])
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["raw_name"], []).append(r["score"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[-5:] for k, v in best.items()} and len(got) == 300
