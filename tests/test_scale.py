@@ -155,3 +155,23 @@ def test_a_group_is_added_once_a_batch(spark):
     out = merge_aggregate(df, ["g"], ["v"], "x", "struct<calls: long, n: long>", lambda s, rows: (s[0] + 1, s[1] + len(rows)) if s else (1, len(rows)), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: {"calls": s[0], "n": s[1]}).collect()
     assert sorted((r["g"], r["x"]["n"]) for r in out) == [(g, 40) for g in range(500)]
     assert sum(r["x"]["calls"] for r in out) < 2 * 500  # rows lie in seven parts: it was 3,500 or more
+
+
+@pytest.mark.parametrize("cell_seconds", [1.0, 60.0, 7.5])
+def test_summaries_of_spans(spark, cell_seconds):
+    from tallyfield.operators.joins import span_summary
+
+    pick = random.Random(5)
+    micros = lambda x: None if x is None else T0 + dt.timedelta(microseconds=x)
+    spans = []
+    for i in range(300):
+        s = pick.choice([None, pick.randrange(3 * 10**9), 60_000_000 * pick.randrange(50)])
+        spans.append((i, pick.choice(["a", "b", None]), s, None if s is None else s + pick.choice([0, 1, 999_999, 10**6, 60_000_000 - 1, 60_000_000, pick.randrange(4 * 10**9), 10**13, -5])))
+    points = [(k, pick.choice(["a", "b", None]), pick.choice([None, pick.randrange(3 * 10**9), 60_000_000 * pick.randrange(60)])) for k in range(400)] + [(None, "a", 64)]
+    left = spark.createDataFrame([(i, k, micros(s), micros(e)) for i, k, s, e in spans], "id int, k string, s timestamp, e timestamp")
+    right = spark.createDataFrame([(i, k, micros(t)) for i, k, t in points], "v int, k string, t timestamp")
+    got = {r["id"]: (r["n"], r["least"], r["most"]) for r in span_summary(left, right, "k", "s", "e", "t", "id", "v", cell_seconds).collect()}
+    for i, k, s, e in spans:
+        hits = [p for p, k2, t in points if p is not None and k is not None and k == k2 and None not in (s, e, t) and s <= t <= e]
+        assert got[i] == (len(hits), min(hits, default=None), max(hits, default=None))
+    assert len(got) == len(spans)
