@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from tallyfield.flow import Flow, per_row
 from tallyfield.functions import paths
-from tallyfield.functions.aggregates import custom, names as aggregate_names, percentile, register
+from tallyfield.functions.aggregates import names as aggregate_names, percentile, register
 from tallyfield.functions.predicates import where_contains, where_endswith, where_equals, where_exists, where_gt, where_gte, where_in, where_is_null, where_lt, where_lte, where_not_equals, where_not_in, where_regex_match, where_startswith
 from tallyfield.operators.joins import interval_join, latest_as_of
 from tallyfield.plans.registry import flow, query, table
@@ -503,9 +503,20 @@ def grouped_rows(spark, d):
 
 @query("custom_aggregates", "SELECT event_type, count(*) AS n, CAST(max(event_id) - min(event_id) AS BIGINT) AS spread, CAST(arg_min(user_id, (ts, event_id)) AS BIGINT) AS first_user FROM events GROUP BY event_type")
 def custom_aggregates(spark, d):
-    spread = custom(lambda rows: max(r["event_id"] for r in rows) - min(r["event_id"] for r in rows), "long", "event_id")
-    first = custom(lambda rows: rows[0]["user_id"], "long", "user_id")
-    return flow(spark, d, "events", "ts", "event_id").group_by("event_type").summary({"n": "count", "spread": spread, "first_user": first}).df
+    """Python aggregates of five hot groups: states of batches are merged, no group is one list."""
+    from tallyfield.operators.merged import merge_aggregate
+
+    def add(state, rows):
+        first = rows.sort_values(["at", "event_id"], kind="stable").iloc[0]
+        own = (len(rows), int(rows["event_id"].min()), int(rows["event_id"].max()), (int(first["at"]), int(first["event_id"]), int(first["user_id"])))
+        return own if state is None else merge(state, own)
+
+    def merge(a, b):
+        return a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), min(a[3], b[3])
+
+    e = table(spark, d, "events").select("event_type", "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    out = merge_aggregate(e, ["event_type"], ["event_id", "user_id", "at"], "x", "struct<n: long, spread: long, first_user: long>", add, merge, lambda s: {"n": s[0], "spread": s[2] - s[1], "first_user": s[3][2]})
+    return out.select("event_type", "x.*")
 
 
 @query("registered_aggregate", "SELECT event_type, sum(value * value) AS squares FROM (SELECT event_type, floor(value) AS value FROM events) GROUP BY event_type")

@@ -81,3 +81,8 @@ def test_odds_at_half_a_thousandth_do_not_hang_on_the_order_of_sums(spark, tmp_p
     con = _stored(spark, tmp_path / "again", rows[::-1], EVENTS)
     df = catalogue.queries()["value_and_arbitrage"](spark, str(tmp_path / "again"))
     assert rows_of(df) == rows_of_sql(con, catalogue.oracle_sql()["value_and_arbitrage"], df.columns)
+
+
+def test_custom_aggregates_gather_no_group(spark, data):
+    plan = catalogue.queries()["custom_aggregates"](spark, data)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
