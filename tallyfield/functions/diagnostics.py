@@ -1,4 +1,4 @@
-"""Diagnostics of a table of draws (parameter, chain, draw, value): chains are rows, lags are joins or windows, all else are aggregates."""
+"""Diagnostics of a table of draws (parameter, chain, draw, value): chains are rows, lags are windows, all else are aggregates."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql.window import Window as W
 
 #: Autocorrelations are summed until the first below this.
 NOISE = 0.05
+#: Draws of a chain that one window goes over.
+BLOCK = 8192
 
 
 def _kept(draws: DataFrame, by: Sequence[str], burn: int, thin: int) -> DataFrame:
@@ -35,14 +37,19 @@ def r_hat(draws: DataFrame, by: Sequence[str] = ("parameter",), burn: int = 0, t
 def autocorrelations(draws: DataFrame, by: Sequence[str] = ("parameter",), most: int = 100, burn: int = 0, thin: int = 1) -> DataFrame:
     """by, lag (0 to most) and rho: the autocorrelation of each chain, averaged over chains.
 
-    Each draw meets the `most` draws after it: rows times lags, joined by chain and draw, so a long
-    chain is spread over its draws; no chain is gathered."""
+    A chain is cut into blocks, each with the `most` draws after it, and a frame over a block shows each
+    draw those it meets: rows are shuffled once and a little more, products are summed where they
+    arise, and a long chain is spread over its blocks."""
     rows = _kept(draws, by, burn, thin)
     means = rows.groupBy(*by, "chain").agg(F.avg("value").alias("_mean"))
-    own = rows.join(means, [*by, "chain"]).select(*by, "chain", "_t", (F.col("value") - F.col("_mean")).alias("_x"))
-    later = own.select(*by, "chain", (F.col("_t")).alias("_t"), F.col("_x").alias("_y"))
-    spread = own.select(*by, "chain", "_x", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag"), F.col("_t").alias("_from")).withColumn("_t", F.col("_from") + F.col("lag"))
-    both = spread.join(later, [*by, "chain", "_t"]).groupBy(*by, "chain", "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_c"))
+    block = max(BLOCK, most)
+    own = F.floor(F.col("_t") / block)
+    at = F.when(F.col("_t") % block < most, F.array(own, own - 1)).otherwise(F.array(own))  # the first draws are met from the block before
+    met = rows.join(means, [*by, "chain"]).select(*by, "chain", "_t", (F.col("value") - F.col("_mean")).alias("_x"), F.explode(at).alias("_block"))
+    ahead = W.partitionBy(*by, "chain", "_block").orderBy("_t").rangeBetween(0, most)
+    seen = met.withColumn("_ahead", F.collect_list(F.struct("_t", F.col("_x").alias("_y"))).over(ahead)).filter(F.floor(F.col("_t") / block) == F.col("_block"))
+    pairs = seen.select(*by, "chain", "_t", "_x", F.explode("_ahead").alias("_a")).select(*by, "chain", (F.col("_a._t") - F.col("_t")).cast("int").alias("lag"), (F.col("_x") * F.col("_a._y")).alias("_p"))
+    both = pairs.groupBy(*by, "chain", "lag").agg(F.sum("_p").alias("_c"))
     zero = F.max(F.when(F.col("lag") == 0, F.col("_c"))).over(W.partitionBy(*by, "chain"))
     return both.withColumn("_r", F.col("_c") / F.nullif(zero, F.lit(0.0))).groupBy(*by, "lag").agg(F.avg("_r").alias("rho"))
 

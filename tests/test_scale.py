@@ -175,3 +175,32 @@ def test_summaries_of_spans(spark, cell_seconds):
         hits = [p for p, k2, t in points if p is not None and k is not None and k == k2 and None not in (s, e, t) and s <= t <= e]
         assert got[i] == (len(hits), min(hits, default=None), max(hits, default=None))
     assert len(got) == len(spans)
+
+
+def test_lags_do_not_multiply_what_is_shuffled(spark, monkeypatch):
+    """Chains with gaps and repeated draws over several blocks, as plain pairs; sixteen times the lags are not twice the bytes."""
+    monkeypatch.setattr(diagnostics, "BLOCK", 32, raising=False)
+    pick = random.Random(6)
+    draws = [("p", c, t, pick.gauss(0, 1)) for c in range(2) for t in range(300) if t % 7 or c] + [("p", 0, 33, 0.5), ("p", 0, 33, 0.7)]
+    df = spark.createDataFrame(draws, "parameter string, chain int, draw int, value double")
+    got = {r["lag"]: r["rho"] for r in diagnostics.autocorrelations(df, most=40).collect()}
+    means = {c: np.mean([v for _, k, _, v in draws if k == c]) for c in range(2)}
+    sums = {}
+    for (_, c, t, v), (_, k, u, w) in itertools.product(draws, draws):
+        if c == k and 0 <= u - t <= 40:
+            sums[c, u - t] = sums.get((c, u - t), 0.0) + (v - means[c]) * (w - means[c])
+    assert got == pytest.approx({lag: np.mean([sums[c, lag] / sums[c, 0] for c in range(2)]) for lag in range(41)})
+    monkeypatch.setattr(diagnostics, "BLOCK", 1024, raising=False)
+    long = spark.range(20000).select(F.lit("p").alias("parameter"), F.lit(1).alias("chain"), F.col("id").alias("draw"), F.rand(3).alias("value"))
+    context, sizes = spark.sparkContext._jsc.sc(), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (5, 80):
+            context.listenerBus().waitUntilEmpty()
+            before = context.statusStore().executorSummary("driver").totalShuffleWrite()
+            assert diagnostics.autocorrelations(long, most=most).count() == most + 1
+            context.listenerBus().waitUntilEmpty()
+            sizes.append(context.statusStore().executorSummary("driver").totalShuffleWrite() - before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sizes[1] < 2 * sizes[0]
