@@ -1,14 +1,15 @@
 """Team ratings: Elo and Pi as ordered folds, Colley and Massey as small linear systems.
 
 A fold depends on every match before, so a league is one task (`by`); leagues run beside
-each other.  The linear systems take their counts from Spark aggregates and are solved for
+each other.  Spark sorts a league's matches and the fold reads them in batches; what it keeps is
+the ratings of the teams, however long the league.  The linear systems take their counts from Spark aggregates and are solved for
 each league in a task that holds a row for each pair of its teams; nothing comes to the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,24 +19,32 @@ from pyspark.sql import types as T
 
 
 def _folded(matches: DataFrame, by: Sequence[str], order: Sequence[str], fields: str, fold) -> DataFrame:
-    """Run a fold over each group's matches in order; fold(rows) gives lists of new values by column."""
+    """Run a fold over each group's matches in order; fold(rows, state) gives lists of new values by column and keeps in `state` (a dict, empty at a group's start) what later rows need."""
     new = T._parse_datatype_string(fields)
     schema = T.StructType([*matches.schema.fields, *new.fields])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        for name, values in fold(pdf).items():
-            pdf[name] = values
-        return pdf
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, {}
+        for pdf in batches:
+            keys = pd.DataFrame({k: pdf[k] for k in by}, index=pdf.index)
+            before = keys.shift()
+            starts = np.flatnonzero(~((keys == before) | (keys.isna() & before.isna())).all(axis=1).to_numpy())
+            bounds = sorted({0, *starts.tolist(), len(pdf)})
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                rows = pdf.iloc[low:high].reset_index(drop=True)
+                key = tuple(None if pd.isna(x) else x for x in (rows[k].iloc[0] for k in by))
+                if key != last:
+                    last, state = key, {}
+                yield rows.assign(**fold(rows, state))
 
-    return matches.groupBy(*by).applyInPandas(run, schema)
+    one = matches.repartition(*by) if by else matches.repartition(1)
+    return one.sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in order]).mapInPandas(run, schema)
 
 
 def elo(matches: DataFrame, home: str, away: str, home_goals: str, away_goals: str, order: Sequence[str], by: Sequence[str] = (), k: float = 20.0, home_advantage: float = 100.0, start: float = 1500.0) -> DataFrame:
     """Ratings of both sides before and after each match, and the home side's expectation."""
 
-    def fold(rows: pd.DataFrame) -> dict[str, list[float]]:
-        rating: dict[object, float] = {}
+    def fold(rows: pd.DataFrame, rating: dict[object, float]) -> dict[str, list[float]]:
         out: dict[str, list[float]] = {n: [] for n in ("home_elo_before", "away_elo_before", "home_expected", "home_elo", "away_elo")}
         for h, a, x, y in zip(rows[home], rows[away], rows[home_goals], rows[away_goals], strict=True):
             r, s = rating.get(h, start), rating.get(a, start)
@@ -60,9 +69,8 @@ def pi(matches: DataFrame, home: str, away: str, home_goals: str, away_goals: st
     difference with deviation sigma, cut half a goal from 0.
     """
 
-    def fold(rows: pd.DataFrame) -> dict[str, list[float]]:
-        at_home: dict[object, float] = {}
-        at_away: dict[object, float] = {}
+    def fold(rows: pd.DataFrame, state: dict[str, dict[object, float]]) -> dict[str, list[float]]:
+        at_home, at_away = state.setdefault("home", {}), state.setdefault("away", {})
         out: dict[str, list[float]] = {n: [] for n in ("expected_difference", "p_home", "p_draw", "p_away", "home_pi", "away_pi")}
         for h, a, x, y in zip(rows[home], rows[away], rows[home_goals], rows[away_goals], strict=True):
             expected = at_home.get(h, 0.0) - at_away.get(a, 0.0)

@@ -312,3 +312,31 @@ def test_stakes_on_independent_events(spark):
     assert markets._independent(np.array([0.6]), np.array([2.0]), 12)[0] == pytest.approx(0.2)
     with pytest.raises(ValueError):
         markets._independent(np.full(13, 0.5), np.full(13, 3.0), 12)
+
+
+def test_ratings_are_folded_in_batches(spark):
+    """Leagues of one task in batches of seven rows, as a plain loop rates them; no league is handed over whole."""
+    pick = random.Random(4)
+    rows = [(league_, k, pick.choice("abcd"), pick.choice("efgh"), pick.randrange(4), pick.randrange(4)) for league_ in ("p", None, "q") for k in range(60)]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "l string, t int, h string, a string, x int, y int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for rate, shown in ((ratings.elo, "home_elo"),):
+            out = rate(df, "h", "a", "x", "y", ["t"], ["l"])
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+            got = {(r["l"], r["t"]): r[shown] for r in out.collect()}
+            alone = {}
+            for league_ in ("p", None, "q"):
+                alone |= {(league_, r["t"]): r[shown] for r in rate(df.filter(F.col("l").eqNullSafe(F.lit(league_))), "h", "a", "x", "y", ["t"]).collect()}
+            assert got == alone and len(got) == 180
+        rating = {}
+        elo = {(r["l"], r["t"]): r["home_elo"] for r in ratings.elo(df, "h", "a", "x", "y", ["t"], ["l"]).collect()}
+        for league_, t, h, a, x, y in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+            r, s = rating.get((league_, h), 1500.0), rating.get((league_, a), 1500.0)
+            move = 20 * ((x > y) + (x == y) / 2 - 1 / (1 + 10 ** ((s - r - 100) / 400)))
+            rating[league_, h], rating[league_, a] = r + move, s - move
+            assert abs(elo[league_, t] - rating[league_, h]) < 1e-9
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
