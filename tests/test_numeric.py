@@ -322,7 +322,7 @@ def test_ratings_are_folded_in_batches(spark):
     df = spark.createDataFrame(rows, "l string, t int, h string, a string, x int, y int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        for rate, shown in ((ratings.elo, "home_elo"),):
+        for rate, shown in ((ratings.elo, "home_elo"), (ratings.pi, "home_pi")):
             out = rate(df, "h", "a", "x", "y", ["t"], ["l"])
             plan = out._jdf.queryExecution().executedPlan().toString()
             assert "MapInPandas" in plan and "FlatMapGroups" not in plan
