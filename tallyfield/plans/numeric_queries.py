@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions import goals, implied, markets, ratings, xt
@@ -25,12 +25,14 @@ SELECT id, round(sum(p) FILTER (WHERE m > 0), 9) AS first, round(sum(p) FILTER (
   round((sum(p) FILTER (WHERE m < -0.5) + sum(p) FILTER (WHERE m < -1)) / 2, 9) AS ah_win, round(sum(p) FILTER (WHERE m = -1) / 2, 9) AS ah_push, round((sum(p) FILTER (WHERE m > -0.5) + sum(p) FILTER (WHERE m > -1)) / 2, 9) AS ah_lose, round(sum(p) FILTER (WHERE m >= 0), 9) AS ah_half,
   round(sum(p) FILTER (WHERE m < 0 AND h = 0), 9) AS nil_away, round(3 * sum(p) FILTER (WHERE m < 0) + sum(p) FILTER (WHERE m = 0), 9) AS points_away FROM x GROUP BY id""")
 def price_grid_rest(spark, d):
-    g = F.col("g")
-    three, totals, handicap = markets.home_draw_away(g), markets.totals(g, 2.75), markets.asian_handicap_probs(g, "AWAY", -0.75)
-    out = _grids(spark, d).select(
-        "id", three[0].alias("first"), three[1].alias("second"), three[2].alias("third"), markets.btts_no(g).alias("btts_no"), markets.double_chance_x2(g).alias("x2"), markets.double_chance_12(g).alias("no_draw"), markets.draw_no_bet_away(g).alias("dnb_away"),
-        *[totals[c].alias(c) for c in ("under", "push", "over")], *[handicap[c].alias(f"ah_{c}") for c in ("win", "push", "lose")], markets.asian_handicap(g, "HOME", 0.5).alias("ah_half"), markets.win_to_nil_away(g).alias("nil_away"), markets.expected_points_away(g).alias("points_away"),
-    )
+    def prices(g: markets.Cells) -> list[Column]:
+        three, totals, handicap = markets.home_draw_away(g), markets.totals(g, 2.75), markets.asian_handicap_probs(g, "AWAY", -0.75)
+        return [
+            three[0].alias("first"), three[1].alias("second"), three[2].alias("third"), markets.btts_no(g).alias("btts_no"), markets.double_chance_x2(g).alias("x2"), markets.double_chance_12(g).alias("no_draw"), markets.draw_no_bet_away(g).alias("dnb_away"),
+            *[totals[c].alias(c) for c in ("under", "push", "over")], *[handicap[c].alias(f"ah_{c}") for c in ("win", "push", "lose")], markets.asian_handicap(g, "HOME", 0.5).alias("ah_half"), markets.win_to_nil_away(g).alias("nil_away"), markets.expected_points_away(g).alias("points_away"),
+        ]
+
+    out = markets.by_cells(_grids(spark, d), ["id"], "g", prices)
     return rounded(out, *[c for c in out.columns if c != "id"])
 
 

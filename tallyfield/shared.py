@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share: they cut lineage and outlive lost executors."""
+"""Tables in the folder that driver and executors share: they cut lineage and outlive lost executors.  Rows dealt over tasks."""
 
 from __future__ import annotations
 
@@ -27,3 +27,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over as many tasks as shuffles have: for rows that are few bytes and much work, which files and adaptive plans would leave to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

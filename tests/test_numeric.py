@@ -340,3 +340,20 @@ def test_ratings_are_folded_in_batches(spark):
             assert abs(elo[league_, t] - rating[league_, h]) < 1e-9
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_grids_are_dealt_and_priced_as_rows(spark, data):
+    from tallyfield.plans.market_queries import _grids
+
+    grids = _grids(spark, data)
+    assert grids.rdd.getNumPartitions() > 1  # one small file would be one task
+    ask = lambda g: [markets.home_win(g).alias("home"), markets.totals(g, 2.75)["push"].alias("push"), markets.asian_handicap(g, "HOME", -0.25).alias("ah")]
+    arrays = {r["id"]: tuple(r)[1:] for r in grids.select("id", *ask(F.col("g"))).collect()}
+    assert {r["id"]: tuple(r)[1:] for r in markets.by_cells(grids, ["id"], "g", ask).collect()} == arrays
+
+
+def test_margins_round_as_halves_away_from_zero(spark):
+    lines = [None, float("nan"), *[k / 16 for k in range(-40, 41)], 0.37499999999999994, -0.12499999999999999]
+    df = spark.createDataFrame([(x,) for x in lines], "m double").withColumn("q", F.round(F.col("m") * 4))
+    want = F.when(F.col("q") >= 2, "WIN").when(F.col("q") == 1, "HALF_WIN").when(F.col("q") == 0, "PUSH").when(F.col("q") == -1, "HALF_LOSE").otherwise("LOSE")
+    assert all(r["s"] == r["w"] for r in df.select(markets.settle_margin(F.col("m")).alias("s"), want.alias("w")).collect())
