@@ -357,3 +357,17 @@ def test_margins_round_as_halves_away_from_zero(spark):
     df = spark.createDataFrame([(x,) for x in lines], "m double").withColumn("q", F.round(F.col("m") * 4))
     want = F.when(F.col("q") >= 2, "WIN").when(F.col("q") == 1, "HALF_WIN").when(F.col("q") == 0, "PUSH").when(F.col("q") == -1, "HALF_LOSE").otherwise("LOSE")
     assert all(r["s"] == r["w"] for r in df.select(markets.settle_margin(F.col("m")).alias("s"), want.alias("w")).collect())
+
+
+def test_walk_forward_prices_two_sides_once(spark, tmp_path, monkeypatch):
+    """Matches of the same sides near one boundary share a price; every one of them has its row."""
+    from tallyfield.plans import catalogue
+
+    rows = [(k, k % 2, "1-P", dt.datetime(1996, 1, 1) + dt.timedelta(days=k)) for k in range(600)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    asked, real = [], goals.predict_many
+    monkeypatch.setattr(goals, "predict_many", lambda fixtures, *a, **k: asked.append(fixtures) or real(fixtures, *a, **k))
+    got = catalogue.queries()["walk_forward_fits"](spark, str(tmp_path)).select("trained_through", "id").collect()
+    marks = [dt.datetime(1997, 1, 6) + dt.timedelta(weeks=k) for k in range(33)]
+    assert {(r["trained_through"], r["id"]) for r in got} == {(m, k) for m in marks for k, _, _, day in rows if day > m and (day - m).days <= 56}
+    assert asked[0].count() == asked[0].distinct().count() < len(got)
