@@ -6,7 +6,8 @@ what counts the pages are callables named by options `fetch` and `pages` ("modul
 the endpoint and the options (and a page number).  A stream starts after the last page it has
 committed, reads every new page in a task of its own, and fails rather than skip a page.
 
-The default callables read saved pages, `<root>/<endpoint>/page=<k>/`, from any
+A page is its JSON text, or records' JSON texts one after the other, which no task holds together.
+The default callables read saved pages, `<root>/<endpoint>/page=<k>/`, line by line from any
 file system that Arrow knows; a missing client library is named before anything is read.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import importlib
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,18 +45,38 @@ def file_system(root: str) -> tuple[Any, str]:
         raise RuntimeError(f"{scheme}: no client for {root} here ({why})") from why
 
 
-def saved_page(endpoint: str, options: Mapping[str, str], page: int) -> str:
-    """The JSON lines of a saved page as a list."""
+def lines(stream: Any, size: int = 1 << 20) -> Iterator[str]:
+    """Lines of a stream of bytes, of which `size` are read at a time; empty ones are left out."""
+    rest: list[bytes] = []
+    while block := stream.read(size):
+        first, *more = block.split(b"\n")
+        rest.append(first)
+        for part in more:
+            yield b"".join(rest).decode()
+            rest = [part]
+    yield b"".join(rest).decode()
+
+
+def saved_page(endpoint: str, options: Mapping[str, str], page: int) -> Iterator[str]:
+    """The JSON lines of a saved page."""
     from pyarrow import fs
 
     system, path = file_system(options["root"])
     found = system.get_file_info(fs.FileSelector(f"{path}/{endpoint}/page={page}", allow_not_found=False))
-    lines = []
     for info in sorted(found, key=lambda f: f.path):
         if info.is_file and not info.base_name.startswith(("_", ".")):
             with system.open_input_stream(info.path) as f:
-                lines += f.read().decode().splitlines()
-    return f"[{','.join(x for x in lines if x)}]"
+                yield from (x for x in lines(f) if x.strip())
+
+
+def texts(body: str | bytes | Iterable[str]) -> Iterator[str]:
+    """The records of a page as JSON texts; what is no JSON raises."""
+    if isinstance(body, (str, bytes, bytearray)):
+        got = json.loads(body)
+        yield from (json.dumps(r) for r in (got if isinstance(got, list) else [got]))
+    else:
+        for text in body:
+            yield json.dumps(json.loads(text))
 
 
 def saved_pages(endpoint: str, options: Mapping[str, str]) -> int:
@@ -103,9 +124,8 @@ class _Feed:
         body = self._call("fetch", "saved_page", partition.page)
         if body is None:
             raise RuntimeError(f"{self.endpoint}: page {partition.page} is gone")
-        got = json.loads(body)
-        for record in got if isinstance(got, list) else [got]:
-            yield partition.page, json.dumps(record)
+        for text in texts(body):
+            yield partition.page, text
 
 
 class _Batch(_Feed, DataSourceReader):
@@ -142,9 +162,7 @@ class PollFeed(DataSource):
 def infer(spark: SparkSession, endpoint: str, options: Mapping[str, str]) -> str:
     """The schema of a feed's records, as its first page has them."""
     body = _Feed(dict(options) | {"endpoint": endpoint})._call("fetch", "saved_page", 1)
-    records = json.loads(body)
-    lines = [json.dumps(r) for r in (records if isinstance(records, list) else [records])]
-    return spark.range(1).select(F.schema_of_json(F.lit(f"[{','.join(lines)}]"))).first()[0].removeprefix("ARRAY<").removesuffix(">")
+    return spark.range(1).select(F.schema_of_json(F.lit(f"[{','.join(texts(body))}]"))).first()[0].removeprefix("ARRAY<").removesuffix(">")
 
 
 def read(spark: SparkSession, endpoint: str, schema: str | None = None, stream: bool = False, **options: str) -> DataFrame:

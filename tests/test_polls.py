@@ -79,3 +79,27 @@ def test_elevens_of_a_feed(spark):
     good, bad = sorted(polls.lineup_polls(df, "s").collect(), key=lambda r: r["error"] is not None)
     assert [(x["match_key"], x["team"], len(x["players"])) for x in good["lineups"]] == [("5", "7", 11), ("6", "9", 11)]
     assert good["scope"] == ["5", "6", "7"] and bad["scope"] == [] and bad["lineups"] == []
+
+
+def test_a_page_is_read_record_by_record(tmp_path):
+    page(tmp_path, 1, [{"id": k, "x": "é" * 30} for k in range(50)])
+    asked = []
+
+    class Stream:
+        def __init__(self):
+            self.body = (tmp_path / "f" / "page=1" / "part-0.txt").read_bytes()
+
+        def read(self, size):
+            asked.append(size)
+            out, self.body = self.body[:size], self.body[size:]
+            return out
+
+    read = polls.lines(Stream(), 64)
+    assert json.loads(next(read)) == {"id": 0, "x": "é" * 30} and len(asked) < 8  # the rest is still to be read
+    assert [json.loads(x)["id"] for x in read if x] == list(range(1, 50))
+    rows = polls._Batch({"endpoint": "f", "root": str(tmp_path)}).read(polls._Page(1))
+    assert iter(rows) is rows and [json.loads(text)["id"] for _, text in rows] == list(range(50))
+    assert not isinstance(polls.saved_page("f", {"root": str(tmp_path)}, 1), str)
+    with pytest.raises(ValueError):
+        list(polls.texts(iter(["{"])))
+    assert list(polls.texts('[{"a": 1}, 2]')) == ['{"a": 1}', "2"] and list(polls.texts('{"a": 1}')) == ['{"a": 1}']
