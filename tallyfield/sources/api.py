@@ -1,7 +1,7 @@
 """Paged JSON endpoints as a Spark data source.
 
-`spark.read.format("paged_json")` gives a row (page, document) for each page; a page is one
-input partition, so pages are fetched by the executors.  What fetches a page is a callable
+`spark.read.format("paged_json")` gives a row (page, document) for each page; pages are fetched by
+the executors, each by a task of its own up to TASKS, beyond that in runs of pages.  What fetches a page is a callable
 named by the option `fetch` ("module:function"), called with the endpoint, its parameters
 and the page number.  The default reads files, `<root>/<endpoint>/<page>.json`.
 
@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 PAGE_SIZE = 1000
+#: Tasks that share the pages of an endpoint, however many pages there are.
+TASKS = 256
 
 # Endpoints of the providers with their arguments.
 STATSBOMB = {
@@ -71,9 +73,17 @@ def read_file(endpoint: str, params: Mapping[str, str], page: int) -> str | None
         return f.read()
 
 
-class _Page(InputPartition):
-    def __init__(self, page: int):
-        self.page = page
+class _Pages(InputPartition):
+    """Pages from first to last; 0 is a walk over all."""
+
+    def __init__(self, first: int, last: int):
+        self.first, self.last = first, last
+
+
+def _runs(n: int) -> list[InputPartition]:
+    """Pages 1 to n in at most TASKS runs."""
+    parts = min(n, TASKS)
+    return [_Pages(k * n // parts + 1, (k + 1) * n // parts) for k in range(parts)]
 
 
 class _Reader(DataSourceReader):
@@ -88,7 +98,7 @@ class _Reader(DataSourceReader):
         return getattr(importlib.import_module(self.module), self.name)(self.endpoint, self.options, page)
 
     def partitions(self) -> list[InputPartition]:
-        """A partition a page.  A number of pages that is not given is found by the option `probe` ("module:function", which tells whether a page is there); without one a partition walks to the last page."""
+        """Runs of pages.  A number of pages that is not given is found by the option `probe` ("module:function", which tells whether a page is there); without one a partition walks to the last page."""
         n = self.pages
         if not n and (probe := self.options.get("probe")):
             from tallyfield.sources.polls import last_page
@@ -96,13 +106,14 @@ class _Reader(DataSourceReader):
             module, _, name = probe.partition(":")
             there = getattr(importlib.import_module(module), name)
             n = last_page(lambda page: there(self.endpoint, self.options, page))
-            return [_Page(k) for k in range(1, n + 1)]
-        return [_Page(k) for k in range(1, n + 1)] if n else [_Page(0)]
-
-    def read(self, partition: _Page) -> Iterator[tuple[int, str]]:
-        if partition.page:
-            if (body := self._fetch(partition.page)) is not None:
-                yield partition.page, body
+            return _runs(n)
+        return _runs(n) if n else [_Pages(0, 0)]
+
+    def read(self, partition: _Pages) -> Iterator[tuple[int, str]]:
+        if partition.first:
+            for page in range(partition.first, partition.last + 1):
+                if (body := self._fetch(page)) is not None:
+                    yield page, body
             return
         page, size = 1, int(self.options.get("page_size", PAGE_SIZE))
         while (body := self._fetch(page)) is not None:

@@ -103,3 +103,11 @@ def test_a_page_is_read_record_by_record(tmp_path):
     with pytest.raises(ValueError):
         list(polls.texts(iter(["{"])))
     assert list(polls.texts('[{"a": 1}, 2]')) == ['{"a": 1}', "2"] and list(polls.texts('{"a": 1}')) == ['{"a": 1}']
+
+
+def test_many_pages_are_few_tasks():
+    from tallyfield.sources import api
+
+    for n in (1, 2, api.TASKS, api.TASKS + 1, 54_000):
+        runs = api._runs(n)
+        assert len(runs) <= api.TASKS and [k for r in runs for k in range(r.first, r.last + 1)] == list(range(1, n + 1))
