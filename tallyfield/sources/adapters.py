@@ -75,9 +75,11 @@ def read_fixtures_json(spark: SparkSession, path: str, competition: str, season:
     """
     df = spark.read.schema(FIXTURES).option("multiLine", True).json(path)
     m = df.select(F.explode("matches").alias("m")).select("m.*").filter("team1 IS NOT NULL AND team2 IS NOT NULL AND date IS NOT NULL")
-    bare = F.from_json("score", "array<int>")
-    ft = F.coalesce(F.when(F.col("score").startswith("["), bare), F.from_json("score", "struct<ft:array<int>,ht:array<int>>")["ft"])
-    ht = F.when(~F.col("score").startswith("["), F.from_json("score", "struct<ft:array<int>,ht:array<int>>")["ht"])
+    listed = F.col("score").startswith("[")
+    # each text is parsed once, however many columns take from it
+    m = m.withColumns({"_bare": F.when(listed, F.from_json("score", "array<int>")), "_whole": F.from_json("score", "struct<ft:array<int>,ht:array<int>>")})
+    m = m.withColumns({"_ft": F.coalesce("_bare", F.col("_whole.ft")), "_ht": F.when(~listed, F.col("_whole.ht"))})
+    ft, ht = F.col("_ft"), F.col("_ht")
     both = lambda a: F.size(a) >= 2
     goal = lambda a, k, name: F.when(both(a), F.get(a, F.lit(k)).cast("string")).alias(name)
     clock = F.regexp_extract("time", r"^(\d{1,2}):(\d{2})", 0)
