@@ -74,3 +74,56 @@ def test_windows_on_a_stream(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("tumbling").collect()) == [1, 2]
     assert [r["n"] for r in spark.table("sessions").collect()] == [3]
     assert spark.table("sliding").count() == 3
+
+
+def test_matches_of_a_bucket_share_calls_to_the_state():
+    """Each call to the state goes to the JVM and back: many matches in a bucket are a few calls, nulls and NaN come through."""
+    import pandas as pd
+
+    from tallyfield.streaming.ordered import Prices
+
+    calls, waiting, known, timers = [], [], [], []
+
+    class State:
+        def __init__(self, held):
+            self.held = held
+
+        def get(self):
+            calls.append("get")
+            return iter(self.held) if self.held is waiting else self.held[-1] if self.held else None
+
+        def clear(self):
+            calls.append("clear")
+            self.held = waiting if self.held is waiting else known
+            self.held.clear()
+
+        def appendList(self, rows):  # noqa: N802
+            calls.append("append")
+            self.held.extend(rows)
+
+        def update(self, value):
+            calls.append("update")
+            self.held[:] = [value]
+
+    class Handle:
+        getListState = staticmethod(lambda name, schema: State(waiting))  # noqa: N815
+        getValueState = staticmethod(lambda name, schema: State(known))  # noqa: N815
+        registerTimer = staticmethod(lambda at: (calls.append("timer"), timers.append(at)))  # noqa: N815
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    prices = Prices(1_000_000_000)
+    prices.init(Handle)
+    body = lambda home, covers: json.dumps({"source": "s", "bookmaker": "b", "home": home, "draw": 3.0, "covers": covers})
+    pdf = pd.DataFrame([(f"m{m}", us, body(home, True)) for m in range(500) for us, home in ((3_000, "NaN"), (1_000, 2.0), (2_000, 2.0), (9_000, 4.0))], columns=["match_key", "us", "body"])
+    assert not list(prices.handleInputRows((7,), iter([pdf]), Now(0)))
+    assert calls == ["append", "timer"] and timers == [1]
+    calls.clear()
+    out = [json.loads(r) for p in prices.handleExpiredTimer((7,), Now(5), None) for r in p["row"]]
+    assert len(calls) <= 6 and len(waiting) == 1 and timers[-1] == 9
+    assert len(out) == 1000 and [(r["us"], r["home"], r["away"], r["is_first_sighting"], r["since_previous_poll_seconds"]) for r in out[:1]] == [(1_000, 2.0, None, True, None)]
+    assert out[1]["us"] == 3_000 and out[1]["home"] != out[1]["home"] and out[1]["since_previous_poll_seconds"] == 0.001
+    assert [json.loads(r)["us"] for p in prices.handleExpiredTimer((7,), Now(10), None) for r in p["row"]] == [9_000] * 500
+    assert not waiting and not list(prices.handleExpiredTimer((7,), Now(2_000_000), None)) and not known
