@@ -311,7 +311,7 @@ one AS (SELECT *, row_number() OVER (PARTITION BY kickoff_utc, match_id, bookmak
 SELECT 'selection' AS strategy, match_id, bookmaker_id, selection, price_decimal AS price FROM priced WHERE capture_precision = 'PREMATCH' AND selection = 'HOME' UNION ALL SELECT 'favourite', match_id, bookmaker_id, selection, price_decimal FROM short WHERE n = 1
 UNION ALL SELECT 'oracle', match_id, bookmaker_id, selection, price_decimal FROM won UNION ALL SELECT 'deduplicated', match_id, bookmaker_id, selection, price_decimal FROM one WHERE n = 1""")
 def strategies(spark, d):
-    w = staged(spark, d, *MATCH, "match_results", "odds_observations")
+    w = backtest.with_priced(staged(spark, d, *MATCH, "match_results", "odds_observations"))
     every = backtest.take_selection(w, "HOME").unionByName(backtest.take_selection(w, "DRAW")).unionByName(backtest.take_selection(w, "AWAY")).withColumn("rank", F.col("price"))
     parts = {"selection": backtest.take_selection(w, "HOME"), "favourite": backtest.favourite(w), "oracle": backtest.oracle(w), "deduplicated": backtest.deduplicated(every)}
     out = None

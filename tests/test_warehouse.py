@@ -429,3 +429,17 @@ def test_ledger_of_amounts_beyond_28_digits(spark):
         assert (b["stake"] * 100, b["returned"] * 100) == (stake, stake * 10**4)
         cash += stake * (10**4 - 1)
     assert len(bets) == 13 and cash > 10**28
+
+
+def test_strategies_join_their_prices_once(spark, data):
+    """A union of strategies that each join all matches sorts them as often in one task."""
+    from tallyfield.plans import catalogue
+
+    plan = catalogue.queries()["strategies"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "c_custkey" not in plan  # the results of the oracle
+    w = small(spark)
+    once = backtest.with_priced(w)
+    for made in (backtest.oracle, backtest.favourite, lambda x: backtest.take_selection(x, "HOME"), lambda x: backtest.take_selection(x, "HOME", "CLOSING")):
+        rows = made(w).collect()
+        assert sorted(map(str, made(once).collect())) == sorted(map(str, rows))
+    assert backtest.favourite(w).count() > 0
