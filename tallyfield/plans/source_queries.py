@@ -10,6 +10,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyfield.flow import Flow
 from tallyfield.functions import text
@@ -165,12 +166,14 @@ def _documents(spark, d) -> DataFrame:
     none = F.array().cast("array<struct<type:string,value:string>>")
     own = F.when(F.col("l_linenumber") % 3 != 0, _texts(qty=F.col("l_quantity"), disc=F.col("l_discount"))).otherwise(none)
     player = F.struct(F.col("l_partkey").alias("playerId"), F.col("l_linenumber").alias("shirt"), own.alias("stat"))
-    sides = li.groupBy("l_orderkey", "side").agg(F.collect_list(player).alias("player"), F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    side = F.struct(F.concat(F.lit("c"), "side").alias("contestantId"), F.when(F.col("n") > 1, _texts(total=F.col("q"))).otherwise(none).alias("stat"), "player")
-    docs = sides.groupBy("l_orderkey").agg(F.collect_list(side).alias("lineUp"))
     event = F.struct(F.col("l_linenumber").alias("id"), F.col("l_suppkey").alias("typeId"))
-    events = li.groupBy("l_orderkey").agg(F.collect_list(event).alias("event"))
-    both = docs.join(events, "l_orderkey")
+    # frames over one sort: aggregates that make lists would sort at each of two levels, before and after a shuffle
+    of_side, of_order = W.partitionBy("l_orderkey", "side").orderBy("l_linenumber"), W.partitionBy("l_orderkey").orderBy("side")
+    whole = lambda c, w: c.over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    # sorted as plain columns, which are narrower than the structs made of them
+    sides = li.repartition("l_orderkey").sortWithinPartitions("l_orderkey", "side", "l_linenumber").select("l_orderkey", "side", F.row_number().over(of_side).alias("_k"), whole(F.collect_list(player), of_side).alias("player"), whole(F.collect_list(event), of_side).alias("event"), whole(F.count("*"), of_side).alias("n"), whole(F.sum("l_quantity"), of_side).alias("q")).filter("_k = 1")
+    side = F.struct(F.concat(F.lit("c"), "side").alias("contestantId"), F.when(F.col("n") > 1, _texts(total=F.col("q"))).otherwise(none).alias("stat"), "player")
+    both = sides.select("l_orderkey", F.row_number().over(of_order).alias("_k"), whole(F.collect_list(side), of_order).alias("lineUp"), F.flatten(whole(F.collect_list("event"), of_order)).alias("event")).filter("_k = 1")
     empty = F.lit(None).cast("array<struct<id:int,typeId:bigint>>")
     first = F.col("l_orderkey") % 2 == 0
     live = F.struct("lineUp", F.when(first, F.col("event")).otherwise(empty).alias("event"), F.struct(F.when(~first, F.col("event")).otherwise(empty).alias("event")).alias("events"), F.struct(F.lit("Played").alias("state")).alias("matchDetails"))

@@ -39,7 +39,10 @@ def flatten_stats(stats: Column, kind: T.DataType, key: str = "type") -> Column:
     named = F.filter(stats, lambda s: s[key].isNotNull())
     entries = F.transform(named, lambda s: F.struct(s[key].alias("k"), (s["value"] if "value" in item.fieldNames() else F.lit(None)).cast("string").alias("v")))
     last = F.aggregate(entries, F.array().cast("array<struct<k:string,v:string>>"), lambda a, e: F.concat(F.filter(a, lambda x: x["k"] != e["k"]), F.array(e)))
-    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+    keys = F.transform(named, lambda s: s[key])
+    # the walk over all entries for each is for lists that name one twice
+    once = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last)
+    return F.coalesce(F.map_from_entries(once), F.create_map().cast("map<string,string>"))
 
 
 def stat(stats: Column, name: str, number: bool = True) -> Column:
@@ -47,6 +50,17 @@ def stat(stats: Column, name: str, number: bool = True) -> Column:
     return value.try_cast("double") if number else value
 
 
+def _has_stats(item: Column, kind: T.DataType, key: str) -> Column:
+    """Whether _stats_of has an entry, told without making it."""
+    if not isinstance(kind, T.StructType) or "stat" not in kind.fieldNames():
+        return F.lit(False)
+    own, col = kind["stat"].dataType, item.getField("stat")
+    one = own.elementType if isinstance(own, T.ArrayType) else own
+    if not isinstance(one, T.StructType) or key not in one.fieldNames():
+        return F.lit(False)
+    return F.exists(col, lambda s: s[key].isNotNull()) if isinstance(own, T.ArrayType) else col[key].isNotNull()
+
+
 def _stats_of(item: Column, kind: T.DataType, key: str) -> Column:
     if isinstance(kind, T.StructType) and "stat" in kind.fieldNames():
         own = kind["stat"].dataType
@@ -74,7 +88,8 @@ def player_stats(df: DataFrame) -> DataFrame:
     if players is None:
         raise ValueError("no players in the line-ups")
     rows = rows.select("_match_uuid", "_match_info", _field(F.col("_team"), team_kind, "contestantId").alias("_contestant_id"), F.explode(players).alias("_p"))
-    return rows.select(*_plain(F.col("_p"), kind, "stat"), _stats_of(F.col("_p"), kind, "type").alias("stats"), "_match_uuid", "_contestant_id", "_match_info").filter(F.size("stats") > 0)
+    rows = rows.filter(_has_stats(F.col("_p"), kind, "type"))
+    return rows.select(*_plain(F.col("_p"), kind, "stat"), _stats_of(F.col("_p"), kind, "type").alias("stats"), "_match_uuid", "_contestant_id", "_match_info")
 
 
 def team_stats(df: DataFrame) -> DataFrame:
@@ -83,7 +98,8 @@ def team_stats(df: DataFrame) -> DataFrame:
     if teams is None:
         raise ValueError("no liveData.lineUp")
     rows = df.select(_info(df, "matchInfo.id", "_match_uuid"), _info(df, "matchInfo", "_match_info"), F.explode(teams).alias("_t"))
-    return rows.select(_field(F.col("_t"), kind, "contestantId").alias("contestantId"), _stats_of(F.col("_t"), kind, "type").alias("stats"), "_match_uuid", "_match_info").filter(F.size("stats") > 0)
+    rows = rows.filter(_has_stats(F.col("_t"), kind, "type"))
+    return rows.select(_field(F.col("_t"), kind, "contestantId").alias("contestantId"), _stats_of(F.col("_t"), kind, "type").alias("stats"), "_match_uuid", "_match_info")
 
 
 def match_events(df: DataFrame) -> DataFrame:

@@ -371,3 +371,16 @@ def test_walk_forward_prices_two_sides_once(spark, tmp_path, monkeypatch):
     marks = [dt.datetime(1997, 1, 6) + dt.timedelta(weeks=k) for k in range(33)]
     assert {(r["trained_through"], r["id"]) for r in got} == {(m, k) for m in marks for k, _, _, day in rows if day > m and (day - m).days <= 56}
     assert asked[0].count() == asked[0].distinct().count() < len(got)
+
+
+def test_nested_documents_take_one_shuffle_and_one_sort(spark, data):
+    from tallyfield.plans.source_queries import _documents
+    from tallyfield.sources import nested
+
+    for rows in (nested.player_stats(_documents(spark, data)), nested.match_events(_documents(spark, data))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1 and "ObjectHashAggregate" not in plan
+    stats = "array<struct<type:string,value:string>>"
+    df = spark.createDataFrame([(1, [("a", [("x", "1"), (None, "9"), ("y", None), ("x", "2")]), ("b", []), ("c", None), ("d", [(None, "1")])])], f"id int, p array<struct<playerId:string,stat:{stats}>>")
+    docs = df.selectExpr("struct(id) AS matchInfo", "struct(array(struct('s' AS contestantId, p AS player)) AS lineUp) AS liveData")
+    assert [(r["playerId"], r["stats"]) for r in nested.player_stats(docs).collect()] == [("a", {"x": "2", "y": None})]
