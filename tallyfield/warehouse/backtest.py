@@ -1,15 +1,18 @@
 """Backtests: candidates are SQL, the ledger is a fold of one run in one task.
 
 What a run can stake depends on every bet before, so a run is sequential; runs (strategies,
-settings, leagues) are groups and go side by side.
+settings, leagues) are groups and go side by side.  Spark sorts a run's candidates and the fold
+reads them in batches; what it keeps is the open bets.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from decimal import ROUND_DOWN, Decimal, localcontext
+from decimal import ROUND_DOWN, Context, Decimal, localcontext
+from itertools import groupby, islice
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -38,7 +41,7 @@ class Frictions:
     def round_stake(self, stake: Decimal) -> Decimal:
         if stake <= 0:
             return Decimal(0)
-        out = (stake / self.stake_increment).to_integral_value(ROUND_DOWN) * self.stake_increment
+        out = stake // self.stake_increment * self.stake_increment
         if self.max_stake is not None:
             out = min(out, self.max_stake)
         return out if out >= self.min_stake else Decimal(0)
@@ -121,8 +124,14 @@ BLOCKS = 64
 # --- the ledger -----------------------------------------------------------------------
 
 BETS = "run_id string, kickoff_utc timestamp, match_id string, bookmaker_id string, market_type string, line double, selection string, price_taken double, price_precision string, model_prob double, stake decimal(38,6), outcome string, returned decimal(38,6), commission decimal(38,6), pnl decimal(38,6), settled_at timestamp, equity_open decimal(38,6), constrained boolean, drawdown double"
-#: Digits that products and shares of amounts of BETS take.
-DIGITS = 100
+AMOUNT = "decimal(38,6)"
+AMOUNTS = [x.split()[0] for x in BETS.split(", ") if x.endswith(AMOUNT)]
+#: Digits of products and whole quotients of amounts; they take memory only as far as an amount has them, so that amounts of any size are exact.
+DIGITS = 1_000_000
+#: For a drawdown, which is a double.
+ROUGH = Context(prec=60)
+#: Bets that leave the fold together.
+PAGE = 2_000
 
 _RETURN = {"WIN": lambda p: p, "HALF_WIN": lambda p: 1 + (p - 1) / 2, "PUSH": lambda p: 1.0, "VOID": lambda p: 1.0, "HALF_LOSE": lambda p: 0.5, "LOSE": lambda p: 0.0}
 
@@ -135,7 +144,7 @@ def _grant(asked: list[Decimal], available: Decimal, policy: str, rank: list[flo
     if policy == "reject":
         return [Decimal(0)] * len(asked), True
     if policy == "pro_rata":
-        return [cent(x * available / total) for x in asked], True
+        return [(x * available * 100 // total).scaleb(-2) for x in asked], True
     out = [Decimal(0)] * len(asked)
     for k in sorted(range(len(asked)), key=lambda i: -rank[i]):
         out[k] = cent(min(asked[k], available)) if available > 0 else Decimal(0)
@@ -143,64 +152,91 @@ def _grant(asked: list[Decimal], available: Decimal, policy: str, rank: list[flo
     return out, True
 
 
-def fold_run(rows: pd.DataFrame, config: Config) -> pd.DataFrame:
-    """The bets of one run in order of kickoff: settle what is due, size the cohort, stake."""
+def _settled(rows: Iterable, config: Config) -> Iterator[dict]:
+    """The bets of one run whose candidates come in order of kickoff and quote: settle what is due, size the cohort, stake.  To be read with DIGITS digits."""
     lag, f = pd.Timedelta(seconds=config.settlement_lag_seconds), config.frictions
     cash = peak = Decimal(config.initial_bankroll)
     exposure = Decimal(0)
     open_bets: deque[dict] = deque()  # all are due one lag after their kickoff, so in the order in which they were placed
-    out: list[dict] = []
 
-    def settle(at: pd.Timestamp | None) -> None:
+    def settle(at: pd.Timestamp | None) -> Iterator[dict]:
         nonlocal cash, peak, exposure
         while open_bets and (at is None or open_bets[0]["due"] <= at):
             b = open_bets.popleft()
             exposure -= b["stake"]
-            known = b["state"] if b["state"] is not None and (at is None or b["known"] <= at) else "VOID"
+            known = b["state"] if not pd.isna(b["state"]) and (at is None or b["known"] <= at) else "VOID"
             returned = (b["stake"] * Decimal(str(_RETURN[known](b["price_taken"])))).quantize(Decimal("0.000001"), ROUND_DOWN)
             fee = f.commission(returned - b["stake"])
             cash += returned - fee
             peak = max(peak, cash + exposure)
             b |= {"outcome": known, "returned": returned, "commission": fee, "pnl": returned - b["stake"] - fee, "settled_at": at if at is not None else b["due"]}
-            b["drawdown"] = float((peak - cash - exposure) / peak) if peak > 0 else 0.0
-            out.append(b)
+            b["drawdown"] = float(ROUGH.divide(peak - cash - exposure, peak)) if peak > 0 else 0.0
+            yield b
 
-    for at, cohort in rows.groupby("kickoff_utc", sort=True):
-        settle(at)
+    for at, rows_at in groupby(rows, attrgetter("kickoff_utc")):
+        yield from settle(at)
         equity = cash + exposure
         if config.stop_at_ruin and equity <= config.ruin_threshold:
             break
-        cohort = cohort.sort_values([*QUOTE], kind="stable")
+        cohort = list(rows_at)
         available = max(equity * Decimal(str(config.max_exposure)) - exposure, Decimal(0))
         asked = [f.round_stake(equity * Decimal(str(config.stake_fraction)))] * len(cohort)
-        granted, constrained = _grant(asked, available, config.policy, cohort["rank"].tolist())
-        for stake, r in zip(granted, cohort.itertuples(index=False), strict=True):
+        granted, constrained = _grant(asked, available, config.policy, [r.rank for r in cohort])
+        for stake, r in zip(granted, cohort, strict=True):
             stake = f.round_stake(stake)
             if stake <= 0 or stake > cash:
                 continue
             cash -= stake
             exposure += stake
             open_bets.append({"run_id": r.run_id, "kickoff_utc": at, **{k: getattr(r, k) for k in QUOTE}, "price_taken": f.price(r.price), "price_precision": r.price_precision, "model_prob": r.model_prob, "stake": stake, "state": r.state, "known": r.settled_at, "due": at + lag, "equity_open": equity, "constrained": constrained})
-    settle(None)
-    return pd.DataFrame(out)
+    yield from settle(None)
+
+
+def fold_run(rows: pd.DataFrame, config: Config) -> pd.DataFrame:
+    """The bets of one run."""
+    rows = rows[rows["kickoff_utc"].notna()].sort_values(["kickoff_utc", *QUOTE], kind="stable")
+    with localcontext(prec=DIGITS):
+        return pd.DataFrame(list(_settled(rows.itertuples(index=False), config)))
+
 
+def run(w: Warehouse, candidates: DataFrame, config: Config = Config(), run_id: str | Column = "run", text: bool = False) -> DataFrame:
+    """The settled bets of each run of the candidates (a column run_id splits them).
 
-def run(w: Warehouse, candidates: DataFrame, config: Config = Config(), run_id: str | Column = "run") -> DataFrame:
-    """The settled bets of each run of the candidates (a column run_id splits them)."""
+    Amounts are AMOUNT, and one beyond it is an error; with `text` they are text with six digits after the point, of any size (see `fitted`).
+    """
     rows = candidates if "run_id" in candidates.columns else candidates.withColumn("run_id", F.lit(run_id) if isinstance(run_id, str) else run_id)
     own = W.partitionBy("run_id", "kickoff_utc", *QUOTE).orderBy(F.desc("rank"), F.desc("price"))
-    rows = rows.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    rows = rows.filter(F.col("kickoff_utc").isNotNull()).withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
     r = w["match_results"].select("match_id", "goals_home", "goals_away", "settled_at")
     state = settle_bet(F.col("market_type"), F.col("line"), F.col("selection"), F.col("goals_home"), F.col("goals_away"))
     rows = rows.join(r, "match_id", "left").withColumn("state", state).drop("goals_home", "goals_away")
     names = [x.split()[0] for x in BETS.split(", ")]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        with localcontext(prec=DIGITS):
-            got = fold_run(pdf, config)
-        return got.reindex(columns=names) if len(got) else pd.DataFrame(columns=names)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = (r for pdf in batches for r in pdf.itertuples(index=False))
+        bets = (b for _, own in groupby(read, lambda r: None if pd.isna(r.run_id) else r.run_id) for b in _settled(own, config))
+        while True:
+            with localcontext(prec=DIGITS):
+                page = [{c: b[c] for c in names} for b in islice(bets, PAGE)]
+                if text:
+                    page = [b | {c: f"{b[c]:.6f}" for c in AMOUNTS} for b in page]
+            if not page:
+                return
+            yield pd.DataFrame(page, columns=names)
+
+    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", *[F.asc_nulls_last(c) for c in ("kickoff_utc", *QUOTE)])
+    return ordered.mapInPandas(fold, BETS.replace(AMOUNT, "string") if text else BETS)
+
 
-    return rows.groupBy("run_id").applyInPandas(fold, BETS)
+def fitted(bets: DataFrame) -> DataFrame:
+    """Bets with amounts as text, with amounts as AMOUNT if that holds all of them; where a run compounds beyond, they stay text, exact to the last digit.
+
+    The bets are written first, as their amounts tell the type.
+    """
+    bets = written(bets)
+    beyond = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(AMOUNT).isNull()) for c in AMOUNTS]
+    fits = not any(bets.agg(*beyond).first())
+    return bets.withColumns({c: F.col(c).cast(AMOUNT) for c in AMOUNTS}) if fits else bets
 
 
 def metrics(bets: DataFrame, initial: Decimal | float = 1000) -> DataFrame:

@@ -443,3 +443,57 @@ def test_strategies_join_their_prices_once(spark, data):
         rows = made(w).collect()
         assert sorted(map(str, made(once).collect())) == sorted(map(str, rows))
     assert backtest.favourite(w).count() > 0
+
+
+def _candidates(spark, rows):
+    return spark.createDataFrame(rows, "run_id string, kickoff_utc timestamp, match_id string, bookmaker_id string, market_type string, line double, selection string, price double, price_precision string, model_prob double, rank double")
+
+
+def test_ledger_of_amounts_beyond_any_decimal(spark):
+    day = dt.datetime(2024, 1, 1)
+    wins = _candidates(spark, [("run", day + dt.timedelta(days=k), f"m{k}", "b", "ONE_X_TWO", 0.0, "HOME", 1e4, "PREMATCH", None, 0.0) for k in range(130)])
+    results = spark.createDataFrame([(f"m{k}", 1, 0, day + dt.timedelta(days=k, hours=1)) for k in range(130)], "match_id string, goals_home int, goals_away int, settled_at timestamp")
+    bets = sorted(backtest.fitted(backtest.run({"match_results": results}, wins, text=True)).collect(), key=lambda r: r["kickoff_utc"])
+    cash = 10**5  # cents
+    whole = lambda x: f"{x // 100}.{x % 100:02d}0000"
+    for b in bets:
+        stake = cash // 100
+        assert (b["equity_open"], b["stake"], b["returned"], b["pnl"]) == tuple(map(whole, (cash, stake, stake * 10**4, stake * (10**4 - 1)))) and b["drawdown"] == 0
+        cash += stake * (10**4 - 1)
+    assert len(bets) == 130 and cash > 10**250
+    few = backtest.fitted(backtest.run({"match_results": results}, wins.filter("kickoff_utc < '2024-01-05'"), text=True))
+    assert few.dtypes == backtest.run({"match_results": results}, wins).dtypes and few.count() == 4
+    with pytest.raises(Exception, match="(?i)decimal|precision"):
+        backtest.run({"match_results": results}, wins).collect()
+
+
+@pytest.mark.parametrize("policy", ["pro_rata", "truncate"])
+def test_runs_are_folded_in_batches(spark, policy):
+    """Cohorts and runs that lie across batches, a null run and a null kickoff: the bets of each run folded by itself."""
+    import random
+
+    pick, day = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(run, day + dt.timedelta(hours=k // 9), f"m{pick.randrange(60)}", f"b{pick.randrange(4)}", "ONE_X_TWO", 0.0, "HOME", 1 + pick.randrange(1, 400) / 100, "PREMATCH", None, pick.random()) for run in ("a", "b", None, "c") for k in range(200)]
+    rows += [("a", None, "m1", "b9", "ONE_X_TWO", 0.0, "HOME", 2.0, "PREMATCH", None, 0.0)]
+    results = spark.createDataFrame([(f"m{k}", k % 3, 1, day + dt.timedelta(hours=k % 25)) for k in range(50)], "match_id string, goals_home int, goals_away int, settled_at timestamp")
+    config = backtest.Config(stake_fraction=0.07, policy=policy, frictions=backtest.Frictions(commission_rate=0.02, stake_increment=Decimal("0.05")))
+    own = {}
+    for r in rows:
+        key = r[:4]
+        if r[1] is not None and (key not in own or (r[-1], r[7]) > (own[key][-1], own[key][7])):
+            own[key] = r
+    goals = {r["match_id"]: r for r in results.collect()}
+    want = []
+    for run in ("a", "b", None, "c"):
+        got = [r for r in own.values() if r[0] == run]
+        state = lambda m: None if m not in goals else "WIN" if goals[m]["goals_home"] > goals[m]["goals_away"] else "LOSE"
+        pdf = pd.DataFrame([(*r, state(r[2]), goals[r[2]]["settled_at"] if r[2] in goals else None) for r in got], columns=["run_id", "kickoff_utc", "match_id", "bookmaker_id", "market_type", "line", "selection", "price", "price_precision", "model_prob", "rank", "state", "settled_at"])
+        want += [(run, b.match_id, b.bookmaker_id, b.kickoff_utc, b.outcome, b.stake, b.pnl, b.equity_open, b.drawdown) for b in backtest.fold_run(pdf, config).itertuples()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        bets = backtest.run({"match_results": results}, _candidates(spark, rows), config).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = [(b["run_id"], b["match_id"], b["bookmaker_id"], b["kickoff_utc"], b["outcome"], b["stake"], b["pnl"], b["equity_open"], b["drawdown"]) for b in bets]
+    assert sorted(map(str, ((*map(str, x[:5]), *map(float, x[5:])) for x in got))) == sorted(map(str, ((*map(str, x[:5]), *map(float, x[5:])) for x in want))) and len(got) > 150
