@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -69,6 +70,20 @@ def token_ratio(x: Column, y: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(weigh(F.array_intersect(x, y)) / weigh(F.array_union(x, y)))
 
 
+def word_weight(word: str) -> float:
+    return 0.3 if re.fullmatch("[0-9]+", word) else 1.0
+
+
+def token_ratio_value(x: list[str], y: list[str]) -> float:
+    """`token_ratio` of two lists of distinct words, summed in its order."""
+    common = whole = 0.0
+    for t in x:
+        common += word_weight(t) if t in y else 0.0
+    for t in (*x, *(t for t in y if t not in x)):
+        whole += word_weight(t)
+    return common / whole if x and y else 0.0
+
+
 #: Pairs that are compared together.
 PAIRS = 4096
 
@@ -115,6 +130,100 @@ def jaro_winkler_array(a: list[str], b: list[str], scale: float = 0.1) -> np.nda
     return score + prefix * scale * (1 - score)
 
 
+#: Bits of places that `Packed` keeps, in numbers.
+KEPT = 1 << 23
+
+
+class Packed:
+    """Names that one name at a time is compared with: `jaro_winkler_array` of it and each of them.
+
+    The places of a letter in each name are the bits of a number, so a letter of the other name meets all
+    names in a few array operations.  Names are best given in order of length and letters, as what
+    their common beginnings have met is kept.
+    """
+
+    def __init__(self, names: list[str]):
+        self.codes, self.size = _codes(names)
+        width = self.codes.shape[1]
+        self.kind = np.uint32 if width <= 32 else np.uint64 if width <= 64 else object
+        bits = np.array([1 << k for k in range(width)], self.kind)
+        self.inside = np.arange(width) < self.size[:, None]
+        self.letters = {int(c): ((self.codes == c) & self.inside).astype(self.kind) @ bits for c in np.unique(self.codes[self.inside])}
+        self.sizes, self.of = np.unique(self.size, return_inverse=True)
+        self.all = np.full(len(names), (1 << width) - 1, self.kind)
+        self.m, self.beginning = -1, None
+
+    def _within_reach(self, m: int, i: int) -> np.ndarray:
+        """Bits of the places that letter i of a name of m letters may match."""
+        reach = [max(m, n) // 2 - 1 for n in self.sizes.tolist()]
+        spans = [(max(i - r, 0), min(i + r, n - 1)) for r, n in zip(reach, self.sizes.tolist(), strict=True)]
+        return np.array([(1 << high + 1) - (1 << low) if low <= high else 0 for low, high in spans], self.kind)[self.of]
+
+    def _meet(self, name: str) -> None:
+        """After it: free and matches after each letter of name, hit by each letter."""
+        if len(name) != self.m:
+            self.m, self.met = len(name), ""
+            self.reach, self.near = [self._within_reach(self.m, i) for i in range(self.m)], {}
+            self.free, self.matches = [self.all], [np.zeros(len(self.size), np.uint8 if self.codes.shape[1] < 256 else np.int64)]
+            # a bound for each length, prefix and number of matches
+            length, prefix, matches = (x.ravel() for x in np.meshgrid(self.sizes, np.arange(5.0), np.arange(self.codes.shape[1] + 1), indexing="ij"))
+            self.table, self.beginning = self._scored(matches, 0, self.m, length, prefix), None
+            self.hit = np.zeros((self.m, len(self.size)), bool)
+        same = next((i for i, (x, y) in enumerate(zip(name, self.met, strict=False)) if x != y), len(self.met))
+        del self.free[same + 1 :], self.matches[same + 1 :]
+        for i in range(same, self.m):
+            c = ord(name[i])
+            if c not in self.letters:
+                self.hit[i] = False
+                self.free.append(self.free[i])
+                self.matches.append(self.matches[i])
+                continue
+            if (i, c) not in self.near:
+                if len(self.near) * len(self.size) > KEPT:
+                    self.near.clear()
+                self.near[i, c] = self.letters[c] & self.reach[i]
+            met = self.near[i, c] & self.free[i]
+            first = met & -met
+            np.not_equal(first, 0, out=self.hit[i])
+            self.free.append(self.free[i] ^ first)
+            self.matches.append(self.matches[i] + self.hit[i])
+        self.met = name
+        if self.beginning != name[:4]:
+            self.beginning, alike, self.prefix = name[:4], np.ones(len(self.size), bool), np.zeros(len(self.size))
+            for k, c in enumerate(name[:4]):
+                alike = alike & (self.inside[:, k] & (self.codes[:, k] == ord(c)) if k < self.codes.shape[1] else False)
+                self.prefix += alike
+            self.place = (self.of * 5 + self.prefix.astype(np.int64)) * (self.codes.shape[1] + 1)
+
+    def _scored(self, matches: np.ndarray, swapped: np.ndarray | int, m: np.ndarray | int, size: np.ndarray, prefix: np.ndarray, scale: float = 0.1) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where((matches > 0) & (matches <= np.minimum(size, m)), (matches / m + matches / size + (matches - swapped) / matches) / 3, 0.0)
+        score = np.where((m < 2) & (size == m) & (prefix == m), 1.0, score)  # no letter is within reach of another
+        return score + prefix * scale * (1 - score)
+
+    def bounds(self, name: str) -> np.ndarray:
+        """What the scores would be if all matches were in order."""
+        self._meet(name)
+        return self.table[self.place + self.matches[-1]]
+
+    def pairs(self, name: str, which: np.ndarray) -> tuple:
+        """What `scores` takes of name and some of the names."""
+        self._meet(name)
+        letters = np.broadcast_to(np.fromiter(map(ord, name), np.uint32, self.m), (len(which), self.m))
+        return self.m, which, self.matches[-1][which], self.prefix[which], self.free[-1][which], letters[self.hit[:, which].T]
+
+    def scores(self, pairs: list[tuple]) -> list[np.ndarray]:
+        """The scores of pairs."""
+        count = [len(p[1]) for p in pairs]
+        m, (which, matches, prefix, free, left) = np.repeat([p[0] for p in pairs], count), (np.concatenate([p[k] for p in pairs]) for k in range(1, 6))
+        place = np.arange(self.codes.shape[1]).astype(self.kind)
+        taken = ((self.all[which] ^ free)[:, None] >> place & 1).astype(bool)
+        apart = np.concatenate([[0], np.cumsum(left != self.codes[which][taken])])  # as many letters of both for each pair
+        matches = matches.astype(np.int64)
+        end = np.cumsum(matches)
+        return np.split(self._scored(matches, (apart[end] - apart[end - matches]) // 2, m, self.size[which], prefix), np.cumsum(count)[:-1])
+
+
 def jaro_value(a: str, b: str) -> float:
     return float(jaro_array([a], [b])[0])
 
@@ -149,8 +258,6 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def snake_case(name: str) -> str:
     """A column name in lower case words and underscores."""
-    import re
-
     out = re.sub(r"[^0-9A-Za-z]+", "_", name.strip())
     out = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", out)
     return re.sub(r"_+", "_", out).strip("_").lower()

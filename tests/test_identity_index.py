@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import rows_of, rows_of_sql
+from tallyfield.functions.text import Packed, jaro_winkler_array
 from tallyfield.warehouse import identity
 
 WORDS = "United City Real Sporting Athletic Inter Dynamo Racing Olympique Borussia Torpedo Wanderers Rovers Albion Villa Forest Rangers Celtic Union Vitoria Santos Boca Ajax Porto Lyon Roma Lazio Parma Betis Sevilla 04 1860 96 05".split()
@@ -68,3 +71,66 @@ def test_all_pairs_are_compared_once_and_in_parts(spark):
     for r in out.collect():
         got.setdefault(r["raw_name"], []).append(r["score"])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[-5:] for k, v in best.items()} and len(got) == 300
+
+
+def test_packed_names_score_as_pairs_do():
+    pick = random.Random(1)
+    for width, letters in ((3, "ab"), (8, "abcdefghij"), (30, "abc 01"), (34, "ab"), (64, "abcd"), (65, "abc"), (300, "abcdefgh")):
+        word = lambda: "".join(pick.choice(letters) for _ in range(pick.choice([0, 1, 2, pick.randrange(width + 1), width])))  # noqa: E731, B023
+        names = [word() for _ in range(40)]
+        asked = sorted([word() + pick.choice(["", "é", "😀"]) for _ in range(40)] + ["", "a", "\0", *names[:5]], key=lambda x: (len(x), x))
+        for order in (asked, asked[::-1], pick.sample(asked, len(asked))):
+            packed, some = Packed(names), np.array([3, 1, 7])
+            for a in order:
+                want = jaro_winkler_array([a] * len(names), names)
+                assert (packed.bounds(a) >= want - 1e-12).all()
+                got = packed.scores([packed.pairs(a, np.arange(len(names))), packed.pairs(order[0], some), packed.pairs(a, some)])
+                assert (got[0] == want).all() and (got[2] == want[some]).all()
+
+
+@pytest.mark.parametrize(("least", "most"), [(0.8, 5), (0.6, 3), (0.9, 200)])
+def test_the_nearest_teams_are_the_best_of_all_pairs(spark, least, most):
+    """Names of few letters tie often; some are longer than a machine word, repeated, empty or null; words may be common."""
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("ab1") for _ in range(pick.randrange(1, 7)))
+    a = [*made(60, 7), *(f"{word()} {word()}" for _ in range(60)), "x" * 70, "xy" * 40, "FC", "", "1 2 3 4", "a b 12", None]
+    b = [*made(80, 8), *(f"{word()} {word()}" for _ in range(150)), "x" * 71, "xy" * 41, "FC", "", "1 2 3 4 5", "b a 12", None]
+    left = spark.createDataFrame([(k, n, c) for k, n in enumerate(a + a[:20]) for c in ("X", "Y")] + [(1, "Inter", None)], "source int, raw_name string, country string")
+    right = spark.createDataFrame([(k, n, "X") for k, n in enumerate(b + b[:90])] + [(900, "Inter", "Z"), (901, "Inter", None)], "team_id int, canonical_name string, country string")
+    got = {(r["source"], r["raw_name"], r["rank"]): (r["team_id"], r["score"], r["score_method"]) for r in identity.proposals(left, right, least, most).collect()}
+    scored = left.join(right, "country").select("source", "raw_name", "team_id", "canonical_name", *identity.similarity(F.col("raw_name"), F.col("canonical_name"))).filter(F.col("score") >= least).withColumn("r", F.round("score", 9)).collect()
+    best = {}
+    for r in scored:
+        best.setdefault((r["source"], r["raw_name"]), []).append((-r["r"], r["canonical_name"], r["team_id"], r["score"], r["score_method"]))
+    want = {(*k, rank): v[2:] for k, rows in best.items() for rank, v in enumerate(sorted(rows)[:most], 1)}
+    assert got == want and len(want) > 100
+
+
+def test_only_the_best_pairs_reach_the_scoring(spark):
+    """All pairs of a country were joined and scored: 2.2e9 at 60 times the tables."""
+    left = spark.createDataFrame([("s", f"Suplier {k:05d}", "X") for k in range(400)], "source string, raw_name string, country string")
+    right = spark.createDataFrame([(k, f"Supplier {k * 7:05d}", "X") for k in range(700)], "team_id int, canonical_name string, country string")
+    out = identity.proposals(left, right)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    named = lambda df, name, side: df.withColumns({f"_n{side}": F.lower(name), f"_w{side}": F.split(F.lower(name), " ")})
+    assert identity._nearest(named(left, "raw_name", "a"), named(right, "canonical_name", "b"), 0.8, 5).count() == out.count() == 2000
+
+
+def test_customers_and_suppliers_of_one_name(spark, tmp_path):
+    """Each customer has its rows, and suppliers of one name come by number."""
+    import duckdb
+
+    from tallyfield.plans import catalogue
+
+    tables = {
+        "customer": ([(k, f"Customer#{k % 7:09d}", k % 2) for k in range(21)], "c_custkey long, c_name string, c_nationkey int"),
+        "supplier": ([(k * 9, f"Supplier#{k % 3:09d}", k % 2) for k in range(30)], "s_suppkey long, s_name string, s_nationkey int"),
+        "nation": ([(0, "N0"), (1, "N1")], "n_nationkey int, n_name string"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = catalogue.queries()["fuzzy_match"](spark, str(tmp_path))
+    rows = rows_of(df)
+    assert rows == rows_of_sql(con, catalogue.oracle_sql()["fuzzy_match"], df.columns) and len(rows) == 105
